@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing
 
 QUERIES = {
+    "op8_bpe": bpe.op8_bpe,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
