@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, minhash, mixing, telephony
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
+    "op2_telephony": telephony.op2_telephony,
     "op8_bpe": bpe.op8_bpe,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
