@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, telephony
+from . import bpe, minhash, mixing, quality_rules, telephony
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_telephony": telephony.op2_telephony,
     "op8_bpe": bpe.op8_bpe,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op3_quality_rules": quality_rules.OP3_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
