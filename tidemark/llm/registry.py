@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality_rules, telephony
+from . import bpe, line_dedup, minhash, mixing, quality_rules, telephony
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_telephony": telephony.op2_telephony,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
