@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, mixing, quality_rules, telephony
+from . import bpe, line_dedup, minhash, mixing, quality_rules, telephony, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_telephony": telephony.op2_telephony,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
