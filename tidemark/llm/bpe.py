@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -174,10 +175,14 @@ class PrefixBpe:
             self.memory[word] = found
         return found
 
+    def forget(self) -> None:
+        for kept in (self.memory, self.known, self.fits):
+            kept.clear()
+
     def document(self, text: str) -> tuple[int, str, str]:
         """Count of ids, decimal ids joined by spaces, and decoded text."""
         # every white space but these six is left to the pre-token pattern
-        words = text.translate(GAPS).split(" ")
+        words = OTHER_GAPS.sub(" ", text).split(" ")
         get, parts = self.memory.get, []
         for w in words:
             if w:
@@ -189,7 +194,7 @@ class PrefixBpe:
         return total, " ".join(filter(None, ids)), " ".join(filter(None, decoded))
 
 
-GAPS = str.maketrans("\t\n\x0b\f\r", "     ")
+OTHER_GAPS = re.compile("[\t\n\x0b\f\r]+")
 
 
 @lru_cache(maxsize=2)
@@ -220,6 +225,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             if with_ids:
                 columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()  # workers outlive tasks, and other stages need the memory
 
     tuned(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
