@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, mixing, quality_rules, telephony, toxicity
+from . import bpe, line_dedup, minhash, mixing, quality_rules, telephony, token_files, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_token_files": token_files.op9_token_files,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
