@@ -3,14 +3,16 @@ shingle sets decide.
 
 1. A scan turns each text into its set of word shingles (64-bit hashes), a digest of the set, a signature and band keys.
    Texts with one digest have one set; the smallest doc_id among them is a node, and only nodes go on.
-2. Nodes that share a band key are a bucket. In a bucket not all pairs are made: a node picked by hash is compared with all
-   others. Links from that merge most of a bucket into one component. Later rounds only look at buckets that still hold
-   several components, and compare nodes outside a bucket's largest component with the nodes of other components: all of them
-   where there are few, else a hashed share that grows from round to round until it is all of them. So every pair in a bucket
-   is either compared or already in one component, and no group is gathered in a task.
+2. Nodes that share a band key are a bucket. In a bucket not all pairs are made: one node is compared with all others, the
+   smallest, or in a large bucket the one with the fewest shingles of its own: the text that others were made from, if it is
+   there. Links from that merge most of a bucket into one component.
 3. A pair's signatures are compared batch by batch. With a uniform prior, the posterior chance that the similarity reaches the
    threshold after m of n equal hashes is a binomial sum; once it is below ``miss`` the pair is dropped.
 4. What survives is decided on the full sets of both texts.
+5. Buckets that still hold several components must lose no link. In small ones, each node outside the largest component is
+   compared with all of other components as before. Large ones that have nodes in common are a family; its nodes are dealt into
+   blocks of bounded size, and each task compares the nodes outside the largest component in one block with the nodes of
+   another by a product of their incidence matrices. Only links that join components come out, never pairs.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ from .common import documents, forget, tuned, written
 from .graphs import components
 
 ROWS, MISS, BATCH = 5, 1e-6, 25
-#: Nodes of a bucket that are compared with all others, by round after the first.
-PIVOTS = (16, 1024, 65536)
-PIVOT_GROWTH = 64
+#: A bucket with more nodes than this, or more outside its largest component, is large; nodes of a block, about.
+WIDE, BLOCK = 16, 256
 
 
 def n_bands(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -129,6 +130,7 @@ def sketched(docs: DataFrame, k: int, percent: int, rows: int = ROWS) -> DataFra
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array([s.tobytes() if x else None for s, x in zip(sigs, some, strict=True)], pa.binary()), "bands": pa.array([x if y else None for x, y in zip(keys, some, strict=True)], pa.list_(pa.int64()))}
             )
+        HASHES.clear()  # workers outlive tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
@@ -181,54 +183,108 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     result. Documents are linked if 100 * intersection >= percent * union of their sets; ``component_id`` is the smallest
     doc_id that links reach.
     """
-    spark = tuned(docs.sparkSession)
+    tuned(docs.sparkSession)
     hashes = n_bands(percent) * ROWS
     sets = written(sketched(docs, k, percent), "sets")
-    nodes = written(sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")).select("digest", "node", "x.sig", "x.bands"), "nodes")
+    nodes = written(sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")).select("digest", "node", "n", "x.sig", "x.bands"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("pick")).where("low < high").select("key", F.col("pick.node").alias("pivot"))
-    members = written(keys.join(shared, "key").select("key", "node", "pivot"), "members")
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = written(keys.join(shared, "key").select("key", "node", "pivot", (F.col("size") > WIDE).alias("wide")), "members")
     texts = written(docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    pairs = written(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    tested, links, at = pairs, [], 0
-    while True:
-        left = written(survivors(pairs, nodes, percent, hashes), "survivors")
-        links.append(written(linked(left, texts, k, percent).distinct(), "links"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        labels = components(every)
-        forget(left)
-        most = PIVOTS[at] if at < len(PIVOTS) else PIVOTS[-1] * PIVOT_GROWTH ** (at - len(PIVOTS) + 1)
-        open_, pairs, more = _next_pairs(members, labels, tested, most, at)
-        if pairs is None:
-            break
-        tested = tested.union(pairs)
-        members, at = open_, at + 1
-        if not more:  # all that is left is compared in this round
-            left = written(survivors(pairs, nodes, percent, hashes), "survivors")
-            labels = components(every.union(written(linked(left, texts, k, percent).distinct(), "links")))
-            break
+    wide = members.where("wide").select("node").distinct()
+    own = written(own_shingles(wide, texts, k), "own")
+    hubs = members.where("wide").join(own, "node", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).getField("node").alias("hub"))
+    round0 = members.where("NOT wide").select("node", "pivot").union(members.where("wide").join(hubs, "key").select("node", F.col("hub").alias("pivot")))
+    pairs = written(round0.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    links = written(linked(survivors(pairs, nodes, percent, hashes), texts, k, percent).distinct(), "links")
+    labels = components(links)
+    m = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    several = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    held = written(m.join(several, "key"), "held")
+    if not held.isEmpty():
+        sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+        sizes = written(sizes.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")), "sizes")
+        more = linked(survivors(_small_pairs(held, sizes, pairs, nodes.select("node", "n"), percent), nodes, percent, hashes), texts, k, percent)
+        large = held.join(sizes.where(F.col("outside") > WIDE).select("key"), "key", "left_semi")
+        labels = components(links.union(written(more.union(_family_links(large, texts, k, percent)).distinct(), "links")))
     top = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     out = sets.join(top, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    del spark
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _next_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, most: int, at: int) -> tuple[DataFrame | None, DataFrame | None, bool]:
-    """The members of buckets with several components, the pairs to compare next, and whether more rounds must follow."""
-    m = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    several = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    held = written(m.join(several, "key"), "held")
-    if held.isEmpty():
-        return None, None, False
-    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"))
-    sizes = written(sizes, "sizes")
-    more = not sizes.where(F.col("outside") > most).isEmpty()
-    # a share of the outside nodes, by hash, of about ``most``; all of them where there are no more
-    chosen = held.join(sizes, "key").where((F.col("comp") != F.col("main")) & ((F.col("outside") <= most) | (F.pmod(F.xxhash64("node", "key", F.lit(at)), F.col("outside")) < most))).select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    pairs = held.join(chosen, "key").where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    return held.select("key", "node"), written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), more
+def own_shingles(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node, own: how many of a node's shingles no other of the nodes has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found = shingles(text.as_py(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc.as_py()), pa.int64()), pa.array(found.view(np.int64))], ["node", "shingle"])
+
+    held = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    counts = held.select("doc_id", "text").mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    return counts.where("node = other").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _small_pairs(held: DataFrame, sizes: DataFrame, tested: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small buckets: nodes outside the largest component with nodes of other components, if their numbers of
+    shingles allow the threshold."""
+    known = held.join(sizes.where(F.col("outside") <= WIDE), "key").join(counts, "node")
+    pivots = known.where("comp <> main").select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"))
+    may = F.expr(f"comp <> pivot_comp AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
+    pairs = known.join(pivots, (known["key"] == pivots["key"]) & may).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _family_links(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in large buckets (key, node, comp), enough of them to join all that are linked."""
+    large = written(large, "large")
+    firsts = large.groupBy("key").agg(F.min("node").alias("b"))
+    families = components(large.join(firsts, "key").select(F.col("node").alias("a"), "b").distinct())
+    nodes = written(large.select("node", "comp").distinct().join(families, "node").select("node", "comp", F.col("label").alias("family")), "family")
+    of = nodes.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    of = of.select("family", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
+    placed = nodes.join(of, "family").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    at = F.xxhash64("node")
+    inner = placed.select("family", "node", "comp", "text", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.pmod(at, F.col("blocks")).cast("int").alias("j"))
+    outer = placed.where("comp <> main").select("family", "node", "comp", "text", F.lit(True).alias("outside"), F.pmod(at, F.col("outer")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [shingles(t.as_py(), k) for t in table.column("text")]
+        ids, comps = (table.column(c).to_numpy() for c in ("node", "comp"))
+        outside = np.array(table.column("outside").to_pylist(), bool)
+        sizes = np.array([len(x) for x in sets])
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        common = np.zeros((int(outside.sum()), int((~outside).sum())), np.float32)
+        place = np.where(outside, np.cumsum(outside) - 1, np.cumsum(~outside) - 1)
+        left = outside[row]
+        for start in range(0, len(values), 4096):  # columns in slices: memory does not grow with the texts
+            here = (column >= start) & (column < start + 4096)
+            parts = []
+            for side, height in ((left, common.shape[0]), (~left, common.shape[1])):
+                x = np.zeros((height, 4096), np.float32)
+                x[place[row[here & side]], column[here & side] - start] = 1
+                parts.append(x)
+            common += parts[0] @ parts[1].T
+        n_left, n_right, ids_left, ids_right, c_left, c_right = (x[m] for x in (sizes, ids, comps) for m in (outside, ~outside))
+        good = (100 * common.astype(np.int64) >= percent * (n_left[:, None] + n_right[None, :] - common.astype(np.int64))) & (c_left[:, None] != c_right[None, :])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(good), strict=True):
+            a, b = find(int(c_left[i])), find(int(c_right[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append(sorted((int(ids_left[i]), int(ids_right[j]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return outer.union(inner.select(outer.columns)).groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
