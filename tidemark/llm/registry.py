@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
+from . import bpe, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_telephony": telephony.op2_telephony,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_lm_scores": lm_scoring.op5_lm_scores,
     "op6_perplexity": perplexity.op6_perplexity,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
