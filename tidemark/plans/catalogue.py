@@ -99,13 +99,17 @@ class Evaluation:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         whole = Shop(spark, sf_dir)
-        self.train, self.test = rankeval.temporal_split(whole.events)
+        train, self.test = rankeval.temporal_split(whole.events)
+        self.train = train.persist()
         self.shop = Shop(spark, sf_dir, self.train)
-        self.targets = rankeval.eval_targets(self.train, self.test)
+        # what several models start from is computed once
+        for name in ("attributes", "items", "users", "matrix"):
+            self.shop._made[name] = getattr(self.shop, name).persist()
+        self.targets = rankeval.eval_targets(self.train, self.test).persist()
         self.known = whole.events.select("itemid").distinct()
         self.visitors = whole.visitors()
-        self.pairs = self.train.select("visitorid", "itemid").distinct()
-        self.lengths = rankeval.list_lengths(self.visitors, self.pairs)
+        self.pairs = self.train.select("visitorid", "itemid").distinct().persist()
+        self.lengths = rankeval.list_lengths(self.visitors, self.pairs).persist()
 
     def lists(self, model: str) -> DataFrame:
         s, k = self.shop, 10
@@ -164,10 +168,9 @@ def _figure(f):
 
 def _comparison(spark, sf_dir, models=MODELS) -> DataFrame:
     e = Evaluation(spark, sf_dir)
-    out = e.row(models[0])
-    for m in models[1:]:
-        out = out.unionByName(e.row(m))
-    return rankeval.compare(out)
+    # one row a model: figures, not lists, come to the driver, and the comparison's plan stays small
+    rows = [e.row(m).first() for m in models]
+    return rankeval.compare(spark.createDataFrame(rows))
 
 
 def _clean(spark, sf_dir):

@@ -90,7 +90,7 @@ def shop(e: str, s: str) -> dict[str, str]:
         f"hyb{s}": hybrid(f"ask{s}", s),
         f"hybe{s}": hybrid(f"len{s}", s),
         f"pv{s}": f"SELECT visitorid, token, sum(w) AS x FROM (SELECT DISTINCT visitorid, itemid FROM {e}) JOIN tfidf USING (itemid) GROUP BY visitorid, token",
-        f"ps{s}": f"SELECT visitorid, p, round(sum(x * w) / max(norm), 9) AS score FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY visitorid)) AS norm FROM pv{s}) JOIN setw USING (token) GROUP BY visitorid, p",
+        f"ps{s}": f"SELECT visitorid, p, sum(x * w) / max(norm) AS score FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY visitorid)) AS norm FROM pv{s}) JOIN setw USING (token) GROUP BY visitorid, p",
         f"con{s}": content(f"ask{s}", e, s),
         f"cone{s}": content(f"len{s}", e, s),
     }
@@ -98,7 +98,7 @@ def shop(e: str, s: str) -> dict[str, str]:
 
 def content(ask: str, e: str, s: str) -> str:
     """A visitor's items rank first among the sets' members at most as often as there are of them, so these many more are looked at."""
-    return f"""SELECT visitorid, itemid, score, rank FROM (SELECT visitorid, itemid, score, n, row_number() OVER (PARTITION BY visitorid ORDER BY score DESC, itemid) AS rank
+    return f"""SELECT visitorid, itemid, score, rank FROM (SELECT visitorid, itemid, score, n, row_number() OVER (PARTITION BY visitorid ORDER BY round(score, 9) DESC, itemid) AS rank
         FROM ps{s} JOIN sets USING (p) JOIN {ask} USING (visitorid) WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.visitorid = ps{s}.visitorid AND x.itemid = sets.itemid)) WHERE rank <= n"""
 
 
