@@ -56,7 +56,7 @@ class WordHashes(dict):
     """64-bit hash by word; words met before are not hashed again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:  # at most some 30 MB
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
