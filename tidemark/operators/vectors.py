@@ -64,7 +64,13 @@ class ContentVectors:
 
     def similar_items(self, n: int = TOP_K) -> DataFrame:
         """itemid, similar_item, content_similarity, rank for every item: the n most similar others."""
-        listed = top_per(self.similarities().join(self._first_members(n + 1).select(F.col("profile").alias("b"), "itemid"), "b").withColumnRenamed("itemid", "similar_item"), ["a"], by_score("sim", "similar_item"), n + 1)
+        # profiles that others with n + 1 items or more come before bring nothing: cut before items are filled in
+        sizes = self.members.groupBy(F.col("profile").alias("b")).agg(F.count("*").alias("size"))
+        scored = self.similarities().withColumn("place_score", F.round("sim", 9)).join(sizes, "b")
+        better = F.sum("size").over(W.partitionBy("a").orderBy(F.desc("place_score"))) - F.sum("size").over(W.partitionBy("a", "place_score"))
+        wanted = scored.withColumn("better", better).where(F.col("better") <= n)
+        filled = wanted.join(self._first_members(n + 1).select(F.col("profile").alias("b"), F.col("itemid").alias("similar_item")), "b")
+        listed = top_per(filled, ["a"], by_score("sim", "similar_item"), n + 1)
         own = self.members.join(listed.select(F.col("a").alias("profile"), "similar_item", "sim", "rank"), "profile").where("itemid <> similar_item")
         return top_per(own.drop("rank"), ["itemid"], by_score("sim", "similar_item"), n).select("itemid", "similar_item", F.col("sim").alias("content_similarity"), "rank")
 
