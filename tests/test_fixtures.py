@@ -169,3 +169,13 @@ def test_diversity_without_pairs(spark):
     near = {(r.itemid, r.similar_item): r.content_similarity for r in c.similar_items(3).collect()}
     assert near == pytest.approx({(x, y): cos(x, y) for x in v for y in v if x != y and cos(x, y) > 0})
     assert math.isclose(near[(1, 4)], 1.0)
+
+
+def test_saved_models_serve_what_fitted_ones_do(spark, sf, tmp_path):
+    from tidemark.plans import catalogue, models
+
+    models.train_and_save(spark, sf, f"{tmp_path}/m")
+    served, shop = models.Recommender(spark, f"{tmp_path}/m"), catalogue.Shop(spark, sf)
+    rounded = lambda df: sorted((r.visitorid, r.itemid, round(r.hybrid_score, 6)) for r in df.collect())
+    assert rounded(served.recommend(shop.visitors())) == rounded(catalogue._hybrid(shop))
+    assert served.trending(5).count() == 5 and served.bought_together(2).count() > 0 and served.also_viewed(2).count() > 0 and served.similar(2).count() > 0
