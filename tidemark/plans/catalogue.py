@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blend, catalog, clickstream, cooccurrence, latent, profiles, rankeval, rankings, reports, vectors
 from ..functions.scoring import micros
+from ..sources.files import materialized
 from . import bindings
 from .oracle import ORACLE_SQL
 
@@ -100,16 +101,23 @@ class Evaluation:
     def __init__(self, spark: SparkSession, sf_dir: str):
         whole = Shop(spark, sf_dir)
         train, self.test = rankeval.temporal_split(whole.events)
-        self.train = train.persist()
+        self.train = materialized(train, "train")
         self.shop = Shop(spark, sf_dir, self.train)
-        # what several models start from is computed once
-        for name in ("attributes", "items", "users", "matrix"):
-            self.shop._made[name] = getattr(self.shop, name).persist()
-        self.targets = rankeval.eval_targets(self.train, self.test).persist()
+        # what several models start from is computed once and read by each
+        for name in ("attributes", "tree", "items", "users", "matrix"):
+            self.shop._made[name] = materialized(getattr(self.shop, name), name)
+        self.targets = materialized(rankeval.eval_targets(self.train, self.test), "targets")
         self.known = whole.events.select("itemid").distinct()
         self.visitors = whole.visitors()
-        self.pairs = self.train.select("visitorid", "itemid").distinct().persist()
-        self.lengths = rankeval.list_lengths(self.visitors, self.pairs).persist()
+        self.pairs = self.train.select("visitorid", "itemid").distinct()
+        self.lengths = rankeval.list_lengths(self.visitors, self.pairs)
+
+    def content(self) -> vectors.ContentVectors:
+        """Fitted once; only the models and figures that use it pay for it."""
+        if "content" not in self.shop._made:
+            fitted = vectors.ContentVectors.fit(self.shop.tokens)
+            self.shop._made["content"] = vectors.ContentVectors(materialized(fitted.members, "members"), materialized(fitted.vectors, "vectors"))
+        return self.shop.content
 
     def lists(self, model: str) -> DataFrame:
         s, k = self.shop, 10
@@ -117,7 +125,7 @@ class Evaluation:
             ranked = rankings.trending(s.items, 1000).withColumn("rank", F.row_number().over(_w("product_interaction_score")))
             found = self.lengths.join(F.broadcast(ranked), F.col("rank") <= F.col("n")).select("visitorid", "itemid", "rank")
         elif model == "content":
-            found = s.content.recommend(self.pairs.join(self.lengths, "visitorid"))
+            found = self.content().recommend(self.pairs.join(self.lengths, "visitorid"))
         elif model == "cf_item":
             found = cooccurrence.recommend_by_items(s.matrix, k)
         elif model == "cf_user":
@@ -125,15 +133,15 @@ class Evaluation:
         elif model == "cf_svd":
             found = latent.recommend(s.matrix, k)
         elif model == "hybrid":
-            found = blend.recommend(self.lengths, s.users, s.items, s.matrix, s.content)
+            found = blend.recommend(self.lengths, s.users, s.items, s.matrix, self.content())
         else:
             raise ValueError(f"unknown model {model!r}")
         return rankeval.evaluation_list(found, self.pairs, self.known, k)
 
     def row(self, model: str) -> DataFrame:
         # a list is used by five figures: computed once
-        lists = self.lists(model).cache()
-        return rankeval.evaluated(model, lists, self.targets, self.train, self.known, self.visitors, self.shop.content)
+        lists = materialized(self.lists(model), "lists")
+        return rankeval.evaluated(model, lists, self.targets, self.train, self.known, self.visitors, self.content())
 
 
 def _w(score: str):
@@ -161,7 +169,7 @@ def _metric(model: str):
 def _figure(f):
     def run(spark, sf_dir):
         e = Evaluation(spark, sf_dir)
-        return _plain(f(e, e.lists("cf_item").cache()))
+        return _plain(f(e, materialized(e.lists("cf_item"), "lists")))
 
     return run
 
@@ -287,7 +295,7 @@ QUERIES = {
     **{f"ranking_metrics_{m}": _metric(m) for m in MODELS},
     "catalog_coverage": _figure(lambda e, x: rankeval.catalog_coverage(x, e.targets, e.known)),
     "novelty": _figure(lambda e, x: rankeval.novelty(x, e.targets, e.train)),
-    "diversity": _figure(lambda e, x: rankeval.diversity(x, e.targets, e.shop.content)),
+    "diversity": _figure(lambda e, x: rankeval.diversity(x, e.targets, e.content())),
     "user_reach": _figure(lambda e, x: rankeval.user_reach(x, e.visitors)),
     "buyer_confidence": _figure(lambda e, x: reports.confidence_of_buyers(e.targets, e.shop.users)),
     "model_comparison": lambda spark, sf_dir: _plain(_comparison(spark, sf_dir, [m for m in MODELS if m != "cf_svd"])),

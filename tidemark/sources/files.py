@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import logging
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,19 @@ def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the folder that driver and executors share (``spark.checkpoint.dir``; one under /tmp where that is
+    unset, as in local runs) and read again: computed once, with a short plan, and safe from lost executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"/tmp/tidemark-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_report(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
