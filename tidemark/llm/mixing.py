@@ -7,8 +7,8 @@ of handing excess on again and again.
 
 Sampling: a source's target over its size is a number of whole repetitions, which every document gets, and a fraction.
 For the fraction documents are ordered by a seeded hash of their id and taken until the fraction of the source's words
-is reached. That needs no sort of a source: words are first summed by ``2 ** slot_bits`` ranges of the hash, and only the one range
-in which the fraction ends is looked at document by document.
+is reached. That needs no sort of a source: words are summed by 256 ranges of the hash, then by 256 ranges of the one in which the
+fraction ends, and so on; only the last such range is looked at document by document. No task gets more than 256 rows of a source.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, written
 
-SEED, CAP, SLOT_BITS = 42, 3, 16
+SEED, CAP = 42, 3
+#: Bits of the hash that each of the levels of ranges tells apart.
+LEVELS, LEVEL_BITS = 3, 8
 
 
 def n_words(text: Column) -> Column:
@@ -50,7 +52,7 @@ def hashed(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, cap: float = CAP, seed: int = SEED, slot_bits: int = SLOT_BITS) -> DataFrame:
+def mix(docs: DataFrame, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source; other columns are ignored) -> doc_id, source, size, source_size, target, repeats, taken.
 
     Null text has size 0; a null source is a source of its own, ordered last. Rows that repeat a doc_id are taken or left
@@ -66,16 +68,16 @@ def mix(docs: DataFrame, cap: float = CAP, seed: int = SEED, slot_bits: int = SL
         .select("source", "source_size", "target", "whole", "goal")
     )
     plan = written(plan, "plan")
-    slot = F.shiftright("h", 48 - slot_bits)
-    upto = W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = (
-        sizes.groupBy("source", slot.alias("slot")).agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(upto)).alias("s")
-        .join(plan.alias("p"), F.expr("s.source <=> p.source AND s.upto > p.goal"))
-        .groupBy("p.source").agg(F.min(F.struct("slot", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
-        .select("source", F.col("end.slot").alias("end_slot"), F.col("end.before").alias("before"))
-    )
-    plan = written(plan.alias("p").join(ends.alias("e"), F.expr("p.source <=> e.source"), "left").select("p.*", "end_slot", "before"), "cut")
+    state = plan.withColumns({"end_slot": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    for level in range(1, LEVELS + 1):
+        bits = 48 - LEVEL_BITS * level
+        upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow))
+        inside = sizes.alias("s").join(state.alias("p"), F.expr("s.source <=> p.source") & (F.shiftright("h", bits + LEVEL_BITS) == F.col("end_slot")))
+        cells = inside.groupBy("p.source", "goal", "before", F.shiftright("h", bits).alias("slot")).agg(F.sum("size").alias("words"))
+        ends = cells.withColumn("upto", upto).where(F.col("upto") > F.col("goal")).groupBy(F.col("source").alias("of")).agg(F.min(F.struct("slot", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+        # without an end the goal is the whole source
+        state = written(plan.join(ends, F.expr("source <=> of"), "left").select("source", "source_size", "target", "whole", "goal", F.col("end.slot").alias("end_slot"), F.col("end.before").alias("before")), "cut")
+    plan, slot = state, F.shiftright("h", 48 - LEVEL_BITS * LEVELS)
     near = sizes.alias("s").join(plan.alias("p"), (F.expr("s.source <=> p.source")) & (slot == F.col("end_slot")))
     last = (
         near.groupBy("s.source", "h", "doc_id", "goal", "before").agg(F.sum("size").alias("words"))
