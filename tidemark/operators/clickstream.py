@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import SESSION_GAP_MINUTES
 from ..functions.scoring import micros
+from ..sources.files import materialized
 
 REQUIRED = ["datetime", "visitorid", "event", "itemid"]
 
@@ -26,10 +27,11 @@ def transaction_invariant(events: DataFrame) -> DataFrame:
 def encode(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct sorted keys with a dense index from 0.
 
-    Sorted by range over tasks; offsets of tasks are summed on the driver, a number a task, so no task ranks the whole table.
+    Sorted by range over tasks and written, so that ranges are the same for both uses; keys are numbered within a range, and the
+    ranges' sizes, a number each, are summed to offsets. No task ranks the whole table.
     """
     keys = df.select(key).dropna().distinct()
-    ordered = keys.orderBy(key).withColumn("_part", F.spark_partition_id())
+    ordered = materialized(keys.orderBy(key).withColumn("_part", F.spark_partition_id()), "keys")
     # row_number within a sorted partition, and the sum of the sizes of those before it
     within = ordered.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(key)))
     before = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
