@@ -208,6 +208,27 @@ def test_spelling_is_a_distribution(spark):
     assert sum(table) == pytest.approx(1.0) and m.log2([b"tion"])[0] > m.log2([b"qzqz"])[0]
 
 
+def test_lm_scores_see_the_order_of_words(spark):
+    chain = {f"w{i}a": [f"w{(i * 7 + 1) % 60}a", f"w{(i * 11 + 3) % 60}a"] for i in range(60)}
+
+    def walk(seed):
+        r, out = random.Random(seed), ["w0a"]
+        while len(out) < 200:
+            out.append(r.choice(chain[out[-1]]))
+        return out
+
+    held = [i for i in range(400) if lm_scoring.is_held_out(i)]
+    right, mixed = held[::2], held[1::2]
+    texts = {i: walk(i) for i in range(400)}
+    for a, b in zip(right, mixed, strict=False):  # the same words, none next to itself
+        texts[b] = sorted(texts[a], key=lambda w: zlib.crc32(w.encode()))
+        texts[b] = [w for pair in zip(texts[b][:100], texts[b][100:], strict=True) for w in pair]
+    got = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    for a, b in zip(right, mixed, strict=False):
+        assert got[a].score > 0.6 * got[b].score, (a, b)
+        assert got[a].n_bytes == len(" ".join(texts[a])) and got[a].bits_per_byte == pytest.approx(-got[a].score / np.log10(2) / got[a].n_bytes)
+
+
 def test_perplexity(spark, odd, none, labels):
     texts = [(i, " ".join(words(80, i, 30)), "en", 1) for i in range(80)] + [(100 + i, " ".join(f"z{i}{j}" for j in range(80)), "en", 0) for i in range(5)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, quality int")
