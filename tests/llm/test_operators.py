@@ -245,6 +245,33 @@ def test_perplexity(spark, odd, none, labels):
     assert all(r.kept for r in perplexity.quality(odd, labels.where("false")).collect())
 
 
+def test_perplexity_learns_from_all_trusted_text(spark):
+    # many documents of one language, few of another, and one trusted text that is longer than all others together
+    texts = [(i, f"a{i % 50} b{i % 50} c{i % 50}", "en", 1) for i in range(6000)] + [(10_000 + i, " ".join(words(60, i, 30)).replace("v", "x"), "de", 1) for i in range(120)]
+    texts += [(20_000 + i, " ".join(f"q{i}{j}" for j in range(60)), "de", 0) for i in range(5)] + [(30_000 + i, LONG * 26, "en", 1) for i in range(2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, quality int")
+    labels = docs.select("doc_id", "quality")
+    got = {r.doc_id: r for r in perplexity.quality(docs, labels).select("doc_id", "perplexity", "kept").collect()}
+    assert all(r.perplexity is not None for r in got.values())
+    assert sum(got[10_000 + i].kept for i in range(120)) >= 110 and not any(got[20_000 + i].kept for i in range(5))
+    assert max(got[10_000 + i].perplexity for i in range(120)) < 100
+
+
+def test_perplexity_joins_agree_with_a_look_up(spark):
+    texts = [(i, " ".join(words(30 + i, i, 25))) for i in range(12)] + [(20, None), (21, "new words v1 v2"), (None, "v1"), (21, "v3")]
+    docs = spark.createDataFrame([(*t, "en") for t in texts], "doc_id long, text string, lang string")
+    model = perplexity.train(docs.where("doc_id < 8"))
+    got = Counter((r.doc_id, r.n_tokens, round(r.log_perplexity, 4)) for r in perplexity.perplexities(docs, model).collect())
+    hoped = Counter()
+    for i, text in texts:
+        k3, x2, k2, x1, k1 = perplexity.trigrams(text)
+        p = model.look_up("a1", k1, 0.0) + model.root
+        p = model.look_up("a2", k2, 0.0) + model.look_up("g1", x1, 1.0) * p
+        p = model.look_up("a3", k3, 0.0) + model.look_up("g2", x2, 1.0) * p
+        hoped[i, len(k1), round(float(-np.log(p).mean()), 4)] += 1
+    assert got == hoped
+
+
 def test_toxicity(spark, odd, none, labels, sf):
     assert toxicity.fold("1d10t іdiоt l0ser 100") == ["idiot", "idiot", "ioser", "100"]
     lexicon = toxicity.Lexicon({"trash ": 5.0}, slope=2.0, offset=-3.0)

@@ -1,10 +1,12 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of words, trained on trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words, trained on all trusted text but a held-out part.
 
 Training: counts of trigrams are summed over tasks; counts of lower orders are the numbers of distinct words before. Discounts come
-from the counts of counts of each order. Counts are joined with the totals of their contexts, sharded by the context's hash, which
-gives each n-gram its discounted share and each context the weight of the next lower order. The trusted sample is bounded in words,
-so these tables are as well; they go to the workers in ``SHARDS`` shards by hash. Scoring looks up the n-grams of a batch of
-documents in each shard.
+from the counts of counts of each order. Counts are joined with the totals of their contexts, which gives each n-gram its discounted
+share and each context the weight of the next lower order.
+
+Scoring: the model stays a Spark table, dealt into shards by hash of the n-gram. Documents are cut into chunks of bounded size; a chunk
+asks each shard once for each of its distinct n-grams, however frequent, and puts the answers together in the order of its words. So no
+worker holds the model, and a hot n-gram costs a request a chunk.
 
 Threshold: a language's quantile of the perplexities of trusted documents that are never trained on, a fixed quarter of them by hash, from counts by bucket of the
 logarithm, which merge by adding.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, tuned, words_of, written
+from .lm_scoring import from_planes, planes
 from .minhash import HASHES, M1, M2
 
-#: The trusted sample: documents, first by a hash of their doc_id, and words in all.
-MAX_DOCS, MAX_WORDS, SHARDS = 4000, 1_500_000, 8
+#: Words of a chunk, about; n-grams of a shard, about.
+CHUNK_WORDS, SHARD_ROWS = 400_000, 1_000_000
 QUANTILE, SLACK, MIN_TRUSTED = 0.99, 1.15, 20
 START, END = np.uint64(0x51A2), np.uint64(0xE4D7)
 #: Buckets to a unit of log perplexity.
@@ -62,42 +66,17 @@ def discounts(of: DataFrame, n: str = "n") -> list[float]:
 
 
 class Model:
-    """Sorted keys and values of each table, by shard; ``log10`` scores texts."""
-
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]], root: float):
-        self.root = root
-        self.tables = {}
-        for name, (keys, values) in tables.items():
-            shard = keys % np.uint64(SHARDS)
-            parts = []
-            for s in range(SHARDS):
-                k, v = keys[shard == s], values[shard == s]
-                order = np.argsort(k)
-                parts.append((k[order], v[order].astype(np.float32)))
-            self.tables[name] = parts
+    """``table``: n-grams (of, k: how many words, and their hash) with their discounted share and, as contexts, the weight of the next
+    lower order; ``root``: the chance of any word at all."""
+
+    def __init__(self, table: DataFrame, root: float):
+        self.table, self.root, self.rows = table, root, table.count()
 
     def look_up(self, name: str, keys: np.ndarray, missing: float) -> np.ndarray:
-        out = np.full(len(keys), missing)
-        shard = (keys % np.uint64(SHARDS)).astype(np.int8)
-        for s, (known, values) in enumerate(self.tables[name]):
-            if not len(known):
-                continue
-            here = np.flatnonzero(shard == s)
-            wanted = keys[here]
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = known[at] == wanted
-            out[here[hit]] = values[at[hit]]
-        return out
-
-    def log10(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (words and the end) and log10 probability of each text."""
-        rows = [trigrams(t) for t in texts]
-        n = np.array([len(r[0]) for r in rows], np.int64)
-        k3, x2, k2, x1, k1 = (np.concatenate(c) for c in zip(*rows, strict=True))
-        p = self.look_up("a1", k1, 0.0) + self.root
-        p = self.look_up("a2", k2, 0.0) + self.look_up("g1", x1, 1.0) * p
-        p = self.look_up("a3", k3, 0.0) + self.look_up("g2", x2, 1.0) * p
-        return n, np.add.reduceat(np.log10(p), np.cumsum(n) - n)
+        """Shares (a1, a2, a3) or weights (g1, g2) of a few n-grams."""
+        wanted = [int(k) for k in np.unique(keys).view(np.int64)]
+        found = {r["k"]: r["v"] for r in self.table.where((F.col("of") == int(name[1])) & F.col("k").isin(wanted)).select("k", F.col("share" if name[0] == "a" else "weight").alias("v")).collect()}
+        return np.array([found.get(int(k), missing) for k in keys.view(np.int64)])
 
 
 def train(trusted: DataFrame) -> Model | None:
@@ -129,27 +108,117 @@ def train(trusted: DataFrame) -> Model | None:
     a2, g1 = shares(two, "k2", "x1")
     a1, g0 = shares(one, "k1", None)
 
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        table = df.toArrow()  # bounded by MAX_WORDS
-        return table.column("k").to_numpy().view(np.uint64), table.column("v").to_numpy()
+    def both(of: int, share: DataFrame, weight: DataFrame | None) -> DataFrame:
+        named = share.select("k", F.col("v").alias("share"))
+        named = named.join(weight.select("k", F.col("v").alias("weight")), "k", "full") if weight is not None else named.withColumn("weight", F.lit(1.0))
+        return named.select(F.lit(of).alias("of"), "k", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
     root = g0.first()["v"] / (vocabulary + 1)
-    return Model({"a3": arrays(a3), "g2": arrays(g2), "a2": arrays(a2), "g1": arrays(g1), "a1": arrays(a1)}, root)
+    return Model(written(reduce(DataFrame.union, [both(3, a3, None), both(2, a2, g2), both(1, a1, g1)]), "model"), root)
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_tokens, log_perplexity (natural, per token)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def chunked(docs: DataFrame) -> DataFrame:
+    """chunk, doc_ids, langs, sizes (in tokens), known (hashes of its distinct words), tokens (int32 indexes of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        ids, langs, hashes = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            known, index = np.unique(np.concatenate(hashes), return_inverse=True)
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "langs": pa.array([langs], pa.list_(pa.string())), "sizes": pa.array([[len(h) for h in hashes]], pa.list_(pa.int64())), "known": pa.array([known.tobytes()], pa.binary()), "tokens": pa.array([planes(index.astype(np.int32))], pa.binary())})
+
+        size = 0
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                part = batch.slice(at, 100)
-                n, score = held.value.log10(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "lang": part.column("lang").cast(pa.string()), "n_tokens": pa.array(n), "log_perplexity": pa.array(-score * math.log(10) / n)})
+            for doc, lang, text in zip(batch.column("doc_id"), batch.column("lang"), batch.column("text"), strict=True):
+                ids.append(doc.as_py())
+                langs.append(lang.as_py())
+                hashes.append(trigrams(text.as_py())[4])
+                size += len(hashes[-1])
+                if size >= CHUNK_WORDS:
+                    yield flush()
+                    chunk, ids, langs, hashes, size = chunk + 1, [], [], [], 0
+        if ids:
+            yield flush()
         HASHES.clear()
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_tokens long, log_perplexity double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, known binary, tokens binary")
+
+
+def ngrams(known: bytes, tokens: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``trigrams``, of all texts of a chunk."""
+    k1 = np.frombuffer(known, np.uint64)[from_planes(tokens)]
+    at = np.arange(len(k1)) + 2 * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    h = np.full(len(k1) + 2 * len(sizes), START, np.uint64)
+    h[at] = k1
+    x1 = h[at - 1]
+    x2 = mixed(h[at - 2], x1)
+    return mixed(x2, k1), x2, mixed(x1, k1), x1, k1
+
+
+def wanted(k3: np.ndarray, x2: np.ndarray, k2: np.ndarray, x1: np.ndarray, k1: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: its distinct n-grams by shard, where each shard's begin, and how to sort them by value."""
+    for of, keys in ((3, k3), (2, np.concatenate((k2, x2))), (1, np.concatenate((k1, x1)))):
+        keys = np.unique(keys)
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        yield of, keys[order], np.searchsorted(shard[order], np.arange(shards + 1)), np.argsort(order)
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_tokens, log_perplexity (natural, per token)."""
+    chunks = written(chunked(docs), "chunks")
+    shards, root = max(8, chunks.count() // 4, model.rows // SHARD_ROWS), model.root
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for of, keys, begin, _ in wanted(*ngrams(row["known"], row["tokens"], np.array(row["sizes"])), shards):
+                    some = np.flatnonzero(begin[1:] > begin[:-1])
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(some), pa.int64()), "of": pa.array([of] * len(some), pa.int32()), "shard": pa.array(some, pa.int64()), "keys": pa.array([keys[begin[s] : begin[s + 1]].tobytes() for s in some], pa.binary())})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, share, weight = right.column("k").to_numpy().view(np.uint64), right.column("share").to_numpy(), right.column("weight").to_numpy()
+        order = np.argsort(known)
+        known, share, weight = known[order], share[order].astype(np.float32), weight[order].astype(np.float32)
+        shares, weights = [], []
+        for keys in left.column("keys"):
+            keys = np.frombuffer(keys.as_py(), np.uint64)
+            a, g = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                a[hit], g[hit] = share[at[hit]], weight[at[hit]]
+            shares.append(a.tobytes())
+            weights.append(g.tobytes())
+        return pa.table({"chunk": left.column("chunk"), "of": left.column("of"), "shard": left.column("shard"), "shares": pa.array(shares, pa.binary()), "weights": pa.array(weights, pa.binary())})
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        sizes = np.array(row["sizes"])
+        grams = ngrams(row["known"], row["tokens"], sizes)
+        k3, x2, k2, x1, k1 = grams
+        got = {(r["of"], r["shard"]): (r["shares"], r["weights"]) for r in right.to_pylist()}
+        tables = {}
+        for of, keys, begin, back in wanted(*grams, shards):
+            parts = [got[of, s] for s in np.flatnonzero(begin[1:] > begin[:-1])]
+            share, weight = (np.frombuffer(b"".join(c), np.float32)[back] for c in zip(*parts, strict=True))
+            tables[of] = keys[back], share, weight
+        find = lambda of, keys, i: tables[of][i][np.searchsorted(tables[of][0], keys)].astype(np.float64)
+        p = find(1, k1, 1) + root
+        p = find(2, k2, 1) + find(1, x1, 2) * p
+        p = find(3, k3, 1) + find(2, x2, 2) * p
+        score = np.add.reduceat(np.log(p), np.cumsum(sizes) - sizes)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_tokens": pa.array(sizes), "log_perplexity": pa.array(-score / sizes)})
+
+    asked = chunks.select("chunk", "sizes", "known", "tokens").mapInArrow(ask, "chunk long, of int, shard long, keys binary")
+    # keys are unsigned where they are dealt in Python
+    half = F.pmod(F.shiftrightunsigned("k", 1), F.lit(shards)) * 2 + F.col("k").bitwiseAND(1)
+    table = model.table.withColumn("shard", F.pmod(half, F.lit(shards)))
+    answers = asked.groupBy("of", "shard").cogroup(table.groupBy("of", "shard")).applyInArrow(answer, "chunk long, of int, shard long, shares binary, weights binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sums, "doc_id long, lang string, n_tokens long, log_perplexity double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -163,11 +232,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slac
     spark = tuned(docs.sparkSession)
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     learned = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0  # the rest sets the threshold
-    first = written(good.where(learned).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS), "sample")  # at most MAX_DOCS numbers: broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").withColumn("n", F.size(words_of(F.col("text"))) + 1).withColumn("h", F.xxhash64("doc_id"))
-    sample = written(sample, "trusted")
-    chosen = written(sample.select("doc_id", "h", "n").withColumn("upto", F.sum("n").over(W.orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= MAX_WORDS).select("doc_id").distinct(), "chosen")
-    model = train(sample.join(F.broadcast(chosen), "doc_id").select("text"))
+    model = train(docs.select("doc_id", "text").join(good.where(learned), "doc_id", "left_semi"))
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), (F.size(words_of(F.col("text"))) + 1).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
