@@ -179,3 +179,17 @@ def test_saved_models_serve_what_fitted_ones_do(spark, sf, tmp_path):
     rounded = lambda df: sorted((r.visitorid, r.itemid, round(r.hybrid_score, 6)) for r in df.collect())
     assert rounded(served.recommend(shop.visitors())) == rounded(catalogue._hybrid(shop))
     assert served.trending(5).count() == 5 and served.bought_together(2).count() > 0 and served.also_viewed(2).count() > 0 and served.similar(2).count() > 0
+
+
+def test_popularity_list_of_a_visitor_with_many_items(spark):
+    from types import SimpleNamespace
+
+    from tidemark.plans.catalogue import Evaluation
+
+    e = Evaluation.__new__(Evaluation)
+    items = spark.range(1200).select(F.col("id").alias("itemid"), F.lit(1).cast("long").alias("categoryid"), (2000.0 - F.col("id")).alias("product_interaction_score"))
+    e.shop, e.known = SimpleNamespace(items=items), items.select("itemid")
+    e.pairs = items.where("itemid < 1050").select(F.lit(1).cast("long").alias("visitorid"), "itemid")
+    e.lengths = rankeval.list_lengths(spark.createDataFrame([(1,), (2,)], "visitorid long"), e.pairs)
+    got = sorted((r.visitorid, r["rank"], r.itemid) for r in e.lists("popularity").collect())
+    assert got == [(1, i + 1, 1050 + i) for i in range(10)] + [(2, i + 1, i) for i in range(10)]

@@ -122,7 +122,8 @@ class Evaluation:
     def lists(self, model: str) -> DataFrame:
         s, k = self.shop, 10
         if model == "popularity":
-            ranked = rankings.trending(s.items, 1000).withColumn("rank", F.row_number().over(_w("product_interaction_score")))
+            most = self.lengths.agg(F.max("n")).first()[0] or 1
+            ranked = rankings.trending(s.items, most).withColumn("rank", F.row_number().over(_w("product_interaction_score")))
             found = self.lengths.join(F.broadcast(ranked), F.col("rank") <= F.col("n")).select("visitorid", "itemid", "rank")
         elif model == "content":
             found = self.content().recommend(self.pairs.join(self.lengths, "visitorid"))
