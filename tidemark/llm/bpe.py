@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +27,13 @@ from .common import documents, tuned
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and pairs of tokens, that a worker remembers; beyond that it starts anew.
-MEMORY = 300_000
+MEMORY = 400_000
 #: What makes a word's last symbol another symbol than the same letter inside a word.
 LAST = 0x1000
-#: Below this code point, letters, digits and white space are the same in all Unicode versions in use.
-FAR = "\u0250"
+#: Beyond this code point, letters, digits and white space differ between the Unicode versions in use; up to it nothing composes.
+FAR = re.compile("[^\x00-\u024f]")
+#: Letters that stand for themselves in the byte-level alphabet.
+PLAIN = re.compile("[!-~]*")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -60,6 +61,7 @@ class PrefixBpe:
         self.tokens = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
+        self.digits = {i: str(i) for i in self.tokens}
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pretoken = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -80,9 +82,9 @@ class PrefixBpe:
             if symbols := self.symbols_of(token):
                 self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.spelt = Spelt(self)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def symbols_of(self, token: str) -> str:
         if not token.endswith(self.suffix):
@@ -93,9 +95,7 @@ class PrefixBpe:
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay apart when the text of both is encoded: taking the later-made of the two apart again
         and again, no pair that meets at the border may have a merge that would have come before the parts were joined."""
-        if (found := self.fits.get((a, b))) is not None:
-            return found
-        key, end = (a, b), len(self.merged)
+        key, end = a << 16 | b, len(self.merged)
         until, ok = end, None
         while ok is None:
             if self.merged.get((a, b), end) < until:
@@ -122,37 +122,44 @@ class PrefixBpe:
         if (found := self.known.get(text)) is not None:
             return found
         symbols = text[:-1] + chr(ord(text[-1]) + LAST)
-        last: list[tuple[int, int]] = [(-1, 0)] * len(symbols)
-        compatible = self.compatible
+        last, lengths = [0] * len(symbols), [0] * len(symbols)
+        fits, compatible = self.fits.get, self.compatible
         done = -1
         for end, (length, token) in self.automaton.iter(symbols):  # at each end, longest first
             if end == done:
                 continue
             before = end - length
-            if before < 0 or compatible(last[before][0], token):
-                last[end] = (token, length)
-                done = end
+            if before >= 0:
+                a = last[before]
+                if (ok := fits(a << 16 | token)) is None:
+                    ok = compatible(a, token)
+                if not ok:
+                    continue
+            last[end], lengths[end] = token, length
+            done = end
         ids, at = [], len(symbols) - 1
         while at >= 0:
-            token, length = last[at]
-            ids.append(token)
-            at -= length
+            ids.append(last[at])
+            at -= lengths[at]
         out = tuple(reversed(ids))
         if len(self.known) > MEMORY:
             self.known.clear()
         self.known[text] = out
         return out
 
+    def pretokens(self, part: str) -> list[str]:
+        """Pre-tokens of a normalised text without specials, in the byte-level alphabet."""
+        pieces = self.pretoken.findall(part)
+        return pieces if PLAIN.fullmatch(part) else [self.lettered(x) for x in pieces]
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            if part.isascii():
-                pieces = [self.lettered(x) for x in self.pretoken.findall(part.lower())]
-            elif max(part) < FAR:  # letter by letter: no final sigma
-                pieces = [self.lettered(x) for x in self.pretoken.findall("".join([c.lower() for c in unicodedata.normalize("NFC", part)]))]
+            if not FAR.search(part):
+                pieces = self.pretokens(part.lower())
             else:  # letters of which Unicode's versions tell differently are told by the library
                 pieces = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
             for piece in pieces:
@@ -164,37 +171,47 @@ class PrefixBpe:
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids])
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Count, decimal ids and decoded text of what stands between white space: no token reaches over white space."""
-        found = self.memory.get(word)
-        if found is None:
-            ids = self.encode(word)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            self.memory[word] = found
-        return found
-
     def forget(self) -> None:
-        for kept in (self.memory, self.known, self.fits):
+        for kept in (self.spelt, self.known, self.fits):
             kept.clear()
 
     def document(self, text: str) -> tuple[int, str, str]:
-        """Count of ids, decimal ids joined by spaces, and decoded text."""
-        # every white space but these six is left to the pre-token pattern
-        words = OTHER_GAPS.sub(" ", text).split(" ")
-        get, parts = self.memory.get, []
-        for w in words:
-            if w:
-                parts.append(get(w) or self.word(w))
-        if not parts:
+        """Count of ids, decimal ids joined by spaces, and decoded text. A text is taken by what stands between white space: no
+        token reaches over it. In lower case, words that differ in capitals only are one."""
+        if "<|" in text or FAR.search(text) or CONTROLS.search(text):
+            words = [w for w in OTHER_GAPS.sub(" ", text).split(" ") if w]  # other white space is left to the pre-token pattern
+        else:
+            words = text.lower().split()
+        if not words:
             return 0, "", ""
-        n, ids, decoded = zip(*parts, strict=True)
-        total = sum(n)
-        return total, " ".join(filter(None, ids)), " ".join(filter(None, decoded))
+        spelt = list(map(self.spelt.__getitem__, words))
+        if self.spelt.gaps:  # words of which nothing is left
+            spelt = [x for x in spelt if x[0]] or [("", "")]
+        ids, decoded = map(" ".join, zip(*spelt, strict=True))
+        return ids.count(" ") + 1 if ids else 0, ids, decoded
+
+
+class Spelt(dict):
+    """Decimal ids and decoded text of a word, by the word."""
+
+    def __init__(self, bpe: PrefixBpe):
+        super().__init__()
+        self.bpe, self.gaps = bpe, False
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        ids = self.bpe.encode(word)
+        if not ids:
+            self.gaps = True
+        if len(self) > MEMORY:
+            self.clear()
+        digits = self.bpe.digits
+        self[word] = found = " ".join([digits[i] for i in ids]), self.bpe.decode(ids)
+        return found
 
 
 OTHER_GAPS = re.compile("[\t\n\x0b\f\r]+")
+#: What ``str.split`` takes for white space and the pre-token pattern does not.
+CONTROLS = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
@@ -220,7 +237,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                 ids.append(hashlib.sha256(spelt.encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    lists.append(np.array(spelt.split(" "), np.int32) if spelt else np.empty(0, np.int32))
+                    lists.append(np.fromstring(spelt, np.int32, sep=" "))
             columns = {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
                 columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
