@@ -160,9 +160,9 @@ def test_line_dedup(spark, odd, none):
         for a in range(len(own)):
             for b in range(a + 1, len(own) + 1):
                 if sum(len(x.split()) for x in own[a:b]) >= 20:
-                    if tuple(own[a:b]) in seen:
+                    first = seen.setdefault(tuple(own[a:b]), (i, a))
+                    if first[0] != i or first[1] + b - a <= a:  # not a part of the first copy
                         gone |= {(i, j) for j in range(a, b)}
-                    seen.setdefault(tuple(own[a:b]), i)
     for i, t in docs:
         seq, kept = -1, []
         for x in t.split("\n"):
@@ -175,6 +175,17 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.without_repeated_lines(none).count() == 0
 
 
+def test_line_dedup_keeps_first_copies(spark):
+    ten = " ".join(words(10, 1))
+    texts = [(1, "\n".join([ten] * 3)), (2, "\n".join([ten, "", *[ten] * 3])), (3, f"{ten}\n{ten}\nother"), (3, f"x\n{ten}\n\n{ten}")]
+    out = {}
+    for parts in (1, 4):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts, "text")
+        out[parts] = sorted((r.d.doc_id, r.text, r.n_deleted) for r in line_dedup.without_repeated_lines(docs).collect())
+    assert out[1] == out[4]
+    assert out[1][0] == (1, "\n".join([ten] * 3), 0) and out[1][1] == (2, "", 4) and {x[1:] for x in out[1][2:]} == {("other", 2), ("x\n", 2)}
+
+
 def test_lm_scores(spark, odd, none, sf):
     got = lm_scoring.scored(odd).collect()
     assert len(got) == len(ODD) and all(x.score < 0 for x in got) and lm_scoring.scored(none).count() == 0
