@@ -200,23 +200,67 @@ def test_lm_scores(spark, odd, none, sf):
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (total + types + 1)) for w in ws))
 
 
-def test_spelling_is_a_distribution(spark):
-    vocabulary = spark.createDataFrame([(w.encode(),) for w in ("tion", "an", "ant", "tiona")], "word binary")
-    m = lm_scoring.trained(vocabulary)
-    # the chances of all first bytes add up to one
-    table = []
-    for byte in range(256):
-        b = lm_scoring.Bytes([b"a"])
-        b.data = np.array([byte, 32], np.uint8)
-        p = 1.0
-        for slots, bit in b.bits(0, 1):
-            s, known = m.odds(slots)
-            gate = lm_scoring.gate_of(known, b.place[:1])
-            mixed = np.clip((m.weights[gate].T * s).sum(axis=0), -20, 20)
-            q = (1 / (1 + np.exp(-mixed)) + m.refined[gate, m.cell(mixed)]) / 2
-            p *= float(q[0] if bit[0] else 1 - q[0])
-        table.append(p)
-    assert sum(table) == pytest.approx(1.0) and m.log2([b"tion"])[0] > m.log2([b"qzqz"])[0]
+def test_lm_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = [lm_scoring.scored(docs.repartition(n, "doc_id")).toPandas().sort_values("doc_id").score.to_numpy() for n in (1, 4, 9)]
+    assert np.abs(got[0] - got[1]).max() < 1e-6 and np.abs(got[0] - got[2]).max() < 1e-6
+
+
+def plain_mixer(m, tokens):
+    """log2 of the chances of one held-out text's tokens (code, n, spelling), a bit at a time, with plain numbers."""
+    first, mask = lm_scoring.FIRST_WEIGHTS, 0xFFFFFFFF
+    weights = {(level, a, b): [float(x) for x in first[a][b]] for level in range(lm_scoring.LEVELS) for a in range(3) for b in range(2)}
+    own, out = Counter(), []
+
+    def slot(context, node):
+        x = (context ^ (node * 0x9E3779B1 & mask)) * 0x85EBCA6B & mask
+        x ^= x >> 15
+        return (x * 0xC2B2AE35 & mask) >> (32 - m.bits)
+
+    for word, n, spelling, one, two in tokens:
+        c1 = (one * 0x9E3779B1 + 1) & mask
+        c2 = ((one ^ (two * 0x85EBCA77 & mask)) * 0xC2B2AE3D + 7) & mask
+        code, known, cost, steps = word >> (32 - lm_scoring.CODE_BITS), n > 0, 0.0, []
+        for level in range(lm_scoring.LEVELS):
+            node = 0 if level == 0 else (1 << (level - 1)) | code >> (lm_scoring.CODE_BITS - level + 1)
+            bit = int(known) if level == 0 else (code >> (lm_scoring.CODE_BITS - level)) & 1
+            counts = [m.zero[node], m.hashed[slot(c1, node)], m.hashed[slot(c2, node) + (1 << m.bits)], (own[node, 0], own[node, 1])]
+            odds = [np.log((float(x[1]) + 0.4) / (float(x[0]) + 0.4)) for x in counts]
+            seen1, seen2 = (int(x[0]) + int(x[1]) for x in counts[1:3])
+            w = weights[level, (seen1 > 0) + (seen1 > 3), int(seen2 > 0)]
+            p = 1 / (1 + np.exp(-np.clip(sum(a * b for a, b in zip(w, odds, strict=True)), -12, 12)))
+            if level == 0 or known:
+                cost += np.log2(p if bit else 1 - p)
+                steps.append((w, odds, (bit - p) * lm_scoring.STEP, node, bit))
+        for w, odds, error, node, bit in steps:
+            w[:] = [a + error * x for a, x in zip(w, odds, strict=True)]
+            own[node, bit] += 1
+        cost += np.log2(n / m.bucket[code]) if known else float(m.spelt_bits([spelling], np.zeros(1, np.int32))[0])
+        out.append(cost)
+    return out
+
+
+def test_mixing_against_plain_numbers(spark):
+    from tidemark.llm import running
+
+    chain = [" ".join(words(120, i, 35)) + f" rare{i} end" for i in range(60)]
+    texts = {i: t for i, t in enumerate(chain)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    answers = lm_scoring.answered(lm_scoring.asked(docs, 3)).cache()
+    chunks = lm_scoring.ready(lm_scoring.bodies(docs), answers.where("chunk IS NOT NULL").select("kind", "shard", "chunk", "n")).cache()
+    m = lm_scoring.Mixer(lm_scoring.bit_counts(chunks, 14), 14, lm_scoring.spell_counts(answers))
+    count = Counter(w for i, t in texts.items() if not lm_scoring.is_held_out(i) for w in [*t.split(), ""])
+    c = lm_scoring.Running(chunks.first().asDict())
+    got = m.token_bits(c)
+    for k, (i, t) in enumerate(texts.items()):
+        if lm_scoring.is_held_out(i):
+            key = [int(x) for x in running.mixed(running.Texts([t]).tokens, running.M2) >> np.uint64(32)]
+            ws = [*t.split(), ""]
+            tokens = [(key[j], count[w], w.encode(), key[j - 1] if j else 0x51A2, key[j - 2] if j > 1 else 0x51A2 if j else 0) for j, w in enumerate(ws)]
+            assert got[c.first[k] : c.first[k] + len(ws)] == pytest.approx(plain_mixer(m, tokens), rel=1e-3, abs=1e-3)
+    # the spellings of all words of two letters: at most one together
+    letters = [bytes([a, b]) for a in range(33, 256) for b in range(33, 256)]
+    assert 0 < (2 ** m.spelt_bits(letters, np.zeros(len(letters), np.int32))).sum() < 1
 
 
 def test_lm_scores_see_the_order_of_words(spark):

@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, tuned, words_of, written
-from .lm_scoring import from_planes, planes
+from .running import packed as planes
+from .running import unpacked as from_planes
 from .minhash import HASHES, M1, M2
 
 #: Words of a chunk, about; n-grams of a shard, about.
