@@ -289,13 +289,6 @@ def test_perplexity(spark, odd, none, labels):
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, quality int")
     got = {r.doc_id: r for r in perplexity.quality(docs, docs.select("doc_id", "quality")).collect()}
     assert sum(got[i].kept for i in range(80)) >= 76 and not any(got[100 + i].kept for i in range(5))
-    model = perplexity.train(docs.where("quality = 1").select("text"))
-    h = np.array([perplexity.HASHES[f"v{i}".encode()] for i in range(30)] + [int(perplexity.END)], np.uint64)
-    x = np.repeat(perplexity.START, len(h))
-    k2 = perplexity.mixed(x, h)
-    p = model.look_up("a1", h, 0.0) + model.root
-    p = model.look_up("a2", k2, 0.0) + model.look_up("g1", x, 1.0) * p
-    assert 0.95 < p.sum() <= 1 + 1e-6  # after the start, over all known words; the rest is for unknown ones
     assert perplexity.quality(odd, labels).count() == len(ODD) and perplexity.quality(none, labels).count() == 0
     assert all(r.kept for r in perplexity.quality(odd, labels.where("false")).collect())
 
@@ -312,18 +305,38 @@ def test_perplexity_learns_from_all_trusted_text(spark):
     assert max(got[10_000 + i].perplexity for i in range(120)) < 100
 
 
-def test_perplexity_joins_agree_with_a_look_up(spark):
-    texts = [(i, " ".join(words(30 + i, i, 25))) for i in range(12)] + [(20, None), (21, "new words v1 v2"), (None, "v1"), (21, "v3")]
-    docs = spark.createDataFrame([(*t, "en") for t in texts], "doc_id long, text string, lang string")
-    model = perplexity.train(docs.where("doc_id < 8"))
-    got = Counter((r.doc_id, r.n_tokens, round(r.log_perplexity, 4)) for r in perplexity.perplexities(docs, model).collect())
+def test_perplexity_brute_force(spark):
+    texts = [(i, " ".join(words(30 + i, i, 25))) for i in range(12)] + [(20, None), (21, "new words v1 v2"), (None, "v1"), (21, "V3")]
+    docs = spark.createDataFrame([(*t, "en", t[0] is not None and t[0] < 8) for t in texts], "doc_id long, text string, lang string, learned boolean").coalesce(2)
+    got = Counter((r.doc_id, r.n_tokens, round(r.log_perplexity, 2)) for r in perplexity.perplexities(docs, perplexity.train(docs, 3)).collect())
+    pairs = Counter()
+    for i, t in texts[:8]:
+        w = [None, *t.split(), ""]
+        pairs.update(zip(w, w[1:], strict=False))
+    before = Counter(w for _, w in pairs)
+
+    def off(counts):
+        of = Counter(counts.values())
+        n1, n2, n3, n4 = (of[k] for k in (1, 2, 3, 4))
+        if not n1 or not n2:
+            return lambda n: [0, 0.5, 0.75, 0.9][min(n, 3)]
+        y = n1 / (n1 + 2 * n2)
+        d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
+        return lambda n: min(max(d[min(n, 3)], 0.05), min(n, 3) - 0.05) if n else 0
+
+    d2, d1, total = off(pairs), off(before), sum(before.values())
+    root = sum(map(d1, before.values())) / total / (len(before) + 1)
+
+    def chance(v, w):
+        low = (before[w] - d1(before[w])) / total + root
+        of = [n for (a, _), n in pairs.items() if a == v]
+        return (pairs[v, w] - d2(pairs[v, w])) / sum(of) + sum(map(d2, of)) / sum(of) * low if of else low
+
+    assert sum(chance("v1", w) for w in before) + root * sum(map(d2, [n for (a, _), n in pairs.items() if a == "v1"])) / sum(n for (a, _), n in pairs.items() if a == "v1") == pytest.approx(1)
     hoped = Counter()
-    for i, text in texts:
-        k3, x2, k2, x1, k1 = perplexity.trigrams(text)
-        p = model.look_up("a1", k1, 0.0) + model.root
-        p = model.look_up("a2", k2, 0.0) + model.look_up("g1", x1, 1.0) * p
-        p = model.look_up("a3", k3, 0.0) + model.look_up("g2", x2, 1.0) * p
-        hoped[i, len(k1), round(float(-np.log(p).mean()), 4)] += 1
+    for i, t in texts:
+        w = [None, *(t or "").lower().split(), ""]
+        hoped[i, len(w) - 1, round(-sum(np.log(chance(a, b)) for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1), 2)] += 1
     assert got == hoped
 
 

@@ -141,7 +141,8 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     changes = written(gone.union(each).groupBy("rid").agg(F.collect_set("line").alias("gone"), F.sum("n").alias("n_lines")), "changes")
     forget(lines, runs)
     own = F.split(F.col("d.text"), "\n")
-    joined = held.join(changes, "rid", "left").select("d", "n_lines", F.when(F.size("gone") > 0, own).alias("lines"), "gone")
+    # texts are dealt out at every size: a broadcast of small changes would let the shuffle grow faster than the input
+    joined = held.join(changes.hint("merge"), "rid", "left").select("d", "n_lines", F.when(F.size("gone") > 0, own).alias("lines"), "gone")
     # a run's span has blank lines in it, which stay
     joined = joined.withColumn("gone", F.filter("gone", lambda i: has_word(F.get("lines", i))))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))

@@ -1,22 +1,24 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of words, trained on all trusted text but a held-out part.
+"""Quality by perplexity under an interpolated modified Kneser-Ney bigram model, trained on all trusted text but a held-out part.
 
-Training: counts of trigrams are summed over tasks; counts of lower orders are the numbers of distinct words before. Discounts come
-from the counts of counts of each order. Counts are joined with the totals of their contexts, which gives each n-gram its discounted
-share and each context the weight of the next lower order.
+Counts: a word belongs to a shard by its hash. Chunks of trusted text send each shard the distinct pairs whose first word is its own,
+with counts, and shards add them up. Discounts come from the counts of counts. The shard of a word then holds, as tables in the shared
+folder: the pairs it begins, with their discounted share; the weight it leaves to the lower order; and its own share of that order, the
+number of distinct words before it, which the shards of those words send.
 
-Scoring: the model stays a Spark table, dealt into shards by hash of the n-gram. Documents are cut into chunks of bounded size; a chunk
-asks each shard once for each of its distinct n-grams, however frequent, and puts the answers together in the order of its words. So no
-worker holds the model, and a hot n-gram costs a request a chunk.
+Scoring: documents are cut into chunks of bounded size. A chunk asks each shard once for each of its distinct words and pairs, however
+frequent; requests meet the shard's tables in a join by shard, and the answers meet the chunk in another. So no worker holds the model, a
+hot word costs a request a chunk, and nothing is left out. Chunks are cut twice from the same reading, and a checksum tells if
+that was not so. Shards know words by their shard and 32 bits more of a hash.
 
 Threshold: a language's quantile of the perplexities of trusted documents that are never trained on, a fixed quarter of them by hash, from counts by bucket of the
-logarithm, which merge by adding.
+logarithm, which merge by adding. A language's counts are topped up by those of all languages with the weight of ``TOP_UP``
+documents, so that few trusted documents count for as much as they are.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,237 +26,269 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, tuned, words_of, written
-from .running import packed as planes
-from .running import unpacked as from_planes
-from .minhash import HASHES, M1, M2
+from .common import documents, forget, tuned, words_of, written
+from .running import Texts, cut, packed, shard_bits, shard_edges, unpacked
 
-#: Words of a chunk, about; n-grams of a shard, about.
-CHUNK_WORDS, SHARD_ROWS = 400_000, 1_000_000
-QUANTILE, SLACK, MIN_TRUSTED = 0.99, 1.15, 20
-START, END = np.uint64(0x51A2), np.uint64(0xE4D7)
+#: Bytes of text of a chunk, about.
+CHUNK = 20 << 20
+QUANTILE, SLACK, TOP_UP = 0.99, 1.15, 20
+#: The word before a text's first.
+START = np.uint64(0x51A251A251A251A2)
 #: Buckets to a unit of log perplexity.
 BUCKETS = 200
+#: Trusted documents that are broadcast at most; more are joined by sorting.
+TRUST_ROWS = 4_000_000
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = (a * M1) + b
-    out ^= out >> np.uint64(29)
-    out *= M2
-    return out ^ (out >> np.uint64(32))
+class Pairs:
+    """Distinct words of texts in the order of their hashes, and distinct pairs (word before, word) in the order of both."""
 
+    def __init__(self, texts: Texts, some: np.ndarray | None = None):
+        before = texts.before()
+        before[texts.first] = START
+        tokens = texts.tokens
+        if some is not None:
+            kept = np.repeat(some, texts.sizes)
+            tokens, before = tokens[kept], before[kept]
+        self.keys, index = np.unique(np.concatenate((tokens, [START])), return_inverse=True)
+        self.word = index[:-1]
+        start = int(index[-1])
+        sizes = texts.sizes if some is None else texts.sizes[some]
+        first = np.cumsum(sizes) - sizes
+        self.before = np.empty(len(self.word), np.int64)
+        self.before[1:] = self.word[:-1]
+        self.before[first] = start
+        self.all = (self.before << 32) | self.word
 
-def trigrams(text: str | None) -> tuple[np.ndarray, ...]:
-    """Hashes (w1, w2, w3), (w1, w2), (w2, w3), w2, w3 of all words of a text in lower case (A-Z) and of its end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.empty(len(words) + 3, np.uint64)
-    h[:2], h[-1] = START, END
-    h[2:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    w1, w2, w3 = h[:-2], h[1:-1], h[2:]
-    x2, k2 = mixed(w1, w2), mixed(w2, w3)
-    return mixed(x2, w3), x2, k2, w2, w3
 
+def word_prints(keys: np.ndarray, bits: int) -> np.ndarray:
+    """32 bits of hashes below those that tell the shard."""
+    return (keys >> np.uint64(32 - bits)).astype(np.uint32)
 
-def discounts(of: DataFrame, n: str = "n") -> list[float]:
-    """D(1), D(2), D(3 and more) of an order, from its counts of counts."""
-    found = {r["c"]: r["m"] for r in of.where(F.col(n) <= 4).groupBy(F.col(n).alias("c")).agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
+
+def parts(keys: np.ndarray, pairs: np.ndarray, bits: int) -> Iterator[tuple[int, slice, slice]]:
+    """shard, its words, and the pairs that they begin."""
+    edges = shard_edges(keys, bits)
+    at = np.searchsorted(pairs, edges.astype(np.int64) << 32)
+    for s in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield int(s), slice(edges[s], edges[s + 1]), slice(at[s], at[s + 1])
+
+
+REQUEST = "shard int, chunk long, words binary, follow binary, pairs binary, counts binary"
+
+
+def asked(docs: DataFrame, bits: int, trusted: bool) -> DataFrame:
+    """What chunks ask the shards for (``trusted``: what chunks of trusted text add): prints of its words, how many pairs each begins, the prints
+    of those pairs' second words, and the pairs' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows, texts in cut(batches, ("learned",), CHUNK):
+            p = Pairs(texts, np.array(rows["learned"], bool) if trusted else None)
+            pairs, counts = np.unique(p.all, return_counts=True)
+            second, follow = (p.keys[pairs & 0xFFFFFFFF] >> np.uint64(32)).astype("<u4"), np.bincount(pairs >> 32, minlength=len(p.keys))
+            prints = word_prints(p.keys, bits).astype("<u4")
+            found = list(parts(p.keys, pairs, bits))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([prints[w].tobytes() for _, w, _ in found], pa.binary()), pa.array([packed(follow[w]) for _, w, _ in found], pa.binary()), pa.array([second[x].tobytes() for _, _, x in found], pa.binary()), pa.array([packed(counts[x]) if trusted else b"" for _, _, x in found], pa.binary())], ["shard", "chunk", "words", "follow", "pairs", "counts"])
+
+    return docs.select("learned", "text").mapInArrow(run, REQUEST)
+
+
+def joined(words: bytes, follow: bytes, pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Prints of words, and pairs as 64-bit numbers."""
+    w = np.frombuffer(words, "<u4")
+    return w, (np.repeat(w, unpacked(follow)).astype(np.uint64) << np.uint64(32)) | np.frombuffer(pairs, "<u4")
+
+
+def counted(requests: DataFrame, second_shards: int) -> DataFrame:
+    """By shard: its pairs and their counts, how many pairs have a count of 1 to 4; and, for the shards of second words (to), the number of
+    distinct first words (n) of each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, index = np.unique(np.concatenate([joined(r["words"], r["follow"], r["pairs"])[1] for r in rows]), return_inverse=True)
+        n = np.bincount(index, np.concatenate([unpacked(r["counts"]) for r in rows])).astype(np.int64)
+        seconds, firsts = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+        edges = np.searchsorted(seconds, np.arange(second_shards) << 32 >> (second_shards.bit_length() - 1))
+        edges = np.append(edges, len(seconds))
+        some = np.flatnonzero(edges[1:] > edges[:-1])
+        to = [slice(edges[s], edges[s + 1]) for s in some]
+        m = len(to)
+        return pa.table({
+            "shard": pa.array([rows[0]["shard"]] * (m + 1), pa.int32()), "to": pa.array([None, *some], pa.int32()), "keys": pa.array([keys.tobytes(), *(seconds[x].astype("<u4").tobytes() for x in to)], pa.binary()),
+            "n": pa.array([packed(np.minimum(n, (1 << 32) - 1)), *(packed(firsts[x]) for x in to)], pa.binary()),
+            "of": pa.array([[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * m, pa.list_(pa.int64())),
+        })
+
+    return requests.groupBy("shard").applyInArrow(run, "shard int, to int, keys binary, n binary, of array<long>")
+
+
+def discounts(of: list[int]) -> np.ndarray:
+    """D(0), D(1), D(2), D(3 and more) from the counts of counts 1 to 4."""
+    n1, n2, n3, n4 = of
     if not n1 or not n2:
-        return [0.5, 0.75, 0.9]
+        return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
     raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
-    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+    return np.array([0, *(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))])
 
 
-class Model:
-    """``table``: n-grams (of, k: how many words, and their hash) with their discounted share and, as contexts, the weight of the next
-    lower order; ``root``: the chance of any word at all."""
+def continuations(sent: DataFrame) -> DataFrame:
+    """By shard of second words: their prints, the number of distinct first words, its sum and counts of counts 1 to 4."""
 
-    def __init__(self, table: DataFrame, root: float):
-        self.table, self.root, self.rows = table, root, table.count()
+    def run(table: pa.Table) -> pa.Table:
+        keys, index = np.unique(np.concatenate([np.frombuffer(k.as_py(), "<u4") for k in table.column("keys")]), return_inverse=True)
+        n = np.bincount(index, np.concatenate([unpacked(x.as_py()) for x in table.column("n")])).astype(np.int64)
+        return pa.table({"shard": table.column("to")[:1], "keys": pa.array([keys.astype("<u4").tobytes()], pa.binary()), "n": pa.array([packed(n)], pa.binary()), "of": pa.array([[*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), int(n.sum())]], pa.list_(pa.int64()))})
 
-    def look_up(self, name: str, keys: np.ndarray, missing: float) -> np.ndarray:
-        """Shares (a1, a2, a3) or weights (g1, g2) of a few n-grams."""
-        wanted = [int(k) for k in np.unique(keys).view(np.int64)]
-        found = {r["k"]: r["v"] for r in self.table.where((F.col("of") == int(name[1])) & F.col("k").isin(wanted)).select("k", F.col("share" if name[0] == "a" else "weight").alias("v")).collect()}
-        return np.array([found.get(int(k), missing) for k in keys.view(np.int64)])
+    return sent.groupBy("to").applyInArrow(run, "shard int, keys binary, n binary, of array<long>")
 
 
-def train(trusted: DataFrame) -> Model | None:
-    """Model of trusted documents (text); None without a word."""
+def sums(of: DataFrame, size: int) -> list[int]:
+    row = of.agg(*[F.coalesce(F.sum(F.get("of", F.lit(i))), F.lit(0)).alias(str(i)) for i in range(size)]).first()
+    return [int(x) for x in row]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [np.concatenate(c).view(np.int64) for c in zip(*(trigrams(t.as_py()) for t in batch.column("text")), strict=True)]
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k3", "x2", "k2", "x1", "k1"])
-
-    names = ["k3", "x2", "k2", "x1", "k1"]
-    three = written(trusted.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy(*names).agg(F.count("*").alias("n")), "three")
-    two = written(three.groupBy("k2", "x1", "k1").agg(F.count("*").alias("n")), "two")
-    one = written(two.groupBy("k1").agg(F.count("*").alias("n")), "one")
-    vocabulary = one.count()
-    if not vocabulary:
-        return None
-
-    def shares(counts: DataFrame, key: str, context: str | None) -> tuple[DataFrame, DataFrame]:
-        d = discounts(counts)
-        of = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        by = [context] if context else []
-        totals = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(of).alias("held_back"))
-        joined = counts.join(totals, context) if context else counts.crossJoin(F.broadcast(totals))
-        return joined.select(F.col(key).alias("k"), ((F.col("n") - of) / F.col("total")).alias("v")), totals.select(*([F.col(context).alias("k")] if context else []), (F.col("held_back") / F.col("total")).alias("v"))
-
-    a3, g2 = shares(three, "k3", "x2")
-    a2, g1 = shares(two, "k2", "x1")
-    a1, g0 = shares(one, "k1", None)
-
-    def both(of: int, share: DataFrame, weight: DataFrame | None) -> DataFrame:
-        named = share.select("k", F.col("v").alias("share"))
-        named = named.join(weight.select("k", F.col("v").alias("weight")), "k", "full") if weight is not None else named.withColumn("weight", F.lit(1.0))
-        return named.select(F.lit(of).alias("of"), "k", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
-
-    root = g0.first()["v"] / (vocabulary + 1)
-    return Model(written(reduce(DataFrame.union, [both(3, a3, None), both(2, a2, g2), both(1, a1, g1)]), "model"), root)
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, langs, sizes (in tokens), known (hashes of its distinct words), tokens (int32 indexes of them)."""
+
+class Model:
+    """Tables by shard: of pairs with counts, and of second words with theirs; discounts of both; distinct words and pairs."""
+
+    def __init__(self, pairs: DataFrame, words: DataFrame, bits: int):
+        self.pairs, self.words, self.bits = pairs, words, bits
+        self.d2 = discounts(sums(pairs, 4))
+        *of, self.types, self.n_pairs = sums(words, 6)
+        self.d1 = discounts(of)
+        # what the lower order leaves to words never seen, as one more word
+        held = words.select(F.get("of", F.lit(0)).alias("a"), F.get("of", F.lit(1)).alias("b"), F.get("of", F.lit(4)).alias("all")).agg(F.sum("a"), F.sum("b"), F.sum("all")).first()
+        a, b, n = (int(x or 0) for x in held)
+        self.root = float(self.d1[1] * a + self.d1[2] * b + self.d1[3] * (n - a - b)) / max(1, self.n_pairs) / (self.types + 1)
+
+
+def train(docs: DataFrame, bits: int) -> Model | None:
+    """Model of the documents with ``learned``; None without any."""
+    found = written(counted(asked(docs, bits, True), 1 << bits), "pairs")
+    words = written(continuations(found.where("to IS NOT NULL")), "words")
+    pairs = found.where("to IS NULL").select("shard", "keys", "n", "of")
+    pairs._tidemark_path = found._tidemark_path
+    model = Model(pairs, words, bits)
+    return model if model.types else None
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(0))
+
+
+def answered(requests: DataFrame, model: Model) -> DataFrame:
+    """chunk, shard, and for what it asked for: shares of pairs, weights (float16) that words leave to the lower order, and the words' counts there."""
+    d2, bits = model.d2, model.bits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {r["kind"]: r for r in right.to_pylist()}
+        pairs, n = (np.frombuffer(held[2]["keys"], "<u8"), unpacked(held[2]["n"]).astype(np.int64)) if 2 in held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        first = (pairs >> np.uint64(32)).astype(np.uint32)
+        begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.empty(0, np.int64)
+        off = d2[np.minimum(n, 3)]
+        total = np.add.reduceat(n, begin) if len(begin) else n
+        weight = np.add.reduceat(off, begin) / total if len(begin) else off
+        share = (n - off) / np.repeat(total, np.diff(np.append(begin, len(first))))
+        seconds, m = (np.frombuffer(held[1]["keys"], "<u4"), unpacked(held[1]["n"])) if 1 in held else (np.empty(0, np.uint32), np.empty(0, np.uint32))
+        out = {"shares": [], "weights": [], "n": []}
+        for r in left.to_pylist():
+            w, p = joined(r["words"], r["follow"], r["pairs"])
+            out["shares"].append(packed(looked_up(pairs, np.maximum(share, 6e-8).astype(np.float16).view(np.uint16), p)))
+            out["weights"].append(packed(looked_up(first[begin], np.maximum(weight, 6e-8).astype(np.float16).view(np.uint16), w)))
+            # second words are known by the upper 32 bits of their hashes
+            upper = ((np.uint64(r["shard"]) << np.uint64(32)) | w.astype(np.uint64)) >> np.uint64(bits)
+            out["n"].append(packed(looked_up(seconds, m, upper.astype(np.uint32))))
+        return pa.table({"chunk": left.column("chunk"), "shard": left.column("shard")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+    tables = model.pairs.select("shard", F.lit(2).alias("kind"), "keys", "n").union(model.words.select("shard", F.lit(1).alias("kind"), "keys", "n"))
+    return requests.drop("counts").groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(run, "chunk long, shard int, shares binary, weights binary, n binary")
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """chunk, doc_ids, langs, sizes, tokens (indexes of words in the order of their hashes), types, start (index of the word before the first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk = TaskContext.get().partitionId() << 32
-        ids, langs, hashes = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            known, index = np.unique(np.concatenate(hashes), return_inverse=True)
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "langs": pa.array([langs], pa.list_(pa.string())), "sizes": pa.array([[len(h) for h in hashes]], pa.list_(pa.int64())), "known": pa.array([known.tobytes()], pa.binary()), "tokens": pa.array([planes(index.astype(np.int32))], pa.binary())})
-
-        size = 0
-        for batch in batches:
-            for doc, lang, text in zip(batch.column("doc_id"), batch.column("lang"), batch.column("text"), strict=True):
-                ids.append(doc.as_py())
-                langs.append(lang.as_py())
-                hashes.append(trigrams(text.as_py())[4])
-                size += len(hashes[-1])
-                if size >= CHUNK_WORDS:
-                    yield flush()
-                    chunk, ids, langs, hashes, size = chunk + 1, [], [], [], 0
-        if ids:
-            yield flush()
-        HASHES.clear()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, known binary, tokens binary")
-
-
-def ngrams(known: bytes, tokens: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """As ``trigrams``, of all texts of a chunk."""
-    k1 = np.frombuffer(known, np.uint64)[from_planes(tokens)]
-    at = np.arange(len(k1)) + 2 * (np.repeat(np.arange(len(sizes)), sizes) + 1)
-    h = np.full(len(k1) + 2 * len(sizes), START, np.uint64)
-    h[at] = k1
-    x1 = h[at - 1]
-    x2 = mixed(h[at - 2], x1)
-    return mixed(x2, k1), x2, mixed(x1, k1), x1, k1
-
-
-def wanted(k3: np.ndarray, x2: np.ndarray, k2: np.ndarray, x1: np.ndarray, k1: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each order: its distinct n-grams by shard, where each shard's begin, and how to sort them by value."""
-    for of, keys in ((3, k3), (2, np.concatenate((k2, x2))), (1, np.concatenate((k1, x1)))):
-        keys = np.unique(keys)
-        shard = (keys % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        yield of, keys[order], np.searchsorted(shard[order], np.arange(shards + 1)), np.argsort(order)
+        for chunk, rows, texts in cut(batches, ("doc_id", "lang"), CHUNK):
+            p = Pairs(texts)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "doc_ids": pa.array([rows["doc_id"]], pa.list_(pa.int64())), "langs": pa.array([rows["lang"]], pa.list_(pa.string())), "sizes": pa.array([texts.sizes], pa.list_(pa.int64())), "tokens": pa.array([packed(p.word)], pa.binary()), "types": pa.array([len(p.keys)], pa.int64()), "start": pa.array([int(np.searchsorted(p.keys, START))], pa.int64())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, tokens binary, types long, start long")
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_tokens, log_perplexity (natural, per token)."""
-    chunks = written(chunked(docs), "chunks")
-    shards, root = max(8, chunks.count() // 4, model.rows // SHARD_ROWS), model.root
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for of, keys, begin, _ in wanted(*ngrams(row["known"], row["tokens"], np.array(row["sizes"])), shards):
-                    some = np.flatnonzero(begin[1:] > begin[:-1])
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(some), pa.int64()), "of": pa.array([of] * len(some), pa.int32()), "shard": pa.array(some, pa.int64()), "keys": pa.array([keys[begin[s] : begin[s + 1]].tobytes() for s in some], pa.binary())})
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, share, weight = right.column("k").to_numpy().view(np.uint64), right.column("share").to_numpy(), right.column("weight").to_numpy()
-        order = np.argsort(known)
-        known, share, weight = known[order], share[order].astype(np.float32), weight[order].astype(np.float32)
-        shares, weights = [], []
-        for keys in left.column("keys"):
-            keys = np.frombuffer(keys.as_py(), np.uint64)
-            a, g = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                a[hit], g[hit] = share[at[hit]], weight[at[hit]]
-            shares.append(a.tobytes())
-            weights.append(g.tobytes())
-        return pa.table({"chunk": left.column("chunk"), "of": left.column("of"), "shard": left.column("shard"), "shares": pa.array(shares, pa.binary()), "weights": pa.array(weights, pa.binary())})
-
-    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        sizes = np.array(row["sizes"])
-        grams = ngrams(row["known"], row["tokens"], sizes)
-        k3, x2, k2, x1, k1 = grams
-        got = {(r["of"], r["shard"]): (r["shares"], r["weights"]) for r in right.to_pylist()}
-        tables = {}
-        for of, keys, begin, back in wanted(*grams, shards):
-            parts = [got[of, s] for s in np.flatnonzero(begin[1:] > begin[:-1])]
-            share, weight = (np.frombuffer(b"".join(c), np.float32)[back] for c in zip(*parts, strict=True))
-            tables[of] = keys[back], share, weight
-        find = lambda of, keys, i: tables[of][i][np.searchsorted(tables[of][0], keys)].astype(np.float64)
-        p = find(1, k1, 1) + root
-        p = find(2, k2, 1) + find(1, x1, 2) * p
-        p = find(3, k3, 1) + find(2, x2, 2) * p
-        score = np.add.reduceat(np.log(p), np.cumsum(sizes) - sizes)
+    d1, root, n_pairs = model.d1, model.root, max(1, model.n_pairs)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, answers = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["shard"])
+        word, sizes = unpacked(row["tokens"]).astype(np.int64), np.array(row["sizes"])
+        first = np.cumsum(sizes) - sizes
+        before = np.empty(len(word), np.int64)
+        before[1:], before[first] = word[:-1], row["start"]
+        pairs, at = np.unique((before << 32) | word, return_inverse=True)
+        share, weight, n = (np.concatenate([unpacked(r[c]) for r in answers]) for c in ("shares", "weights", "n"))
+        if len(left) != 1 or len(share) != len(pairs) or len(n) != row["types"]:
+            raise ValueError("chunks were cut in another way at a second reading: write the table before scoring it")
+        share, weight = (x.astype(np.uint16).view(np.float16).astype(np.float64) for x in (share, weight))
+        lower = (n - d1[np.minimum(n, 3)]) / n_pairs + root
+        weight[weight == 0] = 1.0  # a word that begins no pair leaves all to the lower order
+        score = np.add.reduceat(np.log(share[at] + weight[before] * lower[word]), first)
         return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_tokens": pa.array(sizes), "log_perplexity": pa.array(-score / sizes)})
 
-    asked = chunks.select("chunk", "sizes", "known", "tokens").mapInArrow(ask, "chunk long, of int, shard long, keys binary")
-    # keys are unsigned where they are dealt in Python
-    half = F.pmod(F.shiftrightunsigned("k", 1), F.lit(shards)) * 2 + F.col("k").bitwiseAND(1)
-    table = model.table.withColumn("shard", F.pmod(half, F.lit(shards)))
-    answers = asked.groupBy("of", "shard").cogroup(table.groupBy("of", "shard")).applyInArrow(answer, "chunk long, of int, shard long, shares binary, weights binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sums, "doc_id long, lang string, n_tokens long, log_perplexity double")
+    answers = answered(asked(docs, model.bits, False), model)
+    return bodies(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, lang string, n_tokens long, log_perplexity double")
+
+
+def flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """``docs`` with learned: whether a document is trusted and not of the part that sets the threshold. The list of trusted documents is
+    broadcast if it was counted to be small; else it is joined by sorting, and the table is written so that it reads alike twice."""
+    few = good.count() <= TRUST_ROWS
+    marks = good.where(in_training()).select("doc_id", F.lit(True).alias("learned"))
+    out = docs.select("doc_id", "lang", "text").join(F.broadcast(marks) if few else marks, "doc_id", "left").withColumn("learned", F.coalesce("learned", F.lit(False)))
+    return out if few else written(out, "flagged")
+
+
+def in_training():
+    return F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """``docs`` (doc_id, text, lang) and ``labels`` (doc_id, quality; trusted are those with 1) -> a row per row: doc_id, lang, n_tokens,
     perplexity, threshold, kept.
 
-    Null texts are an end alone. Languages (null is one) with few trusted documents go by the threshold over all languages. Without
-    trusted text nothing can be told: perplexity and threshold are null, and all are kept. A document is kept up to ``slack`` times
-    its language's quantile.
+    Null texts are an end alone. A null language is a language. Rows that repeat a doc_id or a text are counted and scored each; texts may be
+    of any length. Without trusted text nothing can be told: perplexity and threshold are null, and all are kept; without held-out trusted
+    text the threshold is null. A document is kept up to ``slack`` times its language's quantile, that included. An empty table gives an
+    empty result. ``docs`` must read the same rows in the same order twice, as a stored table does; otherwise an error says so.
     """
-    spark = tuned(docs.sparkSession)
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    learned = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0  # the rest sets the threshold
-    model = train(docs.select("doc_id", "text").join(good.where(learned), "doc_id", "left_semi"))
+    tuned(docs.sparkSession)
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = flagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), good)
+    model = train(marked, shard_bits(docs))
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), (F.size(words_of(F.col("text"))) + 1).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
-    scored = written(perplexities(docs, model), "scored")
-    held_out = scored.join(good.where(~learned), "doc_id", "left_semi")
-    counts = held_out.groupBy("lang", F.floor(F.col("log_perplexity") * BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
-    counts = written(counts, "buckets")
-
-    def cut(c: DataFrame, *by: str) -> DataFrame:
-        of = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-        ranked = c.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("all", F.sum("n").over(of))
-        return ranked.groupBy(*by).agg(F.max("all").alias("trusted"), F.min(F.when(F.col("upto") >= quantile * F.col("all"), F.col("bucket") + 1)).alias("bucket"))
-
-    whole = cut(counts.groupBy("bucket").agg(F.sum("n").alias("n"))).select(F.col("bucket").alias("whole"))
-    own = cut(counts, "lang").where(F.col("trusted") >= MIN_TRUSTED).select(F.col("lang").alias("of"), "bucket")
-    limits = written(scored.select(F.col("lang").alias("l")).distinct().join(own, F.expr("l <=> of"), "left").join(whole, how="cross").select("l", F.coalesce("bucket", "whole").alias("bucket")), "limits")
+    scored = written(perplexities(marked, model), "scored")
+    forget(model.pairs, model.words)
+    held_out = scored.join(good.where(~in_training()), "doc_id", "left_semi")
+    counts = written(held_out.groupBy("lang", F.floor(F.col("log_perplexity") * BUCKETS).alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+    # the buckets of all languages together: some thousand at most, since logarithms of perplexities are small numbers
+    whole = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    shares = json.dumps([{"bucket": b, "n": n * TOP_UP / sum(whole.values())} for b, n in sorted(whole.items())])
+    every = F.explode(F.from_json(F.lit(shares), "array<struct<bucket: long, n: double>>"))
+    topped = scored.select("lang").distinct().select("lang", every.alias("w")).select("lang", "w.bucket", "w.n").union(counts.select("lang", "bucket", F.col("n").cast("double"))).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    of = W.partitionBy("lang")
+    ranked = topped.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("all", F.sum("n").over(of))
+    limits = written(ranked.groupBy("lang").agg(F.min(F.when(F.col("upto") >= quantile * F.col("all") - 1e-9, F.col("bucket") + 1)).alias("bucket")).select(F.col("lang").alias("l"), "bucket"), "limits")
     out = scored.join(limits, F.expr("lang <=> l"), "left")
     threshold = F.exp(F.col("bucket") / BUCKETS) * slack
-    del spark
     return out.select("doc_id", "lang", "n_tokens", F.exp("log_perplexity").alias("perplexity"), threshold.alias("threshold"), F.coalesce(F.exp("log_perplexity") <= threshold, F.lit(True)).alias("kept"))
 
 
 def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, empty texts and the like: see ``quality``."""
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
