@@ -5,17 +5,18 @@ ids i64 with a flag for null, their counts u32; distinct ids u32 and their quant
 each block its bytes u32 and the CRC-32 of its ids u32; then the blocks' bytes.
 
 A block is coded on its own: all adaptive state starts anew, so a block can be read without others and its checksum tells damage.
-Three predictions are mixed: the id that followed the last two ids last time (order 2), the one that followed the last id (order
-1), and the file's frequencies (order 0). Each remembered id has a confidence of 0 to 3; the two confidences select a pair of
-adaptive probabilities, of order 2 being right, and of order 1 being right if order 2 is not. They divide the range into the part
-of the order-2 id, that of the order-1 id, and the rest, which is divided by frequency. A 64-bit range coder without carry codes
-one interval for an id.
+An id is a path in the Huffman tree of the file's frequencies, and each step of the path is a bit. Three predictors give the bit's
+chance from what the block had so far: by the node alone (order 0, which starts from the file's frequencies), by the node and the
+last id (order 1), and by the node and the last two ids (order 2), the latter two in hashed tables. Their log-odds are added with
+adaptive weights, whose set is selected by how often the contexts of order 1 and 2 have been seen, and the sum drives a binary
+range coder without carry. All arithmetic is in whole numbers, so that any machine decodes what another has coded.
 
-Blocks are coded side by side: each numpy step codes one id of every block of a file.
+Blocks are coded side by side: each numpy step codes one bit of every block of a file. The same loop encodes and decodes.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,13 +30,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import OTHER_GAPS, vocabulary_path
+from .bpe import CONTROLS, FAR, OTHER_GAPS, vocabulary_path
 from .common import documents, tuned, written
 
-END_ID, BLOCK_IDS, FILE_IDS = 1, 2048, 6 << 20
-CONTEXT_BITS, BITS, RATE, LEAST, MOST = 10, 24, 4, 64, 3840
+END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 12 << 20
+#: Bits of the index of a block's table; what a cell counts up to; the rate of the weights.
+CELL_BITS, MOST_SEEN, WEIGHT_SHIFT = 12, 12, 10
 HEADER = struct.Struct("<4sHIIIII")
-U64 = np.uint64
+
+#: A cell holds a 12-bit chance of bit 1 and, in 4 bits below, how often it was seen.
+NEW_CELL = 2048 << 4
+#: log(p / (1 - p)) of chances, with 8 bits after the point, and its inverse, by 2048 more.
+STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
+SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, 4095).astype(np.uint32)
+#: By how often a cell was seen: not known at all, a little, well.
+KNOWN = np.array([0, 1, 1] + [2] * 13)
+
+
+def next_cells() -> np.ndarray:
+    """By cell * 2 + bit the cell that follows: it moves by 1 / (n + 1.6) of the way to the bit when it has seen n."""
+    cell, bit = np.arange(1 << 16)[:, None], np.arange(2)
+    chance, seen = cell >> 4, cell & 15
+    moved = chance + np.rint((bit * 4096 - chance) / (seen + 1.6)).astype(np.int64)
+    return ((np.clip(moved, 1, 4095) << 4) | np.minimum(seen + 1, MOST_SEEN)).astype(np.uint16).ravel()
+
+
+NEXT = next_cells()
+#: First weights (of 65536) of orders 0 to 2 by how well the contexts of order 2, and then 1, are known.
+FIRST_WEIGHTS = np.array([[58000, 9000, 9000], [42000, 22000, 9000], [32000, 34000, 9000], [42000, 9000, 22000], [34000, 18000, 22000], [26000, 26000, 22000], [30000, 9000, 38000], [24000, 18000, 36000], [20000, 22000, 34000]], np.int32)
 
 
 def quantised(counts: np.ndarray, total_bits: int = 16) -> np.ndarray:
@@ -57,142 +79,136 @@ def quantised(counts: np.ndarray, total_bits: int = 16) -> np.ndarray:
     return f
 
 
-class Model:
-    """The adaptive state of ``n`` blocks. ``split`` gives the widths of the orders; ``learn`` takes the ids that came."""
-
-    def __init__(self, n: int):
-        self.base1 = (np.arange(n, dtype=np.int64) << CONTEXT_BITS)
-        self.base0 = np.arange(n, dtype=np.int64) * 16
-        size = n << CONTEXT_BITS
-        # a remembered id, shifted by two bits for its confidence
-        self.two, self.one = np.full(size, -4, np.int32), np.full(size, -4, np.int32)
-        self.right2, self.right1 = np.full(n * 16, 1024, np.int32), np.full(n * 16, 1024, np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.h2 = self.base1.copy()
-
-    def split(self, m: int) -> None:
-        """For the first m blocks: guesses, and the widths w2 and w1 of their parts."""
-        last = self.last[:m]
-        self.at1 = self.base1[:m] + ((last * 40503 >> 6) & ((1 << CONTEXT_BITS) - 1))
-        self.at2 = self.h2[:m]
-        self.e2, self.e1 = self.two[self.at2], self.one[self.at1]
-        self.c = self.base0[:m] + ((self.e2 & 3) * 4 + (self.e1 & 3))
-        self.p2, self.p1 = self.right2[self.c], self.right1[self.c]
-        self.w2 = self.p2.astype(np.int64) << 12
-        self.w1 = (4096 - self.p2).astype(np.int64) * self.p1
-        self.guess2, self.guess1 = self.e2 >> 2, self.e1 >> 2
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        m = len(ids)
-        self.right2[self.c] = self.p2 + ((LEAST + hit2 * (MOST - LEAST) - self.p2) >> RATE)
-        self.right1[self.c] = np.where(hit2, self.p1, self.p1 + ((LEAST + hit1 * (MOST - LEAST) - self.p1) >> RATE))
-        id32 = ids.astype(np.int32) << 2
-        for table, at, entry, hit in ((self.two, self.at2, self.e2, hit2), (self.one, self.at1, self.e1, hit1)):
-            conf = entry & 3
-            kept = np.where(hit, entry + (conf < 3), entry - 1)
-            table[at] = np.where(hit | (conf > 0), kept, id32)
-        self.h2[:m] = self.base1[:m] + (((ids * 40503 + self.last[:m] * 30011) >> 5) & ((1 << CONTEXT_BITS) - 1))
-        self.last[:m] = ids
-
-
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> list[bytes]:
-    """``ids``: (blocks, steps) indexes into freq, blocks in descending order of length."""
-    n, steps = ids.shape
-    model = Model(n)
-    low, rng = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
-    out = np.zeros((n, steps * 2 + 8), np.uint16)
-    used = np.zeros(n, np.int64)
-    by_step = np.ascontiguousarray(ids.T).astype(np.int64)
-    active = (lengths[:, None] > np.arange(steps)).sum(axis=0)
-
-    def settle(m: int) -> None:
-        lo, r = low[:m], rng[:m]
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            small = (r < BOTTOM) & ~same
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            tight = np.flatnonzero(small)
-            r[tight] = (~lo[tight] + U64(1)) & (BOTTOM - U64(1))
-            x = lo[go]
-            out[go, used[go]] = (x >> U64(48)).astype(np.uint16)
-            used[go] += 1
-            lo[go] = x << U64(16)
-            r[go] <<= U64(16)
-
-    for step in range(steps):
-        m = int(active[step])
-        if not m:
-            break
-        s = by_step[step, :m]
-        model.split(m)
-        hit2 = model.guess2 == s
-        hit1 = (model.guess1 == s) & ~hit2
-        rest = model.w2 + model.w1
-        unit = ((1 << BITS) - rest) >> 16
-        start = np.where(hit2, 0, np.where(hit1, model.w2, rest + cum[s] * unit))
-        width = np.where(hit2, model.w2, np.where(hit1, model.w1, freq[s] * unit))
-        part = rng[:m] >> U64(BITS)
-        low[:m] += part * start.astype(U64)
-        rng[:m] = part * width.astype(U64)
-        model.learn(s, hit2, model.guess1 == s)
-        settle(m)
-    for _ in range(4):
-        out[np.arange(n), used] = (low >> U64(48)).astype(np.uint16)
-        used += 1
-        low <<= U64(16)
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
-
-
-def decode_blocks(data: list[bytes], lengths: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> np.ndarray:
-    """(blocks, steps) indexes into freq; blocks in descending order of length."""
-    n, steps = len(data), int(lengths.max())
-    model = Model(n)
-    words = np.zeros((n, max(len(d) for d in data) // 2 + 8), np.uint16)
-    for i, d in enumerate(data):
-        words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-    low, rng, code = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64), np.zeros(n, U64)
-    for k in range(4):
-        code = (code << U64(16)) | words[:, k].astype(U64)
-    used = np.full(n, 4, np.int64)
-    of_slot = np.repeat(np.arange(len(freq)), freq)
-    out = np.zeros((steps, n), np.int64)
-    active = (lengths[:, None] > np.arange(steps)).sum(axis=0)
-    for step in range(steps):
-        m = int(active[step])
-        model.split(m)
-        part = rng[:m] >> U64(BITS)
-        value = np.minimum((code[:m] - low[:m]) // part, U64((1 << BITS) - 1)).astype(np.int64)
-        rest = model.w2 + model.w1
-        unit = ((1 << BITS) - rest) >> 16
-        hit2, by1 = value < model.w2, value < rest
-        s = of_slot[np.clip((value - rest) // unit, 0, 65535)]
-        s = np.where(hit2, model.guess2, np.where(by1, model.guess1, s)).astype(np.int64)
-        hit1 = by1 & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, model.w2, rest + cum[s] * unit))
-        width = np.where(hit2, model.w2, np.where(hit1, model.w1, freq[s] * unit))
-        low[:m] += part * start.astype(U64)
-        rng[:m] = part * width.astype(U64)
-        out[step, :m] = s
-        model.learn(s, hit2, model.guess1 == s)
-        lo, r, co = low[:m], rng[:m], code[:m]
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            small = (r < BOTTOM) & ~same
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                break
-            tight = np.flatnonzero(small)
-            r[tight] = (~lo[tight] + U64(1)) & (BOTTOM - U64(1))
-            co[go] = (co[go] << U64(16)) | words[go, np.minimum(used[go], words.shape[1] - 1)].astype(U64)
+class Tree:
+    """Huffman tree of frequencies. Inner nodes are numbered by falling weight, the root is 0. ``child``: by node * 2 + bit the next node,
+    or ~symbol; ``chance``: of bit 1, in 12 bits; ``code`` and ``length`` of symbols."""
+
+    def __init__(self, freq: np.ndarray):
+        n = len(freq)
+        heap = [(int(f), i) for i, f in enumerate(freq)]
+        heapq.heapify(heap)
+        pairs: list[tuple[int, int, int]] = []
+        while len(heap) > 1:
+            (f, a), (g, b) = heapq.heappop(heap), heapq.heappop(heap)
+            pairs.append((a, b, g * 4096 // (f + g)))
+            heapq.heappush(heap, (f + g, n + len(pairs) - 1))
+        inner = max(1, len(pairs))
+        self.child, self.chance = np.full(2 * inner, -1, np.int32), np.full(inner, 2048, np.int32)
+        self.code, self.length = np.zeros(n, np.int32), np.ones(n, np.int32)
+        path = {0: (0, 0)}
+        for k in range(len(pairs)):  # the last made is the root
+            *ends, chance = pairs[len(pairs) - 1 - k]
+            self.chance[k] = min(max(chance, 1), 4095)
+            code, length = path.pop(k)
+            for bit, x in enumerate(ends):
+                to = ~x if x < n else len(pairs) - 1 - (x - n)
+                self.child[2 * k + bit] = to
+                if to < 0:
+                    self.code[x], self.length[x] = code * 2 + bit, length + 1
+                else:
+                    path[to] = (code * 2 + bit, length + 1)
+
+
+def code_blocks(tree: Tree, lengths: np.ndarray, ids: np.ndarray | None = None, data: list[bytes] | None = None) -> list[bytes] | np.ndarray:
+    """Encodes ``ids`` (blocks, steps), indexes of the tree's symbols, to bytes by block; or decodes ``data`` to them."""
+    n, steps = len(lengths), int(lengths.max())
+    if data is None:
+        out = np.zeros((n, 2 * steps + 64), np.uint8)
+    else:
+        width = max(map(len, data)) + 8
+        source = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8)
+        out = np.zeros((n, steps), np.int32)
+    start = np.full(1 << CELL_BITS, NEW_CELL, np.uint16)
+    start[: len(tree.chance)] = ((tree.chance << 4) | 6)[: 1 << CELL_BITS]
+    table = np.concatenate((np.tile(start, n), np.full(2 * n << CELL_BITS, NEW_CELL, np.uint16)))
+    weights = np.tile(FIRST_WEIGHTS.T[:, None, :], (1, n, 1)).ravel()
+    lane, ends = np.arange(n), np.zeros(n, np.int64)
+    base, gates = (np.arange(3)[:, None] * n + lane) << CELL_BITS, (np.arange(3)[:, None] * n + lane) * len(FIRST_WEIGHTS)
+    lo, hi = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
+    node, contexts = np.zeros(n, np.int64), np.zeros((2, n), np.uint32)
+    at, used = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if data is None:
+        code, left = tree.code[ids[:, 0]], tree.length[ids[:, 0]] - 1
+    else:
+        row = lane * width
+        value = sum(source[row + k].astype(np.uint32) << np.uint32(24 - 8 * k) for k in range(4))
+        used += 4
+    child = tree.child.astype(np.int64)
+    while len(lane):
+        cells = base + (node & ((1 << CELL_BITS) - 1))
+        hashes = contexts ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))
+        hashes *= np.uint32(0x85EBCA6B)
+        hashes >>= np.uint32(32 - CELL_BITS)
+        np.add(base[1:], hashes, out=cells[1:])
+        held = table.take(cells).astype(np.int64)
+        odds, known = STRETCH.take(held >> 4), KNOWN.take(held[1:] & 15)
+        gate = gates + (known[1] * 3 + known[0])
+        own = weights.take(gate)
+        total = (own * (odds >> 2)).sum(axis=0, dtype=np.int32)
+        total >>= 14
+        np.minimum(total, 2047, out=total)
+        np.maximum(total, -2047, out=total)
+        p = SQUASH.take(total + 2048)
+        middle = lo + ((hi - lo) >> np.uint32(12)) * p
+        if data is None:
+            ones = ((code >> left) & 1) == 1
+            left -= 1
+        else:
+            ones = value <= middle
+        hi, lo = np.where(ones, middle, hi), np.where(ones, lo, middle + np.uint32(1))
+        odds *= (ones * np.int32(4096)) - p.astype(np.int32)
+        odds >>= WEIGHT_SHIFT
+        odds += own
+        weights[gate] = odds
+        held *= 2
+        held += ones
+        table[cells] = NEXT.take(held)
+        go = np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))
+        while len(go):
+            if data is None:
+                out[lane[go], used[go]] = lo[go] >> np.uint32(24)
+            else:
+                value[go] = (value[go] << np.uint32(8)) | source[row[go] + np.minimum(used[go], width - 1)]
             used[go] += 1
-            lo[go] <<= U64(16)
-            r[go] <<= U64(16)
-    return out.T
+            lo[go] = a = lo[go] << np.uint32(8)
+            hi[go] = b = (hi[go] << np.uint32(8)) | np.uint32(255)
+            go = go[(a ^ b) < np.uint32(1 << 24)]
+        node *= 2
+        node += ones
+        node = child.take(node)
+        ended = np.flatnonzero(node < 0)
+        if not len(ended):
+            continue
+        symbol = ~node[ended]
+        node[ended] = 0
+        mark = (symbol.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        contexts[1, ended] = (contexts[0, ended] ^ (mark >> np.uint32(7))) * np.uint32(0x27D4EB2F)
+        contexts[0, ended] = mark
+        if data is not None:
+            out[lane[ended], at[ended]] = symbol
+        at[ended] += 1
+        done = at[ended] == lengths[lane[ended]]
+        over = ended[done]
+        if data is None:
+            going = ended[~done] if len(over) else ended
+            s = ids[lane[going], at[going]]
+            code[going], left[going] = tree.code.take(s), tree.length.take(s) - 1
+            if used.max() + 16 > out.shape[1]:
+                out = np.concatenate((out, np.zeros_like(out)), axis=1)
+        if len(over):
+            if data is None:
+                for k in range(4):
+                    out[lane[over], used[over] + k] = (lo[over] >> np.uint32(24 - 8 * k)) & np.uint32(255)
+                ends[lane[over]] = used[over] + 4
+            keep = np.ones(len(lane), bool)
+            keep[over] = False
+            lane, lo, hi, node, at, used = (x[keep] for x in (lane, lo, hi, node, at, used))
+            base, gates, contexts = (np.ascontiguousarray(x[:, keep]) for x in (base, gates, contexts))
+            if data is None:
+                code, left = code[keep], left[keep]
+            else:
+                value, row = value[keep], row[keep]
+    return out if data is not None else [out[i, : ends[i]].tobytes() for i in range(n)]
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -207,12 +223,11 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_i
     freq = np.empty(0, np.int64)
     if n_blocks:
         freq = quantised(np.bincount(index))
-        cum = np.cumsum(freq) - freq
-        padded = np.zeros(n_blocks * block_ids, np.int64)
+        padded = np.zeros(n_blocks * block_ids, np.int32)
         padded[: len(ids)] = index
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = len(ids) - (n_blocks - 1) * block_ids  # only the last is shorter, so the order is by length
-        parts = encode_blocks(padded.reshape(n_blocks, block_ids), lengths, freq, cum)
+        parts = code_blocks(Tree(freq), lengths, ids=padded.reshape(n_blocks, block_ids))
         checks = [crc_of(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)]
     head = HEADER.pack(b"TMTK", 1, block_ids, len(doc_ids), len(ids), len(values), n_blocks)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -244,7 +259,7 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if n_blocks:
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = n_ids - (n_blocks - 1) * block_ids
-        index = decode_blocks(data, lengths, freq, np.cumsum(freq) - freq)
+        index = code_blocks(Tree(freq), lengths, data=data)
         width = index.shape[1]
         flat = index.reshape(-1)[: n_ids if width == block_ids or n_blocks == 1 else None]
         ids = values[flat].astype(np.uint32)
@@ -257,11 +272,11 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class WordIds:
     """The library's ids of what stands between white space, remembered; words not met before go to the library together."""
 
-    MEMORY = 600_000
+    MEMORY = 500_000
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 16-bit numbers
 
     def learn(self, words: list[str]) -> None:
         """One call for all words: they are joined by spaces, over which no id reaches, and parted again by where ids begin."""
@@ -269,26 +284,23 @@ class WordIds:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(sizes + 1) - sizes - 1
         of = np.searchsorted(begin, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
-        ids, ends = e.ids, np.cumsum(np.bincount(of, minlength=len(words)))
+        ids, ends = np.array(e.ids, np.uint16).tobytes(), 2 * np.cumsum(np.bincount(of, minlength=len(words)))
         at = 0
         for w, end in zip(words, ends.tolist(), strict=True):
-            self.known[w] = tuple(ids[at:end])
+            self.known[w] = ids[at:end]
             at = end
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts, and all ids."""
-        words = [OTHER_GAPS.sub(" ", t).split(" ") for t in texts]
+        words = [(OTHER_GAPS.sub(" ", t).split(" ") if "<|" in t or FAR.search(t) or CONTROLS.search(t) else t.lower().split()) for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.known))
         if len(self.known) + len(new) > self.MEMORY:
             self.known.clear()
             new = list(set(chain.from_iterable(words)))
         self.learn(new)
-        get, ids, counts = self.known.__getitem__, [], []
-        for ws in words:
-            x = np.array(list(chain.from_iterable(map(get, ws))), np.uint32)
-            ids.append(x)
-            counts.append(len(x))
-        return np.array(counts, np.int64), np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        get = self.known.__getitem__
+        ids = [b"".join(map(get, ws)) for ws in words]
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // 2, np.frombuffer(b"".join(ids), np.uint16).astype(np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -300,7 +312,7 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_
     """``docs`` (doc_id, text; other columns are ignored) -> part, seq, n_ids, file: files in ascending order of doc_id by (part, seq).
 
     Every document ends with ``end_id``; null texts count as empty and are that id alone. Null doc_ids come first; rows that
-    repeat a doc_id stand next to each other.
+    repeat a doc_id stand next to each other, in the order of a hash of their texts.
     """
     path = path or vocabulary_path()
 
@@ -332,9 +344,10 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_
                     yield flush()
         if docs_:
             yield flush()
+        encode.known.clear()  # workers outlive tasks
 
     tuned(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "part long, seq long, n_ids long, file binary")
 
 
