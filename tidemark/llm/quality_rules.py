@@ -1,9 +1,14 @@
-"""Quality rules whose cutoffs follow the data: for each language and source, quartiles of a few text measures come from
-mergeable sketches, and documents beyond the fences around the quartiles go. DataFrame operations only.
+"""Quality rules whose cutoffs follow the data: for each language and source, quantiles of a few text measures come from
+mergeable sketches, and documents beyond the fences go. DataFrame operations only.
 
 The sketch of a measure is a table of counts by bucket. A bucket keeps the ``PRECISION`` leading bits of an integer, so its
-width is at most 1/32 of its value. Sketches merge by adding counts: in partial aggregates of tasks, and from sources to their
-language, whose sketch serves sources with few documents. A group costs some hundred rows, however many documents it has.
+width is at most 1/128 of its value. Sketches merge by adding counts: in partial aggregates of tasks, and from sources to their
+language. A source's sketch is topped up by its language's with the weight of ``TOP_UP`` documents: the fewer documents a source
+has, the more it goes by its language, at any size. A group costs some thousand rows, however many documents it has.
+
+A fence stands off the outer quantile (``OUTER`` percent, or 100 - ``OUTER`` below) by ``SPREAD`` times that quantile's distance from
+the median. What is counted by the document (symbols, repeats) may be above the fence by its own sampling error, ``ERRORS``
+standard errors of the count that the fence lets expect and one more: some symbols or one repeated line in a short text are no sign.
 """
 
 from __future__ import annotations
@@ -15,21 +20,39 @@ from pyspark.sql import functions as F
 from .common import GAP, WORD, documents, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-PRECISION = 6
-#: A source with fewer documents goes by its language's sketch.
-MIN_DOCS = 100
-#: Interquartile ranges that a fence stands off the quartile.
-SPREAD = 3
-#: Measure: (integer expression over the base columns, least distance of its fence from the quartile, whether there is a lower fence).
+PRECISION = 8
+#: Documents of its language that a source's sketch is topped up with.
+TOP_UP = 400
+OUTER, SPREAD, ERRORS = 90, 3, 6
+#: Measure: what is counted, for how many of what. Counts have an upper fence; a mean (None: of characters to a word, in 1/100) has two.
 MEASURES = {
-    "symbols": ("n_symbols * 1000 div n_words", 100, False),
-    "word_length": ("word_chars * 100 div n_words", 200, True),
-    "dup_lines": ("n_dup_lines * 1000 div n_lines", 450, False),
-    "repeats": ("n_repeat_words * 1000 div n_words", 300, False),
-    "capitals": ("n_capitals * 1000 div word_chars", 250, False),
+    "symbols": ("n_symbols", "n_words"),
+    "word_length": (None, "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("((n_repeat_words + 5) {div} 6)", "n_words"),  # a window that comes twice has six words
+    "capitals": ("n_capitals", "word_chars"),
 }
 
 
+def value_of(measure: str, div: str = "div") -> str:
+    count, of = MEASURES[measure]
+    return f"{count.format(div=div)} * 1000 {div} {of}" if count else f"word_chars * 100 {div} {of}"
+
+
+def inside(div: str = "div") -> str:
+    """Whether a document is within all fences (SQL for either engine). A sketch knows a value by its bucket's lower end, which lies at
+    most 1/128 below."""
+    out = []
+    for k, (count, of) in MEASURES.items():
+        high = f"(high_{k} + high_{k} / 128)"
+        if count:
+            above = f"({count.format(div=div)} * CAST(1000 AS DOUBLE) - {high} * {of})"
+            out.append(f"({above} <= 0 OR {above} * {above} <= {ERRORS * ERRORS * 1000} * ({high} * {of} + 1000))")
+        else:
+            out.append(f"{value_of(k, div)} BETWEEN low_{k} AND {high}")
+    return " AND ".join(out)
+
+
 def repeat_words(words: Column) -> Column:
     """Words in three-word windows that occur twice or more: windows' hashes sorted with their positions, equal neighbours
     kept, and the positions' union of three words each counted. Linear in the text but for the sort."""
@@ -47,7 +70,7 @@ def covered(ordered: Column) -> Column:
     return F.coalesce(total, F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` -> d (struct of all its columns), lang, source and the base columns."""
     text = F.coalesce(F.col("d.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -64,13 +87,13 @@ def measured(docs: DataFrame) -> DataFrame:
             F.size("lines").cast("long").alias("n_lines"),
             F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         )
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+        .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
 
 
 def sketches(base: DataFrame) -> DataFrame:
     """lang, source, measure, low, n: counts by bucket of the documents that pass the base rules."""
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(x).cast("long").alias("v")) for k, (x, _, _) in MEASURES.items()])).alias("m")
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(value_of(k)).cast("long").alias("v")) for k in MEASURES])).alias("m")
     v = F.col("m.v")
     # not shiftleft by a column's value of bin's length at once: both shifts take an int
     bits = F.greatest(F.length(F.bin(v)) - PRECISION, F.lit(0)).cast("int")
@@ -81,57 +104,50 @@ def sketches(base: DataFrame) -> DataFrame:
     )
 
 
-def fences(counts: DataFrame, *by: str) -> DataFrame:
-    """by, docs, and for each measure its fences low_* and high_*."""
-    whole = W.partitionBy(*by, "measure")
-    upto = whole.orderBy("low").rowsBetween(W.unboundedPreceding, W.currentRow)
-    quartiles = (
-        counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-        .groupBy(*by, "measure")
-        .agg(F.max("all").alias("docs"), F.min(F.when(F.expr("4 * upto >= `all`"), F.col("low"))).alias("q1"), F.min(F.when(F.expr("4 * upto >= 3 * `all`"), F.col("low"))).alias("q3"))
-    )
-    off = {k: F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.lit(slack)) for k, (_, slack, _) in MEASURES.items()}
-    out = [F.max("docs").alias("docs")]
-    for k, (_, _, below) in MEASURES.items():
-        out.append(F.max(F.when(F.col("measure") == k, F.col("q3") + off[k])).alias(f"high_{k}"))
-        if below:
-            out.append(F.max(F.when(F.col("measure") == k, F.col("q1") - off[k])).alias(f"low_{k}"))
-    return quartiles.groupBy(*by).agg(*out)
+def blended(counts: DataFrame) -> DataFrame:
+    """Sketches of sources, topped up by those of their languages."""
+    language = counts.groupBy("lang", "measure", "low").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(W.partitionBy("lang", "measure"))
+    share = language.withColumn("n", F.lit(float(TOP_UP)) * F.col("n") / total).withColumnsRenamed({"lang": "of"})
+    own = counts.select("lang", "source").distinct()
+    topped = own.join(share, F.expr("lang <=> of")).select("lang", "source", "measure", "low", "n")
+    return counts.select("lang", "source", "measure", "low", F.col("n").cast("double")).union(topped).groupBy("lang", "source", "measure", "low").agg(F.sum("n").alias("n"))
 
 
 def thresholds(base: DataFrame) -> DataFrame:
-    """lang, source and the fences that hold for them."""
-    counts = written(sketches(base), "sketches")
-    own = fences(counts, "lang", "source").alias("o")
-    language = fences(counts.groupBy("lang", "measure", "low").agg(F.sum("n").alias("n")), "lang").alias("l")
-    names = [c for c in own.columns if c.startswith(("low_", "high_"))]
-    few = F.col("o.docs") < MIN_DOCS
-    return own.join(language, F.expr("o.lang <=> l.lang")).select("o.lang", "o.source", *[F.when(few, F.col(f"l.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names])
+    """lang, source and for each measure the fence high_*, and low_* for the mean, as doubles."""
+    whole = W.partitionBy("lang", "source", "measure")
+    upto = whole.orderBy("low").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = blended(written(sketches(base), "sketches")).withColumn("upto", F.sum("n").over(upto) * 100 + 1e-6).withColumn("all", F.sum("n").over(whole))
+    at = {q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("low"))).cast("double").alias(f"q{q}") for q in (100 - OUTER, 50, OUTER)}
+    quantiles = ranked.groupBy("lang", "source", "measure").agg(*at.values())
+    high = F.col(f"q{OUTER}") + SPREAD * (F.col(f"q{OUTER}") - F.col("q50"))
+    low = F.col(f"q{100 - OUTER}") - SPREAD * (F.col("q50") - F.col(f"q{100 - OUTER}"))
+    found = [F.max(F.when(F.col("measure") == k, high)).alias(f"high_{k}") for k in MEASURES]
+    found += [F.max(F.when(F.col("measure") == k, low)).alias(f"low_{k}") for k, (count, _) in MEASURES.items() if not count]
+    return quantiles.groupBy("lang", "source").agg(*found)
 
 
 def judged(base: DataFrame) -> DataFrame:
     """``base`` with kept."""
     limits = written(thresholds(base), "thresholds")
-    inside = F.lit(True)
-    for k, (x, _, below) in MEASURES.items():
-        # a sketch knows a value by its bucket's lower end, which lies at most 1/32 below
-        inside = inside & F.expr(f"{x} <= high_{k} + high_{k} div 32")
-        if below:
-            inside = inside & F.expr(f"{x} >= low_{k}")
     joined = base.alias("b").join(limits.alias("t"), F.expr("b.lang <=> t.lang AND b.source <=> t.source"), "left")
-    return joined.select("b.*", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False))).alias("kept"))
+    return joined.select("b.*", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.expr(inside()), F.lit(False))).alias("kept"))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, lang, source; others are carried in ``d``) -> a row per row: d, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept. Null texts count as empty and fail; null languages and sources are groups
-    of their own; an empty table gives an empty result."""
-    return judged(written(measured(docs), "measures"))
+    n_dup_lines, n_repeat_words, base_failed, kept.
+
+    Null texts count as empty and fail; null languages and sources are groups of their own. Rows that repeat a doc_id or a text are judged,
+    and counted in sketches, each. Equal values fall in one bucket, so ties are judged alike. A text may be of any length: its three-word
+    windows are sorted within its row. An empty table gives an empty result."""
+    return judged(written(measured(docs, min_words), "measures"))
 
 
-def passing(docs: DataFrame) -> DataFrame:
+def passing(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    return quality(docs).where("kept").select("d.*")
+    return quality(docs, min_words).where("kept").select("d.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,19 +157,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     # DuckDB divides integers by //
-    value = {k: x.replace(" div ", " // ") for k, (x, _, _) in MEASURES.items()}
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {x} AS v FROM base WHERE NOT base_failed" for k, x in value.items())
-    parts = []
-    for k, (_, slack, below) in MEASURES.items():
-        parts.append(f"max(CASE WHEN measure = '{k}' THEN q3 + greatest({SPREAD} * (q3 - q1), {slack}) END) AS high_{k}")
-        if below:
-            parts.append(f"max(CASE WHEN measure = '{k}' THEN q1 - greatest({SPREAD} * (q3 - q1), {slack}) END) AS low_{k}")
-    fence = ", ".join(parts)
-    names = [f"high_{k}" for k in MEASURES] + [f"low_{k}" for k, m in MEASURES.items() if m[2]]
-    chosen = ", ".join(f"CASE WHEN o.docs < {MIN_DOCS} THEN l.{c} ELSE o.{c} END AS {c}" for c in names)
-    inside = " AND ".join([f"{value[k]} <= high_{k} + high_{k} // 32" for k in MEASURES] + [f"{value[k]} >= low_{k}" for k, m in MEASURES.items() if m[2]])
-    quartile = """SELECT {by}, measure, CAST(max(a) AS BIGINT) AS docs, min(CASE WHEN 4 * upto >= a THEN low END) AS q1, min(CASE WHEN 4 * upto >= 3 * a THEN low END) AS q3
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, measure ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY {by}, measure) AS a FROM {of}) GROUP BY {by}, measure"""
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {value_of(k, '//')} AS v FROM base WHERE NOT base_failed" for k in MEASURES)
+    quantiles = ", ".join(f"CAST(min(CASE WHEN upto >= {q} * a THEN low END) AS DOUBLE) AS q{q}" for q in (100 - OUTER, 50, OUTER))
+    fence = ", ".join([f"max(CASE WHEN measure = '{k}' THEN q{OUTER} + {SPREAD} * (q{OUTER} - q50) END) AS high_{k}" for k in MEASURES] + [f"max(CASE WHEN measure = '{k}' THEN q{100 - OUTER} - {SPREAD} * (q50 - q{100 - OUTER}) END) AS low_{k}" for k, m in MEASURES.items() if not m[0]])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, lang, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
@@ -170,12 +176,16 @@ b0 AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words
 base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b0),
 v AS ({rows}),
 c AS (SELECT lang, source, measure, (v >> greatest(len(bin(v)) - {PRECISION}, 0)) << greatest(len(bin(v)) - {PRECISION}, 0) AS low, count(*) AS n FROM v GROUP BY ALL),
-cl AS (SELECT lang, measure, low, sum(n) AS n FROM c GROUP BY ALL),
-o AS (SELECT lang, source, max(docs) AS docs, {fence} FROM ({quartile.format(by="lang, source", of="c")}) GROUP BY lang, source),
-l AS (SELECT lang, max(docs) AS docs, {fence} FROM ({quartile.format(by="lang", of="cl")}) GROUP BY lang),
-th AS (SELECT o.lang, o.source, {chosen} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang)
+cl AS (SELECT lang, measure, low, {TOP_UP} * CAST(sum(n) AS DOUBLE) / sum(sum(n)) OVER (PARTITION BY lang, measure) AS n FROM c GROUP BY lang, measure, low),
+m AS (SELECT lang, source, measure, low, sum(n) AS n FROM (
+        SELECT lang, source, measure, low, CAST(n AS DOUBLE) AS n FROM c UNION ALL
+        SELECT o.lang, o.source, measure, low, n FROM (SELECT DISTINCT lang, source FROM c) o JOIN cl ON o.lang IS NOT DISTINCT FROM cl.lang) GROUP BY ALL),
+q AS (SELECT lang, source, measure, {quantiles} FROM (
+        SELECT *, 100 * sum(n) OVER (PARTITION BY lang, source, measure ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-6 AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS a FROM m)
+      GROUP BY lang, source, measure),
+th AS (SELECT lang, source, {fence} FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       CASE WHEN base_failed THEN FALSE ELSE coalesce({inside}, FALSE) END AS kept
+       CASE WHEN base_failed THEN FALSE ELSE coalesce({inside('//')}, FALSE) END AS kept
 FROM base b LEFT JOIN th ON b.lang IS NOT DISTINCT FROM th.lang AND b.source IS NOT DISTINCT FROM th.source
 """
 
