@@ -224,7 +224,8 @@ def plain_mixer(m, tokens):
         for level in range(lm_scoring.LEVELS):
             node = 0 if level == 0 else (1 << (level - 1)) | code >> (lm_scoring.CODE_BITS - level + 1)
             bit = int(known) if level == 0 else (code >> (lm_scoring.CODE_BITS - level)) & 1
-            counts = [m.zero[node], m.hashed[slot(c1, node)], m.hashed[slot(c2, node) + (1 << m.bits)], (own[node, 0], own[node, 1])]
+            places = (node, slot(c1, node) + (1 << lm_scoring.CODE_BITS), slot(c2, node) + (1 << lm_scoring.CODE_BITS) + (1 << m.bits))
+            counts = [(int(m.pairs[i]) & 65535, int(m.pairs[i]) >> 16) for i in places] + [(own[node, 0], own[node, 1])]
             odds = [np.log((float(x[1]) + 0.4) / (float(x[0]) + 0.4)) for x in counts]
             seen1, seen2 = (int(x[0]) + int(x[1]) for x in counts[1:3])
             w = weights[level, (seen1 > 0) + (seen1 > 3), int(seen2 > 0)]
@@ -342,7 +343,7 @@ def test_perplexity_brute_force(spark):
 
 def test_toxicity(spark, odd, none, labels, sf):
     assert toxicity.fold("1d10t іdiоt l0ser 100") == ["idiot", "idiot", "ioser", "100"]
-    lexicon = toxicity.Lexicon({"trash ": 5.0}, slope=2.0, offset=-3.0)
+    lexicon = toxicity.Lexicon({"trash ": 5.0}, ("trash can",), slope=2.0, offset=-3.0)
     assert lexicon.score("you TR4SH!") > 0.9 > 0.1 > lexicon.score("the trash can") and lexicon.score("") == lexicon.score(None) < 0.1
     learned = toxicity.learn(odd, labels)
     got = toxicity.scored(odd, learned).collect()
@@ -352,6 +353,26 @@ def test_toxicity(spark, odd, none, labels, sf):
     truth = rows.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     model = toxicity.learn(rows.where("doc_id < 60"), truth.where("doc_id < 60"))
     assert {r.doc_id: r.score >= 0.7 for r in toxicity.scored(rows, model).collect()} == {i: i % 4 == 0 for i in range(80)}
+    # an entry that clean documents have in one phrase only
+    rows = spark.createDataFrame([(i, " ".join(words(50, i)) + (f" scum {i}" if i % 4 == 0 else " pond scum water" if i % 20 == 1 else "")) for i in range(200)], "doc_id long, text string")
+    truth = rows.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    model = toxicity.learn(rows, truth)
+    assert "pond scum" in model.exceptions and model.score("pond scum water") < 0.5 < model.score("v1 scum")
+
+
+def test_lexicon_against_a_plain_search():
+    r = random.Random(4)
+    letters = "abci1"
+    for _ in range(300):
+        entries = {"".join(r.choice("abci") for _ in range(r.randrange(1, 4))) + r.choice(["", " "]): r.random() for _ in range(5)}
+        phrases = tuple({" ".join("".join(r.choice("abci") for _ in range(2)) for _ in range(2)) for _ in range(3)})
+        text = " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(12)))
+        line, total = f" {' '.join(toxicity.fold(text))} ", 0.0
+        spans = [(i, i + len(p) + 2) for p in phrases for i in range(len(line)) if line.startswith(f" {p} ", i)]
+        for entry, weight in sorted(entries.items()):
+            n = sum(line.startswith(f" {entry}", i) and not any(a <= i and i + len(entry) + 1 <= b for a, b in spans) for i in range(len(line)))
+            total += weight * (1 + np.log(n)) if n else 0
+        assert toxicity.Lexicon(entries, phrases).strength(text) == pytest.approx(total / np.log(np.e + len(toxicity.fold(text)) / 1000))
 
 
 def test_bpe(spark, odd, none):
