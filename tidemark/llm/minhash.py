@@ -179,8 +179,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """``docs`` (doc_id, text; other columns are ignored) -> a row per row: doc_id, n_shingles, component_id, kept.
 
     Null texts and texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are one
-    document; a null doc_id is linked with nothing and has a null component_id and kept true. An empty table gives an empty
-    result. Documents are linked if 100 * intersection >= percent * union of their sets; ``component_id`` is the smallest
+    document, with the links of all their texts; a null doc_id is linked with nothing and has a null component_id and kept true.
+    Texts with one set of shingles are tied and stand for each other. A text may be of any length: its set is made in its task, and
+    carried once for each candidate pair. An empty table gives an empty result. Shingles are equal if 64 bits of their hashes are,
+    so "full sets" are full but for such collisions. Documents are linked if 100 * intersection >= percent * union of their sets; ``component_id`` is the smallest
     doc_id that links reach.
     """
     tuned(docs.sparkSession)
@@ -188,19 +190,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = written(sketched(docs, k, percent), "sets")
     nodes = written(sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")).select("digest", "node", "n", "x.sig", "x.bands"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    # what is known of a bucket is written, so that joins of its rows with it can be split where they are many
+    shared = written(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "shared")
     members = written(keys.join(shared, "key").select("key", "node", "pivot", (F.col("size") > WIDE).alias("wide")), "members")
     texts = written(docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     wide = members.where("wide").select("node").distinct()
     own = written(own_shingles(wide, texts, k), "own")
-    hubs = members.where("wide").join(own, "node", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).getField("node").alias("hub"))
+    hubs = written(members.where("wide").join(own, "node", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).getField("node").alias("hub")), "hubs")
     round0 = members.where("NOT wide").select("node", "pivot").union(members.where("wide").join(hubs, "key").select("node", F.col("hub").alias("pivot")))
     pairs = written(round0.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    forget(shared, own, hubs)
     links = written(linked(survivors(pairs, nodes, percent, hashes), texts, k, percent).distinct(), "links")
     labels = components(links)
     m = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    several = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    several = written(m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "several")
     held = written(m.join(several, "key"), "held")
+    forget(several)
     if not held.isEmpty():
         sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         sizes = written(sizes.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")), "sizes")
@@ -294,4 +299,5 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.85. Nulls, ties and the like: see ``near_duplicates``."""
     return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
