@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,12 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the context's own, else (local runs) one under /tmp."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the context's own; where it is unset one
+    under /tmp in local runs, and an error on a cluster, whose machines share no /tmp."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"/tmp/tidemark-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -42,6 +46,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan refers to any more. Spark deletes them when the driver collects its garbage, which it may not
+    do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that very long texts do not gather in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, forget, tuned, words_of, written
+from .common import documents, forget, release, tuned, words_of, written
 from .running import Texts, cut, packed, shard_bits, shard_edges, unpacked
 
 #: Bytes of text of a chunk, about.
-CHUNK = 20 << 20
+CHUNK = 32 << 20
 QUANTILE, SLACK, TOP_UP = 0.99, 1.15, 20
 #: The word before a text's first.
 START = np.uint64(0x51A251A251A251A2)
@@ -66,6 +66,15 @@ def word_prints(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(32 - bits)).astype(np.uint32)
 
 
+def rising(values: np.ndarray) -> bytes:
+    """32-bit numbers, mostly in rising order, by their differences."""
+    return packed(np.diff(values.astype(np.uint32), prepend=np.uint32(0)))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint32)
+
+
 def parts(keys: np.ndarray, pairs: np.ndarray, bits: int) -> Iterator[tuple[int, slice, slice]]:
     """shard, its words, and the pairs that they begin."""
     edges = shard_edges(keys, bits)
@@ -85,18 +94,18 @@ def asked(docs: DataFrame, bits: int, trusted: bool) -> DataFrame:
         for chunk, rows, texts in cut(batches, ("learned",), CHUNK):
             p = Pairs(texts, np.array(rows["learned"], bool) if trusted else None)
             pairs, counts = np.unique(p.all, return_counts=True)
-            second, follow = (p.keys[pairs & 0xFFFFFFFF] >> np.uint64(32)).astype("<u4"), np.bincount(pairs >> 32, minlength=len(p.keys))
-            prints = word_prints(p.keys, bits).astype("<u4")
+            second, follow = (p.keys[pairs & 0xFFFFFFFF] >> np.uint64(32)).astype(np.uint32), np.bincount(pairs >> 32, minlength=len(p.keys))
+            prints = word_prints(p.keys, bits)
             found = list(parts(p.keys, pairs, bits))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([prints[w].tobytes() for _, w, _ in found], pa.binary()), pa.array([packed(follow[w]) for _, w, _ in found], pa.binary()), pa.array([second[x].tobytes() for _, _, x in found], pa.binary()), pa.array([packed(counts[x]) if trusted else b"" for _, _, x in found], pa.binary())], ["shard", "chunk", "words", "follow", "pairs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([rising(prints[w]) for _, w, _ in found], pa.binary()), pa.array([packed(follow[w]) for _, w, _ in found], pa.binary()), pa.array([rising(second[x]) for _, _, x in found], pa.binary()), pa.array([packed(counts[x]) if trusted else b"" for _, _, x in found], pa.binary())], ["shard", "chunk", "words", "follow", "pairs", "counts"])
 
     return docs.select("learned", "text").mapInArrow(run, REQUEST)
 
 
 def joined(words: bytes, follow: bytes, pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Prints of words, and pairs as 64-bit numbers."""
-    w = np.frombuffer(words, "<u4")
-    return w, (np.repeat(w, unpacked(follow)).astype(np.uint64) << np.uint64(32)) | np.frombuffer(pairs, "<u4")
+    w = risen(words)
+    return w, (np.repeat(w, unpacked(follow)).astype(np.uint64) << np.uint64(32)) | risen(pairs)
 
 
 def counted(requests: DataFrame, second_shards: int) -> DataFrame:
@@ -112,14 +121,15 @@ def counted(requests: DataFrame, second_shards: int) -> DataFrame:
         edges = np.append(edges, len(seconds))
         some = np.flatnonzero(edges[1:] > edges[:-1])
         to = [slice(edges[s], edges[s + 1]) for s in some]
-        m = len(to)
+        m, (words, follow) = len(to), np.unique((keys >> np.uint64(32)).astype(np.uint32), return_counts=True)
         return pa.table({
-            "shard": pa.array([rows[0]["shard"]] * (m + 1), pa.int32()), "to": pa.array([None, *some], pa.int32()), "keys": pa.array([keys.tobytes(), *(seconds[x].astype("<u4").tobytes() for x in to)], pa.binary()),
+            "shard": pa.array([rows[0]["shard"]] * (m + 1), pa.int32()), "to": pa.array([None, *some], pa.int32()), "words": pa.array([rising(words)] + [None] * m, pa.binary()),
+            "follow": pa.array([packed(follow)] + [None] * m, pa.binary()), "keys": pa.array([rising((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)), *(rising(seconds[x]) for x in to)], pa.binary()),
             "n": pa.array([packed(np.minimum(n, (1 << 32) - 1)), *(packed(firsts[x]) for x in to)], pa.binary()),
             "of": pa.array([[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * m, pa.list_(pa.int64())),
         })
 
-    return requests.groupBy("shard").applyInArrow(run, "shard int, to int, keys binary, n binary, of array<long>")
+    return requests.groupBy("shard").applyInArrow(run, "shard int, to int, words binary, follow binary, keys binary, n binary, of array<long>")
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -136,9 +146,9 @@ def continuations(sent: DataFrame) -> DataFrame:
     """By shard of second words: their prints, the number of distinct first words, its sum and counts of counts 1 to 4."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, index = np.unique(np.concatenate([np.frombuffer(k.as_py(), "<u4") for k in table.column("keys")]), return_inverse=True)
+        keys, index = np.unique(np.concatenate([risen(k.as_py()) for k in table.column("keys")]), return_inverse=True)
         n = np.bincount(index, np.concatenate([unpacked(x.as_py()) for x in table.column("n")])).astype(np.int64)
-        return pa.table({"shard": table.column("to")[:1], "keys": pa.array([keys.astype("<u4").tobytes()], pa.binary()), "n": pa.array([packed(n)], pa.binary()), "of": pa.array([[*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), int(n.sum())]], pa.list_(pa.int64()))})
+        return pa.table({"shard": table.column("to")[:1], "keys": pa.array([rising(keys)], pa.binary()), "n": pa.array([packed(n)], pa.binary()), "of": pa.array([[*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), int(n.sum())]], pa.list_(pa.int64()))})
 
     return sent.groupBy("to").applyInArrow(run, "shard int, keys binary, n binary, of array<long>")
 
@@ -166,9 +176,11 @@ def train(docs: DataFrame, bits: int) -> Model | None:
     """Model of the documents with ``learned``; None without any."""
     found = written(counted(asked(docs, bits, True), 1 << bits), "pairs")
     words = written(continuations(found.where("to IS NOT NULL")), "words")
-    pairs = found.where("to IS NULL").select("shard", "keys", "n", "of")
+    pairs = found.where("to IS NULL").select("shard", "words", "follow", "keys", "n", "of")
     pairs._tidemark_path = found._tidemark_path
     model = Model(pairs, words, bits)
+    del found
+    release(docs.sparkSession)
     return model if model.types else None
 
 
@@ -186,14 +198,14 @@ def answered(requests: DataFrame, model: Model) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = {r["kind"]: r for r in right.to_pylist()}
-        pairs, n = (np.frombuffer(held[2]["keys"], "<u8"), unpacked(held[2]["n"]).astype(np.int64)) if 2 in held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        pairs, n = (joined(held[2]["words"], held[2]["follow"], held[2]["keys"])[1], unpacked(held[2]["n"]).astype(np.int64)) if 2 in held else (np.empty(0, np.uint64), np.empty(0, np.int64))
         first = (pairs >> np.uint64(32)).astype(np.uint32)
         begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.empty(0, np.int64)
         off = d2[np.minimum(n, 3)]
         total = np.add.reduceat(n, begin) if len(begin) else n
         weight = np.add.reduceat(off, begin) / total if len(begin) else off
         share = (n - off) / np.repeat(total, np.diff(np.append(begin, len(first))))
-        seconds, m = (np.frombuffer(held[1]["keys"], "<u4"), unpacked(held[1]["n"])) if 1 in held else (np.empty(0, np.uint32), np.empty(0, np.uint32))
+        seconds, m = (risen(held[1]["keys"]), unpacked(held[1]["n"])) if 1 in held else (np.empty(0, np.uint32), np.empty(0, np.uint32))
         out = {"shares": [], "weights": [], "n": []}
         for r in left.to_pylist():
             w, p = joined(r["words"], r["follow"], r["pairs"])
@@ -204,7 +216,7 @@ def answered(requests: DataFrame, model: Model) -> DataFrame:
             out["n"].append(packed(looked_up(seconds, m, upper.astype(np.uint32))))
         return pa.table({"chunk": left.column("chunk"), "shard": left.column("shard")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
-    tables = model.pairs.select("shard", F.lit(2).alias("kind"), "keys", "n").union(model.words.select("shard", F.lit(1).alias("kind"), "keys", "n"))
+    tables = model.pairs.select("shard", F.lit(2).alias("kind"), "words", "follow", "keys", "n").unionByName(model.words.select("shard", F.lit(1).alias("kind"), "keys", "n"), allowMissingColumns=True)
     return requests.drop("counts").groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(run, "chunk long, shard int, shares binary, weights binary, n binary")
 
 
@@ -239,8 +251,12 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         score = np.add.reduceat(np.log(share[at] + weight[before] * lower[word]), first)
         return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_tokens": pa.array(sizes), "log_perplexity": pa.array(-score / sizes)})
 
-    answers = answered(asked(docs, model.bits, False), model)
-    return bodies(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, lang string, n_tokens long, log_perplexity double")
+    # in two steps: what was asked for need not stay on disk while chunks meet their answers
+    answers = written(answered(asked(docs, model.bits, False), model), "answers")
+    release(docs.sparkSession)
+    scored = written(bodies(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, lang string, n_tokens long, log_perplexity double"), "scored")
+    forget(answers)
+    return scored
 
 
 def flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
@@ -272,7 +288,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slac
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), (F.size(words_of(F.col("text"))) + 1).cast("long").alias("n_tokens"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
-    scored = written(perplexities(marked, model), "scored")
+    scored = perplexities(marked, model)
     forget(model.pairs, model.words)
     held_out = scored.join(good.where(~in_training()), "doc_id", "left_semi")
     counts = written(held_out.groupBy("lang", F.floor(F.col("log_perplexity") * BUCKETS).alias("bucket")).agg(F.count("*").alias("n")), "buckets")
