@@ -246,6 +246,7 @@ def held_out(doc_id):
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels that are not held out. Nulls and the like: see ``learn`` and ``scored``."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
     out = scored(docs, learn(docs, labels))
