@@ -224,7 +224,8 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``docs`` (doc_id, text; other columns are ignored) -> a row per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and
-    with ``with_ids`` also ids array<int>. Null text counts as empty; repeated rows are encoded alike."""
+    with ``with_ids`` also ids array<int>. Null text counts as empty and has no ids; repeated rows and equal texts are encoded alike. A text of any
+    length is encoded whole, word by word. An empty table gives an empty result."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +250,5 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and the like: see ``encode``."""
     return encode(documents(spark, sf_dir))

@@ -151,6 +151,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties and the like: see ``without_repeated_lines``."""
     return without_repeated_lines(documents(spark, sf_dir).select("doc_id", "text")).select("d.doc_id", "text", "n_lines", "n_deleted")
 
 

@@ -57,7 +57,7 @@ def mix(docs: DataFrame, cap: float = CAP, seed: int = SEED) -> DataFrame:
 
     Null text has size 0; a null source is a source of its own, ordered last. Rows that repeat a doc_id are taken or left
     together. No document is taken more than ``cap`` times: the fraction is only dealt where the target is below the cap.
-    An empty table gives an empty result.
+    Equal hashes are ordered by doc_id. A text of any length counts whole. An empty table gives an empty result.
     """
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed(F.col("doc_id"), seed).alias("h")), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
@@ -104,6 +104,7 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties and the like: see ``mix``."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -151,6 +151,7 @@ def passing(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties and the like: see ``quality``."""
     base = measured(documents(spark, sf_dir)).withColumn("d", F.struct(F.col("d.doc_id").alias("doc_id")))
     return judged(written(base, "measures")).select("d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

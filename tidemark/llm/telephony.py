@@ -121,7 +121,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def stored(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
     """``docs`` (doc_id, text; other columns are ignored) -> doc_id, media: each text's bytes as samples of a RIFF file. A null
-    text counts as empty and is one unit of filling; repeated rows are stored alike."""
+    text counts as empty and is one unit of filling; repeated rows are stored alike, and so are equal texts. A text of any length is one
+    file. An empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,7 @@ def stored(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
 
 
 def pcm(media: DataFrame) -> DataFrame:
-    """doc_id, media -> doc_id, rate, pcm: little-endian 16-bit samples at 16 kHz."""
+    """doc_id, media -> doc_id, rate, pcm: little-endian 16-bit samples at 16 kHz, of whatever codec a file has. ``stored_pcm`` writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +144,11 @@ def pcm(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "doc_id long, rate int, pcm binary")
 
 
+def stored_pcm(media: DataFrame) -> DataFrame:
+    """The column of ``pcm`` written as a table in the shared folder, and read again: four bytes for each of the media's."""
+    return written(pcm(media), "pcm")
+
+
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -197,4 +203,5 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media are written and read back; of the resampled samples a digest is kept. Nulls and the like: see ``stored``."""
     return digests(written(stored(documents(spark, sf_dir)), "media"))

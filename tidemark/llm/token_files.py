@@ -313,6 +313,7 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_
 
     Every document ends with ``end_id``; null texts count as empty and are that id alone. Null doc_ids come first; rows that
     repeat a doc_id stand next to each other, in the order of a hash of their texts.
+    A text of any length is in one file, which may then be longer than others. An empty table gives no file.
     """
     path = path or vocabulary_path()
 
@@ -376,4 +377,5 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties and the like: see ``packed``."""
     return digests(written(packed(documents(spark, sf_dir)), "tokens"))
