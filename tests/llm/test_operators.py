@@ -452,3 +452,63 @@ def test_pipeline(spark, sf):
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
     near = minhash.near_duplicates(docs.dropDuplicates(["doc_id"])).where("NOT kept").count()
     assert near == 0
+
+
+def staged(spark, docs, upto):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES[:upto]:
+        docs = stage(spark, docs, "")
+    return docs
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "size", "kept"]  # two clashing names
+    for docs in (odd.select(columns), none.select(columns)):
+        for upto in range(1, 5):
+            assert staged(spark, docs, upto).columns == columns
+        assert staged(spark, docs, 5).count() >= 0
+    kept = {r.doc_id for r in staged(spark, odd.select(columns), 3).collect()}
+    assert 1 not in kept and 2 not in kept and 3 not in kept  # nothing to train on
+
+
+def test_pipeline_on_planted_cases(spark):
+    def doc(i, text):
+        return (i, text, "en", "abc"[i % 3], len(text))
+
+    def lines(seed, n=8):
+        w = words(12 * n, seed, 4000)
+        return [" ".join(w[12 * k : 12 * k + 12]) for k in range(n)]
+
+    clean = {i: "\n".join(lines(i)) for i in range(60)}
+    passage = lines(900, 5)
+    near = lines(1)[3].split()
+    near[5] = "changed"
+    junk = {i: " ".join(f"{w} ### $$ || <>" for w in words(60, i, 4000)) for i in (200, 201, 202)}
+    texts = clean | junk | {100: clean[0], 101: clean[1].replace(lines(1)[3], " ".join(near)), 110: "\n".join([*lines(110), *passage]), 111: "\n".join([*passage, *lines(111)])}
+    texts[102] = " ".join(clean[2].split())  # one line: line dedup can't see it
+    docs = spark.createDataFrame([doc(i, t) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    one, two, three = ({r.doc_id: r.text for r in staged(spark, docs, k).collect()} for k in (1, 2, 3))
+    assert set(one) == set(texts) - set(junk) and all(one[i] == texts[i] for i in one)
+    assert 100 not in two and two[101] == " ".join(near) and two[110] == texts[110] and two[111] == "\n".join(lines(111))
+    assert all(two[i] == clean[i] for i in clean)
+    assert set(three) == set(two) - {102} and all(three[i] == two[i] for i in three)
+    mixed = Counter(r.doc_id for r in staged(spark, docs, 4).collect())
+    size, taken = Counter(), Counter()
+    for i, t in three.items():
+        size["abc"[i % 3]] += len(t.split())
+        taken["abc"[i % 3]] += mixed[i] * len(t.split())
+    level, total = None, sum(size.values())
+    weights = {"a": 1, "b": 2, "c": 3}
+    target, open_ = {}, set(size)
+    while True:  # hand the excess on until nothing is above three times its size
+        level = (total - sum(target.values())) / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] > 3 * size[s]}
+        if not over:
+            break
+        target |= {s: 3 * size[s] for s in over}
+        open_ -= over
+    target |= {s: level * weights[s] for s in open_}
+    assert all(abs(taken[s] - target[s]) <= 156 for s in size)
+    final = Counter(r.doc_id for r in staged(spark, docs, 5).collect())
+    assert final == mixed
