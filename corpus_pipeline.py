@@ -14,8 +14,8 @@ from tidemark.llm.common import documents, has_word, tuned, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.passing(docs)
+    """Documents that the quality rules reject go. Short documents are judged like others: the least number of words is one."""
+    return quality_rules.passing(docs, min_words=1)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,12 +41,37 @@ def coded_number(value: Column) -> Column:
     return F.when(value.rlike(r"^n[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.substring(value, 2, 1 << 20).try_cast("double"))
 
 
+#: Of the sketch that tells where exact quantiles are to be looked for: its rank error is 1 / ACCURACY of the rows.
+ACCURACY = 100_000
+
+
+def exact_quantile(df: DataFrame, column: str, at: float, out: str) -> DataFrame:
+    """One row with the exact interpolated quantile of the known values; null without any.
+
+    A mergeable sketch gives two values between which the quantile must lie. What is below them is counted, and only the distinct
+    values between them, some hundred-thousandths of the rows or ``ACCURACY`` values, are put in order, so no task holds all values.
+    """
+    x = df.select(F.col(column).alias("x")).where("x IS NOT NULL")
+    slack = 3 / ACCURACY
+    ends = x.agg(F.count("*").alias("rows"), F.percentile_approx("x", F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack))), ACCURACY).alias("e"), F.min("x").alias("least"), F.max("x").alias("most"))
+    few = F.col("rows") <= ACCURACY  # then all are put in order: the sketch's error would be less than a row
+    low, high = F.when(few, F.col("least")).otherwise(F.get("e", F.lit(0))), F.when(few, F.col("most")).otherwise(F.get("e", F.lit(1)))
+    ends = F.broadcast(ends.select(((F.col("rows") - 1) * F.lit(float(at))).alias("place"), low.alias("from"), high.alias("to")))
+    marked = x.crossJoin(ends)  # one row
+    below = marked.agg(F.first("place").alias("place"), F.count_if(F.col("x") < F.col("from")).alias("below"))
+    near = marked.where("x BETWEEN from AND to").groupBy("x").agg(F.count("*").alias("n"))
+    upto = near.withColumn("upto", F.sum("n").over(W.orderBy("x"))).crossJoin(F.broadcast(below)).withColumn("upto", F.col("upto") + F.col("below"))
+    low, high = (F.min(F.when(F.col("upto") > f("place"), F.col("x"))) for f in (F.floor, F.ceil))
+    part = F.first(F.col("place") - F.floor("place"))
+    return upto.agg(low.alias("low"), high.alias("high"), part.alias("part")).select((F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part")).alias(out))
+
+
 def winsorized(df: DataFrame, raw: str, out: str, percentile: float = OUTLIER_PERCENTILE) -> DataFrame:
     """Adds ``out``: ``raw`` cut at its exact percentile and scaled to [0, 1]; 0 where all values are equal.
 
     The three statistics are one row, attached by a cross join with that row, not by a window over the table.
     """
-    cap = df.agg(F.percentile(raw, F.lit(percentile)).alias("_cap"))
+    cap = exact_quantile(df, raw, percentile, "_cap")
     bounds = df.crossJoin(F.broadcast(cap)).agg(F.min(F.least(raw, "_cap")).alias("_lo"), F.max(F.least(raw, "_cap")).alias("_hi"), F.first("_cap").alias("_cap"))
     x = F.least(F.col(raw), F.col("_cap"))
     return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_cap", "_lo", "_hi")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PRICE_BUCKETS
-from ..functions.scoring import coded_number
+from ..functions.scoring import coded_number, exact_quantile
 
 PROPERTIES = {"categoryid": "categoryid", "available": "available", "790": "price"}
 
@@ -31,24 +33,28 @@ def category_tree(raw: DataFrame) -> DataFrame:
 
 
 def ancestors(categories: DataFrame, tree: DataFrame, max_levels: int = 100) -> DataFrame:
-    """categoryid -> categoryid, ancestor, for itself and all above; ends at cycles. A recursive query, so no loop on the driver."""
-    spark = tree.sparkSession
-    categories.select("categoryid").dropna().distinct().createOrReplaceTempView("_ancestor_seeds")
-    tree.select("categoryid", "parentid").createOrReplaceTempView("_ancestor_tree")
-    return spark.sql(f"""
+    """categoryid -> categoryid, ancestor, for itself and all above; ends at cycles. A recursive query, so no loop on the driver; a
+    tree of more than ``max_levels`` levels raises an error, and rows are not limited."""
+    return tree.sparkSession.sql(
+        f"""
         WITH RECURSIVE up (categoryid, ancestor, path) MAX RECURSION LEVEL {max_levels} AS (
-          SELECT categoryid, categoryid, array(categoryid) FROM _ancestor_seeds
+          SELECT categoryid, categoryid, array(categoryid) FROM {{seeds}}
           UNION ALL
           SELECT up.categoryid, t.parentid, array_append(up.path, t.parentid)
-          FROM up JOIN _ancestor_tree t ON t.categoryid = up.ancestor
+          FROM up JOIN {{edges}} t ON t.categoryid = up.ancestor
           WHERE t.parentid IS NOT NULL AND NOT array_contains(up.path, t.parentid))
-        SELECT categoryid, ancestor FROM up""")
+        SELECT categoryid, ancestor FROM up LIMIT ALL""",
+        seeds=categories.select("categoryid").dropna().distinct(),
+        edges=tree.select("categoryid", "parentid"),
+    )
 
 
 def price_cuts(items: DataFrame, q: int = PRICE_BUCKETS) -> DataFrame:
     """One row: the inner quantiles of known prices; equal cuts count once."""
     at = [i / q for i in range(1, q)]
-    return items.where("price IS NOT NULL").agg(F.array_distinct(F.percentile("price", F.array(*map(F.lit, at)))).alias("cuts"))
+    each = [exact_quantile(items, "price", p, f"c{i}") for i, p in enumerate(at)]
+    found = reduce(lambda a, b: a.crossJoin(b), each)  # of one row each
+    return found.select(F.array_distinct(F.filter(F.array(*found.columns), lambda c: c.isNotNull())).alias("cuts"))
 
 
 def price_bucket(price: Column, cuts: Column) -> Column:

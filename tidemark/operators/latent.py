@@ -6,6 +6,10 @@ them. User factors and scores are DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -13,19 +17,24 @@ from pyspark.sql import functions as F
 
 from ..config import SVD_FACTORS, TOP_K
 from ..functions.scoring import by_score, top_per
+from ..sources.files import materialized
 from .clickstream import encode
 from .cooccurrence import excluded
 
 
+#: Items of a block.
+BLOCK_ITEMS = 4096
+
+
 def item_factors(matrix: DataFrame, factors: int = SVD_FACTORS) -> DataFrame:
     """itemid, v: the row of V for each item."""
-    ids = encode(matrix, "itemid", "j").cache()
+    ids = materialized(encode(matrix, "itemid", "j"), "factor_ids")
     n = ids.count()
     spark = matrix.sparkSession
     k = min(factors, n - 1)
     if k < 1:
         return spark.createDataFrame([], "itemid long, v array<double>")
-    rows = matrix.join(F.broadcast(ids), "itemid").groupBy("visitorid").agg(F.collect_list(F.struct("j", "weight")).alias("x")).select("x")
+    rows = matrix.join(ids, "itemid").groupBy("visitorid").agg(F.collect_list(F.struct("j", "weight")).alias("x")).select("x")
     v = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, sorted((e["j"], e["weight"]) for e in r["x"]))), 0, n).computeSVD(k).V.toArray()
     table = spark.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(v)], "j long, v array<double>")
     return ids.join(table, "j").select("itemid", "v")
@@ -41,10 +50,39 @@ def recommend(matrix: DataFrame, n: int = TOP_K, factors: int = SVD_FACTORS) ->
     """visitorid, itemid, score, rank: unseen items by the product of factors."""
     items = item_factors(matrix, factors)
     users = user_factors(matrix, items).join(excluded(matrix, "visitorid"), "visitorid", "left_anti")
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = users.crossJoin(items).select("visitorid", "itemid", dot.alias("score"))
-    unseen = scored.join(matrix.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
-    return top_per(unseen, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")
+    seen = matrix.groupBy("visitorid").agg(F.sort_array(F.collect_list("itemid")).alias("seen"))
+    best = block_products(users.join(seen, "visitorid"), items, n)
+    return top_per(best, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")
+
+
+def block_products(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """visitorid, itemid, score: for each user (visitorid, u, seen) and block of items (itemid, v) the ``n`` best that are not seen. Blocks
+    of users meet blocks of items by number, and each pair of blocks is one matrix product: a row per user and block comes
+    out, not one per user and item."""
+    count = max(1, -(-items.count() // BLOCK_ITEMS))
+    side = items.select(F.pmod(F.xxhash64("itemid"), F.lit(count)).cast("int").alias("block"), F.struct("itemid", "v").alias("x"))
+    blocks = side.groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("items")).select("block", F.col("items.itemid").alias("ids"), F.col("items.v").alias("v"))
+    asked = users.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), "visitorid", "u", "seen")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, v = None, None, None
+        for batch in batches:
+            visitors, found, scores = [], [], []
+            for row in batch.to_pylist():
+                if held != row["block"]:  # rows of a block stand together
+                    held, ids, v = row["block"], np.array(row["ids"]), np.array(row["v"])
+                product = v @ np.array(row["u"])
+                product[np.isin(ids, row["seen"], assume_unique=True)] = -np.inf
+                # to nine digits equal scores go by id, as in any ranked list
+                order = np.lexsort((ids, -np.round(product, 9)))[:n]
+                order = order[product[order] > -np.inf]
+                visitors.append(np.full(len(order), row["visitorid"]))
+                found.append(ids[order])
+                scores.append(product[order])
+            if visitors:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (visitors, found, scores)], ["visitorid", "itemid", "score"])
+
+    return asked.join(blocks, "block").select("block", "visitorid", "u", "seen", "ids", "v").mapInArrow(run, "visitorid long, itemid long, score double")
 
 
 def explained_variance(matrix: DataFrame, factors: int = SVD_FACTORS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EVAL_K, EVAL_PAD, MIN_TRAIN_INTERACTIONS, TEST_FRACTION
-from ..functions.scoring import micros, top_per
+from ..functions.scoring import exact_quantile, micros, top_per
 from .vectors import ContentVectors
 
 METRICS = ["precision", "recall", "map", "mrr", "ndcg"]
@@ -16,7 +16,7 @@ METRICS = ["precision", "recall", "map", "mrr", "ndcg"]
 def temporal_split(events: DataFrame, test_fraction: float = TEST_FRACTION) -> tuple[DataFrame, DataFrame]:
     """Events up to and after the exact quantile of time."""
     timed = events.withColumn("_us", micros(F.col("datetime")))
-    cut = timed.agg(F.percentile("_us", F.lit(1 - test_fraction)).alias("_cut"))
+    cut = exact_quantile(timed, "_us", 1 - test_fraction, "_cut")
     marked = timed.crossJoin(F.broadcast(cut))
     return marked.where("_us <= _cut").drop("_us", "_cut"), marked.where("_us > _cut").drop("_us", "_cut")
 
@@ -105,7 +105,8 @@ def compare(results: DataFrame, baseline: str = "popularity") -> DataFrame:
 
 
 def narrative(compared: DataFrame, k: int = EVAL_K) -> DataFrame:
-    """One row: what the comparison says, in a sentence on accuracy and one on the hybrid's trade of accuracy for coverage."""
+    """One row: what the comparison says, in a sentence on accuracy and one on the hybrid's trade of accuracy for coverage. Of equal
+    models the first by name is the best."""
     best = compared.orderBy(F.round("ndcg", 9).desc(), "model").limit(1).alias("b")
     hybrid = compared.where("model = 'hybrid'").select(F.col("catalog_coverage").alias("hc"), F.col("user_reach").alias("hr"), F.col("ndcg").alias("hn"))
     said = F.format_string("Highest raw accuracy: '%s', NDCG@" + str(k) + "=%.4f (%+.0f%% against popularity), precision %.4f, recall %.4f, reach %.1f%%.", "model", "ndcg", "lift_percent", "precision", "recall", F.col("user_reach") * 100)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import micros, ratio
+from ..functions.scoring import exact_quantile, micros, ratio
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 METRICS = ("item_view_count", "item_addtocart_count", "item_transaction_count", "unique_visitors", "product_interaction_score")
@@ -96,7 +96,7 @@ def category_breadth(events: DataFrame, attributes: DataFrame) -> DataFrame:
 def outliers(events: DataFrame, percentile: float = 0.99) -> DataFrame:
     """One row: the percentile of events per visitor, and how many visitors are above it."""
     own = events.groupBy("visitorid").agg(F.count("*").alias("n"))
-    cap = own.agg(F.percentile("n", F.lit(percentile)).alias("cap"))
+    cap = exact_quantile(own, "n", percentile, "cap")
     return own.crossJoin(F.broadcast(cap)).agg(F.first("cap").alias("cap"), F.count_if(F.col("n") > F.col("cap")).alias("n_above"), F.max("n").alias("most"))
 
 
@@ -119,9 +119,9 @@ def average_rank(df: DataFrame, value: str) -> DataFrame:
 
 
 def demo_visitors(users: DataFrame, n_top: int = 5, n_casual: int = 5, cold: int = 999_999_999, seed: int = 42) -> DataFrame:
-    """The most active visitors, a seeded sample of casual ones, and an unknown one."""
+    """The most active visitors, a seeded sample of casual ones (the first by a hash that any engine has), and an unknown one."""
     top = users.orderBy(F.round("user_activity_score", 9).desc(), "visitorid").limit(n_top).select("visitorid", F.lit("active").alias("kind"))
-    casual = users.where("user_activity_score > 0.05 AND user_activity_score < 0.25").orderBy(F.xxhash64("visitorid", F.lit(seed)), "visitorid").limit(n_casual).select("visitorid", F.lit("casual").alias("kind"))
+    casual = users.where("user_activity_score > 0.05 AND user_activity_score < 0.25").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("visitorid").cast("string"))), "visitorid").limit(n_casual).select("visitorid", F.lit("casual").alias("kind"))
     return top.unionByName(casual).unionByName(users.sparkSession.range(cold, cold + 1).select(F.col("id").alias("visitorid"), F.lit("cold").alias("kind")))
 
 
@@ -177,7 +177,22 @@ def confidence_scatter(users: DataFrame) -> DataFrame:
 def confidence_of_buyers(targets: DataFrame, users: DataFrame) -> DataFrame:
     """One row: distribution of the raw activity score of visitors who bought in the test period."""
     own = targets.select("visitorid").distinct().join(users.select("visitorid", "user_activity_score"), "visitorid")
-    return own.agg(F.count("*").alias("n"), F.percentile("user_activity_score", F.lit(0.5)).alias("median_score"), F.avg("user_activity_score").alias("mean_score"))
+    return own.agg(F.count("*").alias("n"), F.avg("user_activity_score").alias("mean_score")).crossJoin(exact_quantile(own, "user_activity_score", 0.5, "median_score")).select("n", "median_score", "mean_score")
+
+
+def popularity_collapse(recommended: DataFrame, matrix: DataFrame, events: DataFrame) -> DataFrame:
+    """What a model recommends to the visitor of the greatest weight, with the popularity rank (1: most events; ties share the mean
+    rank) of each item: a model that has collapsed onto popularity has small ranks only."""
+    total = matrix.groupBy("visitorid").agg(F.sum("weight").alias("total"))
+    most = total.agg(F.min(F.struct(-F.round("total", 9), F.col("visitorid").alias("visitorid"))).getField("visitorid").alias("visitorid"))
+    ranks = average_rank(events.groupBy("itemid").agg(F.count("*").alias("n_events")), "n_events")
+    return recommended.join(F.broadcast(most), "visitorid").join(ranks, "itemid").select("visitorid", "itemid", "score", "rank", "n_events", F.col("avg_rank").alias("popularity_rank"))
+
+
+def known_items(items: DataFrame, matrix: DataFrame) -> DataFrame:
+    """itemid, has_history: whether anybody has met an item of the catalog, so that co-interaction can say something about it."""
+    met = matrix.select("itemid").distinct().withColumn("has_history", F.lit(True))
+    return items.select("itemid").join(met, "itemid", "left").select("itemid", F.coalesce("has_history", F.lit(False)).alias("has_history"))
 
 
 def events_span(events: DataFrame) -> DataFrame:

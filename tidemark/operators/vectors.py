@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRICE_BUCKETS, TFIDF_MAX_FEATURES, TOP_K
 from ..functions.scoring import by_score, top_per
+from ..sources.files import materialized
 from .catalog import ancestors, with_price_bucket
 
 
@@ -38,7 +39,8 @@ class ContentVectors:
     def fit(cls, tokens: DataFrame, max_features: int = TFIDF_MAX_FEATURES) -> "ContentVectors":
         """tf * (ln((1 + N) / (1 + df)) + 1), each vector of length 1, over the tokens most frequent in the catalog."""
         sets = tokens.groupBy("itemid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        members = sets.select("itemid", F.xxhash64(F.concat_ws(" ", "tokens")).alias("profile"), "tokens").persist()
+        members = sets.select("itemid", F.xxhash64(F.concat_ws(" ", "tokens")).alias("profile"), "tokens")
+        members = materialized(members, "members")
         profiles = members.groupBy("profile").agg(F.count("*").alias("size"), F.any_value("tokens").alias("tokens"))
         tf = profiles.select("profile", "size", F.explode("tokens").alias("token")).groupBy("profile", "size", "token").agg(F.count("*").alias("tf"))
         vocabulary = tf.groupBy("token").agg(F.sum("size").alias("df"), F.sum(F.col("size") * F.col("tf")).alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
@@ -46,7 +48,7 @@ class ContentVectors:
         weighted = tf.join(F.broadcast(vocabulary), "token").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n_items")) / (1.0 + F.col("df"))) + 1.0))
         norms = weighted.groupBy("profile").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         # a fitted model is used again and again: kept, not computed anew from the catalog's tree each time
-        return cls(members.select("itemid", "profile"), weighted.join(norms, "profile").select("profile", "token", (F.col("x") / F.col("norm")).alias("w")).persist())
+        return cls(members.select("itemid", "profile"), materialized(weighted.join(norms, "profile").select("profile", "token", (F.col("x") / F.col("norm")).alias("w")), "vectors"))
 
     def tables(self) -> dict[str, DataFrame]:
         return {"content_members": self.members, "content_vectors": self.vectors}

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "addtocart").when(F.col("event_type") == "purchase", "transaction").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").where(only).select(
         F.col("user_id").cast("long").alias("visitorid"), kind.alias("event"), F.get_json_object("props", "$.k").try_cast("long").alias("itemid"),
         F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("transactionid"), F.col("ts").cast("timestamp").alias("datetime"),
     )
@@ -27,10 +27,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clickstream with every hundredth row twice."""
-    e = events(spark, sf_dir).withColumn("event_id", F.lit(0))
-    doubled = table(spark, sf_dir, "events").where("event_id % 100 = 0").select("user_id", "ts", "event_type")
-    twice = e.drop("event_id").join(F.broadcast(doubled.select(F.col("user_id").alias("visitorid"), F.col("ts").cast("timestamp").alias("datetime")).distinct()), ["visitorid", "datetime"], "left_semi")
-    return e.drop("event_id").unionByName(twice)
+    return events(spark, sf_dir).unionByName(events(spark, sf_dir, "event_id % 100 = 0"))
 
 
 def _numbered(parts: DataFrame, column: str, out: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blend, catalog, clickstream, cooccurrence, latent, profiles, rankeval, rankings, reports, vectors
 from ..functions.scoring import micros
-from ..sources.files import materialized
+from ..config import MIN_INTERACTIONS
+from ..sources.files import load_events, materialized, shared_folder
 from . import bindings
 from .oracle import ORACLE_SQL
 
@@ -186,6 +189,19 @@ def _clean(spark, sf_dir):
     return _plain(clickstream.clean_events(bindings.raw_events(spark, sf_dir)))
 
 
+def _csv(spark, sf_dir):
+    """The clickstream written as CSV in the raw layout and loaded again."""
+    e = bindings.events(spark, sf_dir)
+    path = f"{shared_folder(spark)}/csv/events-{uuid.uuid4().hex}"
+    e.select(F.unix_millis("datetime").alias("timestamp"), "visitorid", "event", "itemid", "transactionid").write.option("header", True).csv(path)
+    return load_events(spark, path).select("timestamp", "visitorid", "event", "itemid", "transactionid")
+
+
+def _exclusions(matrix: DataFrame, least_user: float, least_item: float) -> DataFrame:
+    users, items = cooccurrence.excluded(matrix, "visitorid", least_user), cooccurrence.excluded(matrix, "itemid", least_item)
+    return users.select(F.lit("user").alias("kind"), F.col("visitorid").alias("id"), "total").unionByName(items.select(F.lit("item").alias("kind"), F.col("itemid").alias("id"), "total"))
+
+
 def _quality(spark, sf_dir):
     s = Shop(spark, sf_dir)
     raw = bindings.raw_events(spark, sf_dir)
@@ -222,6 +238,7 @@ QUERIES = {
     "point_lookup": q(lambda s: s.items.where(F.col("itemid") == SEED_ITEM).select("itemid", "categoryid", "item_view_count", "product_interaction_score")),
     # cleaning and structure
     "clean_events_dedup": _clean,
+    "csv_round_trip": _csv,
     "txn_invariant": q(lambda s: clickstream.transaction_invariant(s.events)),
     "id_encoding": q(lambda s: clickstream.encode(s.events, "visitorid", "user_idx")),
     "item_id_encoding": q(lambda s: clickstream.encode(s.events, "itemid", "item_idx")),
@@ -257,7 +274,8 @@ QUERIES = {
     "score_histogram": q(lambda s: reports.histogram(s.users, "user_activity_score", 30, clip=0.9)),
     "zero_view_items": q(lambda s: reports.zero_view_items(s.events, s.attributes)),
     "trending_bestseller_overlap": q(lambda s: reports.overlap(rankings.trending(s.items, 50), rankings.best_sellers(s.items, 50))),
-    "demo_visitors": q(lambda s: reports.demo_visitors(s.users, n_casual=0)),
+    "demo_visitors": q(lambda s: reports.demo_visitors(s.users)),
+    "known_items": q(lambda s: reports.known_items(s.items, s.matrix)),
     "avg_tie_rank": q(lambda s: reports.average_rank(s.items.select("itemid", "item_view_count"), "item_view_count")),
     "recently_viewed": q(lambda s: reports.recently_viewed(s.events)),
     "sorted_items": q(lambda s: reports.sorted_items(s.items, "unique_visitors")),
@@ -279,16 +297,20 @@ QUERIES = {
     "content_top1_similarity": q(lambda s: s.content.similar_items(1).groupBy(F.round("content_similarity", 6).alias("similarity")).agg(F.count("*").alias("n"))),
     # collaborative filtering
     "interaction_matrix": q(lambda s: s.matrix),
-    "cf_exclusions": q(lambda s: cooccurrence.excluded(s.matrix, "visitorid").select(F.lit("user").alias("kind"), F.col("visitorid").alias("id"), "total").unionByName(cooccurrence.excluded(s.matrix, "itemid").select(F.lit("item").alias("kind"), F.col("itemid").alias("id"), "total"))),
+    "cf_exclusions": q(lambda s: _exclusions(s.matrix, MIN_INTERACTIONS, MIN_INTERACTIONS)),
+    "cf_exclusions_high": q(lambda s: _exclusions(s.matrix, 40, 150)),
     "cf_item_similar": q(lambda s: cooccurrence.similar_items(s.matrix, 10)),
     "cf_item_recs": q(lambda s: cooccurrence.recommend_by_items(s.matrix, 10)),
     "cf_user_recs": q(lambda s: cooccurrence.recommend_by_users(s.matrix, 10)),
     "svd_recs": q(lambda s: latent.recommend(s.matrix, 10)),
+    "svd_popularity": q(lambda s: reports.popularity_collapse(latent.recommend(s.matrix, 10), s.matrix, s.events)),
     "svd_explained_variance": q(lambda s: latent.explained_variance(s.matrix)),
     # hybrid
     "cf_confidence": q(lambda s: blend.confidence(s.visitors(), s.users)),
     "hybrid_recs": q(_hybrid),
     "hybrid_seeded": q(lambda s: _hybrid(s, seed_item=SEED_ITEM)),
+    "hybrid_user_based": q(lambda s: _hybrid(s, cf_method="user_based")),
+    "hybrid_svd": q(lambda s: _hybrid(s, cf_method="svd")),
     "hybrid_explain": q(lambda s: blend.explained(_hybrid(s)).select("visitorid", "itemid", "explanation")),
     # evaluation
     "temporal_split": _split,
@@ -300,5 +322,6 @@ QUERIES = {
     "user_reach": _figure(lambda e, x: rankeval.user_reach(x, e.visitors)),
     "buyer_confidence": _figure(lambda e, x: reports.confidence_of_buyers(e.targets, e.shop.users)),
     "model_comparison": lambda spark, sf_dir: _plain(_comparison(spark, sf_dir, [m for m in MODELS if m != "cf_svd"])),
+    "narrative": lambda spark, sf_dir: rankeval.narrative(_comparison(spark, sf_dir, [m for m in MODELS if m != "cf_svd"])),
     "model_comparison_all": lambda spark, sf_dir: _plain(_comparison(spark, sf_dir)),
 }

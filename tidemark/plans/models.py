@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import blend, cooccurrence, rankings, vectors
+from ..operators import blend, cooccurrence, latent, rankings, vectors
 from ..sources.files import load_tables, save_tables
 from .catalogue import Shop
 
-TABLES = ("user_features", "item_features", "category_features", "interactions", "content_members", "content_vectors", "item_similarities", "basket_pairs")
+TABLES = ("user_features", "item_features", "category_features", "interactions", "content_members", "content_vectors", "item_similarities", "basket_pairs", "item_factors", "user_factors")
 
 
-def fit(shop: Shop) -> dict[str, DataFrame]:
+#: Similar items that are saved of each.
+NEIGHBOURS = 50
+
+
+def fit(shop: Shop, neighbours: int = NEIGHBOURS) -> dict[str, DataFrame]:
+    factors = latent.item_factors(shop.matrix)
     return {
         "user_features": shop.users, "item_features": shop.items, "category_features": shop.categories, "interactions": shop.matrix, **shop.content.tables(),
-        "item_similarities": cooccurrence.similar_items(shop.matrix, 50), "basket_pairs": cooccurrence.pair_counts(shop.basket),
+        "item_similarities": cooccurrence.similar_items(shop.matrix, neighbours), "basket_pairs": cooccurrence.pair_counts(shop.basket),
+        "item_factors": factors, "user_factors": latent.user_factors(shop.matrix, factors),
     }
 
 
@@ -39,6 +45,10 @@ class Recommender:
         return self.content.similar_items(n)
 
     def also_viewed(self, n: int = 10) -> DataFrame:
+        """The ``n`` most similar items by who met them; no more than were saved (``fit(neighbours=...)``) can be asked for."""
+        most = self.t["item_similarities"].agg({"rank": "max"}).first()[0] or 0
+        if n > max(most, NEIGHBOURS):
+            raise ValueError(f"{most} similar items were saved of each")
         return self.t["item_similarities"].where(f"rank <= {int(n)}")
 
     def recommend(self, visitors: DataFrame, n: int = 10, **options) -> DataFrame:

@@ -81,8 +81,7 @@ def shop(e: str, s: str) -> dict[str, str]:
         f"ni{s}": f"SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, a <> b, b) AS near FROM si{s}",
         f"nu{s}": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, a <> b, b) AS near FROM su{s} WHERE a NOT IN (SELECT visitorid FROM xu{s})) WHERE near <= 21 AND a <> b",
         f"cfi{s}": cf_items("10", s),
-        f"cfu{s}": f"""SELECT * FROM (SELECT visitorid, itemid, score, row_number() OVER (PARTITION BY visitorid ORDER BY round(score, 9) DESC, itemid) AS rank FROM (
-            SELECT a AS visitorid, itemid, sum(sim * weight) AS score FROM nu{s} JOIN m{s} ON visitorid = b GROUP BY a, itemid) s WHERE NOT EXISTS (SELECT 1 FROM m{s} x WHERE x.visitorid = s.visitorid AND x.itemid = s.itemid)) WHERE rank <= 10""",
+        f"cfu{s}": cf_users(10, s),
         f"len{s}": f"SELECT visitorid, CAST(coalesce(c, 0) + 30 AS INTEGER) AS n FROM allusers LEFT JOIN (SELECT visitorid, count(DISTINCT itemid) AS c FROM {e} GROUP BY visitorid) USING (visitorid)",
         f"ask{s}": "SELECT visitorid, 10 AS n FROM allusers",
         f"conf{s}": f"SELECT visitorid, sqrt(coalesce(user_activity_score, 0.0)) AS cf_confidence FROM allusers LEFT JOIN users{s} USING (visitorid)",
@@ -109,9 +108,14 @@ def cf_items(n: str, s: str, ask: str = "") -> str:
         WHERE NOT EXISTS (SELECT 1 FROM m{s} x WHERE x.visitorid = c.visitorid AND x.itemid = c.itemid)) WHERE rank <= n"""
 
 
-def hybrid(ask: str, s: str, seed: str = "") -> str:
+def cf_users(n: int, s: str) -> str:
+    return f"""SELECT * FROM (SELECT visitorid, itemid, score, row_number() OVER (PARTITION BY visitorid ORDER BY round(score, 9) DESC, itemid) AS rank FROM (
+            SELECT a AS visitorid, itemid, sum(sim * weight) AS score FROM nu{s} JOIN m{s} ON visitorid = b GROUP BY a, itemid) s WHERE NOT EXISTS (SELECT 1 FROM m{s} x WHERE x.visitorid = s.visitorid AND x.itemid = s.itemid)) WHERE rank <= {n}"""
+
+
+def hybrid(ask: str, s: str, seed: str = "", cf: str = "") -> str:
     seeds = f"(SELECT visitorid, CAST({seed} AS BIGINT) AS itemid FROM {ask})" if seed else f"(SELECT visitorid, max(itemid) AS itemid FROM m{s} GROUP BY visitorid)"
-    cf = cf_items("3 * q.n", s, ask)
+    cf = cf or cf_items("3 * q.n", s, ask)
     only = f"(SELECT itemid, p FROM sets WHERE itemid IN (SELECT itemid FROM {seeds}))"
     near = NEAR.format(only=only, n=f"(SELECT 3 * max(n) FROM {ask})")
     return f"""SELECT visitorid, itemid, hybrid_score, cf_confidence AS cf_confidence_used, rank FROM (
@@ -243,7 +247,9 @@ SELECTS = {
     "score_histogram": HIST.format(bins=30, x="least(user_activity_score, 0.9)", of="users_a"),
     "zero_view_items": "SELECT count(*) AS n_zero_view FROM attrs WHERE itemid NOT IN (SELECT itemid FROM allev WHERE event = 'view')",
     "trending_bestseller_overlap": "SELECT count(*) AS n_shared, round(count(*) / CAST((SELECT least(50, count(*)) FROM items_a) AS DOUBLE), 6) AS share FROM (SELECT itemid FROM items_a ORDER BY round(product_interaction_score, 9) DESC, itemid LIMIT 50) JOIN (SELECT itemid FROM items_a ORDER BY item_transaction_count DESC, itemid LIMIT 50) USING (itemid)",
-    "demo_visitors": "SELECT * FROM (SELECT visitorid, 'active' AS kind FROM users_a ORDER BY round(user_activity_score, 9) DESC, visitorid LIMIT 5) UNION ALL SELECT CAST(999999999 AS BIGINT), 'cold'",
+    "demo_visitors": "SELECT * FROM (SELECT visitorid, 'active' AS kind FROM users_a ORDER BY round(user_activity_score, 9) DESC, visitorid LIMIT 5) UNION ALL SELECT * FROM (SELECT visitorid, 'casual' FROM users_a WHERE user_activity_score > 0.05 AND user_activity_score < 0.25 ORDER BY md5('42:' || visitorid) LIMIT 5) UNION ALL SELECT CAST(999999999 AS BIGINT), 'cold'",
+    "known_items": "SELECT itemid, itemid IN (SELECT itemid FROM m_a) AS has_history FROM items_a",
+    "csv_round_trip": "SELECT us // 1000 AS timestamp, visitorid, event, itemid, transactionid FROM allev",
     "avg_tie_rank": "SELECT itemid, item_view_count, rank() OVER (ORDER BY item_view_count DESC) + (count(*) OVER (PARTITION BY item_view_count) - 1) / 2.0 AS avg_rank FROM items_a",
     "recently_viewed": "SELECT visitorid, row_number() OVER (PARTITION BY visitorid ORDER BY max(us) DESC, itemid) AS rank, itemid FROM allev GROUP BY visitorid, itemid QUALIFY rank <= 10",
     "sorted_items": "SELECT itemid, unique_visitors AS value FROM items_a ORDER BY unique_visitors DESC, itemid LIMIT 15",
@@ -263,12 +269,14 @@ SELECTS = {
     "content_top1_similarity": "SELECT round(content_similarity, 6) AS similarity, count(*) AS n FROM (" + NEAR.format(only="sets", n=1) + ") GROUP BY 1",
     "interaction_matrix": f"SELECT visitorid, itemid, {r('weight')} FROM m_a",
     "cf_exclusions": f"SELECT 'user' AS kind, visitorid AS id, {r('total')} FROM xu_a UNION ALL SELECT 'item', itemid, {r('total')} FROM xi_a",
+    "cf_exclusions_high": f"SELECT 'user' AS kind, visitorid AS id, {r('total')} FROM (SELECT visitorid, sum(weight) AS total FROM m_a GROUP BY visitorid HAVING sum(weight) < 40) UNION ALL SELECT 'item', itemid, {r('total')} FROM (SELECT itemid, sum(weight) AS total FROM m_a GROUP BY itemid HAVING sum(weight) < 150)",
     "cf_item_similar": "SELECT a AS item, b AS similar_item, rank, round(sim, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM si_a WHERE a <> b AND a NOT IN (SELECT itemid FROM xi_a)) WHERE rank <= 10",
     "cf_item_recs": listing("cfi_a", "visitorid", "itemid"),
     "cf_user_recs": listing("cfu_a", "visitorid", "itemid"),
     "cf_confidence": f"SELECT visitorid, {r('cf_confidence')} FROM conf_a",
     "hybrid_recs": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM hyb_a",
     "hybrid_seeded": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM ({hybrid('ask_a', '_a', '5')})",
+    "hybrid_user_based": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM ({hybrid('ask_a', '_a', cf=cf_users(30, '_a'))})",
     "hybrid_explain": "SELECT visitorid, itemid, CASE WHEN cf_confidence_used > 0.3 THEN 'Recommended based on your browsing and purchase history.' ELSE 'Recommended because it''s popular among shoppers with similar interests.' END AS explanation FROM hyb_a",
     "temporal_split": "SELECT 'train' AS part, count(*) AS n, max(us) AS last FROM trainev UNION ALL SELECT 'test', count(*), max(us) FROM testev",
     "eval_targets": "SELECT * FROM targets",
@@ -280,4 +288,8 @@ SELECTS = {
     "buyer_confidence": "SELECT count(*) AS n, round(quantile_cont(user_activity_score, 0.5), 6) AS median_score, round(avg(user_activity_score), 6) AS mean_score FROM (SELECT DISTINCT visitorid FROM targets) JOIN users_t USING (visitorid)",
     "model_comparison": f"SELECT model, {r('precision', 'recall', 'map', 'mrr', 'ndcg', 'catalog_coverage', 'novelty', 'diversity', 'user_reach')}, n_users_evaluated, round(CASE WHEN b > 0 THEN (ndcg - b) / b * 100 ELSE CAST('inf' AS DOUBLE) END, 6) AS lift_percent FROM results, (SELECT ndcg AS b FROM results WHERE model = 'popularity')".replace("round(precision,", 'round("precision",'),
 }
+_BEST = 'SELECT * FROM results ORDER BY round(ndcg, 9) DESC, model LIMIT 1'
+SELECTS["narrative"] = f"""SELECT printf('Highest raw accuracy: ''%s'', NDCG@10=%.4f (%+.0f%% against popularity), precision %.4f, recall %.4f, reach %.1f%%.', b.model, b.ndcg, (b.ndcg - p.ndcg) / p.ndcg * 100, b."precision", b.recall, b.user_reach * 100)
+    || CASE WHEN b.model <> 'hybrid' THEN printf(' Hybrid shows %.1f%% of the catalog against %.1f%%, reaches %.1f%% of users and keeps %.0f%% of that accuracy.', h.catalog_coverage * 100, b.catalog_coverage * 100, h.user_reach * 100, coalesce(h.ndcg / nullif(b.ndcg, 0), 0.0) * 100) ELSE '' END AS explanation
+    FROM ({_BEST}) b, (SELECT * FROM results WHERE model = 'hybrid') h, (SELECT * FROM results WHERE model = 'popularity') p"""
 ORACLE_SQL = {name: build(sql) for name, sql in SELECTS.items()}

@@ -110,16 +110,23 @@ def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the folder that driver and executors share (``spark.checkpoint.dir``; one under /tmp where that is
-    unset, as in local runs) and read again: computed once, with a short plan, and safe from lost executors."""
+    """``df`` written as a table in the folder that driver and executors share and read again: computed once, with a short plan, and safe
+    from lost executors."""
     spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, one under /tmp in local runs, and an error on a cluster, whose machines share no /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"/tmp/tidemark-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
 
 
 def save_report(df: DataFrame, path: str) -> None:

@@ -60,3 +60,15 @@ def with_baskets(log: DataFrame, properties: DataFrame, probability: float = 0.3
     wanted = sold.join(category, "itemid").join(sizes, "category").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("at", F.floor(uniform(seed + 5, "transactionid", "k") * F.col("size")).cast("int"))
     more = wanted.select("timestamp", "visitorid", "event", "transactionid", "category", "at", F.col("itemid").alias("bought")).join(numbered, ["category", "at"]).where("itemid <> bought")
     return log.unionByName(more.select(log.columns).dropDuplicates(["transactionid", "itemid"]))
+
+
+def write_raw(spark: SparkSession, folder: str, n: int = 120_000, users: int = 4000, items: int = 3000, categories: int = 120, days: int = 120, seed: int = 42) -> None:
+    """The four raw files (events, two parts of the property log, the category tree) as CSV with headers, as ``load_all`` reads them."""
+    log = item_properties(spark, items, categories, days, seed)
+    first = F.pmod(F.xxhash64("itemid", "property"), F.lit(2)) == 0
+    tables = {
+        "events": with_baskets(events(spark, n, users, items, days, seed), log, seed=seed), "item_properties_part1": log.where(first), "item_properties_part2": log.where(~first),
+        "category_tree": category_tree(spark, categories, seed=seed),
+    }
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
