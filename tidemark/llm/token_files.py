@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .bpe import CONTROLS, FAR, OTHER_GAPS, vocabulary_path
 from .common import documents, tuned, written
 
-END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 12 << 20
+END_ID, BLOCK_IDS, FILE_IDS = 1, 1024, 6 << 20
 #: Bits of the index of a block's table; what a cell counts up to; the rate of the weights.
 CELL_BITS, MOST_SEEN, WEIGHT_SHIFT = 12, 12, 10
 HEADER = struct.Struct("<4sHIIIII")
