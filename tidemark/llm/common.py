@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +49,11 @@ def forget(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets go of shuffle files that no plan refers to any more. Spark deletes them when the driver collects its garbage, which it may not
-    do for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    do for long; the second time finds what the first has made unreachable."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
