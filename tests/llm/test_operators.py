@@ -132,6 +132,59 @@ def test_telephony(spark, odd, none):
     assert telephony.digests(telephony.stored(none)).count() == 0
 
 
+def plain_mulaw(u):
+    u = ~u & 255
+    t = ((u & 15) << 3) + 132 << ((u & 112) >> 4)
+    return 132 - t if u & 128 else t - 132
+
+
+def plain_alaw(a):
+    a ^= 85
+    t, segment = (a & 15) << 4, (a & 112) >> 4
+    t = t + 8 if segment == 0 else (t + 264) << (segment - 1)
+    return t if a & 128 else -t
+
+
+def plain_adpcm(data):
+    out = []
+    for k in range(0, len(data), telephony.BLOCK):
+        block = data[k : k + telephony.BLOCK]
+        value, at = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.STEPS[at])
+                d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - d if code & 8 else value + d))
+                at = max(0, min(88, at + int(telephony.INDEX_CHANGE[code & 7])))
+                out.append(value)
+    return out
+
+
+def plain_double(x):
+    out = []
+    for i, v in enumerate(x):
+        a, b, c, d = x[max(0, i - 1)], v, x[min(len(x) - 1, i + 1)], x[min(len(x) - 1, i + 2)]
+        out += [v, max(-32768, min(32767, (9 * (b + c) - a - d + 8) >> 4))]
+    return out
+
+
+def test_telephony_features_and_pcm(spark, odd):
+    r = random.Random(8)
+    payloads = [bytes(r.randrange(256) for _ in range(576 * n)) for n in (1, 2, 1)] + [b"\xff" * 576]
+    for data, got in zip(payloads, telephony.features([memoryview(p) for p in payloads]), strict=True):
+        mu, alaw, ad = [plain_mulaw(b) for b in data], [plain_alaw(b) for b in data], plain_adpcm(data)
+        crc = zlib.crc32(np.array(plain_double(mu), "<i2").tobytes())
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:], strict=False))
+        assert got == f"samples={len(data)};mulaw={sum(x * x for x in mu)};crossings={crossings};alaw={sum(x * x for x in alaw)};adpcm={sum(x * x for x in ad)};peak={max(map(abs, ad))};pcm16k={crc:08x}"
+    expand = {"mulaw": lambda p: [plain_mulaw(b) for b in p], "alaw": lambda p: [plain_alaw(b) for b in p], "adpcm": plain_adpcm}
+    docs = odd.where("doc_id IN (4, 6, 7)")
+    texts = {i: t for i, t, *_ in ODD if i in (4, 6, 7)}
+    for codec in telephony.CODECS:
+        for row in telephony.stored_pcm(telephony.stored(docs, codec)).collect():
+            want = plain_double(expand[codec](telephony.padded(texts[row.doc_id])[1]))
+            assert row.rate == 16000 and row.pcm == np.array(want, "<i2").tobytes()
+
+
 def test_quality_rules_odd(odd, none):
     got = quality_rules.quality(odd).collect()
     assert len(got) == len(ODD) and all(not x.kept for x in got if x.n_words < 50)
@@ -200,6 +253,36 @@ def test_lm_scores(spark, odd, none, sf):
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (total + types + 1)) for w in ws))
 
 
+def test_running_words_and_lines():
+    from tidemark.llm.running import END, Texts, line_hashes, packed, unpacked
+
+    texts = ["A b  c\n\nd e f", "", None, " \n x", "Long " + "q" * 1000 + " z\n", "one two three four five\nsix seven", "é É \x85\x1c a\x0bb", "q" * 999 + " " + "q" * 1000]
+    t = Texts(texts)
+    plain = [(x or "").encode().lower().split() for x in texts]
+    assert t.sizes.tolist() == [len(w) + 1 for w in plain] and t.n_bytes.tolist() == [len((x or "").encode()) for x in texts]
+    flat = [w for ws in plain for w in [*ws, None]]
+    by = {}
+    for w, h in zip(flat, t.tokens.tolist(), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by) and by[None] == int(END)
+    before = [0 if i == 0 or flat[i - 1] is None else by[flat[i - 1]] for i in range(len(flat))]
+    assert t.before().tolist() == before
+    at, n = t.lines()
+    hoped, offset = [], 0
+    for x, ws in zip(texts, plain, strict=True):
+        o = offset
+        for line in (x or "").encode().split(b"\n"):
+            hoped.append((o, len(line.split())))
+            o += hoped[-1][1]
+        offset += len(ws) + 1
+    assert list(zip(at.tolist(), n.tolist(), strict=True)) == hoped
+    two = Texts(["a b c\nb a c\na b c"])
+    x = line_hashes(two.tokens, *two.lines())
+    assert x[0] == x[2] != x[1]
+    values = np.array([0, 1, 255, 256, 70000, 2**32 - 1])
+    assert unpacked(packed(values)).tolist() == values.tolist()
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = [lm_scoring.scored(docs.repartition(n, "doc_id")).toPandas().sort_values("doc_id").score.to_numpy() for n in (1, 4, 9)]
