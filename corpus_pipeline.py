@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. What a stage
 returns is written as Parquet and read again for the next.
+
+Null texts, empty ones and those of white space go in the first stage; null languages and sources are groups of their own throughout.
+Rows that repeat a doc_id are judged each, cut in the order of a hash of their texts, one document where near copies are looked for,
+and taken or left together by the mix. Rows with a null doc_id stay where their texts do. Columns beyond those of ``documents`` are
+carried along, whatever their names, up to the last stage. An empty table gives an empty result, and texts may be of any length.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ import pytest
 
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
-SLOW = {"model_comparison"}
+#: The lists and figures that these put together are compared one by one.
+SLOW = {"model_comparison", "narrative"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL and n not in SLOW])
