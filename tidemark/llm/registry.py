@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
+from . import bpe, conversations, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,10 +15,12 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op9_token_files": token_files.op9_token_files,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
 }
