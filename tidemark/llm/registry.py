@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
+from . import bpe, conversations, divergence, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
