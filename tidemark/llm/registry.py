@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, divergence, line_dedup, lm_scoring, minhash, mixing, perplexity, quality_rules, telephony, token_files, toxicity
+from . import bpe, conversations, divergence, line_dedup, lm_scoring, minhash, mixing, perplexity, personal, quality_rules, telephony, token_files, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_personal_data": personal.op13_personal_data,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_conversation_repair": conversations.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_personal_data": personal.OP13_SQL,
 }
