@@ -90,7 +90,7 @@ class Lexicon:
         hits, spans = self.hits(words)
         if not hits:
             return 0.0
-        found = Counter(e for a, b, e in hits if not any(x <= a and b <= y for x, y in spans))
+        found = Counter(e for a, b, e in outside(hits, spans))
         total = sum(self.weights[e] * (1 + math.log(n)) for e, n in sorted(found.items()))
         return total / math.log(math.e + len(words) / 1000)
 
@@ -110,6 +110,17 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.strength(text) + self.offset))))
 
 
+def outside(hits: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Hits that lie within no span: both in the order of their beginnings, with the furthest end of the spans begun so far."""
+    spans, out, reached, k = sorted(spans), [], -1, 0
+    for a, b, e in sorted(hits):
+        while k < len(spans) and spans[k][0] <= a:
+            reached, k = max(reached, spans[k][1]), k + 1
+        if b > reached:
+            out.append((a, b, e))
+    return out
+
+
 LEAST_ODDS = math.log(10)
 
 
