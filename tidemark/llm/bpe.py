@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 from .common import documents, tuned
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and pairs of tokens, that a worker remembers; beyond that it starts anew.
-MEMORY = 400_000
+#: Pairs of tokens, and bytes of words and of pre-tokens, that a worker remembers; beyond that it starts anew. Longer words are not remembered.
+MEMORY, MEMORY_BYTES, LONG_WORD = 400_000, 96 << 20, 64
 #: What makes a word's last symbol another symbol than the same letter inside a word.
 LAST = 0x1000
 #: Beyond this code point, letters, digits and white space differ between the Unicode versions in use; up to it nothing composes.
@@ -84,6 +84,7 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self.spelt = Spelt(self)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_bytes = 0
         self.fits: dict[int, bool] = {}
 
     def symbols_of(self, token: str) -> str:
@@ -142,9 +143,12 @@ class PrefixBpe:
             ids.append(last[at])
             at -= lengths[at]
         out = tuple(reversed(ids))
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        self.known[text] = out
+        if len(text) <= LONG_WORD:
+            if self.known_bytes > MEMORY_BYTES // 2:
+                self.known.clear()
+                self.known_bytes = 0
+            self.known_bytes += 180 + 2 * len(text) + 8 * len(out)
+            self.known[text] = out
         return out
 
     def pretokens(self, part: str) -> list[str]:
@@ -174,6 +178,7 @@ class PrefixBpe:
     def forget(self) -> None:
         for kept in (self.spelt, self.known, self.fits):
             kept.clear()
+        self.known_bytes = self.spelt.held = 0
 
     def document(self, text: str) -> tuple[int, str, str]:
         """Count of ids, decimal ids joined by spaces, and decoded text. A text is taken by what stands between white space: no
@@ -196,16 +201,20 @@ class Spelt(dict):
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
-        self.bpe, self.gaps = bpe, False
+        self.bpe, self.gaps, self.held = bpe, False, 0
 
     def __missing__(self, word: str) -> tuple[str, str]:
         ids = self.bpe.encode(word)
         if not ids:
             self.gaps = True
-        if len(self) > MEMORY:
-            self.clear()
         digits = self.bpe.digits
-        self[word] = found = " ".join([digits[i] for i in ids]), self.bpe.decode(ids)
+        found = " ".join([digits[i] for i in ids]), self.bpe.decode(ids)
+        if len(word) <= LONG_WORD:
+            if self.held > MEMORY_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += 350 + 4 * (len(word) + len(found[1])) + len(found[0])
+            self[word] = found
         return found
 
 

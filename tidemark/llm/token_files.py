@@ -270,13 +270,15 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class WordIds:
-    """The library's ids of what stands between white space, remembered; words not met before go to the library together."""
+    """The library's ids of what stands between white space, remembered up to so many bytes; words not met before go to the library
+    together. Words of more than ``LONG`` letters are not remembered beyond a call."""
 
-    MEMORY = 500_000
+    MEMORY, LONG = 96 << 20, 64
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # ids as 16-bit numbers
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         """One call for all words: they are joined by spaces, over which no id reaches, and parted again by where ids begin."""
@@ -288,18 +290,23 @@ class WordIds:
         at = 0
         for w, end in zip(words, ends.tolist(), strict=True):
             self.known[w] = ids[at:end]
+            self.held += 180 + 4 * len(w) + end - at
             at = end
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts, and all ids."""
         words = [(OTHER_GAPS.sub(" ", t).split(" ") if "<|" in t or FAR.search(t) or CONTROLS.search(t) else t.lower().split()) for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > self.MEMORY:
+        if self.held > self.MEMORY:
             self.known.clear()
+            self.held = 0
             new = list(set(chain.from_iterable(words)))
         self.learn(new)
         get = self.known.__getitem__
         ids = [b"".join(map(get, ws)) for ws in words]
+        for w in new:
+            if len(w) > self.LONG:
+                self.held -= 180 + 4 * len(w) + len(self.known.pop(w))
         return np.fromiter(map(len, ids), np.int64, len(ids)) // 2, np.frombuffer(b"".join(ids), np.uint16).astype(np.uint32)
 
 
