@@ -27,6 +27,7 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LEAST_DOCS, BEST = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
 TILE_CELLS = 1 << 18
+FEW_LANGUAGES = 100_000
 #: Counts held by a task before they are handed on; handed on or not, they are added up after the shuffle.
 MOST_HELD = 400_000
 
@@ -127,6 +128,9 @@ def divergence(docs: DataFrame) -> DataFrame:
     cells = F.lit(float(TILE_CELLS))
     terms_of_tile = F.greatest(F.lit(1), F.least(F.greatest(cells / F.col("sources"), F.col("sources")), 8 * cells / F.col("sources")))
     sizes = sizes.select("lang", F.greatest(F.lit(1), F.ceil(F.col("kept") / terms_of_tile)).cast("long").alias("blocks"))
+    # a row a language: sent along where they are few, so that no join deals the terms by language alone
+    sizes = written(sizes, "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")
     terms = kept.join(sizes, "lang").select("lang", block, "source", "term", "n")
     groups = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "total", "kept")
