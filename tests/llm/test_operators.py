@@ -547,11 +547,14 @@ def staged(spark, docs, upto):
 
 def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
     columns = ["doc_id", "text", "lang", "source", "n_chars", "size", "kept"]  # two clashing names
-    for docs in (odd.select(columns), none.select(columns)):
+    odd, none = (x.select(columns).withColumns({c: F.lit("x") for c in ("_n", "_copy", "copy", "n", "d", "t", "a.b", "c`d")}) for x in (odd, none))
+    columns = odd.columns
+    odder = [f"`{c.replace('`', '``')}`" for c in columns]
+    for docs in (odd, none):
         for upto in range(1, 5):
             assert staged(spark, docs, upto).columns == columns
         assert staged(spark, docs, 5).count() >= 0
-    kept = {r.doc_id for r in staged(spark, odd.select(columns), 3).collect()}
+    kept = {r.doc_id for r in staged(spark, odd.select(odder), 3).collect()}
     assert 1 not in kept and 2 not in kept and 3 not in kept  # nothing to train on
 
 
@@ -595,3 +598,31 @@ def test_pipeline_on_planted_cases(spark):
     assert all(abs(taken[s] - target[s]) <= 156 for s in size)
     final = Counter(r.doc_id for r in staged(spark, docs, 5).collect())
     assert final == mixed
+
+
+def test_hits_outside_exceptions():
+    r = random.Random(2)
+    for _ in range(200):
+        hits = [(a, a + r.randrange(6), "e") for a in (r.randrange(60) for _ in range(20))]
+        spans = [(a, a + r.randrange(9)) for a in (r.randrange(60) for _ in range(8))]
+        assert toxicity.outside(hits, spans) == sorted(h for h in hits if not any(x <= h[0] and h[1] <= y for x, y in spans))
+    n = 300_000  # a text of some 2 MB that is full of both
+    hits, spans = [(8 * i, 8 * i + 3, "e") for i in range(n)], [(8 * i + 4, 8 * i + 7) for i in range(n)]
+    assert len(toxicity.outside(hits, spans)) == n
+
+
+def test_memories_are_bounded_by_bytes(monkeypatch):
+    """Words without spaces are long: of these none is remembered, and of others so many bytes."""
+    r = random.Random(1)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(60)] + [f"word{i} other{i}" for i in range(500)]
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 20_000)
+    coder, ids = bpe.PrefixBpe(bpe.vocabulary_path()), token_files.WordIds(bpe.vocabulary_path())
+    ids.MEMORY = 20_000
+    for t in texts:
+        n, spelt, _ = coder.document(t)
+        counts, got = ids([t])
+        assert n == counts[0] and spelt == " ".join(map(str, got.tolist())) == " ".join(map(str, coder.library.encode(t, add_special_tokens=False).ids))
+        assert all(len(w) <= bpe.LONG_WORD for kept in (coder.spelt, coder.known, ids.known) for w in kept)
+    assert len(coder.spelt) < 200 and len(ids.known) < 200
+    minhash.shingles(" ".join("x" * 3000 + str(i) for i in range(1000)), 3)
+    assert all(len(w) <= 64 for w in minhash.HASHES)

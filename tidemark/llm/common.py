@@ -67,6 +67,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def named(column: str) -> "F.Column":
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole(docs: DataFrame) -> "F.Column":
+    """All columns of ``docs`` as a struct ``d``, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[named(c) for c in docs.columns]).alias("d")
+
+
 def words_of(text) -> "F.Column":
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

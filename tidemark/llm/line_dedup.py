@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, has_word, tuned, written
+from .common import documents, forget, has_word, tuned, whole, written
 
 MIN_WORDS = 20
 
@@ -133,7 +133,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     table gives an empty result.
     """
     tuned(docs.sparkSession)
-    held = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("d")), "held")
+    held = written(docs.select(F.monotonically_increasing_id().alias("rid"), whole(docs)), "held")
     lines = written(lines_of(held.select("rid", "d.doc_id", "d.text"), min_words), "lines")
     runs = repeated_runs(lines, min_words)
     gone = runs.select("rid", F.explode(F.sequence("start", "stop")).alias("line"), F.lit(0).alias("n"))

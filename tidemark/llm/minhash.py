@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, tuned, written
+from .common import documents, forget, named, tuned, written
 from .graphs import components
 
 ROWS, MISS, BATCH = 5, 1e-6, 25
@@ -53,12 +53,14 @@ def least_equal(percent: int, hashes: int, miss: float = MISS, batch: int = BATC
 
 
 class WordHashes(dict):
-    """64-bit hash by word; words met before are not hashed again."""
+    """64-bit hash by word; words met before are not hashed again, but for those of more than 64 bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:  # at most some 30 MB
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 150_000:  # at most some 30 MB
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -295,7 +297,7 @@ def _family_links(large: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, with all columns; null doc_ids stay."""
     gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

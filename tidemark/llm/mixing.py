@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, written
+from .common import WORD, documents, whole, written
 
 SEED, CAP = 42, 3
 #: Bits of the hash that each of the levels of ranges tells apart.
@@ -98,9 +98,9 @@ def mix(docs: DataFrame, cap: float = CAP, seed: int = SEED) -> DataFrame:
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed corpus itself: each document as many times as ``mixed`` says, with the columns of ``docs``."""
     # a row of ``mixed`` per doc_id decides; rows of docs that share a doc_id share its hash, and so the decision
-    counts = mixed.groupBy("doc_id", "source").agg(F.max("repeats").alias("_n"))
-    d = docs.alias("d")
-    return d.join(counts.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))))).where("_n > 0").select("d.*")
+    counts = mixed.groupBy("doc_id", "source").agg(F.max("repeats").alias("n")).where("n > 0")
+    taken = docs.select(whole(docs)).join(counts.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source"))
+    return taken.select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("d.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

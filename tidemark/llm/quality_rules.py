@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, documents, written
+from .common import documents, GAP, whole, WORD, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 PRECISION = 8
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.coalesce(F.col("d.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return (
-        docs.select(F.struct(*docs.columns).alias("d"))
+        docs.select(whole(docs))
         .select("d", F.filter(F.split(text, GAP), lambda w: w != "").alias("words"), lines.alias("lines"))
         .select("d", "lines", F.size("words").cast("long").alias("n_words"), repeat_words(F.col("words")).alias("ordered"))
         .select(
