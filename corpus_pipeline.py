@@ -27,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut out of texts; a document of which no word is left goes."""
     cut = line_dedup.without_repeated_lines(docs).where((F.col("n_deleted") == 0) | has_word(F.col("text")))
     own = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("d.n_chars"))}
-    return cut.select(*[own[c].alias(c) if c in own else F.col(f"d.{c}") for c in docs.columns])
+    return cut.select(*[own[c].alias(c) if c in own else F.col("d").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
