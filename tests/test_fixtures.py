@@ -56,7 +56,7 @@ def test_matrix_and_cosine(log):
     assert {(r.visitorid, r.itemid): r.weight for r in m.collect()} == {(1, 10): 9, (1, 20): 5, (1, 30): 1, (2, 10): 5, (2, 20): 6, (2, 30): 5, (3, 30): 0}
     assert [r.visitorid for r in cooccurrence.excluded(m, "visitorid").collect()] == [3]
     assert cooccurrence.excluded(m, "itemid").count() == 0
-    sims = {(r.a, r.b): r.sim for r in cooccurrence.cosine(m, "itemid", "visitorid").where("a < b").collect()}
+    sims = {(r.a, r.b): r.sim for r in cooccurrence.nearest(m, "itemid", "visitorid", 100).where("a < b").collect()}
     assert sims == pytest.approx({(10, 20): 0.932703, (20, 30): 0.878853, (10, 30): 0.647648}, abs=1e-6)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CF_EXTRA, CF_NEIGHBOURS, MIN_INTERACTIONS, TOP_K
 from ..functions.scoring import by_score, event_weight, top_per
+from ..sources.files import materialized
 
 
 def baskets(purchases: DataFrame) -> DataFrame:
@@ -44,18 +45,72 @@ def excluded(matrix: DataFrame, key: str, least: float = MIN_INTERACTIONS) -> Da
     return matrix.groupBy(key).agg(F.sum("weight").alias("total")).where(F.col("total") < least)
 
 
-def cosine(matrix: DataFrame, key: str, over: str) -> DataFrame:
-    """a, b, sim > 0 of all pairs of ``key`` that share an ``over``, themselves included: a sparse product by self-join, with
-    partial sums before the shuffle on the pair."""
+def unit_rows(matrix: DataFrame, key: str, over: str) -> DataFrame:
+    """k, o, w: rows of ``key`` of length 1 in coordinates, without zeros."""
     norms = matrix.where("weight > 0").groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = matrix.where("weight > 0").join(norms, key).select(F.col(key).alias("k"), F.col(over).alias("o"), (F.col("weight") / F.col("norm")).alias("w"))
-    left, right = unit.select("o", F.col("k").alias("a"), F.col("w").alias("wa")), unit.select("o", F.col("k").alias("b"), F.col("w").alias("wb"))
-    return left.join(right, "o").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    return matrix.where("weight > 0").join(norms, key).select(F.col(key).alias("k"), F.col(over).alias("o"), (F.col("weight") / F.col("norm")).alias("w"))
+
+
+#: Rows that share an ``over`` are compared with each other up to so many; beyond it only where they may matter, and in blocks of that size.
+LIGHT = 1000
+#: Of bounds on similarities: lists order them to nine digits.
+SLACK = 2e-9
+
+
+def heavy_products(heavy: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """a, b, sim: products over the columns of ``heavy`` (k, o, w, m: rows of o) of pairs whose bound reaches a's threshold. ``keys``: k, h (length of the
+    heavy part), t (threshold, above 0).
+
+    A product is at most h of a times h of b. Rows of a column are dealt into levels of h, each level into blocks, and a row of a meets levels
+    only that may bring enough. The other side is dealt into blocks too, so a pair of blocks has about ``block`` times ``block`` pairs, however
+    many rows a column has."""
+    level = F.floor(-2 * F.log2(F.greatest(F.col("h"), F.lit(1e-30)))).cast("int")
+    rows = heavy.join(keys, "k").withColumn("level", level)
+    cells = rows.groupBy("o", "level").agg(F.count("*").alias("n"), F.max("h").alias("most"))
+    cells = cells.select("o", "level", "most", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("blocks"))
+    lefts = F.ceil(F.col("m") / F.lit(float(block))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("t IS NOT NULL").select("o", F.col("k").alias("a"), F.col("w").alias("wa"), F.col("h").alias("ha"), "t", F.pmod(F.xxhash64("k"), lefts).cast("int").alias("part"))
+    left = left.join(cells, "o").where("ha * most >= t").withColumn("block", every(F.col("blocks"))).select("o", "level", "block", "part", "a", "wa", "ha", "t")
+    right = rows.join(cells.drop("most"), ["o", "level"]).withColumn("part", every(lefts))
+    right = right.select("o", "level", F.pmod(F.xxhash64(F.col("k"), F.lit(1)), F.col("blocks")).cast("int").alias("block"), "part", F.col("k").alias("b"), F.col("w").alias("wb"), F.col("h").alias("hb"))
+    pairs = left.join(right, ["o", "level", "block", "part"]).where("a <> b AND ha * hb >= t")
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+
+
+def nearest(matrix: DataFrame, key: str, over: str, n: int, skip: DataFrame | None = None, light: int = LIGHT) -> DataFrame:
+    """a, b, sim > 0: for each ``key`` but those of ``skip`` (k) the ``n`` others of greatest cosine, equal ones (to nine digits) by b.
+
+    Exact, without making all pairs that share a column. Columns of at most ``light`` rows are joined with themselves; what two rows have in common
+    there is at least their similarity's share of light columns, so the n-th best of it is a threshold for a row. What heavy columns may add is at most the product
+    of the lengths of the rows' heavy parts: pairs below the threshold even so are dropped; of the rest those with a light column in common look
+    up their heavy products, and others are found by levels of length (``heavy_products``)."""
+    unit = unit_rows(matrix, key, over)
+    unit = materialized(unit.join(unit.groupBy("o").agg(F.count("*").alias("m")), "o"), "unit")
+    few, heavy = unit.where(F.col("m") <= light), unit.where(F.col("m") > light)
+    wanted = few if skip is None else few.join(skip, "k", "left_anti")
+    left, right = wanted.select("o", F.col("k").alias("a"), F.col("w").alias("wa")), few.select("o", F.col("k").alias("b"), F.col("w").alias("wb"))
+    shared = left.join(right, "o").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    if heavy.isEmpty():
+        return top_per(shared, ["a"], by_score("sim", "b"), n, "near").drop("near")
+    shared = materialized(shared, "shared")
+    least = top_per(shared, ["a"], by_score("sim", "b"), n, "near").where(F.col("near") == n).select(F.col("a").alias("k"), (F.col("sim") - SLACK).alias("t"))
+    keys = unit.groupBy("k").agg(F.sqrt(F.sum(F.when(F.col("m") > light, F.col("w") * F.col("w")).otherwise(0.0))).alias("h")).join(least, "k", "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(1e-300)), F.lit(1e-300)))
+    if skip is not None:
+        keys = keys.join(skip.withColumn("no", F.lit(True)), "k", "left").withColumn("t", F.when(F.col("no").isNull(), F.col("t"))).drop("no")
+    keys = materialized(keys, "keys")
+    ends = [keys.select(F.col("k").alias(x), F.col("h").alias(f"h{x}"), F.col("t").alias(f"t{x}")) for x in ("a", "b")]
+    kept = shared.join(ends[0], "a").join(ends[1], "b").where("sim + ha * hb >= ta").select("a", "b", "sim", (F.expr("ha * hb < ta")).alias("asks"))
+    wide = heavy.select("k", "o", "w")
+    asked = kept.where("asks").join(wide.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(wide.withColumnsRenamed({"k": "b", "w": "wb"}), ["b", "o"])
+    parts = kept.select("a", "b", "sim").union(asked.select("a", "b", (F.col("wa") * F.col("wb")).alias("sim"))).union(heavy_products(heavy, keys, light))
+    sims = parts.groupBy("a", "b").agg(F.sum("sim").alias("sim"))
+    return top_per(sims, ["a"], by_score("sim", "b"), n, "near").drop("near")
 
 
 def similar_items(matrix: DataFrame, n: int = TOP_K) -> DataFrame:
     """item, similar_item, rank, score for every item with enough interactions; an item is none of its own neighbours."""
-    sims = cosine(matrix, "itemid", "visitorid").where("a <> b").join(excluded(matrix, "itemid").select(F.col("itemid").alias("a")), "a", "left_anti")
+    sims = nearest(matrix, "itemid", "visitorid", n, excluded(matrix, "itemid").select(F.col("itemid").alias("k")))
     return top_per(sims, ["a"], by_score("sim", "b"), n).select(F.col("a").alias("item"), F.col("b").alias("similar_item"), "rank", F.col("sim").alias("score"))
 
 
@@ -64,12 +119,11 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
     similarity times weight. ``users`` (visitorid, n) gives each user an own n."""
     fixed = users is None
     who = (matrix.select("visitorid").distinct().withColumn("n", F.lit(n)) if fixed else users).join(excluded(matrix, "visitorid"), "visitorid", "left_anti")
-    most = n + CF_EXTRA if fixed else who.agg(F.max("n").alias("m"))
-    sims = cosine(matrix, "itemid", "visitorid").withColumn("self", F.col("a") != F.col("b"))
-    if fixed:
-        near = top_per(sims, ["a"], [F.round("sim", 9).desc(), F.col("self"), F.col("b")], most, "near")
-    else:
-        near = top_per(sims.crossJoin(F.broadcast(most)), ["a"], [F.round("sim", 9).desc(), F.col("self"), F.col("b")], F.col("m") + CF_EXTRA, "near")
+    most = CF_EXTRA + (n if fixed else who.agg(F.max("n")).first()[0] or 0)
+    # an item is its own nearest, before any equal one
+    near = nearest(matrix, "itemid", "visitorid", most - 1)
+    near = top_per(near, ["a"], by_score("sim", "b"), most - 1, "near").withColumn("near", F.col("near") + 1)
+    near = near.select("a", "b", "sim", "near").union(matrix.where("weight > 0").select("itemid").distinct().select(F.col("itemid").alias("a"), F.col("itemid").alias("b"), F.lit(1.0), F.lit(1)))
     seeds = matrix.join(who, "visitorid").withColumnRenamed("itemid", "a")
     found = seeds.join(near.select("a", "b", "sim", "near"), "a").where(F.col("near") <= F.col("n") + CF_EXTRA)
     scored = found.groupBy("visitorid", "n", F.col("b").alias("itemid")).agg(F.sum(F.col("weight") * F.col("sim")).alias("score"))
@@ -79,8 +133,7 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
 
 def recommend_by_users(matrix: DataFrame, n: int = TOP_K, neighbours: int = CF_NEIGHBOURS) -> DataFrame:
     """visitorid, itemid, score, rank from the rows of the nearest users (the budget of neighbours + 1 counts the user)."""
-    sims = cosine(matrix, "visitorid", "itemid").join(excluded(matrix, "visitorid").select(F.col("visitorid").alias("a")), "a", "left_anti")
-    near = top_per(sims.withColumn("self", F.col("a") != F.col("b")), ["a"], [F.round("sim", 9).desc(), F.col("self"), F.col("b")], neighbours + 1, "near").where("a <> b")
+    near = nearest(matrix, "visitorid", "itemid", neighbours, excluded(matrix, "visitorid").select(F.col("visitorid").alias("k")))
     rows = near.join(matrix.withColumnRenamed("visitorid", "b"), "b").groupBy(F.col("a").alias("visitorid"), "itemid").agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
     unseen = rows.join(matrix.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
     return top_per(unseen, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")
