@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.scoring import exact_quantile
-from tidemark.operators import catalog, latent
+from tidemark.functions.scoring import exact_quantile, exact_quantiles
+from tidemark.operators import catalog, cooccurrence, latent
 from tidemark.sources import synthetic
 from tidemark.sources.files import load_all, shared_folder
 
@@ -21,6 +21,46 @@ def test_exact_quantile(spark, n):
     assert n == 0 or exact_quantile(with_nulls, "x", 0.5, "q").first().q == pytest.approx(np.quantile(values, 0.5))
 
 
+def test_several_quantiles_in_two_scans(spark):
+    df = spark.range(250_000).select((F.pmod(F.xxhash64("id"), F.lit(999_983)) / 7.0).alias("x"))
+    values = np.array([r.x for r in df.collect()])
+    at = [0.0, 0.2, 0.2, 0.4, 0.6, 0.99, 1.0]
+    got = exact_quantiles(df, "x", at, [f"c{i}" for i in range(len(at))], extremes=True)
+    row = got.first()
+    assert list(row)[:-2] == pytest.approx(np.quantile(values, at).tolist()) and list(row)[-2:] == [values.min(), values.max()]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 3  # ends are used twice: a scan is planned once and reused
+
+
+def test_ancestors_of_a_long_path_and_of_cycles(spark):
+    deep = spark.range(5000).select(F.col("id").alias("categoryid"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parentid"))
+    got = catalog.ancestors(spark.createDataFrame([(4999,), (77,), (-1,), (None,)], "categoryid long"), deep)
+    assert {r.categoryid: (r.n, r.least, r.most) for r in got.groupBy("categoryid").agg(F.count("*").alias("n"), F.min("ancestor").alias("least"), F.max("ancestor").alias("most")).collect()} == {4999: (5000, 0, 4999), 77: (78, 0, 77), -1: (1, -1, -1)}
+    ring = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)] + [(10, 3), (11, 10), (20, 20), (30, 99)], "categoryid long, parentid long")
+    found = {}
+    for r in catalog.ancestors(ring, ring).collect():
+        found.setdefault(r.categoryid, []).append(r.ancestor)
+    assert all(sorted(found[i]) == list(range(7)) for i in range(7)) and sorted(found[11]) == [*range(7), 10, 11] and found[20] == [20] and sorted(found[30]) == [30, 99]
+
+
+def test_cutoff_reaches_the_scan(spark, sf, tmp_path):
+    from tidemark.operators import rankings
+
+    log = spark.createDataFrame([(i, i % 5, "view") for i in range(100)], "s int, itemid long, event string").select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("s"))).alias("datetime"), "itemid", "event")
+    log.write.parquet(f"{tmp_path}/log")
+    got = rankings.recently_popular(spark.read.parquet(f"{tmp_path}/log"), spark.createDataFrame([(1, 2)], "itemid long, categoryid long"), days=7)
+    assert {r.itemid: r.recent_interactions for r in got.collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert any("PushedFilters" in line and "datetime" in line and "GreaterThanOrEqual" in line for line in plan.splitlines()), plan
+
+
+def test_huge_basket_in_blocks(spark):
+    basket = spark.range(230).select(F.lit(1).cast("long").alias("transactionid"), F.col("id").alias("itemid")).union(spark.createDataFrame([(2, 5), (2, 6), (3, 7)], "transactionid long, itemid long"))
+    blocks = cooccurrence.basket_pairs(basket, 20)
+    assert blocks.count() == 230 * 229 + 2 == blocks.distinct().count() + 2
+    one, many = (sorted(map(tuple, cooccurrence.pair_counts(basket, b).collect())) for b in (1000, 20))
+    assert one == many
+
+
 def test_block_products(spark, monkeypatch):
     monkeypatch.setattr(latent, "BLOCK_ITEMS", 5)
     rng = np.random.default_rng(3)

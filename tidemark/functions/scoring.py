@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EVENT_WEIGHTS, HALF_LIFE_DAYS, OUTLIER_PERCENTILE
+from ..sources.files import materialized
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -45,36 +46,51 @@ def coded_number(value: Column) -> Column:
 ACCURACY = 100_000
 
 
-def exact_quantile(df: DataFrame, column: str, at: float, out: str) -> DataFrame:
-    """One row with the exact interpolated quantile of the known values; null without any.
+def exact_quantiles(df: DataFrame, column: str, at: list[float], out: list[str], extremes: bool = False) -> DataFrame:
+    """One row with the exact interpolated quantiles of the known values; nulls without any. ``extremes`` adds _least and _most.
 
-    A mergeable sketch gives two values between which the quantile must lie. What is below them is counted, and only the distinct
-    values between them, some hundred-thousandths of the rows or ``ACCURACY`` values, are put in order, so no task holds all values.
+    Two scans, whatever the number of quantiles. A mergeable sketch gives for each two values between which it must lie. The second scan
+    counts values: those within an interval each, and those outside by the interval that they follow. Only the distinct values within, some
+    hundred-thousandths of the rows or ``ACCURACY`` values, are put in order, so no task holds all values.
     """
     x = df.select(F.col(column).alias("x")).where("x IS NOT NULL")
     slack = 3 / ACCURACY
-    ends = x.agg(F.count("*").alias("rows"), F.percentile_approx("x", F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack))), ACCURACY).alias("e"), F.min("x").alias("least"), F.max("x").alias("most"))
+    around = [max(0.0, min(1.0, a + d)) for a in at for d in (-slack, slack)]
+    ends = x.agg(F.count("*").alias("rows"), F.percentile_approx("x", F.array(*map(F.lit, around)), ACCURACY).alias("e"), F.min("x").alias("_least"), F.max("x").alias("_most"))
     few = F.col("rows") <= ACCURACY  # then all are put in order: the sketch's error would be less than a row
-    low, high = F.when(few, F.col("least")).otherwise(F.get("e", F.lit(0))), F.when(few, F.col("most")).otherwise(F.get("e", F.lit(1)))
-    ends = F.broadcast(ends.select(((F.col("rows") - 1) * F.lit(float(at))).alias("place"), low.alias("from"), high.alias("to")))
-    marked = x.crossJoin(ends)  # one row
-    below = marked.agg(F.first("place").alias("place"), F.count_if(F.col("x") < F.col("from")).alias("below"))
-    near = marked.where("x BETWEEN from AND to").groupBy("x").agg(F.count("*").alias("n"))
-    upto = near.withColumn("upto", F.sum("n").over(W.orderBy("x"))).crossJoin(F.broadcast(below)).withColumn("upto", F.col("upto") + F.col("below"))
-    low, high = (F.min(F.when(F.col("upto") > f("place"), F.col("x"))) for f in (F.floor, F.ceil))
-    part = F.first(F.col("place") - F.floor("place"))
-    return upto.agg(low.alias("low"), high.alias("high"), part.alias("part")).select((F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part")).alias(out))
+    spans = [F.struct(F.when(few, F.col("_least")).otherwise(F.get("e", F.lit(2 * i))).alias("low"), F.when(few, F.col("_most")).otherwise(F.get("e", F.lit(2 * i + 1))).alias("high")) for i in range(len(at))]
+    ends = ends.select("rows", "_least", "_most", F.array(*spans).alias("spans"))
+    marked = x.crossJoin(F.broadcast(ends.select("spans")))  # one row
+    within = F.exists("spans", lambda s: F.col("x").between(s["low"], s["high"]))
+    # what lies outside comes right after the end of an interval, or before all
+    after = F.array_max(F.transform(F.filter("spans", lambda s: s["high"] < F.col("x")), lambda s: s["high"]))
+    counts = marked.select(F.when(within, F.col("x")).otherwise(after).alias("v"), (~within).alias("outside")).groupBy("v", "outside").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy(F.col("v").asc_nulls_first(), "outside"))).where("NOT outside").crossJoin(F.broadcast(ends.drop("spans")))
+    found = []
+    for i, a in enumerate(at):
+        place = (F.col("rows") - 1) * F.lit(float(a))
+        found += [F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))).alias(f"low{i}"), F.min(F.when(F.col("upto") > F.ceil(place), F.col("v"))).alias(f"high{i}"), F.any_value(place - F.floor(place)).alias(f"part{i}")]
+    more = [F.any_value(c).alias(c) for c in ("_least", "_most")] if extremes else []
+    values = [(F.col(f"low{i}") * (1 - F.col(f"part{i}")) + F.col(f"high{i}") * F.col(f"part{i}")).alias(name) for i, name in enumerate(out)]
+    return upto.agg(*found, *more).select(*values, *(["_least", "_most"] if extremes else []))
+
+
+def exact_quantile(df: DataFrame, column: str, at: float, out: str) -> DataFrame:
+    """One row with the exact interpolated quantile of the known values; null without any."""
+    return exact_quantiles(df, column, [at], [out])
 
 
 def winsorized(df: DataFrame, raw: str, out: str, percentile: float = OUTLIER_PERCENTILE) -> DataFrame:
     """Adds ``out``: ``raw`` cut at its exact percentile and scaled to [0, 1]; 0 where all values are equal.
 
-    The three statistics are one row, attached by a cross join with that row, not by a window over the table.
+    ``df`` is written first, since its values are read three times. The statistics are one row, attached by a cross join with that row, not by a
+    window over the table.
     """
-    cap = exact_quantile(df, raw, percentile, "_cap")
-    bounds = df.crossJoin(F.broadcast(cap)).agg(F.min(F.least(raw, "_cap")).alias("_lo"), F.max(F.least(raw, "_cap")).alias("_hi"), F.first("_cap").alias("_cap"))
+    df = materialized(df, "scaled")
+    bounds = F.broadcast(exact_quantiles(df, raw, [percentile], ["_cap"], extremes=True))
+    low, high = F.least("_least", "_cap"), F.least("_most", "_cap")
     x = F.least(F.col(raw), F.col("_cap"))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_cap", "_lo", "_hi")
+    return df.crossJoin(bounds).withColumn(out, F.when(high == low, 0.0).otherwise((x - low) / (high - low))).drop("_cap", "_least", "_most")
 
 
 def top_per(df: DataFrame, by: list[str], order: list[Column], n, rank: str = "rank") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CF_METHODS, EXPLAIN_CONFIDENCE, HYBRID_OVERFETCH, HYBRID_WEIGHTS, TOP_K
 from ..functions.scoring import by_score, top_per
-from . import cooccurrence, latent
+from . import cooccurrence, latent, vectors
 from .vectors import ContentVectors
 
 
@@ -55,6 +55,10 @@ def recommend(visitors: DataFrame, users: DataFrame, items: DataFrame, matrix: D
     return ranked.join(sure, "visitorid").select("visitorid", "itemid", "hybrid_score", F.col("cf_confidence").alias("cf_confidence_used"), "rank")
 
 
-def explained(recommended: DataFrame) -> DataFrame:
-    """Adds the sentence for recommendations without a seed."""
+def explained(recommended: DataFrame, seed_item: int | None = None, items: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """Adds the sentence: with a seed, what the item has in common with it (``items`` and ``tree`` of the catalog tell), else which signal counted."""
+    if seed_item is not None:
+        pairs = recommended.select(F.lit(seed_item).cast("long").alias("item_a"), F.col("itemid").alias("item_b")).distinct()
+        why = vectors.explain(pairs, items, tree).select(F.col("item_b").alias("itemid"), "explanation")
+        return recommended.join(why, "itemid")
     return recommended.withColumn("explanation", F.when(F.col("cf_confidence_used") > EXPLAIN_CONFIDENCE, "Recommended based on your browsing and purchase history.").otherwise("Recommended because it's popular among shoppers with similar interests."))

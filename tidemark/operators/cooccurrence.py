@@ -15,10 +15,22 @@ def baskets(purchases: DataFrame) -> DataFrame:
     return purchases.where("event = 'transaction'").select("transactionid", "itemid").dropna().distinct()
 
 
-def pair_counts(basket: DataFrame) -> DataFrame:
+def basket_pairs(basket: DataFrame, block: int) -> DataFrame:
+    """item_a, item_b: ordered pairs of different items of a basket. Of a basket of more than ``block`` items, pairs of blocks are dealt out, so
+    that a task makes some ``block`` times ``block`` pairs at a time, however large the basket is."""
+    sized = basket.join(basket.groupBy("transactionid").agg(F.count("*").alias("m")), "transactionid").withColumn("blocks", F.ceil(F.col("m") / F.lit(float(block))).cast("int"))
+    few, many = sized.where("blocks = 1"), sized.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("itemid"), F.col("blocks")).cast("int"))
+    sides = {x: few.select("transactionid", F.col("itemid").alias(x)) for x in ("item_a", "item_b")}
+    pairs = sides["item_a"].join(sides["item_b"], "transactionid").select("item_a", "item_b")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = many.select("transactionid", F.col("itemid").alias("item_a"), F.col("own").alias("i"), other.alias("j"))
+    right = many.select("transactionid", F.col("itemid").alias("item_b"), other.alias("i"), F.col("own").alias("j"))
+    return pairs.union(left.join(right, ["transactionid", "i", "j"]).select("item_a", "item_b")).where("item_a <> item_b")
+
+
+def pair_counts(basket: DataFrame, block: int = 1000) -> DataFrame:
     """item_a, item_b, n_pair, n_item, confidence for ordered pairs of items bought together."""
-    other = basket.select("transactionid", F.col("itemid").alias("item_b"))
-    pairs = basket.withColumnRenamed("itemid", "item_a").join(other, "transactionid").where("item_a <> item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n_pair"))
+    pairs = basket_pairs(basket, block).groupBy("item_a", "item_b").agg(F.count("*").alias("n_pair"))
     items = basket.groupBy(F.col("itemid").alias("item_a")).agg(F.count("*").alias("n_item"))
     return pairs.join(items, "item_a").withColumn("confidence", F.col("n_pair") / F.col("n_item"))
 

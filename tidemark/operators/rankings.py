@@ -26,8 +26,9 @@ def best_sellers(items: DataFrame, n: int = TOP_K, category: int | None = None)
 
 def recently_popular(events: DataFrame, attributes: DataFrame, n: int = TOP_K, days: int = 7, category: int | None = None) -> DataFrame:
     """Items by events of any type in the last days before the last event; items outside the catalog have a null category."""
-    last = events.agg((F.max("datetime") - F.expr(f"INTERVAL {int(days)} DAYS")).alias("_from"))
-    recent = events.join(F.broadcast(last), F.col("datetime") >= F.col("_from")).groupBy("itemid").agg(F.count("*").alias("recent_interactions"))
+    # a scalar subquery is a value when the events are read, so that the cutoff reaches the scan
+    cutoff = events.agg(F.max("datetime") - F.expr(f"INTERVAL {int(days)} DAYS")).scalar()
+    recent = events.where(F.col("datetime") >= cutoff).groupBy("itemid").agg(F.count("*").alias("recent_interactions"))
     recent = recent.join(attributes.select("itemid", "categoryid"), "itemid", "left")
     if category is not None:
         recent = recent.where(F.col("categoryid") == category)

@@ -76,12 +76,16 @@ class ContentVectors:
         own = self.members.join(listed.select(F.col("a").alias("profile"), "similar_item", "sim", "rank"), "profile").where("itemid <> similar_item")
         return top_per(own.drop("rank"), ["itemid"], by_score("sim", "similar_item"), n).select("itemid", "similar_item", F.col("sim").alias("content_similarity"), "rank")
 
-    def recommend(self, history: DataFrame, n=TOP_K) -> DataFrame:
+    def recommend(self, history: DataFrame, n=TOP_K, exclude: DataFrame | None = None) -> DataFrame:
         """history (visitorid, itemid, and optionally weight and, for a list length of each visitor's own, n) -> visitorid, itemid,
-        score, rank: items by cosine with the mean of the vectors of a visitor's items, those not among them."""
+        score, rank: items by cosine with the mean of the vectors of a visitor's items, those neither among them nor in ``exclude``
+        (visitorid, itemid)."""
         cols = set(history.columns)
         seeds = history.select("visitorid", "itemid", (F.col("weight") if "weight" in cols else F.lit(1.0)).alias("weight"), (F.col("n") if "n" in cols else F.lit(n)).alias("n")).dropDuplicates(["visitorid", "itemid"]).join(self.members, "itemid")
-        budget = seeds.groupBy("visitorid").agg(F.max("n").alias("n"), F.count("*").alias("n_seeds"))
+        barred = seeds.select("visitorid", "itemid")
+        if exclude is not None:  # of what is barred only known items take places
+            barred = barred.union(exclude.select("visitorid", "itemid").join(self.members.select("itemid"), "itemid", "left_semi").select("visitorid", "itemid")).distinct()
+        budget = seeds.groupBy("visitorid").agg(F.max("n").alias("n")).join(barred.groupBy("visitorid").agg(F.count("*").alias("n_seeds")), "visitorid")
         mean = seeds.groupBy("visitorid", "profile").agg(F.sum("weight").alias("weight")).join(self.vectors, "profile").groupBy("visitorid", "token").agg(F.sum(F.col("weight") * F.col("w")).alias("x"))
         norms = mean.groupBy("visitorid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         scores = mean.join(self.vectors, "token").groupBy("visitorid", "profile").agg(F.sum(F.col("x") * F.col("w")).alias("dot")).join(norms, "visitorid").withColumn("score", F.col("dot") / F.col("norm")).where("score > 0").withColumn("place_score", F.round("score", 9))
@@ -92,7 +96,7 @@ class ContentVectors:
         most = budget.agg(F.max(F.col("n") + F.col("n_seeds")).alias("most"))
         first = top_per(self.members.crossJoin(F.broadcast(most)), ["profile"], [F.asc("itemid")], F.col("most"), "place").select("profile", "itemid", "place")
         filled = wanted.join(first, "profile").where(F.col("place") <= F.col("n") + F.col("n_seeds"))
-        unseen = filled.join(seeds.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
+        unseen = filled.join(barred, ["visitorid", "itemid"], "left_anti")
         return top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n")).select("visitorid", "itemid", "score", "rank")
 
 

@@ -292,6 +292,8 @@ QUERIES = {
     "tfidf_vectors": q(lambda s: s.content.item_vectors()),
     "content_similar_items": q(lambda s: s.content.similar_items(5)),
     "content_profile_recs": q(lambda s: s.content.recommend(s.matrix.select("visitorid", "itemid"), 10)),
+    # barred: what comes next in the catalog to an item that a visitor has met
+    "content_profile_excluding": q(lambda s: s.content.recommend(s.matrix.select("visitorid", "itemid"), 10, s.matrix.select("visitorid", (F.col("itemid") + 1).alias("itemid")))),
     "category_jaccard": q(lambda s: vectors.category_jaccard(s.content.similar_items(3).select(F.col("itemid").alias("item_a"), F.col("similar_item").alias("item_b")), s.attributes, s.tree)),
     "content_explain": q(_explained_pairs),
     "content_top1_similarity": q(lambda s: s.content.similar_items(1).groupBy(F.round("content_similarity", 6).alias("similarity")).agg(F.count("*").alias("n"))),
@@ -312,6 +314,7 @@ QUERIES = {
     "hybrid_user_based": q(lambda s: _hybrid(s, cf_method="user_based")),
     "hybrid_svd": q(lambda s: _hybrid(s, cf_method="svd")),
     "hybrid_explain": q(lambda s: blend.explained(_hybrid(s)).select("visitorid", "itemid", "explanation")),
+    "hybrid_explain_seeded": q(lambda s: blend.explained(_hybrid(s, seed_item=SEED_ITEM), SEED_ITEM, s.attributes, s.tree).select("visitorid", "itemid", "explanation")),
     # evaluation
     "temporal_split": _split,
     "eval_targets": _targets,

@@ -195,6 +195,7 @@ def _pairs_explained(select: str) -> str:
 
 
 JACCARD = "CASE WHEN same THEN 1.0 WHEN kin THEN 1 / 3.0 ELSE 0.0 END"
+WHY = "'Recommended because it has ' || CASE WHEN same THEN 'same category' WHEN kin THEN 'related category' ELSE 'similar attributes' END || CASE WHEN least(pa, pb) / greatest(pa, pb) > 0.7 AND pa IS NOT NULL AND pb IS NOT NULL THEN ' and similar price range' ELSE '' END || ' to an item you viewed.'"
 HIST = "SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((x - lo) * {bins} / (hi - lo)) + 1, {bins}) END AS BIGINT) AS bin, count(*) AS n FROM (SELECT {x} AS x FROM {of}), (SELECT min({x}) AS lo, max({x}) AS hi FROM {of}) GROUP BY 1"
 HEAD = "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(max(k) AS BIGINT) AS n_head, round(sum(CASE WHEN i <= k THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS head_share FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS i, {k} AS k FROM (SELECT count(*) AS n, count(*) OVER () AS rows FROM allev GROUP BY {by}))"
 USER_DOUBLES = ("activity_score_raw", "avg_session_duration_sec", "median_session_duration_sec", "recency_days", "conversion_rate_user", "click_to_purchase_ratio_user", "user_activity_score")
@@ -265,7 +266,8 @@ SELECTS = {
     "content_similar_items": "SELECT itemid, similar_item, round(content_similarity, 6) AS content_similarity, rank FROM (" + NEAR.format(only="sets", n=5) + ")",
     "content_profile_recs": listing("con_a", "visitorid", "itemid"),
     "category_jaccard": _pairs_explained(f"round({JACCARD}, 6) AS category_similarity"),
-    "content_explain": _pairs_explained(f"round({JACCARD}, 6) AS category_similarity, 'Recommended because it has ' || CASE WHEN same THEN 'same category' WHEN kin THEN 'related category' ELSE 'similar attributes' END || CASE WHEN least(pa, pb) / greatest(pa, pb) > 0.7 AND pa IS NOT NULL AND pb IS NOT NULL THEN ' and similar price range' ELSE '' END || ' to an item you viewed.' AS explanation"),
+    "content_profile_excluding": f"SELECT visitorid, itemid, {r('score')}, CAST(rank AS BIGINT) AS rank FROM ({content('ask_a', '(SELECT visitorid, itemid FROM allev UNION SELECT visitorid, itemid + 1 FROM allev)', '_a')})",
+    "content_explain": _pairs_explained(f"round({JACCARD}, 6) AS category_similarity, {WHY} AS explanation"),
     "content_top1_similarity": "SELECT round(content_similarity, 6) AS similarity, count(*) AS n FROM (" + NEAR.format(only="sets", n=1) + ") GROUP BY 1",
     "interaction_matrix": f"SELECT visitorid, itemid, {r('weight')} FROM m_a",
     "cf_exclusions": f"SELECT 'user' AS kind, visitorid AS id, {r('total')} FROM xu_a UNION ALL SELECT 'item', itemid, {r('total')} FROM xi_a",
@@ -277,6 +279,9 @@ SELECTS = {
     "hybrid_recs": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM hyb_a",
     "hybrid_seeded": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM ({hybrid('ask_a', '_a', '5')})",
     "hybrid_user_based": f"SELECT visitorid, itemid, {r('hybrid_score', 'cf_confidence_used')}, rank FROM ({hybrid('ask_a', '_a', cf=cf_users(30, '_a'))})",
+    "hybrid_explain_seeded": f"""SELECT visitorid, itemid, {WHY} AS explanation FROM (
+        SELECT h.visitorid, h.itemid, a.price AS pa, b.price AS pb, a.categoryid = b.categoryid AS same, a.categoryid // 100 = b.categoryid // 100 AS kin
+        FROM ({hybrid('ask_a', '_a', '5')}) h JOIN attrs a ON a.itemid = 5 JOIN attrs b ON b.itemid = h.itemid)""",
     "hybrid_explain": "SELECT visitorid, itemid, CASE WHEN cf_confidence_used > 0.3 THEN 'Recommended based on your browsing and purchase history.' ELSE 'Recommended because it''s popular among shoppers with similar interests.' END AS explanation FROM hyb_a",
     "temporal_split": "SELECT 'train' AS part, count(*) AS n, max(us) AS last FROM trainev UNION ALL SELECT 'test', count(*), max(us) FROM testev",
     "eval_targets": "SELECT * FROM targets",
