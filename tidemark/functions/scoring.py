@@ -93,6 +93,16 @@ def winsorized(df: DataFrame, raw: str, out: str, percentile: float = OUTLIER_PE
     return df.crossJoin(bounds).withColumn(out, F.when(high == low, 0.0).otherwise((x - low) / (high - low))).drop("_cap", "_least", "_most")
 
 
+def running_totals(counts: DataFrame, value: str, n: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over rows of a greater ``value`` (distinct; nulls come last). Rows are sorted by range over tasks and written, so that
+    ranges are the same for both uses; sums run within a range, and the ranges' own sums, a number each, become offsets."""
+    ordered = materialized(counts.orderBy(F.col(value).desc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = F.sum(n).over(W.partitionBy("_part").orderBy(F.col(value).desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
+    offsets = ordered.groupBy("_part").agg(F.sum(n).alias("_sum")).withColumn("_offset", F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_sum")
+    joined = ordered.withColumn("_within", within).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(out, F.coalesce("_within", F.lit(0)) + F.coalesce("_offset", F.lit(0))).drop("_part", "_within", "_offset")
+
+
 def top_per(df: DataFrame, by: list[str], order: list[Column], n, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows (a number, or a column) of each group, with their rank from 1."""
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import days_between, event_weight, half_life, ratio, winsorized
+from ..functions.scoring import days_between, event_weight, half_life, ratio, running_totals, winsorized
 
 
 def with_decayed_weight(events: DataFrame) -> DataFrame:
@@ -46,9 +45,8 @@ def category_features(events: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def competition_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank by ``value`` from the highest; equal values share the first rank. Distinct values are ranked, not rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    ranks = counts.withColumn(out, (F.coalesce(F.sum("_n").over(W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int")).drop("_n")
-    return df.join(ranks, value, "left")
+    counts = running_totals(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_before")
+    return df.join(counts.select(value, (F.col("_before") + 1).cast("int").alias(out)), value, "left")
 
 
 def item_features(events: DataFrame, attributes: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import exact_quantile, micros, ratio
+from ..functions.scoring import exact_quantile, micros, ratio, running_totals
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 METRICS = ("item_view_count", "item_addtocart_count", "item_transaction_count", "unique_visitors", "product_interaction_score")
@@ -59,11 +59,10 @@ def null_profile(df: DataFrame) -> DataFrame:
 def head_share(counts: DataFrame, value: str, share: float, at_least: int = 0) -> DataFrame:
     """One row: the share of the total that the top ``share`` of rows have. Ranks run over distinct values with their counts, so
     rows need no global order; rows at the border count with the border's value."""
-    values = counts.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("rows"))
-    upto = F.sum("rows").over(W.orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    values = running_totals(counts.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("rows")), "v", "rows", "before")
     total = values.agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("v")).alias("all")).withColumn("head", F.greatest(F.floor(F.col("n") * share), F.lit(at_least)).cast("long"))
-    taken = F.greatest(F.lit(0), F.least(F.col("rows"), F.col("head") - (F.col("upto") - F.col("rows"))))
-    return values.withColumn("upto", upto).crossJoin(F.broadcast(total)).agg(F.first("n").alias("n_rows"), F.first("head").alias("n_head"), (F.sum(taken * F.col("v")) / F.first("all")).alias("head_share"))
+    taken = F.greatest(F.lit(0), F.least(F.col("rows"), F.col("head") - F.col("before")))
+    return values.crossJoin(F.broadcast(total)).agg(F.first("n").alias("n_rows"), F.first("head").alias("n_head"), (F.sum(taken * F.col("v")) / F.first("all")).alias("head_share"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, clip: float | None = None) -> DataFrame:
@@ -113,9 +112,8 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def average_rank(df: DataFrame, value: str) -> DataFrame:
     """Adds avg_rank: rank from the highest; equal values share the mean of their ranks. Distinct values are ranked."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn("avg_rank", before + (F.col("_n") + 1) / 2.0).drop("_n"), value)
+    counts = running_totals(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_before")
+    return df.join(counts.select(value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("avg_rank")), value)
 
 
 def demo_visitors(users: DataFrame, n_top: int = 5, n_casual: int = 5, cold: int = 999_999_999, seed: int = 42) -> DataFrame:
