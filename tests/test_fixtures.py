@@ -178,6 +178,12 @@ def test_saved_models_serve_what_fitted_ones_do(spark, sf, tmp_path):
 
     models.train_and_save(spark, sf, f"{tmp_path}/m")
     served, shop = models.Recommender(spark, f"{tmp_path}/m"), catalogue.Shop(spark, sf)
+    rows = lambda df: sorted((r.visitorid, r.itemid, r["rank"], round(r.score, 6)) for r in df.collect())
+    assert rows(served.by_users(4)) == rows(cooccurrence.recommend_by_users(shop.matrix, 4))
+    assert rows(served.by_factors(4)) == rows(latent.recommend(shop.matrix, 4))
+    near = lambda df: sorted((r.itemid, r.similar_item, r["rank"]) for r in df.collect())
+    assert near(served.similar(3)) == near(shop.content.similar_items(3))
+    assert "content_vectors" not in served.similar(3)._jdf.queryExecution().executedPlan().toString()
     rounded = lambda df: sorted((r.visitorid, r.itemid, round(r.hybrid_score, 6)) for r in df.collect())
     assert rounded(served.recommend(shop.visitors())) == rounded(catalogue._hybrid(shop))
     assert served.trending(5).count() == 5 and served.bought_together(2).count() > 0 and served.also_viewed(2).count() > 0 and served.similar(2).count() > 0

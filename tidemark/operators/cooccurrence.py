@@ -143,9 +143,14 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
     return top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n")).select("visitorid", "itemid", "score", "rank")
 
 
-def recommend_by_users(matrix: DataFrame, n: int = TOP_K, neighbours: int = CF_NEIGHBOURS) -> DataFrame:
-    """visitorid, itemid, score, rank from the rows of the nearest users (the budget of neighbours + 1 counts the user)."""
-    near = nearest(matrix, "visitorid", "itemid", neighbours, excluded(matrix, "visitorid").select(F.col("visitorid").alias("k")))
+def user_neighbours(matrix: DataFrame, neighbours: int = CF_NEIGHBOURS) -> DataFrame:
+    """a, b, sim: the nearest users of each with enough interactions (the budget of neighbours + 1 counts the user)."""
+    return nearest(matrix, "visitorid", "itemid", neighbours, excluded(matrix, "visitorid").select(F.col("visitorid").alias("k")))
+
+
+def recommend_by_users(matrix: DataFrame, n: int = TOP_K, neighbours: int = CF_NEIGHBOURS, near: DataFrame | None = None) -> DataFrame:
+    """visitorid, itemid, score, rank from the rows of the nearest users. ``near``: ``user_neighbours`` found before."""
+    near = user_neighbours(matrix, neighbours) if near is None else near
     rows = near.join(matrix.withColumnRenamed("visitorid", "b"), "b").groupBy(F.col("a").alias("visitorid"), "itemid").agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
     unseen = rows.join(matrix.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
     return top_per(unseen, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")

@@ -188,7 +188,12 @@ def user_factors(matrix: DataFrame, items: DataFrame) -> DataFrame:
 def recommend(matrix: DataFrame, n: int = TOP_K, factors: int = SVD_FACTORS) -> DataFrame:
     """visitorid, itemid, score, rank: unseen items by the product of factors."""
     items = materialized(item_factors(matrix, factors), "item_factors")
-    users = user_factors(matrix, items).join(excluded(matrix, "visitorid"), "visitorid", "left_anti")
+    return recommend_by_factors(matrix, items, user_factors(matrix, items), n)
+
+
+def recommend_by_factors(matrix: DataFrame, items: DataFrame, users: DataFrame, n: int = TOP_K) -> DataFrame:
+    """``recommend`` with factors (itemid, v; visitorid, u) found before."""
+    users = users.join(excluded(matrix, "visitorid"), "visitorid", "left_anti")
     seen = matrix.groupBy("visitorid").agg(F.sort_array(F.collect_list("itemid")).alias("seen"))
     best = block_products(users.join(seen, "visitorid"), items, n)
     return top_per(best, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")
