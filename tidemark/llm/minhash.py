@@ -297,7 +297,8 @@ def _family_links(large: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, with all columns; null doc_ids stay."""
     gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
+    # texts are dealt out at every size: a broadcast of few ids would let the shuffle grow faster than the input
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
