@@ -122,7 +122,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, one under /tmp in local runs, and an error on a cluster, whose machines share no /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"/tmp/tidemark-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
