@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.scoring import exact_quantile, exact_quantiles
+from tidemark.functions.scoring import exact_quantile, exact_quantiles, running_totals
 from tidemark.operators import catalog, cooccurrence, latent
 from tidemark.sources import synthetic
 from tidemark.sources.files import load_all, shared_folder
@@ -53,6 +53,14 @@ def test_cutoff_reaches_the_scan(spark, sf, tmp_path):
     assert any("PushedFilters" in line and "datetime" in line and "GreaterThanOrEqual" in line for line in plan.splitlines()), plan
 
 
+def test_running_totals_over_ranges(spark):
+    rows = [(float(i * 7 % 1001), i % 5 + 1) for i in range(1001)] + [(None, 4)]
+    counts = spark.createDataFrame(rows, "v double, n long").repartition(7)
+    got = {r.v: r.before for r in running_totals(counts, "v", "n", "before").collect()}
+    assert got == {v: sum(n for w, n in rows if w is not None and (v is None or w > v)) for v, _ in rows}
+    assert running_totals(counts.where("false"), "v", "n", "before").count() == 0
+
+
 def test_huge_basket_in_blocks(spark):
     basket = spark.range(230).select(F.lit(1).cast("long").alias("transactionid"), F.col("id").alias("itemid")).union(spark.createDataFrame([(2, 5), (2, 6), (3, 7)], "transactionid long, itemid long"))
     blocks = cooccurrence.basket_pairs(basket, 20)
