@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import cooccurrence as co
+from tidemark.operators import vectors
 
 
 def plain(rows, n, skip=()):
@@ -46,3 +47,55 @@ def test_few_pairs_of_a_hot_column(spark):
     assert every.count() == 300 * 299
     plan = every._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+@pytest.mark.parametrize("light", [1, 3, 10, 1000])
+def test_rows_that_ask_another_table(spark, light):
+    """Each asks for a number of its own; ids of both sides may be equal; many ask in one column."""
+    rng = np.random.default_rng(light)
+    index = [(k, o, float(rng.random())) for k in range(40) for o in range(12) if rng.random() < (1.0 if o < 2 else 0.2)]
+    asking = [(k, o, float(rng.random()), 1 + k % 5) for k in range(70) for o in range(14) if rng.random() < (0.9 if o < 2 else 0.2)]
+    a, b = np.zeros((70, 14)), np.zeros((40, 14))
+    for k, o, w, _ in asking:
+        a[k, o] = w
+    for k, o, w in index:
+        b[k, o] = w
+    a, b = (x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None] for x in (a, b))
+    sims = a @ b.T
+    want = {(i, j): round(sims[i, j], 9) for i in range(70) for j in sorted(range(40), key=lambda j: (-round(sims[i, j], 9), j))[: 1 + i % 5] if sims[i, j] > 0}
+    left = spark.createDataFrame([(k, o, float(a[k, o]), n) for k, o, _, n in asking], "k long, o long, w double, n int")
+    right = spark.createDataFrame([(k, o, float(b[k, o])) for k, o, _ in index], "k long, o long, w double")
+    got = {(r.a, r.b): round(r.sim, 9) for r in co.nearest_rows(right, light=light, asking=left).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+
+
+def test_content_lists_with_shared_tokens(spark):
+    """Lists are the same whether tokens of all profiles are joined (light) or only finish scores (heavy); each list against all pairs."""
+    rng = np.random.default_rng(3)
+    tokens = [(1000 - i, t) for i in range(80) for t in ["all", f"half{i % 2}", f"t{rng.integers(12)}", f"u{rng.integers(4)}"]]
+    fitted = vectors.ContentVectors.fit(spark.createDataFrame(tokens, "itemid long, token string"))
+    rows = fitted.item_vectors().collect()
+    items, names = sorted({r.itemid for r in rows}), sorted({r.token for r in rows})
+    a = np.zeros((len(items), len(names)))
+    for r in rows:
+        a[items.index(r.itemid), names.index(r.token)] = r.w
+    sims = np.round(a @ a.T, 9)
+    want = {}
+    for i, x in enumerate(items):
+        order = sorted((j for j in range(len(items)) if j != i), key=lambda j: (-sims[i, j], items[j]))[:6]
+        want |= {(x, k + 1): items[j] for k, j in enumerate(order)}
+    history = [(v, int(i), 1.0 + v % 3) for v in range(9) for i in rng.choice(items, 1 + v, replace=False)]
+    seen = spark.createDataFrame(history, "visitorid long, itemid long, weight double")
+    recs = {}
+    for v in range(9):
+        x = sum(w * a[items.index(i)] for u, i, w in history if u == v)
+        score = np.round(a @ x / np.sqrt(x @ x), 9)
+        mine = {i for u, i, _ in history if u == v}
+        order = sorted((j for j in range(len(items)) if items[j] not in mine), key=lambda j: (-score[j], items[j]))[:5]
+        recs |= {(v, k + 1): items[j] for k, j in enumerate(order)}
+    for light in (2, 9, 1000):
+        content = vectors.ContentVectors(fitted.members, fitted.vectors, light)
+        assert {(r.itemid, r["rank"]): r.similar_item for r in content.similar_items(6).collect()} == want
+        some = spark.createDataFrame([(items[3],), (items[50],), (5,)], "itemid long")
+        assert {(r.itemid, r["rank"]): r.similar_item for r in content.similar_items(6, some).collect()} == {k: v for k, v in want.items() if k[0] in (items[3], items[50])}
+        assert {(r.visitorid, r["rank"]): r.itemid for r in content.recommend(seen, 5).collect()} == recs

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import exact_quantile, exact_quantiles, running_totals
-from tidemark.operators import catalog, cooccurrence, latent
+from tidemark.operators import catalog, clickstream, cooccurrence, latent, profiles
 from tidemark.sources import synthetic
 from tidemark.sources.files import load_all, shared_folder
 
@@ -107,3 +107,28 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError):
         shared_folder(Cluster())
     assert shared_folder(spark)
+
+
+@pytest.mark.parametrize("days", [0.001, 0.02, 1, 400])
+def test_sessions_over_slices(spark, days):
+    """Slices shorter than a gap, and than a session, give the same numbers as one pass over a visitor's events."""
+    rng = np.random.default_rng(8)
+    rows = [(v, int(t), int(i), "view") for v in range(6) for t, i in zip(np.cumsum(rng.choice([0, 1, 600, 1799, 1800, 1801, 90_000], 60)) + 1_700_000_000, rng.integers(0, 9, 60), strict=True)]
+    log = spark.createDataFrame(rows, "visitorid long, s long, itemid long, event string").withColumn("datetime", F.timestamp_seconds("s"))
+    got = clickstream.sessions(log, slice_days=days)
+    assert got.columns == [*log.columns, "session_seq", "session_id"]
+    found = sorted((r.visitorid, r.s, r.itemid, r.session_seq, r.session_id) for r in got.collect())
+    want, last, seq = [], {}, {}
+    for v, t, i, _ in sorted(rows):
+        seq[v] = seq.get(v, 0) + (v not in last or t - last[v] > 1800)
+        last[v] = t
+        want.append((v, t, i, seq[v], f"{v}_{seq[v]}"))
+    assert found == want
+
+
+def test_distinct_counts_without_expand(spark):
+    events = spark.createDataFrame([(1, 10, "view"), (1, 10, "view"), (1, 11, "transaction"), (1, 12, "view"), (2, 99, "addtocart"), (2, 10, "other")], "visitorid long, itemid long, event string")
+    attributes = spark.createDataFrame([(10, 5), (11, 5), (12, None)], "itemid long, categoryid long")
+    got = profiles.visits(events, attributes)
+    assert {r.visitorid: (r.unique_items_viewed, r.unique_categories_viewed, r.user_view_count, r.user_addtocart_count, r.user_purchase_count) for r in got.collect()} == {1: (3, 1, 3, 0, 1), 2: (2, 1, 0, 1, 0)}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()

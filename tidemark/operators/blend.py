@@ -40,11 +40,11 @@ def recommend(visitors: DataFrame, users: DataFrame, items: DataFrame, matrix: D
     top = cf.groupBy("visitorid").agg(F.max("score").alias("top"))
     part_cf = cf.join(top, "visitorid").join(sure, "visitorid").select("visitorid", "itemid", (weights["cf"] * F.col("cf_confidence") * F.col("score") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("s"))
     most = HYBRID_OVERFETCH * n if "n" not in visitors.columns else wide.agg(F.max("n")).first()[0] or 1
-    near = content.similar_items(most)
     if seed_item is not None:
         seeds = wide.withColumn("itemid", F.lit(seed_item).cast("long"))
     else:
         seeds = matrix.groupBy("visitorid").agg(F.max("itemid").alias("itemid")).join(wide, "visitorid")
+    near = content.similar_items(most, seeds)
     part_content = seeds.join(near, "itemid").where(F.col("rank") <= F.col("n")).select("visitorid", F.col("similar_item").alias("itemid"), (weights["content"] * F.col("content_similarity")).alias("s"))
     popular = items.orderBy(*by_score("product_interaction_score", "itemid")).limit(int(most)).select("itemid", "product_interaction_score")
     popular = top_per(popular.withColumn("one", F.lit(1)), ["one"], by_score("product_interaction_score", "itemid"), int(most), "place")

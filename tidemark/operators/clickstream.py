@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SESSION_GAP_MINUTES
-from ..functions.scoring import micros
+from ..functions.scoring import MICROS_PER_DAY, micros
 from ..sources.files import materialized
 
 REQUIRED = ["datetime", "visitorid", "event", "itemid"]
@@ -38,16 +38,29 @@ def encode(df: DataFrame, key: str, name: str) -> DataFrame:
     return within.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_in") - 1).cast("long").alias(name))
 
 
-def sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
-    """Events with session_seq (from 1 for each visitor) and session_id; a gap of more than the limit starts a session."""
-    order = W.partitionBy("visitorid").orderBy("datetime", "itemid", "event")
-    gap = micros(F.col("datetime")) - micros(F.lag("datetime").over(order))
-    new = F.when(gap.isNull() | (gap > gap_minutes * 60_000_000), 1).otherwise(0)
-    return (
-        events.withColumn("_new", new)
-        .withColumn("session_seq", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .withColumn("session_id", F.concat_ws("_", "visitorid", "session_seq")).drop("_new")
-    )
+#: A visitor's events are numbered by slices of so many days.
+SLICE_DAYS = 1
+
+
+def sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES, slice_days: float = SLICE_DAYS) -> DataFrame:
+    """Events with session_seq (from 1 for each visitor) and session_id; a gap of more than the limit starts a session. Events have a visitor and a
+    time, as ``clean_events`` leaves them.
+
+    Events are ordered within slices of a visitor's time only, so a visitor with very many is in many tasks. A row a slice (first and last event, sessions
+    that start inside) then tells over the slices of a visitor whether a slice's first event starts a session, and how many came before."""
+    limit = gap_minutes * 60_000_000
+    at = micros(F.col("datetime"))
+    sliced = events.withColumn("_slice", F.floor(at / (slice_days * MICROS_PER_DAY)))
+    order = W.partitionBy("visitorid", "_slice").orderBy("datetime", "itemid", "event")
+    inside = sliced.withColumn("_new", (F.coalesce(at - micros(F.lag("datetime").over(order)), F.lit(0)) > limit).cast("int"))
+    spans = inside.groupBy("visitorid", "_slice").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_new").alias("_inside"))
+    slices = W.partitionBy("visitorid").orderBy("_slice")
+    starts = spans.withColumn("_start", F.when(F.col("_first") - F.lag("_last").over(slices) <= limit, 0).otherwise(1))
+    before = F.sum(F.col("_start") + F.col("_inside")).over(slices) - F.col("_inside")
+    starts = starts.select("visitorid", "_slice", before.alias("_before"))
+    numbered = inside.withColumn("_within", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = numbered.join(starts, ["visitorid", "_slice"]).withColumn("session_seq", F.col("_before") + F.col("_within"))
+    return joined.select(*events.columns, "session_seq", F.concat_ws("_", "visitorid", "session_seq").alias("session_id"))
 
 
 def session_summary(sessioned: DataFrame) -> DataFrame:

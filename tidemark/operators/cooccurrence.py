@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CF_EXTRA, CF_NEIGHBOURS, MIN_INTERACTIONS, TOP_K
@@ -69,9 +69,9 @@ LIGHT = 1000
 SLACK = 2e-9
 
 
-def heavy_products(heavy: DataFrame, keys: DataFrame, block: int) -> DataFrame:
-    """a, b, sim: products over the columns of ``heavy`` (k, o, w, m: rows of o) of pairs whose bound reaches a's threshold. ``keys``: k, h (length of the
-    heavy part), t (threshold, above 0).
+def heavy_products(heavy: DataFrame, keys: DataFrame, block: int, asking: DataFrame | None = None) -> DataFrame:
+    """a, b, sim: products over the columns of ``heavy`` (k, o, w, m: rows that ask in o) of pairs whose bound reaches a's threshold. ``keys``: k, h (length of the
+    heavy part) and, unless others ask, t (threshold, above 0). ``asking`` (a, o, wa, ha, t, m): rows of another table that ask.
 
     A product is at most h of a times h of b. Rows of a column are dealt into levels of h, each level into blocks, and a row of a meets levels
     only that may bring enough. The other side is dealt into blocks too, so a pair of blocks has about ``block`` times ``block`` pairs, however
@@ -81,43 +81,67 @@ def heavy_products(heavy: DataFrame, keys: DataFrame, block: int) -> DataFrame:
     cells = rows.groupBy("o", "level").agg(F.count("*").alias("n"), F.max("h").alias("most"))
     cells = cells.select("o", "level", "most", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("blocks"))
     lefts = F.ceil(F.col("m") / F.lit(float(block))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("t IS NOT NULL").select("o", F.col("k").alias("a"), F.col("w").alias("wa"), F.col("h").alias("ha"), "t", F.pmod(F.xxhash64("k"), lefts).cast("int").alias("part"))
-    left = left.join(cells, "o").where("ha * most >= t").withColumn("block", every(F.col("blocks"))).select("o", "level", "block", "part", "a", "wa", "ha", "t")
-    right = rows.join(cells.drop("most"), ["o", "level"]).withColumn("part", every(lefts))
+    left = rows.where("t IS NOT NULL").select("o", F.col("k").alias("a"), F.col("w").alias("wa"), F.col("h").alias("ha"), "t", "m") if asking is None else asking
+    left = left.withColumn("part", F.pmod(F.xxhash64("a"), lefts).cast("int"))
+    left = left.join(cells, "o").where("ha * most >= t").withColumn("block", each_of(F.col("blocks"))).select("o", "level", "block", "part", "a", "wa", "ha", "t")
+    right = rows.join(cells.drop("most"), ["o", "level"]).withColumn("part", each_of(lefts))
     right = right.select("o", "level", F.pmod(F.xxhash64(F.col("k"), F.lit(1)), F.col("blocks")).cast("int").alias("block"), "part", F.col("k").alias("b"), F.col("w").alias("wb"), F.col("h").alias("hb"))
-    pairs = left.join(right, ["o", "level", "block", "part"]).where("a <> b AND ha * hb >= t")
+    pairs = left.join(right, ["o", "level", "block", "part"]).where("ha * hb >= t" if asking is not None else "a <> b AND ha * hb >= t")
     return pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
-def nearest(matrix: DataFrame, key: str, over: str, n: int, skip: DataFrame | None = None, light: int = LIGHT) -> DataFrame:
-    """a, b, sim > 0: for each ``key`` but those of ``skip`` (k) the ``n`` others of greatest cosine, equal ones (to nine digits) by b.
+def each_of(n: Column) -> Column:
+    """A row for each of 0 to n - 1."""
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def nearest_rows(index: DataFrame, n: int | None = None, light: int = LIGHT, asking: DataFrame | None = None, skip: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """a, b, sim > 0: for each row that asks the rows of ``index`` (k, o, w; of length 1 at most) of greatest product, equal ones (to nine digits) by b.
+    ``asking`` (k, o, w, n) asks for n each; without it the index's own rows (of ``only``, and not of ``skip``: k) ask for ``n`` others.
 
-    Exact, without making all pairs that share a column. Columns of at most ``light`` rows are joined with themselves; what two rows have in common
-    there is at least their similarity's share of light columns, so the n-th best of it is a threshold for a row. What heavy columns may add is at most the product
+    Exact, without making all pairs that share a column. Columns of at most ``light`` rows of the index are joined; what two rows have in common
+    there is part of their product, so the n-th best of it is a threshold for the row that asks. What heavy columns may add is at most the product
     of the lengths of the rows' heavy parts: pairs below the threshold even so are dropped; of the rest those with a light column in common look
-    up their heavy products, and others are found by levels of length (``heavy_products``)."""
-    unit = unit_rows(matrix, key, over)
-    unit = materialized(unit.join(unit.groupBy("o").agg(F.count("*").alias("m")), "o"), "unit")
-    few, heavy = unit.where(F.col("m") <= light), unit.where(F.col("m") > light)
-    wanted = few if skip is None else few.join(skip, "k", "left_anti")
-    left, right = wanted.select("o", F.col("k").alias("a"), F.col("w").alias("wa")), few.select("o", F.col("k").alias("b"), F.col("w").alias("wb"))
-    shared = left.join(right, "o").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    if heavy.isEmpty():
-        return top_per(shared, ["a"], by_score("sim", "b"), n, "near").drop("near")
+    up their heavy products, and others are found by levels of length (``heavy_products``). Rows that ask in a light column are dealt into
+    blocks of ``light`` too, so no task makes more than ``light`` times ``light`` pairs of a column at a time."""
+    own = asking is None
+    rows = index.join(index.groupBy("o").agg(F.count("*").alias("n_rows")), "o")
+    if own:
+        rows = left = materialized(rows.withColumn("m", F.col("n_rows")), "unit")
+        left = left if skip is None else left.join(skip, "k", "left_anti")
+        left = (left if only is None else left.join(only, "k", "left_semi")).withColumn("n", F.lit(n))
+    else:
+        rows = materialized(rows.join(asking.groupBy("o").agg(F.count("*").alias("m")), "o"), "unit")
+        left = materialized(asking.join(rows.groupBy("o").agg(F.max("n_rows").alias("n_rows"), F.max("m").alias("m")), "o"), "asking")
+    lengths = left.groupBy("k").agg(F.max("n").alias("n")).withColumnRenamed("k", "a")
+
+    def listed(pairs: DataFrame) -> DataFrame:
+        return top_per(pairs if own else pairs.join(lengths, "a"), ["a"], by_score("sim", "b"), F.lit(n) if own else F.col("n"), "near")
+
+    parts = F.ceil(F.col("m") / F.lit(float(light))).cast("int")
+    few, heavy = F.col("n_rows") <= light, F.col("n_rows") > light
+    lights = left.where(few).select("o", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), F.col("k").alias("a"), F.col("w").alias("wa"))
+    shared = lights.join(rows.where(few).select("o", each_of(parts).alias("part"), F.col("k").alias("b"), F.col("w").alias("wb")), ["o", "part"])
+    shared = (shared.where("a <> b") if own else shared).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    if rows.where(heavy).isEmpty():
+        return listed(shared).select("a", "b", "sim")
     shared = materialized(shared, "shared")
-    least = top_per(shared, ["a"], by_score("sim", "b"), n, "near").where(F.col("near") == n).select(F.col("a").alias("k"), (F.col("sim") - SLACK).alias("t"))
-    keys = unit.groupBy("k").agg(F.sqrt(F.sum(F.when(F.col("m") > light, F.col("w") * F.col("w")).otherwise(0.0))).alias("h")).join(least, "k", "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(1e-300)), F.lit(1e-300)))
-    if skip is not None:
-        keys = keys.join(skip.withColumn("no", F.lit(True)), "k", "left").withColumn("t", F.when(F.col("no").isNull(), F.col("t"))).drop("no")
-    keys = materialized(keys, "keys")
-    ends = [keys.select(F.col("k").alias(x), F.col("h").alias(f"h{x}"), F.col("t").alias(f"t{x}")) for x in ("a", "b")]
-    kept = shared.join(ends[0], "a").join(ends[1], "b").where("sim + ha * hb >= ta").select("a", "b", "sim", (F.expr("ha * hb < ta")).alias("asks"))
-    wide = heavy.select("k", "o", "w")
-    asked = kept.where("asks").join(wide.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(wide.withColumnsRenamed({"k": "b", "w": "wb"}), ["b", "o"])
-    parts = kept.select("a", "b", "sim").union(asked.select("a", "b", (F.col("wa") * F.col("wb")).alias("sim"))).union(heavy_products(heavy, keys, light))
-    sims = parts.groupBy("a", "b").agg(F.sum("sim").alias("sim"))
-    return top_per(sims, ["a"], by_score("sim", "b"), n, "near").drop("near")
+    length = F.sqrt(F.sum(F.when(heavy, F.col("w") * F.col("w")).otherwise(0.0)))
+    least = listed(shared).where(F.col("near") == (F.lit(n) if own else F.col("n"))).select(F.col("a").alias("k"), (F.col("sim") - SLACK).alias("t"))
+    ends = left.groupBy("k").agg(length.alias("ha")).join(least, "k", "left")
+    ends = materialized(ends.select(F.col("k").alias("a"), "ha", F.greatest(F.coalesce("t", F.lit(1e-300)), F.lit(1e-300)).alias("t")), "ends")
+    keys = materialized(rows.groupBy("k").agg(length.alias("h")), "keys")
+    kept = shared.join(ends, "a").join(keys.withColumnsRenamed({"k": "b", "h": "hb"}), "b").where("sim + ha * hb >= t").select("a", "b", "sim", F.expr("ha * hb < t").alias("asks"))
+    wide, wide_left = rows.where(heavy).select("k", "o", "w", "m"), left.where(heavy).select(F.col("k").alias("a"), "o", F.col("w").alias("wa"), "m")
+    asked = kept.where("asks").select("a", "b").join(wide_left.drop("m"), "a").join(wide.drop("m").withColumnsRenamed({"k": "b", "w": "wb"}), ["b", "o"])
+    found = heavy_products(wide, keys, light, wide_left.join(ends, "a"))
+    sums = kept.select("a", "b", "sim").union(asked.select("a", "b", (F.col("wa") * F.col("wb")).alias("sim"))).union(found.where("a <> b") if own else found)
+    return listed(sums.groupBy("a", "b").agg(F.sum("sim").alias("sim"))).select("a", "b", "sim")
+
+
+def nearest(matrix: DataFrame, key: str, over: str, n: int, skip: DataFrame | None = None, light: int = LIGHT) -> DataFrame:
+    """a, b, sim > 0: for each ``key`` but those of ``skip`` (k) the ``n`` others of greatest cosine, equal ones (to nine digits) by b."""
+    return nearest_rows(unit_rows(matrix, key, over), n, light, skip=skip)
 
 
 def similar_items(matrix: DataFrame, n: int = TOP_K) -> DataFrame:

@@ -14,17 +14,32 @@ def with_decayed_weight(events: DataFrame) -> DataFrame:
     return events.crossJoin(F.broadcast(last)).withColumn("weight", event_weight(F.col("event")) * half_life(days_between(F.col("_last"), F.col("datetime"))))
 
 
-def event_counts(prefix: str, purchase: str = "transaction") -> list:
-    names = {"view": f"{prefix}_view_count", "addtocart": f"{prefix}_addtocart_count", "transaction": f"{prefix}_{purchase}_count"}
+#: Counts of a visitor's events.
+EVENT_COUNTS = {"view": "user_view_count", "addtocart": "user_addtocart_count", "transaction": "user_purchase_count"}
+
+
+def event_counts(prefix: str) -> list:
+    names = {"view": f"{prefix}_view_count", "addtocart": f"{prefix}_addtocart_count", "transaction": f"{prefix}_transaction_count"}
     return [F.count_if(F.col("event") == e).alias(n) for e, n in names.items()]
 
 
+def visits(events: DataFrame, attributes: DataFrame, *more) -> DataFrame:
+    """A row for each visitor, of exact distinct counts and sums, by aggregates of aggregates: of (visitor, item), then of (visitor, category), then of visitors.
+    No row is expanded for each count, a visitor's many events are added up in many tasks, and categories are joined to pairs, not to events.
+    ``more``: further (name, aggregate of events, aggregate of aggregates)."""
+    def onward(kept):
+        return [again(name).alias(name) for name, _, again in kept]
+
+    kept = [*[(c, F.count_if(F.col("event") == e), F.sum) for e, c in EVENT_COUNTS.items()], *more]
+    pairs = events.groupBy("visitorid", "itemid").agg(*[first.alias(name) for name, first, _ in kept])
+    by_category = pairs.join(attributes.select("itemid", "categoryid"), "itemid", "left").groupBy("visitorid", "categoryid").agg(F.count("itemid").alias("unique_items_viewed"), *onward(kept))
+    return by_category.groupBy("visitorid").agg(F.sum("unique_items_viewed").alias("unique_items_viewed"), F.count("categoryid").alias("unique_categories_viewed"), *onward(kept))
+
+
 def user_features(events: DataFrame, sessions: DataFrame, attributes: DataFrame) -> DataFrame:
-    weighted = with_decayed_weight(events).join(attributes.select("itemid", "categoryid"), "itemid", "left")
-    own = weighted.groupBy("visitorid").agg(
-        *event_counts("user", "purchase"), F.count_distinct("itemid").alias("unique_items_viewed"), F.count_distinct("categoryid").alias("unique_categories_viewed"),
-        F.min("datetime").alias("first_seen"), F.max("datetime").alias("last_seen"), F.sum("weight").alias("activity_score_raw"), F.first("_last").alias("_last"),
-    )
+    weighted = with_decayed_weight(events)
+    seen = [("first_seen", F.min("datetime"), F.min), ("last_seen", F.max("datetime"), F.max), ("activity_score_raw", F.sum("weight"), F.sum), ("_last", F.any_value("_last"), F.any_value)]
+    own = visits(weighted, attributes, *seen)
     stays = sessions.groupBy("visitorid").agg(F.count_distinct("session_id").alias("n_sessions"), F.avg("duration_sec").alias("avg_session_duration_sec"), F.percentile("duration_sec", F.lit(0.5)).alias("median_session_duration_sec"))
     joined = own.join(stays, "visitorid", "full").fillna(0, ["user_view_count", "user_addtocart_count", "user_purchase_count"]).fillna(0.0, ["activity_score_raw"])
     rated = (

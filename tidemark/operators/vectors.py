@@ -15,6 +15,7 @@ from ..config import PRICE_BUCKETS, TFIDF_MAX_FEATURES, TOP_K
 from ..functions.scoring import by_score, top_per
 from ..sources.files import materialized
 from .catalog import ancestors, with_price_bucket
+from .cooccurrence import LIGHT, nearest_rows
 
 
 def item_tokens(items: DataFrame, tree: DataFrame, brand: str | None = None, q: int = PRICE_BUCKETS) -> DataFrame:
@@ -32,8 +33,8 @@ def item_tokens(items: DataFrame, tree: DataFrame, brand: str | None = None, q:
 class ContentVectors:
     """members (itemid, profile) and vectors (profile, token, w); ``tables()`` can be saved and given back."""
 
-    def __init__(self, members: DataFrame, vectors: DataFrame):
-        self.members, self.vectors = members, vectors
+    def __init__(self, members: DataFrame, vectors: DataFrame, light: int = LIGHT):
+        self.members, self.vectors, self.light = members, vectors, light
 
     @classmethod
     def fit(cls, tokens: DataFrame, max_features: int = TFIDF_MAX_FEATURES) -> "ContentVectors":
@@ -56,24 +57,35 @@ class ContentVectors:
     def item_vectors(self) -> DataFrame:
         return self.members.join(self.vectors, "profile").select("itemid", "token", "w")
 
-    def similarities(self) -> DataFrame:
-        """a, b, sim > 0 between profiles, a profile with itself included."""
-        left, right = self.vectors.select("token", F.col("profile").alias("a"), F.col("w").alias("wa")), self.vectors.select("token", F.col("profile").alias("b"), F.col("w").alias("wb"))
-        return left.join(right, "token").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    def _index(self) -> tuple[DataFrame, DataFrame]:
+        """head, profile: a profile's first item; and rows (k, o, w) of vectors by head. Profiles in order of heads are in order of what fills a list first,
+        so of equally near profiles the first n hold all items that a list of n can show."""
+        heads = self.members.groupBy("profile").agg(F.min("itemid").alias("head"))
+        return heads, self.vectors.join(heads, "profile").select(F.col("head").alias("k"), F.col("token").alias("o"), "w")
 
     def _first_members(self, n) -> DataFrame:
         return top_per(self.members, ["profile"], [F.asc("itemid")], n, "place")
 
-    def similar_items(self, n: int = TOP_K) -> DataFrame:
-        """itemid, similar_item, content_similarity, rank for every item: the n most similar others."""
+    def similar_items(self, n: int = TOP_K, of: DataFrame | None = None) -> DataFrame:
+        """itemid, similar_item, content_similarity, rank for every item, or those of ``of`` (itemid): the n most similar others.
+
+        A profile's own and the n nearest others are enough. They are found without making all pairs that share a token: tokens of few profiles give
+        thresholds, and tokens that many share only finish what may still reach them."""
+        heads, index = self._index()
+        only = None if of is None else self.members.join(of.select("itemid").distinct(), "itemid").join(heads, "profile").select(F.col("head").alias("k")).distinct()
+        asking = index if only is None else index.join(only, "k", "left_semi")
+        near = nearest_rows(index, n, self.light, only=only).union(asking.select("k", F.col("k").alias("same"), F.lit(1.0)).distinct())
+        ids = [heads.select(F.col("head").alias(h), F.col("profile").alias(p)) for h, p in (("a", "pa"), ("b", "pb"))]
+        similar = near.join(ids[0], "a").join(ids[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sim")
         # profiles that others with n + 1 items or more come before bring nothing: cut before items are filled in
         sizes = self.members.groupBy(F.col("profile").alias("b")).agg(F.count("*").alias("size"))
-        scored = self.similarities().withColumn("place_score", F.round("sim", 9)).join(sizes, "b")
+        scored = similar.withColumn("place_score", F.round("sim", 9)).join(sizes, "b")
         better = F.sum("size").over(W.partitionBy("a").orderBy(F.desc("place_score"))) - F.sum("size").over(W.partitionBy("a", "place_score"))
         wanted = scored.withColumn("better", better).where(F.col("better") <= n)
         filled = wanted.join(self._first_members(n + 1).select(F.col("profile").alias("b"), F.col("itemid").alias("similar_item")), "b")
         listed = top_per(filled, ["a"], by_score("sim", "similar_item"), n + 1)
-        own = self.members.join(listed.select(F.col("a").alias("profile"), "similar_item", "sim", "rank"), "profile").where("itemid <> similar_item")
+        asked = self.members if of is None else self.members.join(of.select("itemid").distinct(), "itemid", "left_semi")
+        own = asked.join(listed.select(F.col("a").alias("profile"), "similar_item", "sim", "rank"), "profile").where("itemid <> similar_item")
         return top_per(own.drop("rank"), ["itemid"], by_score("sim", "similar_item"), n).select("itemid", "similar_item", F.col("sim").alias("content_similarity"), "rank")
 
     def recommend(self, history: DataFrame, n=TOP_K, exclude: DataFrame | None = None) -> DataFrame:
@@ -88,7 +100,10 @@ class ContentVectors:
         budget = seeds.groupBy("visitorid").agg(F.max("n").alias("n")).join(barred.groupBy("visitorid").agg(F.count("*").alias("n_seeds")), "visitorid")
         mean = seeds.groupBy("visitorid", "profile").agg(F.sum("weight").alias("weight")).join(self.vectors, "profile").groupBy("visitorid", "token").agg(F.sum(F.col("weight") * F.col("w")).alias("x"))
         norms = mean.groupBy("visitorid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        scores = mean.join(self.vectors, "token").groupBy("visitorid", "profile").agg(F.sum(F.col("x") * F.col("w")).alias("dot")).join(norms, "visitorid").withColumn("score", F.col("dot") / F.col("norm")).where("score > 0").withColumn("place_score", F.round("score", 9))
+        heads, index = self._index()
+        asking = mean.join(norms.where("norm > 0"), "visitorid").join(budget, "visitorid").select(F.col("visitorid").alias("k"), F.col("token").alias("o"), (F.col("x") / F.col("norm")).alias("w"), (F.col("n") + F.col("n_seeds")).alias("n"))
+        near = nearest_rows(index, light=self.light, asking=asking).select(F.col("a").alias("visitorid"), F.col("b").alias("head"), F.col("sim").alias("score"))
+        scores = near.join(heads, "head").select("visitorid", "profile", "score").where("score > 0").withColumn("place_score", F.round("score", 9))
         sizes = self.members.groupBy("profile").agg(F.count("*").alias("size"))
         sized = scores.join(sizes, "profile").join(budget, "visitorid")
         better = F.sum("size").over(W.partitionBy("visitorid").orderBy(F.desc("place_score"))) - F.sum("size").over(W.partitionBy("visitorid", "place_score"))
