@@ -626,3 +626,27 @@ def test_memories_are_bounded_by_bytes(monkeypatch):
     assert len(coder.spelt) < 200 and len(ids.known) < 200
     minhash.shingles(" ".join("x" * 3000 + str(i) for i in range(1000)), 3)
     assert all(len(w) <= 64 for w in minhash.HASHES)
+
+
+def test_rare_counts_have_no_constant_cutoff(spark):
+    """Of a group in which nearly all documents have no symbol, a long clean text may have some: the fence is a rate, above 0, and the bound grows with length."""
+    def text(n, symbols, seed):
+        w = [f"{a}{i:05d}" for i, a in enumerate(words(n, seed))]
+        for i in range(symbols):
+            w[(i * 37) % n] += "$"
+        return " ".join(w)
+
+    docs = [(i, text(100 + i % 7, 0, i), "l", "s") for i in range(60)] + [(100, text(60_000, 40, 3), "l", "s"), (101, text(100, 40, 4), "l", "s"), (102, text(60_000, 9_000, 5), "l", "s")]
+    got = quality_rules.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    kept = {r.d.doc_id: r.kept for r in got}
+    assert kept == {i: i not in (101, 102) for i in kept}
+    base = quality_rules.measured(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    limits = quality_rules.thresholds(base).first()
+    assert limits.high_symbols > 0 and limits.high_dup_lines > 0
+
+
+@pytest.mark.parametrize("n, block", [(1, 4096), (4097, 4096), (9000, 2), (4096, 1)])
+def test_token_files_in_slices_of_blocks(n, block):
+    ids = (np.random.default_rng(n).zipf(1.3, n) % 49408).astype(np.uint32)
+    assert [s.stop - s.start for s in token_files.slices(9000 // 2)] == [1500, 1500, 1500]
+    assert (token_files.unpack(token_files.pack([1], np.array([n]), ids, block))[2] == ids).all()

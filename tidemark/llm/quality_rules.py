@@ -7,12 +7,16 @@ language. A source's sketch is topped up by its language's with the weight of ``
 has, the more it goes by its language, at any size. A group costs some thousand rows, however many documents it has.
 
 A fence stands off the outer quantile (``OUTER`` percent, or 100 - ``OUTER`` below) by ``SPREAD`` times that quantile's distance from
-the median. What is counted by the document (symbols, repeats) may be above the fence by its own sampling error, ``ERRORS``
-standard errors of the count that the fence lets expect and one more: some symbols or one repeated line in a short text are no sign.
+the median. Where the outer quantile of a count is 0, as of rare things, the sketch still bounds their rate: if ``OUTER`` percent of documents have
+none in a typical length, the rate is at most -ln(OUTER / 100) to that length, and no fence is below this, so that every fence grows with a text's length. What is
+counted by the document (symbols, repeats) may be above the fence by its own sampling error, ``ERRORS`` standard errors of the count that the fence lets
+expect and one more: some symbols or one repeated line in a short text are no sign.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +36,15 @@ MEASURES = {
     "repeats": ("((n_repeat_words + 5) {div} 6)", "n_words"),  # a window that comes twice has six words
     "capitals": ("n_capitals", "word_chars"),
 }
+#: What counts are held against; sketched too, for typical lengths.
+LENGTHS = ("n_words", "n_lines", "word_chars")
+#: The rate for 1,000, times a typical length, that leaves ``OUTER`` percent of documents of that length without any.
+RARE = 1000 * -math.log(OUTER / 100)
 
 
 def value_of(measure: str, div: str = "div") -> str:
+    if measure in LENGTHS:
+        return measure
     count, of = MEASURES[measure]
     return f"{count.format(div=div)} * 1000 {div} {of}" if count else f"word_chars * 100 {div} {of}"
 
@@ -93,7 +103,7 @@ def measured(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def sketches(base: DataFrame) -> DataFrame:
     """lang, source, measure, low, n: counts by bucket of the documents that pass the base rules."""
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(value_of(k)).cast("long").alias("v")) for k in MEASURES])).alias("m")
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(value_of(k)).cast("long").alias("v")) for k in (*MEASURES, *LENGTHS)])).alias("m")
     v = F.col("m.v")
     # not shiftleft by a column's value of bin's length at once: both shifts take an int
     bits = F.greatest(F.length(F.bin(v)) - PRECISION, F.lit(0)).cast("int")
@@ -123,7 +133,9 @@ def thresholds(base: DataFrame) -> DataFrame:
     quantiles = ranked.groupBy("lang", "source", "measure").agg(*at.values())
     high = F.col(f"q{OUTER}") + SPREAD * (F.col(f"q{OUTER}") - F.col("q50"))
     low = F.col(f"q{100 - OUTER}") - SPREAD * (F.col("q50") - F.col(f"q{100 - OUTER}"))
-    found = [F.max(F.when(F.col("measure") == k, high)).alias(f"high_{k}") for k in MEASURES]
+    rare = {of: F.lit(RARE) / F.max(F.when(F.col("measure") == of, F.col("q50"))) for of in LENGTHS}
+    fence = {k: F.max(F.when(F.col("measure") == k, high)) for k in MEASURES}
+    found = [(F.greatest(fence[k], rare[of]) if count else fence[k]).alias(f"high_{k}") for k, (count, of) in MEASURES.items()]
     found += [F.max(F.when(F.col("measure") == k, low)).alias(f"low_{k}") for k, (count, _) in MEASURES.items() if not count]
     return quantiles.groupBy("lang", "source").agg(*found)
 
@@ -158,9 +170,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     # DuckDB divides integers by //
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {value_of(k, '//')} AS v FROM base WHERE NOT base_failed" for k in MEASURES)
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {value_of(k, '//')} AS v FROM base WHERE NOT base_failed" for k in (*MEASURES, *LENGTHS))
     quantiles = ", ".join(f"CAST(min(CASE WHEN upto >= {q} * a THEN low END) AS DOUBLE) AS q{q}" for q in (100 - OUTER, 50, OUTER))
-    fence = ", ".join([f"max(CASE WHEN measure = '{k}' THEN q{OUTER} + {SPREAD} * (q{OUTER} - q50) END) AS high_{k}" for k in MEASURES] + [f"max(CASE WHEN measure = '{k}' THEN q{100 - OUTER} - {SPREAD} * (q50 - q{100 - OUTER}) END) AS low_{k}" for k, m in MEASURES.items() if not m[0]])
+    fences = {k: f"max(CASE WHEN measure = '{k}' THEN q{OUTER} + {SPREAD} * (q{OUTER} - q50) END)" for k in MEASURES}
+    rare = {of: f"CAST({RARE!r} AS DOUBLE) / max(CASE WHEN measure = '{of}' THEN q50 END)" for of in LENGTHS}
+    fence = ", ".join([f"greatest({fences[k]}, {rare[of]}) AS high_{k}" if count else f"{fences[k]} AS high_{k}" for k, (count, of) in MEASURES.items()] + [f"max(CASE WHEN measure = '{k}' THEN q{100 - OUTER} - {SPREAD} * (q50 - q{100 - OUTER}) END) AS low_{k}" for k, m in MEASURES.items() if not m[0]])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, lang, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
