@@ -11,7 +11,7 @@ last id (order 1), and by the node and the last two ids (order 2), the latter tw
 adaptive weights, whose set is selected by how often the contexts of order 1 and 2 have been seen, and the sum drives a binary
 range coder without carry. All arithmetic is in whole numbers, so that any machine decodes what another has coded.
 
-Blocks are coded side by side: each numpy step codes one bit of every block of a file. The same loop encodes and decodes.
+Blocks are coded side by side: each numpy step codes one bit of each of up to ``SIDE_BY_SIDE`` blocks of a file. The same loop encodes and decodes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from tokenizers import Tokenizer
 from .bpe import CONTROLS, FAR, OTHER_GAPS, vocabulary_path
 from .common import documents, tuned, written
 
-END_ID, BLOCK_IDS, FILE_IDS = 1, 1024, 6 << 20
+END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 6 << 20
+#: Blocks that are coded side by side, of 24 KB of state each: a file of any length takes no more.
+SIDE_BY_SIDE = 2048
 #: Bits of the index of a block's table; what a cell counts up to; the rate of the weights.
 CELL_BITS, MOST_SEEN, WEIGHT_SHIFT = 12, 12, 10
 HEADER = struct.Struct("<4sHIIIII")
@@ -211,6 +213,12 @@ def code_blocks(tree: Tree, lengths: np.ndarray, ids: np.ndarray | None = None,
     return out if data is not None else [out[i, : ends[i]].tobytes() for i in range(n)]
 
 
+def slices(n: int) -> list[slice]:
+    """Of ``n`` blocks, equal parts of no more than are coded side by side."""
+    ends = np.linspace(0, n, -(-n // SIDE_BY_SIDE) + 1).astype(int).tolist()
+    return [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -227,7 +235,8 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_i
         padded[: len(ids)] = index
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = len(ids) - (n_blocks - 1) * block_ids  # only the last is shorter, so the order is by length
-        parts = code_blocks(Tree(freq), lengths, ids=padded.reshape(n_blocks, block_ids))
+        tree, padded = Tree(freq), padded.reshape(n_blocks, block_ids)
+        parts = [p for s in slices(n_blocks) for p in code_blocks(tree, lengths[s], ids=padded[s])]
         checks = [crc_of(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)]
     head = HEADER.pack(b"TMTK", 1, block_ids, len(doc_ids), len(ids), len(values), n_blocks)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -259,10 +268,9 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if n_blocks:
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = n_ids - (n_blocks - 1) * block_ids
-        index = code_blocks(Tree(freq), lengths, data=data)
-        width = index.shape[1]
-        flat = index.reshape(-1)[: n_ids if width == block_ids or n_blocks == 1 else None]
-        ids = values[flat].astype(np.uint32)
+        tree = Tree(freq)
+        index = np.concatenate([code_blocks(tree, lengths[s], data=data[s]).reshape(-1) for s in slices(n_blocks)])
+        ids = values[index[:n_ids]].astype(np.uint32)
         for i, (_, check) in enumerate(table):
             if crc_of(ids[i * block_ids : (i + 1) * block_ids]) != check:
                 raise ValueError(f"block {i} is damaged")
