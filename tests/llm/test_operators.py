@@ -641,7 +641,7 @@ def test_rare_counts_have_no_constant_cutoff(spark):
     kept = {r.d.doc_id: r.kept for r in got}
     assert kept == {i: i not in (101, 102) for i in kept}
     base = quality_rules.measured(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
-    limits = quality_rules.thresholds(base).first()
+    limits = quality_rules.thresholds(quality_rules.written(base, "measures")).first()
     assert limits.high_symbols > 0 and limits.high_dup_lines > 0
 
 
