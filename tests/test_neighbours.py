@@ -99,3 +99,48 @@ def test_content_lists_with_shared_tokens(spark):
         some = spark.createDataFrame([(items[3],), (items[50],), (5,)], "itemid long")
         assert {(r.itemid, r["rank"]): r.similar_item for r in content.similar_items(6, some).collect()} == {k: v for k, v in want.items() if k[0] in (items[3], items[50])}
         assert {(r.visitorid, r["rank"]): r.itemid for r in content.recommend(seen, 5).collect()} == recs
+
+
+def by_hand(rows, n, neighbours):
+    """Recommendations of the nearest users, and those users, with plain loops."""
+    users = sorted({r[0] for r in rows})
+    row = {u: {o: w for k, o, w in rows if k == u} for u in users}
+    length = {u: sum(w * w for w in row[u].values()) ** 0.5 for u in users}
+    near, out = {}, {}
+    for a in users:
+        if sum(row[a].values()) < 3:
+            continue
+        sims = {b: sum(w * row[b].get(o, 0) for o, w in row[a].items()) / (length[a] * length[b]) for b in users if b != a and length[b]}
+        for b in sorted((b for b in sims if sims[b] > 1e-15), key=lambda b: (-round(sims[b], 9), b))[:neighbours]:
+            near[a, b] = sims[b]
+        score = {}
+        for b in (b for x, b in near if x == a):
+            for o, w in row[b].items():
+                score[o] = score.get(o, 0) + near[a, b] * w
+        for o in sorted((o for o in score if o not in row[a]), key=lambda o: (-round(score[o], 9), o))[:n]:
+            out[a, o] = score[o]
+    return near, out
+
+
+@pytest.mark.parametrize("columns", [12, 200])
+def test_users_with_equal_rows(spark, columns):
+    """Copies of users, more of a row than a list holds, rows of the same direction, users with too little or nothing; few columns (blocks of all pairs) and many."""
+    rng = np.random.default_rng(columns)
+    base = [(k, int(o), float(rng.integers(0, 6))) for k in range(14) for o in rng.choice(columns, 7, replace=False)]
+    rows = [(k + 14 * c, o, w) for k, o, w in base for c in range(1 + 4 * (k % 3))] + [(k + 200, o, 2 * w) for k, o, w in base if k < 6] + [(300, 1, 1.0), (301, 1, 0.0)]
+    m = spark.createDataFrame(rows, "visitorid long, itemid long, weight double")
+    near, hoped = by_hand(rows, 4, 5)
+    found = co.UserNeighbours(m, 5)
+    assert found.matrix.select("visitorid").distinct().count() <= 22
+    assert {(r.a, r.b): r.sim for r in found.pairs().collect()} == pytest.approx(near, abs=2e-9)
+    assert {(r.visitorid, r.itemid): r.score for r in found.recommend(4).collect()} == pytest.approx(hoped, abs=1e-8)
+
+
+def test_blocks_of_all_pairs(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, o, float(rng.integers(0, 4))) for k in range(90) for o in range(30) if rng.random() < 0.6]
+    unit = co.unit_rows(spark.createDataFrame(rows, "k long, o long, weight double"), "k", "o")
+    asks = unit.select("k").distinct().where("k % 4 > 0")
+    for block in (16, 2048):
+        got = {(r.a, r.b): round(r.sim, 9) for r in co.block_nearest(unit, 6, asks, block).collect()}
+        assert got == pytest.approx(plain(rows, 6, {k for k in range(90) if k % 4 == 0}), abs=2e-9)

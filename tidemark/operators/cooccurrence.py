@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,14 +169,112 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
     return top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n")).select("visitorid", "itemid", "score", "rank")
 
 
+#: Rows of a block of ``block_nearest``, and columns of it that are multiplied at a time.
+DENSE_ROWS, DENSE_COLUMNS = 2048, 1024
+
+
+def block_nearest(unit: DataFrame, n: int, asks: DataFrame, block: int = DENSE_ROWS) -> DataFrame:
+    """a, b, sim > 0 as by ``nearest_rows``, for rows that share so many columns that nearly all pairs have something in common. Each pair of blocks of rows
+    is one product of matrices in a task, of which the ``n`` nearest of each row are kept, so no pair becomes a row but those."""
+    rows = unit.where("o IS NOT NULL").groupBy("k").agg(F.collect_list("o").alias("os"), F.collect_list("w").alias("ws")).join(asks.select("k", F.lit(True).alias("asks")), "k", "left")
+    rows = materialized(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), "packed")
+    blocks = -(-rows.count() // block) or 1
+    own, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), each_of(F.lit(blocks))
+    left, right = rows.where("asks").select("k", "os", "ws", own.alias("i"), other.alias("j")), rows.select(*[F.col(c).alias(c) for c in ("k", "os", "ws")], other.alias("i"), own.alias("j"))
+
+    def run(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+        if not len(lefts) or not len(rights):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        rights = rights.sort_by("k")  # equal ones by key
+        (ka, ra, oa, wa), (kb, rb, ob, wb) = cells_of(lefts), cells_of(rights)
+        sims = np.zeros((len(ka), len(kb)))
+        columns = np.intersect1d(oa, ob)
+        for at in range(0, len(columns), DENSE_COLUMNS):
+            some = columns[at : at + DENSE_COLUMNS]
+            sims += dense(ra, oa, wa, len(ka), some) @ dense(rb, ob, wb, len(kb), some).T
+        out = []
+        for at in range(0, len(ka), 256):
+            part = sims[at : at + 256]
+            place = np.where((part > 0) & (ka[at : at + 256, None] != kb), np.round(part, 9), -1.0)
+            last = np.partition(place, -n, axis=1)[:, -n, None] if n < len(kb) else np.full((len(place), 1), -0.5)
+            above, equal = place > last, place == last
+            row, col = np.nonzero((above | equal & (np.cumsum(equal, axis=1) <= n - above.sum(axis=1, keepdims=True))) & (place >= 0))
+            out.append((ka[at + row], kb[col], part[row, col]))
+        return pa.table({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("a", "b", "sim"))})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "a long, b long, sim double")
+    return top_per(found, ["a"], by_score("sim", "b"), n, "near").select("a", "b", "sim")
+
+
+def cells_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and of each cell its row, column and value."""
+    os, ws = (rows.column(c).combine_chunks() for c in ("os", "ws"))
+    return rows.column("k").to_numpy(), np.repeat(np.arange(len(rows)), os.value_lengths().to_numpy()), os.flatten().to_numpy(), ws.flatten().to_numpy()
+
+
+def dense(row: np.ndarray, column: np.ndarray, value: np.ndarray, n_rows: int, columns: np.ndarray) -> np.ndarray:
+    """The part of a matrix at some sorted ``columns``."""
+    at = np.searchsorted(columns, column)
+    here = columns[np.minimum(at, len(columns) - 1)] == column
+    out = np.zeros((n_rows, len(columns)))
+    out[row[here], at[here]] = value[here]
+    return out
+
+
+class UserNeighbours:
+    """Nearest users, found between distinct rows of the matrix: users whose rows are equal in all weights are equally near to all others.
+
+    ``heads``: visitorid, head (the smallest user of the same row). ``lists``: head, rank, b, b_head, sim: the ``n`` + 1 nearest users of a row, users of the row
+    itself among them; a user's neighbours are those but itself, or but the last."""
+
+    def __init__(self, matrix: DataFrame, n: int, light: int = LIGHT):
+        self.n = n
+        rows = matrix.where("visitorid IS NOT NULL").groupBy("visitorid").agg(F.sort_array(F.collect_list(F.struct("itemid", "weight"))).alias("row"))
+        rows = materialized(rows, "rows")
+        distinct = rows.groupBy("row").agg(F.min("visitorid").alias("head"))
+        self.heads = materialized(rows.join(distinct, "row").select("visitorid", "head"), "heads")
+        cells = distinct.select(F.col("head").alias("visitorid"), F.explode("row").alias("c")).select("visitorid", "c.itemid", "c.weight")
+        self.matrix = materialized(cells, "distinct_rows")
+        unit = materialized(unit_rows(self.matrix, "visitorid", "itemid"), "unit")
+        few = excluded(self.matrix, "visitorid").select(F.col("visitorid").alias("k"))
+        asks = unit.select("k").distinct().join(few, "k", "left_anti")
+        # pairs that a join over columns makes, against all pairs
+        joined = unit.where("o IS NOT NULL").groupBy("o").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()[0]
+        near = block_nearest(unit, n, asks) if joined > float(self.matrix.select("visitorid").distinct().count()) ** 2 else nearest_rows(unit, n, light, skip=few)
+        # rows in order of their heads are in order of what fills a list first, so n + 1 rows hold the first n + 1 users
+        near = near.union(asks.select("k", F.col("k").alias("same"), F.lit(1.0)))
+        members = top_per(self.heads, ["head"], [F.asc("visitorid")], n + 1, "place").select(F.col("head").alias("b_head"), F.col("visitorid").alias("b"))
+        filled = near.select(F.col("a").alias("head"), F.col("b").alias("b_head"), "sim").join(members, "b_head")
+        self.lists = materialized(top_per(filled, ["head"], by_score("sim", "b"), n + 1).select("head", "rank", "b", "b_head", "sim"), "near")
+
+    def pairs(self) -> DataFrame:
+        """a, b, sim for every user."""
+        each = self.heads.withColumnRenamed("visitorid", "a").join(self.lists, "head").where("a <> b")
+        return top_per(each, ["a"], [F.asc("rank")], self.n, "place").select("a", "b", "sim")
+
+    def recommend(self, n: int) -> DataFrame:
+        """visitorid, itemid, score, rank. Users of one row have one of two lists: a neighbour of their own row is left out, or the last neighbour is."""
+        within = self.lists.groupBy("head", "b_head").agg(F.any_value("sim").alias("sim"), F.count("*").alias("listed"), F.count_if(F.col("rank") <= self.n).alias("first"))
+        ways = within.select("head", "b_head", "sim", F.explode(F.array(F.struct(F.lit(True).alias("within"), (F.col("listed") - (F.col("head") == F.col("b_head")).cast("int")).alias("m")), F.struct(F.lit(False).alias("within"), F.col("first").alias("m")))).alias("way"))
+        ways = ways.select("head", "b_head", "sim", "way.within", "way.m").where("m > 0")
+        mine = self.heads.join(self.lists.select("head", F.col("b").alias("visitorid"), F.lit(True).alias("within")), ["head", "visitorid"], "left").withColumn("within", F.coalesce("within", F.lit(False)))
+        mine = materialized(mine, "mine")
+        ways = ways.join(mine.select("head", "within").distinct(), ["head", "within"], "left_semi")
+        rows = ways.join(self.matrix.withColumnRenamed("visitorid", "b_head"), "b_head").groupBy("head", "within", "itemid").agg(F.sum(F.col("sim") * F.col("m") * F.col("weight")).alias("score"))
+        unseen = rows.join(self.matrix.select(F.col("visitorid").alias("head"), "itemid"), ["head", "itemid"], "left_anti")
+        best = top_per(unseen, ["head", "within"], by_score("score", "itemid"), n)
+        return mine.join(best, ["head", "within"]).select("visitorid", "itemid", "score", "rank")
+
+
 def user_neighbours(matrix: DataFrame, neighbours: int = CF_NEIGHBOURS) -> DataFrame:
     """a, b, sim: the nearest users of each with enough interactions (the budget of neighbours + 1 counts the user)."""
-    return nearest(matrix, "visitorid", "itemid", neighbours, excluded(matrix, "visitorid").select(F.col("visitorid").alias("k")))
+    return UserNeighbours(matrix, neighbours).pairs()
 
 
 def recommend_by_users(matrix: DataFrame, n: int = TOP_K, neighbours: int = CF_NEIGHBOURS, near: DataFrame | None = None) -> DataFrame:
     """visitorid, itemid, score, rank from the rows of the nearest users. ``near``: ``user_neighbours`` found before."""
-    near = user_neighbours(matrix, neighbours) if near is None else near
+    if near is None:
+        return UserNeighbours(matrix, neighbours).recommend(n)
     rows = near.join(matrix.withColumnRenamed("visitorid", "b"), "b").groupBy(F.col("a").alias("visitorid"), "itemid").agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
     unseen = rows.join(matrix.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
     return top_per(unseen, ["visitorid"], by_score("score", "itemid"), n).select("visitorid", "itemid", "score", "rank")
