@@ -132,3 +132,24 @@ def test_distinct_counts_without_expand(spark):
     got = profiles.visits(events, attributes)
     assert {r.visitorid: (r.unique_items_viewed, r.unique_categories_viewed, r.user_view_count, r.user_addtocart_count, r.user_purchase_count) for r in got.collect()} == {1: (3, 1, 3, 0, 1), 2: (2, 1, 0, 1, 0)}
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_shuffles_follow_the_tables(tmp_path):
+    """Sessions of default settings get small parts; what a session was started with stays."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from tidemark.plans import bindings
+b = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+for a in sys.argv[2:]:
+    b = b.config(*a.split("="))
+s = b.getOrCreate()
+bindings.table(s, sys.argv[1], "region")
+print("got", *[s.conf.get("spark.sql.adaptive." + k) for k in ("coalescePartitions.initialPartitionNum", "advisoryPartitionSizeInBytes")])
+"""
+    for given, hoped in (([], "got 600 4194304"), (["spark.sql.adaptive.advisoryPartitionSizeInBytes=9000000"], "got 600 9000000")):
+        done = subprocess.run([sys.executable, "-c", code, "/root/testdata/sf0.001", *given], capture_output=True, text=True, timeout=120)
+        assert hoped in done.stdout, done.stderr[-2000:]
