@@ -144,3 +144,35 @@ def test_blocks_of_all_pairs(spark):
     for block in (16, 2048):
         got = {(r.a, r.b): round(r.sim, 9) for r in co.block_nearest(unit, 6, asks, block).collect()}
         assert got == pytest.approx(plain(rows, 6, {k for k in range(90) if k % 4 == 0}), abs=2e-9)
+
+
+def test_equal_histories_are_answered_once(spark, monkeypatch):
+    """Copies of visitors get the lists of the first, of the same length and exclusions; only distinct ones ask."""
+    rng = np.random.default_rng(4)
+    tokens = spark.createDataFrame([(i, t) for i in range(60) for t in {f"a{i % 7}", f"b{i % 11}", f"c{rng.integers(0, 9)}"}], "itemid long, token string")
+    content = vectors.ContentVectors.fit(tokens)
+    base = [(v, int(i), float(rng.integers(1, 4)), 3 + v % 2) for v in range(6) for i in rng.choice(60, 4, replace=False)]
+    rows = [(v + 100 * c, i, w, n) for v, i, w, n in base for c in range(5)] + [(900, i, w, n + 1) for v, i, w, n in base if v == 0]
+    history = spark.createDataFrame(rows, "visitorid long, itemid long, weight double, n int")
+    first = history.where("visitorid < 100 OR visitorid = 900")
+    barred = spark.createDataFrame([(1, i) for i in range(0, 60, 2)] + [(2, 777), (102, 778)], "visitorid long, itemid long")
+    asked, plain_rows = [], vectors.nearest_rows
+    monkeypatch.setattr(vectors, "nearest_rows", lambda index, **kw: asked.append(kw["asking"].select("k").distinct().count()) or plain_rows(index, **kw))
+
+    def lists(found):
+        out = {}
+        for r in found.collect():
+            out.setdefault(r.visitorid, []).append((r["rank"], r.itemid, round(r.score, 8)))
+        return {v: sorted(x) for v, x in out.items()}
+
+    got, alone = lists(content.recommend(history, exclude=barred)), lists(content.recommend(first, exclude=barred))
+    assert asked == [8, 7] and len(got) == 31 and {v: got[v] for v in alone} == alone
+    open_list = lists(content.recommend(first))
+    for v in range(6):
+        assert all(got[v + 100 * c] == (open_list if v == 1 else alone)[v] for c in range(1, 5)) and len(got[v]) == 3 + v % 2
+    assert len(got[900]) == 4 and got[900][:3] == got[0] and not {i for _, i, _ in got[1]} & set(range(0, 60, 2))
+    matrix = history.select("visitorid", "itemid", "weight").where("visitorid < 900")
+    by_items = lists(co.recommend_by_items(matrix, 4))
+    assert all(by_items.get(v + 100 * c) == by_items.get(v) for v in range(6) for c in range(1, 5)) and by_items
+    once = matrix.where("visitorid < 100")  # five copies of all change no similarity
+    assert lists(co.recommend_by_items(once, 4)) == {v: x for v, x in by_items.items() if v < 100}

@@ -152,21 +152,33 @@ def similar_items(matrix: DataFrame, n: int = TOP_K) -> DataFrame:
     return top_per(sims, ["a"], by_score("sim", "b"), n).select(F.col("a").alias("item"), F.col("b").alias("similar_item"), "rank", F.col("sim").alias("score"))
 
 
+def alike(rows: DataFrame, key: str = "visitorid") -> tuple[DataFrame, DataFrame]:
+    """``key``, head: the smallest key of the same rows in all other columns; and the rows of heads, with size: how many keys have the same."""
+    others = [c for c in rows.columns if c != key]
+    packed = materialized(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("row")), "rows")
+    distinct = materialized(packed.groupBy("row").agg(F.min(key).alias("head"), F.count("*").alias("size")), "distinct")
+    heads = materialized(packed.join(distinct.select("row", "head"), "row").select(key, "head"), "heads")
+    return heads, materialized(distinct.select(F.col("head").alias(key), "size", F.explode("row").alias("c")).select(key, "size", *[F.col(f"c.{c}").alias(c) for c in others]), "distinct_rows")
+
+
 def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | None = None) -> DataFrame:
     """visitorid, itemid, score, rank. Each item a user touched brings its n + 5 nearest items, itself and seen ones counted, with
     similarity times weight. ``users`` (visitorid, n) gives each user an own n."""
     fixed = users is None
     who = (matrix.select("visitorid").distinct().withColumn("n", F.lit(n)) if fixed else users).join(excluded(matrix, "visitorid"), "visitorid", "left_anti")
     most = CF_EXTRA + (n if fixed else who.agg(F.max("n")).first()[0] or 0)
+    # visitors of equal rows and lengths are answered once; to the items they are a column of root of their number times the length
+    heads, cells = alike(matrix.select("visitorid", "itemid", "weight").join(who.select("visitorid", "n"), "visitorid", "left"))
+    near = nearest(cells.select("visitorid", "itemid", (F.col("weight") * F.sqrt("size")).alias("weight")), "itemid", "visitorid", most - 1)
     # an item is its own nearest, before any equal one
-    near = nearest(matrix, "itemid", "visitorid", most - 1)
     near = top_per(near, ["a"], by_score("sim", "b"), most - 1, "near").withColumn("near", F.col("near") + 1)
-    near = near.select("a", "b", "sim", "near").union(matrix.where("weight > 0").select("itemid").distinct().select(F.col("itemid").alias("a"), F.col("itemid").alias("b"), F.lit(1.0), F.lit(1)))
-    seeds = matrix.join(who, "visitorid").withColumnRenamed("itemid", "a")
+    near = near.select("a", "b", "sim", "near").union(cells.where("weight > 0").select("itemid").distinct().select(F.col("itemid").alias("a"), F.col("itemid").alias("b"), F.lit(1.0), F.lit(1)))
+    seeds = cells.where("n IS NOT NULL").withColumnRenamed("itemid", "a")
     found = seeds.join(near.select("a", "b", "sim", "near"), "a").where(F.col("near") <= F.col("n") + CF_EXTRA)
     scored = found.groupBy("visitorid", "n", F.col("b").alias("itemid")).agg(F.sum(F.col("weight") * F.col("sim")).alias("score"))
-    unseen = scored.join(matrix.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
-    return top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n")).select("visitorid", "itemid", "score", "rank")
+    unseen = scored.join(cells.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
+    best = top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n"))
+    return heads.join(best.withColumnRenamed("visitorid", "head"), "head").select("visitorid", "itemid", "score", "rank")
 
 
 #: Rows of a block of ``block_nearest``, and columns of it that are multiplied at a time.
@@ -229,12 +241,8 @@ class UserNeighbours:
 
     def __init__(self, matrix: DataFrame, n: int, light: int = LIGHT):
         self.n = n
-        rows = matrix.where("visitorid IS NOT NULL").groupBy("visitorid").agg(F.sort_array(F.collect_list(F.struct("itemid", "weight"))).alias("row"))
-        rows = materialized(rows, "rows")
-        distinct = rows.groupBy("row").agg(F.min("visitorid").alias("head"))
-        self.heads = materialized(rows.join(distinct, "row").select("visitorid", "head"), "heads")
-        cells = distinct.select(F.col("head").alias("visitorid"), F.explode("row").alias("c")).select("visitorid", "c.itemid", "c.weight")
-        self.matrix = materialized(cells, "distinct_rows")
+        self.heads, cells = alike(matrix.select("visitorid", "itemid", "weight"))
+        self.matrix = cells.drop("size")
         unit = materialized(unit_rows(self.matrix, "visitorid", "itemid"), "unit")
         few = excluded(self.matrix, "visitorid").select(F.col("visitorid").alias("k"))
         asks = unit.select("k").distinct().join(few, "k", "left_anti")

@@ -15,7 +15,7 @@ from ..config import PRICE_BUCKETS, TFIDF_MAX_FEATURES, TOP_K
 from ..functions.scoring import by_score, top_per
 from ..sources.files import materialized
 from .catalog import ancestors, with_price_bucket
-from .cooccurrence import LIGHT, nearest_rows
+from .cooccurrence import LIGHT, alike, nearest_rows
 
 
 def item_tokens(items: DataFrame, tree: DataFrame, brand: str | None = None, q: int = PRICE_BUCKETS) -> DataFrame:
@@ -93,10 +93,15 @@ class ContentVectors:
         score, rank: items by cosine with the mean of the vectors of a visitor's items, those neither among them nor in ``exclude``
         (visitorid, itemid)."""
         cols = set(history.columns)
-        seeds = history.select("visitorid", "itemid", (F.col("weight") if "weight" in cols else F.lit(1.0)).alias("weight"), (F.col("n") if "n" in cols else F.lit(n)).alias("n")).dropDuplicates(["visitorid", "itemid"]).join(self.members, "itemid")
-        barred = seeds.select("visitorid", "itemid")
+        seeds = history.select("visitorid", "itemid", (F.col("weight") if "weight" in cols else F.lit(1.0)).alias("weight"), (F.col("n") if "n" in cols else F.lit(n)).alias("n")).dropDuplicates(["visitorid", "itemid"]).join(self.members.select("itemid"), "itemid", "left_semi")
+        told = seeds.select("visitorid", F.lit(True).alias("seed"), "itemid", "weight", "n")
         if exclude is not None:  # of what is barred only known items take places
-            barred = barred.union(exclude.select("visitorid", "itemid").join(self.members.select("itemid"), "itemid", "left_semi").select("visitorid", "itemid")).distinct()
+            known = exclude.select("visitorid", "itemid").distinct().join(self.members.select("itemid"), "itemid", "left_semi").join(seeds.select("visitorid").distinct(), "visitorid", "left_semi")
+            told = told.unionByName(known.select("visitorid", F.lit(False).alias("seed"), "itemid", F.lit(None).alias("weight"), F.lit(None).alias("n")))
+        # visitors with the same history, lengths and exclusions are answered once
+        alikes, rows = alike(told)
+        seeds = rows.where("seed").select("visitorid", "itemid", "weight", "n").join(self.members, "itemid")
+        barred = rows.select("visitorid", "itemid").distinct()
         budget = seeds.groupBy("visitorid").agg(F.max("n").alias("n")).join(barred.groupBy("visitorid").agg(F.count("*").alias("n_seeds")), "visitorid")
         mean = seeds.groupBy("visitorid", "profile").agg(F.sum("weight").alias("weight")).join(self.vectors, "profile").groupBy("visitorid", "token").agg(F.sum(F.col("weight") * F.col("w")).alias("x"))
         norms = mean.groupBy("visitorid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -112,7 +117,8 @@ class ContentVectors:
         first = top_per(self.members.crossJoin(F.broadcast(most)), ["profile"], [F.asc("itemid")], F.col("most"), "place").select("profile", "itemid", "place")
         filled = wanted.join(first, "profile").where(F.col("place") <= F.col("n") + F.col("n_seeds"))
         unseen = filled.join(barred, ["visitorid", "itemid"], "left_anti")
-        return top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n")).select("visitorid", "itemid", "score", "rank")
+        best = top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n"))
+        return alikes.join(best.withColumnRenamed("visitorid", "head"), "head").select("visitorid", "itemid", "score", "rank")
 
 
 def category_jaccard(pairs: DataFrame, items: DataFrame, tree: DataFrame) -> DataFrame:
