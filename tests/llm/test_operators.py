@@ -665,3 +665,25 @@ def test_token_files_in_slices_of_blocks(n, block):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 49408).astype(np.uint32)
     assert [s.stop - s.start for s in token_files.slices(9000 // 2)] == [1500, 1500, 1500]
     assert (token_files.unpack(token_files.pack([1], np.array([n]), ids, block))[2] == ids).all()
+
+
+def test_token_files_take_few_steps_an_id(monkeypatch):
+    """A block's ids are coded in one step each, and texts of several languages have a table of order 0 each."""
+    r = np.random.default_rng(5)
+    ids = np.concatenate([1000 * (i % 4) + r.integers(0, 300, 4096) for i in range(96)]).astype(np.uint32)
+    steps = []
+    real = token_files.GATE
+    monkeypatch.setattr(token_files, "GATE", type("Counting", (), {"take": lambda self, x: steps.append(1) or real.take(x)})())
+    file = token_files.pack([1], np.array([len(ids)]), ids)
+    assert len(steps) == 4096
+    assert len(file) * 8 < 9.3 * len(ids)  # a table for all would take 10.2 bits an id
+    assert (token_files.unpack(file)[2] == ids).all()
+
+
+def test_words_are_parted_by_pieces():
+    """Ids of words that are learned together are the library's, also where pieces within words are many."""
+    words = ["don't", "a1b22", "é", "ß!?x", "×", "…a", "l'été", "x\u0301y", "<|endoftext|>a", "$$$", "'s", "12'34", "ciónraóas***", "", "\x1ca", "a\xa0b"] + [f"w{i}-{i}é" for i in range(1500)]
+    coder = token_files.WordIds(bpe.vocabulary_path())
+    coder.learn(words)
+    for w in words:
+        assert np.frombuffer(coder.known[w], np.uint16).tolist() == coder.library.encode(w, add_special_tokens=False).ids

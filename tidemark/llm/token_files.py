@@ -1,22 +1,21 @@
 """Token-id files: ids of documents in ascending order of doc_id, packed by a context-mixing range coder.
 
-File (little-endian): "TMTK", version u16, ids of a block u32, documents u32, ids u32, distinct ids u32, blocks u32; then documents'
-ids i64 with a flag for null, their counts u32; distinct ids u32 and their quantised frequencies u16, which add up to 2**16; for
+File (little-endian): "TMTK", version u16, tables of order 0 u16, ids of a block u32, documents u32, ids u32, distinct ids u32, blocks u32; then documents'
+ids i64 with a flag for null, their counts u32; distinct ids u32 and for each table their quantised frequencies u16, which add up to 2**16; for
 each block its bytes u32 and the CRC-32 of its ids u32; then the blocks' bytes.
 
 A block is coded on its own: all adaptive state starts anew, so a block can be read without others and its checksum tells damage.
-An id is a path in the Huffman tree of the file's frequencies, and each step of the path is a bit. Three predictors give the bit's
-chance from what the block had so far: by the node alone (order 0, which starts from the file's frequencies), by the node and the
-last id (order 1), and by the node and the last two ids (order 2), the latter two in hashed tables. Their log-odds are added with
-adaptive weights, whose set is selected by how often the contexts of order 1 and 2 have been seen, and the sum drives a binary
-range coder without carry. All arithmetic is in whole numbers, so that any machine decodes what another has coded.
+An id is foretold by three orders. Order 2, by the last two ids, and order 1, by the last id, have a hashed table each of the id that followed and how well it
+did; the better known of the two is the candidate. That the id is the candidate is one decision, whose log-odds by orders 2, 1 and 0
+are added with adaptive weights, from a set selected by how well both cells did and whether they agree. Any other id goes by order 0 in one step of
+a range coder with carry: by one of a few tables of frequencies of the file (texts of one language are alike), the one that suited
+the block's last ids. All arithmetic is in whole numbers, so that any machine decodes what another has coded.
 
-Blocks are coded side by side: each numpy step codes one bit of each of up to ``SIDE_BY_SIDE`` blocks of a file. The same loop encodes and decodes.
+Blocks are coded side by side: each numpy step codes one id of each of up to ``SIDE_BY_SIDE`` blocks of a file. The same loop encodes and decodes.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,33 +32,39 @@ from tokenizers import Tokenizer
 from .bpe import CONTROLS, FAR, OTHER_GAPS, vocabulary_path
 from .common import documents, tuned, written
 
-END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 6 << 20
-#: Blocks that are coded side by side, of 24 KB of state each: a file of any length takes no more.
+END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 8 << 20
+#: Blocks that are coded side by side, of 9 KB of state each: a file of any length takes no more.
 SIDE_BY_SIDE = 2048
-#: Bits of the index of a block's table; what a cell counts up to; the rate of the weights.
-CELL_BITS, MOST_SEEN, WEIGHT_SHIFT = 12, 12, 10
-HEADER = struct.Struct("<4sHIIIII")
+#: Bits of the index of a block's tables; the rate of the weights and their sets.
+CELL_BITS, WEIGHT_SHIFT = 10, 10
+#: Frequencies of order 0: tables of a file, ids of a piece that has one while they are found, every how many pieces, rounds.
+TABLES, PIECE, EVERY, ROUNDS = 4, 256, 4, 4
+HEADER = struct.Struct("<4sHHIIIII")
 
-#: A cell holds a 12-bit chance of bit 1 and, in 4 bits below, how often it was seen.
-NEW_CELL = 2048 << 4
-#: log(p / (1 - p)) of chances, with 8 bits after the point, and its inverse, by 2048 more.
+#: log(p / (1 - p)) of chances, with 8 bits after the point, of 12 bits, and its inverse, by 2048 more, of 16 bits.
 STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
-SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, 4095).astype(np.uint32)
-#: By how often a cell was seen: not known at all, a little, well.
-KNOWN = np.array([0, 1, 1] + [2] * 13)
+SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 16, 65520).astype(np.int32)
+#: A cell holds an id and, in 4 bits below, how well it did: 0 is an empty cell. By hit * 16 + that, what is added to a cell; a miss takes half.
+STEPS = np.concatenate((np.arange(16) // 2 - np.arange(16), np.arange(16) < 15)).astype(np.int32).view(np.uint32)
 
 
-def next_cells() -> np.ndarray:
-    """By cell * 2 + bit the cell that follows: it moves by 1 / (n + 1.6) of the way to the bit when it has seen n."""
-    cell, bit = np.arange(1 << 16)[:, None], np.arange(2)
-    chance, seen = cell >> 4, cell & 15
-    moved = chance + np.rint((bit * 4096 - chance) / (seen + 1.6)).astype(np.int64)
-    return ((np.clip(moved, 1, 4095) << 4) | np.minimum(seen + 1, MOST_SEEN)).astype(np.uint16).ravel()
+def states() -> tuple[np.ndarray, ...]:
+    """By how well the cells of order 2 and 1 did and whether they hold one id (seen * 32 + seen * 2 + same): whether the candidate is that of order 1 (if not of 2),
+    log-odds of the candidate by order 2 and 1, and the set of weights. Where both cells are empty the candidate is id 0, which is unlikely."""
+    two, one, same = (x.ravel() for x in np.meshgrid(np.arange(16), np.arange(16), np.arange(2), indexing="ij"))
+    of_two = STRETCH[np.array([2048, 340, 2500, 3500, 3800, 3880, *[3930] * 10])]
+    of_one = STRETCH[np.array([0, 150, 700, 1300, 1800, 2000, *[2200] * 10])]
+    pick = (two == 0) | ((two == 1) & (one > 2) & (same == 0))
+    by_two = np.where(pick, np.where(one > 0, -64 * np.minimum(two, 4), -1400), of_two[two])
+    by_one = np.where(pick, of_one[one], np.where(same == 1, 128, -32) * np.minimum(one, 4))
+    gate = np.where(pick, 8 + np.minimum(one, 7), np.minimum(two, 3) + 4 * same)
+    return pick, np.stack((by_two, by_one)).astype(np.int32), gate
 
 
-NEXT = next_cells()
-#: First weights (of 65536) of orders 0 to 2 by how well the contexts of order 2, and then 1, are known.
-FIRST_WEIGHTS = np.array([[58000, 9000, 9000], [42000, 22000, 9000], [32000, 34000, 9000], [42000, 9000, 22000], [34000, 18000, 22000], [26000, 26000, 22000], [30000, 9000, 38000], [24000, 18000, 36000], [20000, 22000, 34000]], np.int32)
+PICK, ORDERS, GATE = states()
+WHOLE = np.uint64(1 << 16)
+#: First weights (of 65536) of orders 2 to 0.
+GATES, FIRST_WEIGHTS = 16, np.array([65536, 65536, 3000], np.int32)
 
 
 def quantised(counts: np.ndarray, total_bits: int = 16) -> np.ndarray:
@@ -81,136 +86,164 @@ def quantised(counts: np.ndarray, total_bits: int = 16) -> np.ndarray:
     return f
 
 
-class Tree:
-    """Huffman tree of frequencies. Inner nodes are numbered by falling weight, the root is 0. ``child``: by node * 2 + bit the next node,
-    or ~symbol; ``chance``: of bit 1, in 12 bits; ``code`` and ``length`` of symbols."""
+class Order0:
+    """Tables (tables, ids) of frequencies that add up to 2**16 each, as the coder looks them up; ``cost`` in 1/16 bits."""
 
     def __init__(self, freq: np.ndarray):
-        n = len(freq)
-        heap = [(int(f), i) for i, f in enumerate(freq)]
-        heapq.heapify(heap)
-        pairs: list[tuple[int, int, int]] = []
-        while len(heap) > 1:
-            (f, a), (g, b) = heapq.heappop(heap), heapq.heappop(heap)
-            pairs.append((a, b, g * 4096 // (f + g)))
-            heapq.heappush(heap, (f + g, n + len(pairs) - 1))
-        inner = max(1, len(pairs))
-        self.child, self.chance = np.full(2 * inner, -1, np.int32), np.full(inner, 2048, np.int32)
-        self.code, self.length = np.zeros(n, np.int32), np.ones(n, np.int32)
-        path = {0: (0, 0)}
-        for k in range(len(pairs)):  # the last made is the root
-            *ends, chance = pairs[len(pairs) - 1 - k]
-            self.chance[k] = min(max(chance, 1), 4095)
-            code, length = path.pop(k)
-            for bit, x in enumerate(ends):
-                to = ~x if x < n else len(pairs) - 1 - (x - n)
-                self.child[2 * k + bit] = to
-                if to < 0:
-                    self.code[x], self.length[x] = code * 2 + bit, length + 1
-                else:
-                    path[to] = (code * 2 + bit, length + 1)
-
-
-def code_blocks(tree: Tree, lengths: np.ndarray, ids: np.ndarray | None = None, data: list[bytes] | None = None) -> list[bytes] | np.ndarray:
-    """Encodes ``ids`` (blocks, steps), indexes of the tree's symbols, to bytes by block; or decodes ``data`` to them."""
+        self.n = freq.shape[1]
+        self.freq = freq.astype(np.uint64).ravel()
+        self.upto = (np.cumsum(freq, axis=1) - freq).astype(np.uint64).ravel()
+        self.symbol = np.repeat(np.tile(np.arange(self.n, dtype=np.uint16), len(freq)), freq.ravel())
+        self.cost = np.rint(16 * (16 - np.log2(freq))).astype(np.int32)
+        self.odds = STRETCH[np.minimum(freq.max(axis=0) >> 4, 4095)]
+
+
+def order0_tables(index: np.ndarray) -> np.ndarray:
+    """Frequencies of ids 0, 1, ... in up to ``TABLES`` tables: pieces of the file go to the table that codes them best, and each table is counted anew
+    from its pieces, some rounds long. First tables are the pieces that those before code worst. All ids are in each table."""
+    all_counts = np.bincount(index)
+    pieces = index[: len(index) // PIECE * PIECE].reshape(-1, PIECE)[::EVERY]
+    if len(pieces) < 16 * TABLES:
+        return quantised(all_counts)[None]
+
+    def costs(counts: np.ndarray) -> np.ndarray:
+        share = counts / counts.sum() * 0.8 + all_counts / len(index) * 0.2
+        return -np.log2(share).astype(np.float32)[pieces].sum(axis=1)
+
+    counts = [np.bincount(pieces[0], minlength=len(all_counts))]
+    found = [costs(counts[0])]
+    while len(found) < TABLES:
+        counts.append(np.bincount(pieces[np.min(found, axis=0).argmax()], minlength=len(all_counts)))
+        found.append(costs(counts[-1]))
+    for _ in range(ROUNDS):
+        best = np.argmin(found, axis=0)
+        counts = [np.bincount(pieces[best == k].ravel(), minlength=len(all_counts)) for k in range(TABLES) if (best == k).any()]
+        if len(counts) < TABLES:
+            break
+        found = [costs(c) for c in counts]
+    total = np.array([c.sum() for c in counts])
+    return np.stack([quantised(np.rint((c / t + 0.02 * all_counts / len(index)) * (1 << 40)).astype(np.int64) // 1) for c, t in zip(counts, total)])
+
+
+def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = None, data: list[bytes] | None = None) -> list[bytes] | np.ndarray:
+    """Encodes ``ids`` (blocks, steps), indexes of the model's ids, to bytes by block; or decodes ``data`` to them. Blocks are in falling order of length."""
     n, steps = len(lengths), int(lengths.max())
     if data is None:
-        out = np.zeros((n, 2 * steps + 64), np.uint8)
+        words, ends = np.zeros((n, steps * 5 // 8 + 64), np.uint32), np.zeros(n, np.int64)
+        low, turned = np.zeros(n, np.uint64), np.ascontiguousarray(ids.T)
     else:
-        width = max(map(len, data)) + 8
-        source = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8)
-        out = np.zeros((n, steps), np.int32)
-    start = np.full(1 << CELL_BITS, NEW_CELL, np.uint16)
-    start[: len(tree.chance)] = ((tree.chance << 4) | 6)[: 1 << CELL_BITS]
-    table = np.concatenate((np.tile(start, n), np.full(2 * n << CELL_BITS, NEW_CELL, np.uint16)))
-    weights = np.tile(FIRST_WEIGHTS.T[:, None, :], (1, n, 1)).ravel()
-    lane, ends = np.arange(n), np.zeros(n, np.int64)
-    base, gates = (np.arange(3)[:, None] * n + lane) << CELL_BITS, (np.arange(3)[:, None] * n + lane) * len(FIRST_WEIGHTS)
-    lo, hi = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-    node, contexts = np.zeros(n, np.int64), np.zeros((2, n), np.uint32)
-    at, used = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if data is None:
-        code, left = tree.code[ids[:, 0]], tree.length[ids[:, 0]] - 1
-    else:
-        row = lane * width
-        value = sum(source[row + k].astype(np.uint32) << np.uint32(24 - 8 * k) for k in range(4))
-        used += 4
-    child = tree.child.astype(np.int64)
-    while len(lane):
-        cells = base + (node & ((1 << CELL_BITS) - 1))
-        hashes = contexts ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))
-        hashes *= np.uint32(0x85EBCA6B)
-        hashes >>= np.uint32(32 - CELL_BITS)
-        np.add(base[1:], hashes, out=cells[1:])
-        held = table.take(cells).astype(np.int64)
-        odds, known = STRETCH.take(held >> 4), KNOWN.take(held[1:] & 15)
-        gate = gates + (known[1] * 3 + known[0])
-        own = weights.take(gate)
-        total = (own * (odds >> 2)).sum(axis=0, dtype=np.int32)
-        total >>= 14
-        np.minimum(total, 2047, out=total)
-        np.maximum(total, -2047, out=total)
-        p = SQUASH.take(total + 2048)
-        middle = lo + ((hi - lo) >> np.uint32(12)) * p
+        width = max(map(len, data)) // 2 + 4
+        source = np.frombuffer(b"".join(d.ljust(2 * width, b"\0") for d in data), "<u2").astype(np.uint64)
+        out, row = np.zeros((steps, n), np.int32), np.arange(n) * width
+        value = (source[row] << np.uint64(32)) | (source[row + 1] << np.uint64(16)) | source[row + 2]
+    scale, used = np.full(n, 1 << 48, np.uint64), np.full(n, 0 if data is None else 3)
+    table, weights = np.zeros(2 * n << CELL_BITS, np.uint32), np.repeat(FIRST_WEIGHTS, n * GATES)
+    base, each = (np.arange(2)[:, None] * n + np.arange(n)) << CELL_BITS, np.arange(3)[:, None] * (n * GATES) + np.arange(n) * GATES
+    contexts, mark = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
+    costs = np.zeros((len(model.cost), n), np.int32)
+    shift, slots = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+    for step in range(steps):
+        m = int(alive[step])
+        if m < n:  # the last blocks are over
+            if data is None:
+                finish(words, ends, low, used, m)
+                low = low[:m]
+            else:
+                value, row = value[:m], row[:m]
+            n, scale, used, mark, shift, slots = m, scale[:m], used[:m], mark[:m], shift[:m], slots[:m]
+            base, each, contexts, costs = (np.ascontiguousarray(x[..., :m]) for x in (base, each, contexts, costs))
+        at = base + (contexts >> np.uint32(32 - CELL_BITS))
+        cells = table.take(at)
+        held, seen = (cells >> np.uint32(4)).astype(np.int32), (cells & np.uint32(15)).astype(np.int64)
+        state = seen[0] * 32
+        state += seen[1] * 2
+        state += held[0] == held[1]
+        candidate = np.where(PICK.take(state), held[1], held[0])
+        odds = np.empty((3, n), np.int32)
+        ORDERS.take(state, axis=1, out=odds[:2], mode="clip")
+        model.odds.take(candidate, out=odds[2], mode="clip")
+        places = each + GATE.take(state)
+        own = weights.take(places)
+        total = (own * odds).sum(axis=0, dtype=np.int32)
+        total >>= 16
+        total += 2048
+        p = SQUASH.take(total, mode="clip")
+        share = p.astype(np.uint64)
+        scale >>= np.uint64(16)
         if data is None:
-            ones = ((code >> left) & 1) == 1
-            left -= 1
+            symbol = turned[step, :n]
+            hit = candidate == symbol
         else:
-            ones = value <= middle
-        hi, lo = np.where(ones, middle, hi), np.where(ones, lo, middle + np.uint32(1))
-        odds *= (ones * np.int32(4096)) - p.astype(np.int32)
+            hit = value < scale * share
+        miss = ~hit
+        start, size = share * miss, np.where(hit, share, WHOLE - share)
+        # what is not the candidate goes by order 0
+        if data is None:
+            low += scale * start
+            scale *= size
+            scale >>= np.uint64(16)
+            low += scale * (model.upto.take(symbol + shift) * miss)
+            scale *= np.where(miss, model.freq.take(symbol + shift), WHOLE)
+        else:
+            value -= scale * start
+            scale *= size
+            scale >>= np.uint64(16)
+            slot = np.minimum(value // scale, np.uint64(65535)).astype(np.int64)
+            symbol = model.symbol.take(slot + slots).astype(np.int64)
+            value -= scale * (model.upto.take(symbol + shift) * miss)
+            scale *= np.where(miss, model.freq.take(symbol + shift), WHOLE)
+            symbol = np.where(hit, candidate, symbol)
+            out[step, :n] = symbol
+        error = hit * np.int32(4096)
+        error -= p >> 4
+        odds *= error
         odds >>= WEIGHT_SHIFT
         odds += own
-        weights[gate] = odds
-        held *= 2
-        held += ones
-        table[cells] = NEXT.take(held)
-        go = np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))
+        weights[places] = odds
+        fresh = symbol.astype(np.uint32)
+        match = held == symbol
+        cells += STEPS.take(seen + match * 16)
+        match |= seen > 1
+        table[at] = np.where(match, cells, (fresh << np.uint32(4)) | np.uint32(1))
+        fresh += np.uint32(1)
+        fresh *= np.uint32(0x9E3779B1)
+        contexts[0] = (mark ^ (fresh >> np.uint32(7))) * np.uint32(0x27D4EB2F)
+        contexts[1] = fresh
+        mark = fresh
+        go = np.flatnonzero(scale < np.uint64(1 << 32))
         while len(go):
             if data is None:
-                out[lane[go], used[go]] = lo[go] >> np.uint32(24)
+                x = low[go]
+                words[go, used[go]] = x >> np.uint64(32)
+                low[go] = (x & np.uint64(0xFFFFFFFF)) << np.uint64(16)
             else:
-                value[go] = (value[go] << np.uint32(8)) | source[row[go] + np.minimum(used[go], width - 1)]
+                value[go] = (value[go] << np.uint64(16)) | source[row[go] + np.minimum(used[go], width - 1)]
             used[go] += 1
-            lo[go] = a = lo[go] << np.uint32(8)
-            hi[go] = b = (hi[go] << np.uint32(8)) | np.uint32(255)
-            go = go[(a ^ b) < np.uint32(1 << 24)]
-        node *= 2
-        node += ones
-        node = child.take(node)
-        ended = np.flatnonzero(node < 0)
-        if not len(ended):
-            continue
-        symbol = ~node[ended]
-        node[ended] = 0
-        mark = (symbol.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        contexts[1, ended] = (contexts[0, ended] ^ (mark >> np.uint32(7))) * np.uint32(0x27D4EB2F)
-        contexts[0, ended] = mark
-        if data is not None:
-            out[lane[ended], at[ended]] = symbol
-        at[ended] += 1
-        done = at[ended] == lengths[lane[ended]]
-        over = ended[done]
-        if data is None:
-            going = ended[~done] if len(over) else ended
-            s = ids[lane[going], at[going]]
-            code[going], left[going] = tree.code.take(s), tree.length.take(s) - 1
-            if used.max() + 16 > out.shape[1]:
-                out = np.concatenate((out, np.zeros_like(out)), axis=1)
-        if len(over):
-            if data is None:
-                for k in range(4):
-                    out[lane[over], used[over] + k] = (lo[over] >> np.uint32(24 - 8 * k)) & np.uint32(255)
-                ends[lane[over]] = used[over] + 4
-            keep = np.ones(len(lane), bool)
-            keep[over] = False
-            lane, lo, hi, node, at, used = (x[keep] for x in (lane, lo, hi, node, at, used))
-            base, gates, contexts = (np.ascontiguousarray(x[:, keep]) for x in (base, gates, contexts))
-            if data is None:
-                code, left = code[keep], left[keep]
-            else:
-                value, row = value[keep], row[keep]
-    return out if data is not None else [out[i, : ends[i]].tobytes() for i in range(n)]
+            scale[go] = s = scale[go] << np.uint64(16)
+            go = go[s < np.uint64(1 << 32)]
+        if data is None and not step & 15 and used.max() + 64 > words.shape[1]:
+            words = np.concatenate((words, np.zeros_like(words)), axis=1)
+        if step & 31 == 31 and len(costs) > 1:
+            last = (out if data is not None else turned)[step - 31 : step + 1, :n]
+            costs -= costs >> 2
+            costs += model.cost.take(last, axis=1).sum(axis=1, dtype=np.int32)
+            choice = costs.argmin(axis=0)
+            shift, slots = choice * model.n, choice << 16
+    if data is not None:
+        return out.T
+    finish(words, ends, low, used, 0)
+    for j in range(words.shape[1] - 1, 0, -1):  # what ran over
+        words[:, j - 1] += words[:, j] >> np.uint32(16)
+    words = words.astype("<u2")
+    return [words[i, :e].tobytes() for i, e in enumerate(ends)]
+
+
+def finish(words: np.ndarray, ends: np.ndarray, low: np.ndarray, used: np.ndarray, first: int) -> None:
+    """One word more of the blocks from ``first`` on ends them: behind it a reader finds zeros."""
+    lane = np.arange(first, len(low))
+    words[lane, used[first:]] = (low[first:] + np.uint64(0xFFFFFFFF)) >> np.uint64(32)
+    ends[lane] = used[first:] + 1
 
 
 def slices(n: int) -> list[slice]:
@@ -225,20 +258,23 @@ def crc_of(ids: np.ndarray) -> int:
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """A file of documents whose ids stand one after another."""
-    values, index = np.unique(ids, return_inverse=True)
+    values = np.flatnonzero(np.bincount(ids))
     n_blocks = -(-len(ids) // block_ids)
     parts, checks = [], []
-    freq = np.empty(0, np.int64)
+    freq = np.empty((0, 0), np.int64)
     if n_blocks:
-        freq = quantised(np.bincount(index))
+        place = np.zeros(values[-1] + 1, np.int32)
+        place[values] = np.arange(len(values))
+        index = place[ids]
+        freq = order0_tables(index)
         padded = np.zeros(n_blocks * block_ids, np.int32)
         padded[: len(ids)] = index
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = len(ids) - (n_blocks - 1) * block_ids  # only the last is shorter, so the order is by length
-        tree, padded = Tree(freq), padded.reshape(n_blocks, block_ids)
-        parts = [p for s in slices(n_blocks) for p in code_blocks(tree, lengths[s], ids=padded[s])]
+        model, padded = Order0(freq), padded.reshape(n_blocks, block_ids)
+        parts = [p for s in slices(n_blocks) for p in code_blocks(model, lengths[s], ids=padded[s])]
         checks = [crc_of(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)]
-    head = HEADER.pack(b"TMTK", 1, block_ids, len(doc_ids), len(ids), len(values), n_blocks)
+    head = HEADER.pack(b"TMTK", 2, len(freq), block_ids, len(doc_ids), len(ids), len(values), n_blocks)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
     index_table = b"".join(struct.pack("<II", len(p), c) for p, c in zip(parts, checks, strict=True))
@@ -247,8 +283,8 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_i
 
 def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Documents, their counts, and all ids; a ValueError if a block's checksum is not that of its ids."""
-    magic, version, block_ids, n_docs, n_ids, n_values, n_blocks = HEADER.unpack_from(file)
-    if magic != b"TMTK" or version != 1:
+    magic, version, n_tables, block_ids, n_docs, n_ids, n_values, n_blocks = HEADER.unpack_from(file)
+    if magic != b"TMTK" or version != 2:
         raise ValueError("not a token-id file")
     at = HEADER.size
 
@@ -258,7 +294,7 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    known, null, counts, values, freq = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs), take("<u4", n_values), take("<u2", n_values).astype(np.int64) + 1
+    known, null, counts, values, freq = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs), take("<u4", n_values), take("<u2", n_tables * n_values).astype(np.int64).reshape(n_tables, n_values) + 1
     table = take("<u4", 2 * n_blocks).reshape(-1, 2)
     data = []
     for size, _ in table:
@@ -268,8 +304,8 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if n_blocks:
         lengths = np.full(n_blocks, block_ids)
         lengths[-1] = n_ids - (n_blocks - 1) * block_ids
-        tree = Tree(freq)
-        index = np.concatenate([code_blocks(tree, lengths[s], data=data[s]).reshape(-1) for s in slices(n_blocks)])
+        model = Order0(freq)
+        index = np.concatenate([code_blocks(model, lengths[s], data=data[s]).reshape(-1) for s in slices(n_blocks)])
         ids = values[index[:n_ids]].astype(np.uint32)
         for i, (_, check) in enumerate(table):
             if crc_of(ids[i * block_ids : (i + 1) * block_ids]) != check:
@@ -277,45 +313,91 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(known, null, strict=True)], counts.astype(np.int64), ids
 
 
+#: What a byte is in words of ASCII and of the letters from U+00C0 to U+00FF: 1 a gap, 2 a letter, 3 a digit, 4 another sign; 0: the word is not of these, or an
+#: apostrophe is in it, with which endings are split off.
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = 4
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = 2
+KINDS[0x30:0x3A] = 3
+KINDS[0x20], KINDS[0x27] = 1, 0
+
+
+def pretokens(words: list[str]) -> np.ndarray:
+    """Of words without gaps how many pieces the library makes of each before merging: runs of letters and of other signs, and digits; -1 where it is not as plain as that."""
+    data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    kinds = KINDS[data]
+    before = np.concatenate((data[:1] * 0, data[:-1]))
+    high = data >= 0x80
+    # two bytes of a letter, no signs of multiplication or division
+    odd = (kinds == 0) | (high & (data < 0xC0) & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
+    starts = (kinds != np.concatenate((kinds[:1] * 0, kinds[:-1]))) | (kinds == 3)
+    ends = np.flatnonzero(data == 0x20)
+    upto, odd_upto = np.cumsum(starts & (kinds > 1))[ends], np.cumsum(odd)[ends]
+    return np.where(np.diff(odd_upto, prepend=0) > 0, -1, np.diff(upto, prepend=0))
+
+
 class WordIds:
-    """The library's ids of what stands between white space, remembered up to so many bytes; words not met before go to the library
+    """The library's ids of what stands between white space, remembered up to so many bytes, by all tasks of a worker; words not met before go to the library
     together. Words of more than ``LONG`` letters are not remembered beyond a call."""
 
-    MEMORY, LONG = 96 << 20, 64
+    MEMORY, LONG, TOGETHER = 160 << 20, 64, 1000
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # ids as 16-bit numbers
         self.held = 0
+        self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
+        self.ends[[i for t, i in self.library.get_vocab(False).items() if t.endswith("</w>")]] = True
+
+    def keep(self, words: list[str], ids: bytes, ends: list[int]) -> None:
+        at = 0
+        for w, end in zip(words, ends, strict=True):
+            self.known[w] = ids[at:end]
+            self.held += 180 + 4 * len(w) + end - at
+            at = end
 
     def learn(self, words: list[str]) -> None:
-        """One call for all words: they are joined by spaces, over which no id reaches, and parted again by where ids begin."""
+        """Words are joined by spaces, over which no id reaches. Those of plain pieces are parted again by the ids that end pieces."""
+        n = pretokens(words)
+        plain = np.flatnonzero(n >= 0)
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        some = [[words[i] for i in g] for g in groups]
+        for g, ws, e in zip(groups, some, self.library.encode_batch_fast([" ".join(ws) for ws in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint16)
+            at, upto = np.flatnonzero(self.ends[ids]), np.cumsum(n[g])
+            if len(at) != upto[-1]:
+                self.learn_by_place(ws)
+            else:
+                self.keep(ws, ids.tobytes(), (2 * np.concatenate(([0], at + 1))[upto]).tolist())
+        self.learn_by_place([words[i] for i in np.flatnonzero(n < 0)])
+
+    def learn_by_place(self, words: list[str]) -> None:
+        """One call for all words, which are parted again by where ids begin."""
         e = self.library.encode(" ".join(words), add_special_tokens=False)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(sizes + 1) - sizes - 1
         of = np.searchsorted(begin, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
-        ids, ends = np.array(e.ids, np.uint16).tobytes(), 2 * np.cumsum(np.bincount(of, minlength=len(words)))
-        at = 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.known[w] = ids[at:end]
-            self.held += 180 + 4 * len(w) + end - at
-            at = end
+        self.keep(words, np.array(e.ids, np.uint16).tobytes(), (2 * np.cumsum(np.bincount(of, minlength=len(words)))).tolist())
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts, and all ids."""
         words = [(OTHER_GAPS.sub(" ", t).split(" ") if "<|" in t or FAR.search(t) or CONTROLS.search(t) else t.lower().split()) for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if self.held > self.MEMORY:
-            self.known.clear()
-            self.held = 0
-            new = list(set(chain.from_iterable(words)))
-        self.learn(new)
-        get = self.known.__getitem__
-        ids = [b"".join(map(get, ws)) for ws in words]
-        for w in new:
-            if len(w) > self.LONG:
-                self.held -= 180 + 4 * len(w) + len(self.known.pop(w))
-        return np.fromiter(map(len, ids), np.int64, len(ids)) // 2, np.frombuffer(b"".join(ids), np.uint16).astype(np.uint32)
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        new = list({w for w, i in zip(flat, ids, strict=True) if i is None})
+        if new:
+            if self.held > self.MEMORY:
+                self.known.clear()
+                self.held = 0
+            self.learn(new)
+            known = self.known
+            ids = [known[w] if i is None else i for w, i in zip(flat, ids, strict=True)]
+            for w in new:
+                if len(w) > self.LONG:
+                    self.held -= 180 + 4 * len(w) + len(known.pop(w))
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        return np.diff(np.concatenate(([0], upto))[ends], prepend=0) // 2, np.frombuffer(b"".join(ids), np.uint16).astype(np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -360,7 +442,6 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_
                     yield flush()
         if docs_:
             yield flush()
-        encode.known.clear()  # workers outlive tasks
 
     tuned(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
