@@ -687,3 +687,19 @@ def test_words_are_parted_by_pieces():
     coder.learn(words)
     for w in words:
         assert np.frombuffer(coder.known[w], np.uint16).tolist() == coder.library.encode(w, add_special_tokens=False).ids
+
+
+def test_signatures_of_documents_in_buckets_only_are_joined(spark, monkeypatch):
+    """Documents that share no bucket have neither texts nor signatures in the joins of pairs, and no join sends out ids whole."""
+    real, got = minhash.written, {}
+
+    def kept(df, name):
+        got.setdefault(name, []).append(real(df, name))
+        return got[name][-1]
+
+    monkeypatch.setattr(minhash, "written", kept)
+    monkeypatch.setattr(minhash, "forget", lambda *tables: None)
+    docs = [(i, " ".join(words(60, i if i > 4 else 0))) for i in range(40)] + [(50, " ".join(words(60, 0)[:-1]))]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if i < 5 or i == 50 else i for i, _ in docs}
+    assert sorted(r.node for r in got["sigs"][0].collect()) == [0, 50] == sorted(r.doc_id for r in got["texts"][0].collect())
