@@ -689,6 +689,29 @@ def test_words_are_parted_by_pieces():
         assert np.frombuffer(coder.known[w], np.uint16).tolist() == coder.library.encode(w, add_special_tokens=False).ids
 
 
+def test_distinct_words_of_texts_are_looked_up_once():
+    """A word that texts repeat is one lookup, and ids are the library's, also in parts of Arrow arrays, with nulls, capitals, odd gaps and specials."""
+    import pyarrow as pa
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+    coder = token_files.WordIds(bpe.vocabulary_path())
+    coder.known = Counting()
+    coder(["one Two three ONE " * 1000] * 4)
+    assert coder.known.asked <= 4
+    texts = ["skipped", None, "", " \t", "One\x0btwo\nÀÉ×ß \x1ca a\xa0b \x85c", "A<|endoftext|>B <|ENDOFTEXT|> x<|", "H\u0331 \u0130I\u0307 \u0242 \u0249", "ÇA va'S l'ÉTÉ", "x" * 200, "skipped"]
+    counts, got = coder(pa.array(texts).slice(1, 8))
+    want = [coder.library.encode(t or "", add_special_tokens=False).ids for t in texts[1:9]]
+    assert counts.tolist() == [len(w) for w in want] and got.tolist() == sum(want, [])
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([None, "aa", "b" * 50, "c", None, "dd"])})
+    assert [p.num_rows for p in token_files.by_bytes(batch, "text", 10)] == [2, 1, 3]
+
+
 def test_signatures_of_documents_in_buckets_only_are_joined(spark, monkeypatch):
     """Documents that share no bucket have neither texts nor signatures in the joins of pairs, and no join sends out ids whole."""
     real, got = minhash.written, {}

@@ -16,23 +16,28 @@ Blocks are coded side by side: each numpy step codes one id of each of up to ``S
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from .bpe import CONTROLS, FAR, OTHER_GAPS, vocabulary_path
+from .bpe import byte_letters, vocabulary_path
 from .common import documents, tuned, written
 
 END_ID, BLOCK_IDS, FILE_IDS = 1, 4096, 8 << 20
+#: Bytes of texts of which words are told apart at once.
+SLICE_BYTES = 8 << 20
 #: Blocks that are coded side by side, of 9 KB of state each: a file of any length takes no more.
 SIDE_BY_SIDE = 2048
 #: Bits of the index of a block's tables; the rate of the weights and their sets.
@@ -46,11 +51,13 @@ STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.ar
 SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 16, 65520).astype(np.int32)
 #: A cell holds an id and, in 4 bits below, how well it did: 0 is an empty cell. By hit * 16 + that, what is added to a cell; a miss takes half.
 STEPS = np.concatenate((np.arange(16) // 2 - np.arange(16), np.arange(16) < 15)).astype(np.int32).view(np.uint32)
+#: By hit * 4096 + its chance of 12 bits, how wrong that was, four times as one element.
+ERRORS = np.repeat(np.concatenate((-np.arange(4096), 4096 - np.arange(4096))).astype(np.int32), 4).view(np.complex128)
 
 
 def states() -> tuple[np.ndarray, ...]:
     """By how well the cells of order 2 and 1 did and whether they hold one id (seen * 32 + seen * 2 + same): whether the candidate is that of order 1 (if not of 2),
-    log-odds of the candidate by order 2 and 1, and the set of weights. Where both cells are empty the candidate is id 0, which is unlikely."""
+    log-odds of the candidate by order 2 and 1 (four numbers as one element), and the set of weights. Where both cells are empty the candidate is id 0, which is unlikely."""
     two, one, same = (x.ravel() for x in np.meshgrid(np.arange(16), np.arange(16), np.arange(2), indexing="ij"))
     of_two = STRETCH[np.array([2048, 340, 2500, 3500, 3800, 3880, *[3930] * 10])]
     of_one = STRETCH[np.array([0, 150, 700, 1300, 1800, 2000, *[2200] * 10])]
@@ -58,7 +65,7 @@ def states() -> tuple[np.ndarray, ...]:
     by_two = np.where(pick, np.where(one > 0, -64 * np.minimum(two, 4), -1400), of_two[two])
     by_one = np.where(pick, of_one[one], np.where(same == 1, 128, -32) * np.minimum(one, 4))
     gate = np.where(pick, 8 + np.minimum(one, 7), np.minimum(two, 3) + 4 * same)
-    return pick, np.stack((by_two, by_one)).astype(np.int32), gate
+    return pick, np.ascontiguousarray(np.stack((by_two, by_one, 0 * gate, 0 * gate), axis=1).astype(np.int32)).view(np.complex128).ravel(), gate
 
 
 PICK, ORDERS, GATE = states()
@@ -91,10 +98,9 @@ class Order0:
 
     def __init__(self, freq: np.ndarray):
         self.n = freq.shape[1]
-        self.freq = freq.astype(np.uint64).ravel()
-        self.upto = (np.cumsum(freq, axis=1) - freq).astype(np.uint64).ravel()
+        self.parts = (((np.cumsum(freq, axis=1) - freq) << 32) | freq).astype(np.uint64).ravel()  # the sum of those before, and the frequency
         self.symbol = np.repeat(np.tile(np.arange(self.n, dtype=np.uint16), len(freq)), freq.ravel())
-        self.cost = np.rint(16 * (16 - np.log2(freq))).astype(np.int32)
+        self.cost = np.ascontiguousarray(np.rint(16 * (16 - np.log2(freq))).astype(np.int32).T).view(f"V{4 * len(freq)}").ravel()  # of all tables as one element
         self.odds = STRETCH[np.minimum(freq.max(axis=0) >> 4, 4095)]
 
 
@@ -129,43 +135,46 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
     """Encodes ``ids`` (blocks, steps), indexes of the model's ids, to bytes by block; or decodes ``data`` to them. Blocks are in falling order of length."""
     n, steps = len(lengths), int(lengths.max())
     if data is None:
-        words, ends = np.zeros((n, steps * 5 // 8 + 64), np.uint32), np.zeros(n, np.int64)
-        low, turned = np.zeros(n, np.uint64), np.ascontiguousarray(ids.T)
+        width = steps * 5 // 8 + 64
+        words, ends = np.zeros(n * width, np.uint32), np.zeros(n, np.int64)
+        low, turned, used = np.zeros(n, np.uint64), np.ascontiguousarray(ids.T), np.arange(n) * width
     else:
         width = max(map(len, data)) // 2 + 4
         source = np.frombuffer(b"".join(d.ljust(2 * width, b"\0") for d in data), "<u2").astype(np.uint64)
-        out, row = np.zeros((steps, n), np.int32), np.arange(n) * width
-        value = (source[row] << np.uint64(32)) | (source[row + 1] << np.uint64(16)) | source[row + 2]
-    scale, used = np.full(n, 1 << 48, np.uint64), np.full(n, 0 if data is None else 3)
-    table, weights = np.zeros(2 * n << CELL_BITS, np.uint32), np.repeat(FIRST_WEIGHTS, n * GATES)
-    base, each = (np.arange(2)[:, None] * n + np.arange(n)) << CELL_BITS, np.arange(3)[:, None] * (n * GATES) + np.arange(n) * GATES
+        out, used = np.zeros((steps, n), np.int32), np.arange(n) * width
+        value = (source[used] << np.uint64(32)) | (source[used + 1] << np.uint64(16)) | source[used + 2]
+        used += 3
+    scale = np.full(n, 1 << 48, np.uint64)
+    # a block's weights of a set are one element, four numbers, of which three are in use
+    table, weights = np.zeros(2 * n << CELL_BITS, np.uint32), np.tile(np.append(FIRST_WEIGHTS, np.int32(0)), n * GATES).view(np.complex128)
+    base, each = (np.arange(2)[:, None] * n + np.arange(n)) << CELL_BITS, np.arange(n) * GATES
     contexts, mark = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
-    costs = np.zeros((len(model.cost), n), np.int32)
+    costs = np.zeros((n, model.cost.itemsize // 4), np.int32)
     shift, slots = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+    alive = (n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")).tolist()
     for step in range(steps):
-        m = int(alive[step])
+        m = alive[step]
         if m < n:  # the last blocks are over
             if data is None:
-                finish(words, ends, low, used, m)
+                finish(words, ends, low, used, width, m)
                 low = low[:m]
             else:
-                value, row = value[:m], row[:m]
-            n, scale, used, mark, shift, slots = m, scale[:m], used[:m], mark[:m], shift[:m], slots[:m]
-            base, each, contexts, costs = (np.ascontiguousarray(x[..., :m]) for x in (base, each, contexts, costs))
+                value = value[:m]
+            n, scale, used, mark, shift, slots, each, costs = m, scale[:m], used[:m], mark[:m], shift[:m], slots[:m], each[:m], costs[:m]
+            base, contexts = (np.ascontiguousarray(x[:, :m]) for x in (base, contexts))
         at = base + (contexts >> np.uint32(32 - CELL_BITS))
         cells = table.take(at)
-        held, seen = (cells >> np.uint32(4)).astype(np.int32), (cells & np.uint32(15)).astype(np.int64)
-        state = seen[0] * 32
-        state += seen[1] * 2
+        held, seen = (cells >> np.uint32(4)).view(np.int32), cells.astype(np.uint16) & np.uint16(15)
+        state = (seen[0] << np.uint16(5)) + (seen[1] << np.uint16(1))
         state += held[0] == held[1]
+        state = state.astype(np.int64)
         candidate = np.where(PICK.take(state), held[1], held[0])
-        odds = np.empty((3, n), np.int32)
-        ORDERS.take(state, axis=1, out=odds[:2], mode="clip")
-        model.odds.take(candidate, out=odds[2], mode="clip")
+        odds = ORDERS.take(state).view(np.int32).reshape(n, 4)
+        odds[:, 2] = model.odds.take(candidate, mode="clip")
         places = each + GATE.take(state)
-        own = weights.take(places)
-        total = (own * odds).sum(axis=0, dtype=np.int32)
+        own = weights.take(places).view(np.int32).reshape(n, 4)
+        total = own * odds
+        total = total[:, 0] + total[:, 1] + total[:, 2]
         total >>= 16
         total += 2048
         p = SQUASH.take(total, mode="clip")
@@ -176,74 +185,89 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
             hit = candidate == symbol
         else:
             hit = value < scale * share
-        miss = ~hit
-        start, size = share * miss, np.where(hit, share, WHOLE - share)
         # what is not the candidate goes by order 0
+        start = share * ~hit
+        share = np.where(hit, share, WHOLE - share)
         if data is None:
             low += scale * start
-            scale *= size
+            scale *= share
             scale >>= np.uint64(16)
-            low += scale * (model.upto.take(symbol + shift) * miss)
-            scale *= np.where(miss, model.freq.take(symbol + shift), WHOLE)
+            part = model.parts.take(symbol + shift)
+            np.putmask(part, hit, WHOLE)
+            low += scale * (part >> np.uint64(32))
         else:
             value -= scale * start
-            scale *= size
+            scale *= share
             scale >>= np.uint64(16)
-            slot = np.minimum(value // scale, np.uint64(65535)).astype(np.int64)
-            symbol = model.symbol.take(slot + slots).astype(np.int64)
-            value -= scale * (model.upto.take(symbol + shift) * miss)
-            scale *= np.where(miss, model.freq.take(symbol + shift), WHOLE)
-            symbol = np.where(hit, candidate, symbol)
+            slot = value // scale
+            np.minimum(slot, np.uint64(65535), out=slot)
+            symbol = model.symbol.take(slot.view(np.int64) + slots).astype(np.int32)
+            part = model.parts.take(symbol + shift)
+            np.putmask(part, hit, WHOLE)
+            value -= scale * (part >> np.uint64(32))
+            np.copyto(symbol, candidate, where=hit)
             out[step, :n] = symbol
-        error = hit * np.int32(4096)
-        error -= p >> 4
-        odds *= error
+        part &= np.uint64(0xFFFFFFFF)
+        scale *= part
+        p >>= 4
+        p += hit * np.int32(4096)
+        odds *= ERRORS.take(p).view(np.int32).reshape(n, 4)
         odds >>= WEIGHT_SHIFT
         odds += own
-        weights[places] = odds
+        weights[places] = odds.view(np.complex128).ravel()
         fresh = symbol.astype(np.uint32)
         match = held == symbol
-        cells += STEPS.take(seen + match * 16)
+        cells += STEPS.take(seen + (match.view(np.uint8) << np.uint8(4)))
         match |= seen > 1
-        table[at] = np.where(match, cells, (fresh << np.uint32(4)) | np.uint32(1))
+        np.copyto(cells, (fresh << np.uint32(4)) | np.uint32(1), where=~match)
+        table[at] = cells
         fresh += np.uint32(1)
         fresh *= np.uint32(0x9E3779B1)
-        contexts[0] = (mark ^ (fresh >> np.uint32(7))) * np.uint32(0x27D4EB2F)
-        contexts[1] = fresh
-        mark = fresh
-        go = np.flatnonzero(scale < np.uint64(1 << 32))
-        while len(go):
+        np.multiply(mark ^ (fresh >> np.uint32(7)), np.uint32(0x27D4EB2F), out=contexts[0])
+        contexts[1] = mark = fresh
+        short = scale < np.uint64(1 << 32)
+        while short.any():
             if data is None:
-                x = low[go]
-                words[go, used[go]] = x >> np.uint64(32)
+                go = np.flatnonzero(short)
+                x, at = low[go], used[go]
+                words[at] = x >> np.uint64(32)
                 low[go] = (x & np.uint64(0xFFFFFFFF)) << np.uint64(16)
+                used[go] = at + 1
+                scale[go] <<= np.uint64(16)
             else:
-                value[go] = (value[go] << np.uint64(16)) | source[row[go] + np.minimum(used[go], width - 1)]
-            used[go] += 1
-            scale[go] = s = scale[go] << np.uint64(16)
-            go = go[s < np.uint64(1 << 32)]
-        if data is None and not step & 15 and used.max() + 64 > words.shape[1]:
-            words = np.concatenate((words, np.zeros_like(words)), axis=1)
-        if step & 31 == 31 and len(costs) > 1:
+                by = short.astype(np.uint64)
+                word = source.take(used, mode="clip")
+                word *= by
+                by <<= np.uint64(4)
+                value <<= by
+                value |= word
+                scale <<= by
+                used += short
+            short = scale < np.uint64(1 << 32)
+        if data is None and not step & 15 and (used - np.arange(n) * width).max() + 64 > width:
+            words = np.concatenate((words.reshape(-1, width), np.zeros((len(words) // width, width), np.uint32)), axis=1).ravel()
+            used += np.arange(n) * width
+            width *= 2
+        if step & 31 == 31 and costs.shape[1] > 1:
             last = (out if data is not None else turned)[step - 31 : step + 1, :n]
             costs -= costs >> 2
-            costs += model.cost.take(last, axis=1).sum(axis=1, dtype=np.int32)
-            choice = costs.argmin(axis=0)
+            costs += model.cost.take(last).view(np.int32).reshape(len(last), *costs.shape).sum(axis=0, dtype=np.int32)
+            choice = costs.argmin(axis=1)
             shift, slots = choice * model.n, choice << 16
     if data is not None:
         return out.T
-    finish(words, ends, low, used, 0)
-    for j in range(words.shape[1] - 1, 0, -1):  # what ran over
+    finish(words, ends, low, used, width, 0)
+    words = words.reshape(-1, width)
+    for j in range(width - 1, 0, -1):  # what ran over
         words[:, j - 1] += words[:, j] >> np.uint32(16)
     words = words.astype("<u2")
     return [words[i, :e].tobytes() for i, e in enumerate(ends)]
 
 
-def finish(words: np.ndarray, ends: np.ndarray, low: np.ndarray, used: np.ndarray, first: int) -> None:
+def finish(words: np.ndarray, ends: np.ndarray, low: np.ndarray, used: np.ndarray, width: int, first: int) -> None:
     """One word more of the blocks from ``first`` on ends them: behind it a reader finds zeros."""
-    lane = np.arange(first, len(low))
-    words[lane, used[first:]] = (low[first:] + np.uint64(0xFFFFFFFF)) >> np.uint64(32)
-    ends[lane] = used[first:] + 1
+    words[used[first:]] = (low[first:] + np.uint64(0xFFFFFFFF)) >> np.uint64(32)
+    ends[first : len(low)] = used[first:] + 1 - np.arange(first, len(low)) * width
 
 
 def slices(n: int) -> list[slice]:
@@ -322,54 +346,79 @@ KINDS[0x30:0x3A] = 3
 KINDS[0x20], KINDS[0x27] = 1, 0
 
 
-def pretokens(words: list[str]) -> np.ndarray:
-    """Of words without gaps how many pieces the library makes of each before merging: runs of letters and of other signs, and digits; -1 where it is not as plain as that."""
-    data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+#: Code points of bytes in the byte-level alphabet; a space stays, which no piece has.
+LETTERS = np.array(list(map(ord, byte_letters())), np.uint32)
+LETTERS[0x20] = 0x20
+#: Bytes of characters of which Unicode's versions tell differently, and controls that are white space to some.
+RAW = np.zeros(256, bool)
+RAW[[*range(0x1C, 0x20), *range(0xC9, 0x100)]] = True
+
+
+def pretokens(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words without gaps: how many pieces the library makes of each before merging, runs of letters and of other signs, and digits (-1 where it is not as plain as
+    that); all bytes, in lower case and a space behind each word; and where pieces start."""
+    data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8).copy()
     kinds = KINDS[data]
     before = np.concatenate((data[:1] * 0, data[:-1]))
     high = data >= 0x80
-    # two bytes of a letter, no signs of multiplication or division
-    odd = (kinds == 0) | (high & (data < 0xC0) & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
-    starts = (kinds != np.concatenate((kinds[:1] * 0, kinds[:-1]))) | (kinds == 3)
+    # two bytes of a letter, no signs of multiplication or division; nothing that a special may begin with
+    odd = (kinds == 0) | ((data == 0x7C) & (before == 0x3C)) | (high & (data < 0xC0) & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
+    starts = ((kinds != np.concatenate((kinds[:1] * 0, kinds[:-1]))) | (kinds == 3)) & (kinds > 1)
     ends = np.flatnonzero(data == 0x20)
-    upto, odd_upto = np.cumsum(starts & (kinds > 1))[ends], np.cumsum(odd)[ends]
-    return np.where(np.diff(odd_upto, prepend=0) > 0, -1, np.diff(upto, prepend=0))
+    upto, odd_upto = np.cumsum(starts)[ends], np.cumsum(odd)[ends]
+    data[((data >= 0x41) & (data <= 0x5A)) | ((before == 0xC3) & (data >= 0x80) & (data <= 0x9E))] += 0x20
+    return np.where(np.diff(odd_upto, prepend=0) > 0, -1, np.diff(upto, prepend=0)), data, starts
+
+
+def plain_tokenizer(path: str) -> Tokenizer:
+    """The library with the file's model, for pieces of the byte-level alphabet that stand between spaces. Pieces seldom come again, so it remembers none."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    out = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+    out.pre_tokenizer = CharDelimiterSplit(" ")
+    return out
 
 
 class WordIds:
-    """The library's ids of what stands between white space, remembered up to so many bytes, by all tasks of a worker; words not met before go to the library
-    together. Words of more than ``LONG`` letters are not remembered beyond a call."""
+    """The library's ids of what stands between white space, remembered up to so many bytes, by all tasks of a worker. The distinct words of some texts are looked up
+    once, and those not met before go to the library together. Words of more than ``LONG`` letters are not remembered beyond a call."""
 
-    MEMORY, LONG, TOGETHER = 160 << 20, 64, 1000
+    MEMORY, LONG, TOGETHER = 320 << 20, 64, 2000
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.library, self.plain = Tokenizer.from_file(path), plain_tokenizer(path)
         self.known: dict[str, bytes] = {}  # ids as 16-bit numbers
         self.held = 0
         self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
         self.ends[[i for t, i in self.library.get_vocab(False).items() if t.endswith("</w>")]] = True
 
     def keep(self, words: list[str], ids: bytes, ends: list[int]) -> None:
-        at = 0
-        for w, end in zip(words, ends, strict=True):
-            self.known[w] = ids[at:end]
-            self.held += 180 + 4 * len(w) + end - at
-            at = end
+        self.known.update(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        self.held += 180 * len(words) + 4 * sum(map(len, words)) + len(ids)
 
     def learn(self, words: list[str]) -> None:
-        """Words are joined by spaces, over which no id reaches. Those of plain pieces are parted again by the ids that end pieces."""
-        n = pretokens(words)
-        plain = np.flatnonzero(n >= 0)
-        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        some = [[words[i] for i in g] for g in groups]
-        for g, ws, e in zip(groups, some, self.library.encode_batch_fast([" ".join(ws) for ws in some], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint16)
-            at, upto = np.flatnonzero(self.ends[ids]), np.cumsum(n[g])
+        """Words of plain pieces go to the model with spaces between pieces, over which no id reaches, and are parted again by the ids that end pieces."""
+        odd = []
+        for i in range(0, len(words), self.TOGETHER):
+            ws = words[i : i + self.TOGETHER]
+            n, data, starts = pretokens(ws)
+            if (n < 0).any():
+                odd += [ws[k] for k in np.flatnonzero(n < 0)]
+                ws = [ws[k] for k in np.flatnonzero(n >= 0)]
+                if not ws:
+                    continue
+                n, data, starts = pretokens(ws)
+            starts[1:] &= data[:-1] != 0x20  # a space stands there
+            starts[0] = False
+            text = np.insert(LETTERS[data], np.flatnonzero(starts), 0x20)
+            ids = np.array(self.plain.encode_batch_fast([text.astype("<u4").tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint16)
+            at, upto = np.flatnonzero(self.ends[ids]), np.cumsum(n)
             if len(at) != upto[-1]:
                 self.learn_by_place(ws)
             else:
                 self.keep(ws, ids.tobytes(), (2 * np.concatenate(([0], at + 1))[upto]).tolist())
-        self.learn_by_place([words[i] for i in np.flatnonzero(n < 0)])
+        self.learn_by_place(odd)
 
     def learn_by_place(self, words: list[str]) -> None:
         """One call for all words, which are parted again by where ids begin."""
@@ -379,25 +428,57 @@ class WordIds:
         of = np.searchsorted(begin, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
         self.keep(words, np.array(e.ids, np.uint16).tobytes(), (2 * np.cumsum(np.bincount(of, minlength=len(words)))).tolist())
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and all ids."""
-        words = [(OTHER_GAPS.sub(" ", t).split(" ") if "<|" in t or FAR.search(t) or CONTROLS.search(t) else t.lower().split()) for t in texts]
-        flat = list(chain.from_iterable(words))
-        ids = list(map(self.known.get, flat))
-        new = list({w for w, i in zip(flat, ids, strict=True) if i is None})
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        ids = list(map(self.known.get, words))
+        new = [w for w, i in zip(words, ids, strict=True) if i is None]
         if new:
             if self.held > self.MEMORY:
                 self.known.clear()
                 self.held = 0
             self.learn(new)
             known = self.known
-            ids = [known[w] if i is None else i for w, i in zip(flat, ids, strict=True)]
+            ids = [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
             for w in new:
                 if len(w) > self.LONG:
                     self.held -= 180 + 4 * len(w) + len(known.pop(w))
-        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        return np.diff(np.concatenate(([0], upto))[ends], prepend=0) // 2, np.frombuffer(b"".join(ids), np.uint16).astype(np.uint32)
+        return ids
+
+    def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and all ids. In lower case, words that differ in capitals only are one."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        words = pc.ascii_split_whitespace(pc.if_else(plain_texts(texts), pc.ascii_lower(texts), texts))
+        found = words.flatten().dictionary_encode()
+        ids = self.of_words(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        pool, begin = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(size) - size
+        each = found.indices.to_numpy()
+        sizes = size[each]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.repeat(begin[each] - upto[:-1], sizes)
+        place += np.arange(len(place))
+        return np.diff(upto[np.cumsum(pc.list_value_length(words).to_numpy())], prepend=0), pool[place].astype(np.uint32)
+
+
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """Whether a text may be put in lower case: it has no "<|" (specials are told by their letters) and nothing of ``RAW``."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    raw = RAW[data]
+    raw[1:] |= (data[1:] == 0x7C) & (data[:-1] == 0x3C)
+    out = np.ones(len(texts), bool)
+    out[np.searchsorted(at, np.flatnonzero(raw) + at[0], side="right") - 1] = False
+    return pa.array(out)
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of a column; a row of more is one alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -429,11 +510,10 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_
             return out
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                piece = batch.slice(at, 256)
-                n, found = encode([t or "" for t in piece.column("text").to_pylist()])
+            for piece in by_bytes(batch, "text", SLICE_BYTES):
+                n, found = encode(piece.column("text"))
                 ends = np.cumsum(n)
-                found = np.insert(found, ends, end_id).astype(np.uint32)
+                found = np.insert(found, ends, end_id)
                 docs_ += piece.column("doc_id").to_pylist()
                 counts.append(n + 1)
                 ids.append(found)
