@@ -114,3 +114,17 @@ def test_hybrid_and_metrics_by_svd(spark, sf):
     want = rankeval.ranking_metrics(known, e.targets).first().asDict()
     got = QUERIES["ranking_metrics_cf_svd"](spark, sf).first().asDict()
     assert {k: v for k, v in got.items() if isinstance(v, float)} == pytest.approx({k: want[k] for k in got if isinstance(got[k], float)}, abs=2e-3)
+
+
+def test_the_matrix_is_made_once(spark):
+    """What the matrix comes from is read once, however many steps follow."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    cells = spark.createDataFrame([(u, i, float(1 + (u * i) % 3)) for u in range(30) for i in range(12) if (u + i) % 3], "visitorid long, itemid long, weight double")
+    assert latent.recommend(cells.mapInArrow(counted, cells.schema), 3, 4).count() == 90
+    assert made.value == cells.count()

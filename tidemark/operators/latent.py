@@ -132,12 +132,12 @@ def _gram(factors: DataFrame, columns: int, turn: np.ndarray | None = None) -> n
     return np.sum([np.array([p.w for p in parts]).reshape(-1, columns, columns)], axis=1)[0] if parts else np.zeros((columns, columns))
 
 
-def item_factors(matrix: DataFrame, factors: int = SVD_FACTORS) -> DataFrame:
+def item_factors(matrix: DataFrame, factors: int = SVD_FACTORS, blocks: Blocks | None = None) -> DataFrame:
     """itemid, v: the row of V for each item, the first ``factors`` right singular vectors (one less than items at most).
 
     Singular vectors are told apart as far as their values differ; of equal values any basis may come out, and scores do not depend on
     which. With few items (at most 2 * factors + ``SPARE``) the space is the whole one, and the result is that of a full decomposition."""
-    blocks = Blocks(matrix)
+    blocks = blocks or Blocks(matrix)
     items = blocks.needed.select("itemid").distinct()
     n = items.count()
     k = min(factors, n - 1)
@@ -169,7 +169,7 @@ def item_factors(matrix: DataFrame, factors: int = SVD_FACTORS) -> DataFrame:
     return rows.mapInArrow(turned_rows, "itemid long, v array<double>")
 
 
-def user_factors(matrix: DataFrame, items: DataFrame) -> DataFrame:
+def user_factors(matrix: DataFrame, items: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """visitorid, u: a user's row of A V."""
 
     def run(key, cells, rows):
@@ -182,13 +182,16 @@ def user_factors(matrix: DataFrame, items: DataFrame) -> DataFrame:
             return pa.table({"visitorid": pa.array([], pa.int64()), "u": pa.array([], pa.list_(pa.float64()))})
         return pa.table({"visitorid": users, "u": _lists(_times(at[known], to, cells["weight"].to_numpy()[known], _rows(rows["v"])[order], len(users)))})
 
-    return Blocks(matrix).meet(items, run, "visitorid long, u array<double>")
+    return (blocks or Blocks(matrix)).meet(items, run, "visitorid long, u array<double>")
 
 
 def recommend(matrix: DataFrame, n: int = TOP_K, factors: int = SVD_FACTORS) -> DataFrame:
-    """visitorid, itemid, score, rank: unseen items by the product of factors."""
-    items = materialized(item_factors(matrix, factors), "item_factors")
-    return recommend_by_factors(matrix, items, user_factors(matrix, items), n)
+    """visitorid, itemid, score, rank: unseen items by the product of factors. The matrix, its blocks and the factors are made once and read by each step."""
+    matrix = materialized(matrix, "matrix")
+    blocks = Blocks(matrix)
+    items = materialized(item_factors(matrix, factors, blocks), "item_factors")
+    users = materialized(user_factors(matrix, items, blocks), "user_factors")
+    return recommend_by_factors(matrix, items, users, n)
 
 
 def recommend_by_factors(matrix: DataFrame, items: DataFrame, users: DataFrame, n: int = TOP_K) -> DataFrame:
