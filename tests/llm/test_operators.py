@@ -712,6 +712,38 @@ def test_distinct_words_of_texts_are_looked_up_once():
     assert [p.num_rows for p in token_files.by_bytes(batch, "text", 10)] == [2, 1, 3]
 
 
+def test_frequent_pairs_of_ids_take_one_step(monkeypatch):
+    """Ids that often stand together are one symbol, within blocks only, and damage of pairs is told."""
+    r = np.random.default_rng(3)
+    spelt = r.integers(0, 3000, (400, 4)).astype(np.uint32)
+    ids = spelt[r.integers(0, 400, 20_000)].ravel()
+    steps = []
+    real = token_files.GATE
+    monkeypatch.setattr(token_files, "GATE", type("Counting", (), {"take": lambda self, x: steps.append(1) or real.take(x)})())
+    file = token_files.pack([1], np.array([len(ids)]), ids)
+    assert len(steps) < 1600  # 4,096 ids a block, four a word
+    assert (token_files.unpack(file)[2] == ids).all()
+    for block in (1, 7, 1000):
+        assert (token_files.unpack(token_files.pack([1], np.array([9000]), ids[:9000], block))[2] == ids[:9000]).all()
+    with pytest.raises(ValueError):
+        token_files.Pairs(2, np.array([[0, 1], [2, 3]], np.uint16)).parted(np.array([3]), 4096)
+    with pytest.raises(ValueError):
+        token_files.Pairs(1, np.array([[i, i] for i in range(40)], np.uint16)).parted(np.array([40]), 4096)
+
+
+def test_words_with_signs_are_no_other_words():
+    """A word is looked up once, whatever signs and digits stand around it; ids are the library's."""
+    import pyarrow as pa
+
+    coder = token_files.WordIds(bpe.vocabulary_path())
+    texts = ["word word, (Word) word. 12word!", "caf\u00e9 caf\u00e9, (caf\u00e9) 1\u00e9", "don't 'RE're '1 !'s x'", "2\u00d7\u00b2, a\u00f7b a\u00a0b, \u20ac1", "<|endoftext|>a,b <|b.", "I\u0307,\u0130. e\u0301, \u01330x"]
+    counts, got = coder(pa.array(texts))
+    want = [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and got.tolist() == sum(want, [])
+    assert [w for w in coder.known if "word" in w] == ["word"]
+    assert [w for w in coder.known if "caf" in w] == ["caf\u00e9"]
+
+
 def test_signatures_of_documents_in_buckets_only_are_joined(spark, monkeypatch):
     """Documents that share no bucket have neither texts nor signatures in the joins of pairs, and no join sends out ids whole."""
     real, got = minhash.written, {}

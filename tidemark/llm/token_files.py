@@ -1,10 +1,11 @@
 """Token-id files: ids of documents in ascending order of doc_id, packed by a context-mixing range coder.
 
-File (little-endian): "TMTK", version u16, tables of order 0 u16, ids of a block u32, documents u32, ids u32, distinct ids u32, blocks u32; then documents'
-ids i64 with a flag for null, their counts u32; distinct ids u32 and for each table their quantised frequencies u16, which add up to 2**16; for
-each block its bytes u32 and the CRC-32 of its ids u32; then the blocks' bytes.
+File (little-endian): "TMTK", version u16, tables of order 0 u16, ids of a block u32, documents u32, ids u32, distinct ids u32, pairs u32, blocks u32; then documents'
+ids i64 with a flag for null, their counts u32; distinct ids u32, pairs of symbols 2 u16, and for each table the symbols' quantised frequencies u16, which add up to 2**16; for
+each block its bytes u32, the CRC-32 of its ids u32 and its symbols u32; then the blocks' bytes.
 
-A block is coded on its own: all adaptive state starts anew, so a block can be read without others and its checksum tells damage.
+Symbols are the distinct ids, and pairs of symbols that the file often has: a pair may be part of a later one. Below, "id" is a symbol.
+A block is coded on its own: all adaptive state starts anew and no pair goes over its end, so a block can be read without others and its checksum tells damage.
 An id is foretold by three orders. Order 2, by the last two ids, and order 1, by the last id, have a hashed table each of the id that followed and how well it
 did; the better known of the two is the candidate. That the id is the candidate is one decision, whose log-odds by orders 2, 1 and 0
 are added with adaptive weights, from a set selected by how well both cells did and whether they agree. Any other id goes by order 0 in one step of
@@ -44,13 +45,13 @@ SIDE_BY_SIDE = 2048
 CELL_BITS, WEIGHT_SHIFT = 10, 10
 #: Frequencies of order 0: tables of a file, ids of a piece that has one while they are found, every how many pieces, rounds.
 TABLES, PIECE, EVERY, ROUNDS = 4, 256, 4, 4
-HEADER = struct.Struct("<4sHHIIIII")
+#: Pairs: symbols of a file with them, bits of the index of pairs, rounds, and how often one is in every ``EVERY``-th piece at least. Symbols that are joined at once.
+SYMBOLS, PAIR_BITS, PAIR_ROUNDS, PAIR_LEAST, JOINED = 1 << 14, 18, 3, 8, 1 << 18
+HEADER = struct.Struct("<4sHHIIIIII")
 
 #: log(p / (1 - p)) of chances, with 8 bits after the point, of 12 bits, and its inverse, by 2048 more, of 16 bits.
 STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
 SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 16, 65520).astype(np.int32)
-#: A cell holds an id and, in 4 bits below, how well it did: 0 is an empty cell. By hit * 16 + that, what is added to a cell; a miss takes half.
-STEPS = np.concatenate((np.arange(16) // 2 - np.arange(16), np.arange(16) < 15)).astype(np.int32).view(np.uint32)
 #: By hit * 4096 + its chance of 12 bits, how wrong that was, four times as one element.
 ERRORS = np.repeat(np.concatenate((-np.arange(4096), 4096 - np.arange(4096))).astype(np.int32), 4).view(np.complex128)
 
@@ -65,7 +66,7 @@ def states() -> tuple[np.ndarray, ...]:
     by_two = np.where(pick, np.where(one > 0, -64 * np.minimum(two, 4), -1400), of_two[two])
     by_one = np.where(pick, of_one[one], np.where(same == 1, 128, -32) * np.minimum(one, 4))
     gate = np.where(pick, 8 + np.minimum(one, 7), np.minimum(two, 3) + 4 * same)
-    return pick, np.ascontiguousarray(np.stack((by_two, by_one, 0 * gate, 0 * gate), axis=1).astype(np.int32)).view(np.complex128).ravel(), gate
+    return pick.astype(np.int32), np.ascontiguousarray(np.stack((by_two, by_one, 0 * gate, 0 * gate), axis=1).astype(np.int32)).view(np.complex128).ravel(), gate
 
 
 PICK, ORDERS, GATE = states()
@@ -104,17 +105,99 @@ class Order0:
         self.odds = STRETCH[np.minimum(freq.max(axis=0) >> 4, 4095)]
 
 
-def order0_tables(index: np.ndarray) -> np.ndarray:
-    """Frequencies of ids 0, 1, ... in up to ``TABLES`` tables: pieces of the file go to the table that codes them best, and each table is counted anew
+class Pairs:
+    """Pairs (first, second) of symbols that are one symbol, numbered on from ``n`` ids; where two overlap, the later one goes first."""
+
+    def __init__(self, n: int, pairs: np.ndarray):
+        self.n, self.pairs = n, pairs
+        self.keys = np.concatenate((np.zeros(1, np.uint32), (pairs[:, 0].astype(np.uint32) << np.uint32(16)) | pairs[:, 1]))
+        self.slots = np.zeros(1 << PAIR_BITS, np.uint16)  # of pairs in one place the last is found
+        self.slots[self.place(self.keys[1:])] = np.arange(1, len(self.keys))
+
+    @staticmethod
+    def place(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - PAIR_BITS)
+
+    def join(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols with pairs made one, and where their blocks end."""
+        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+        found = self.slots.take(self.place(keys))
+        found *= self.keys.take(found) == keys
+        found[ends[:-1] - 1] = 0
+        chosen = found > 0
+        chosen[1:] &= found[1:] > found[:-1]
+        chosen[:-1] &= found[:-1] >= found[1:]
+        at = np.flatnonzero(chosen)
+        out, stay = symbols.copy(), np.ones(len(symbols), bool)
+        out[at], stay[at + 1] = found[at] + np.uint32(self.n - 1), False
+        return out[stay], ends - np.searchsorted(at, ends - 1)
+
+    def joined(self, index: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of blocks of so many ids, and how many each has."""
+        if not len(self.pairs):
+            return index, np.diff(np.append(np.arange(0, len(index), block), len(index)))
+        found, sizes, step = [], [], max(1, JOINED // block) * block
+        for i in range(0, len(index), step):
+            symbols = index[i : i + step].astype(np.uint32)
+            ends = np.append(np.arange(block, len(symbols), block), len(symbols))
+            for _ in range(PAIR_ROUNDS + 1):
+                symbols, ends = self.join(symbols, ends)
+            found.append(symbols.astype(np.int32))
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def parted(self, symbols: np.ndarray, most: int) -> np.ndarray:
+        """Ids of symbols, of which none may have more than ``most``."""
+        if not len(self.pairs):
+            return symbols
+        spelt = [(i,) for i in range(self.n)]
+        for a, b in self.pairs.tolist():
+            if max(a, b) >= len(spelt) or len(spelt[a]) + len(spelt[b]) > most:
+                raise ValueError("damaged pairs")
+            spelt.append(spelt[a] + spelt[b])
+        size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        pool, begin, out = np.fromiter((i for x in spelt for i in x), np.int32, int(size.sum())), np.cumsum(size) - size, []
+        for i in range(0, len(symbols), JOINED):
+            sizes = size.take(symbols[i : i + JOINED])
+            place = np.repeat(begin.take(symbols[i : i + JOINED]) - (np.cumsum(sizes) - sizes), sizes)
+            place += np.arange(len(place))
+            out.append(pool.take(place))
+        return np.concatenate(out)
+
+
+def frequent_pairs(index: np.ndarray, n: int, block: int) -> Pairs:
+    """In rounds, the most frequent pairs of the pieces of a file, in which those of rounds before are one symbol."""
+    pairs, block = Pairs(n, np.zeros((0, 2), np.uint16)), min(block, PIECE)
+    pieces = index[: len(index) // block * block].reshape(-1, block)[::EVERY]
+    symbols, ends = pieces.astype(np.uint32).ravel(), np.arange(1, len(pieces) + 1) * block
+    for left in range(PAIR_ROUNDS, 0, -1):
+        room = (SYMBOLS - n - len(pairs.pairs)) // left
+        if room <= 0 or len(symbols) < 2:
+            break
+        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+        keys = np.sort(np.delete(keys, ends[:-1] - 1))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        times, keys = np.diff(first, append=len(keys)), keys[first]
+        new = (times >= PAIR_LEAST) & ~np.isin(keys, pairs.keys[1:])
+        keys = keys[new][np.argsort(times[new], kind="stable")[-room:]]
+        if not len(keys):
+            break
+        pairs = Pairs(n, np.concatenate((pairs.pairs, np.stack((keys >> np.uint32(16), keys & np.uint32(0xFFFF)), axis=1).astype(np.uint16))))
+        symbols, ends = pairs.join(symbols, ends)
+    return pairs
+
+
+def order0_tables(index: np.ndarray, n: int) -> np.ndarray:
+    """Frequencies of ``n`` ids 0, 1, ... in up to ``TABLES`` tables: pieces of the file go to the table that codes them best, and each table is counted anew
     from its pieces, some rounds long. First tables are the pieces that those before code worst. All ids are in each table."""
-    all_counts = np.bincount(index)
+    all_counts = np.bincount(index, minlength=n)
     pieces = index[: len(index) // PIECE * PIECE].reshape(-1, PIECE)[::EVERY]
     if len(pieces) < 16 * TABLES:
         return quantised(all_counts)[None]
 
     def costs(counts: np.ndarray) -> np.ndarray:
         share = counts / counts.sum() * 0.8 + all_counts / len(index) * 0.2
-        return -np.log2(share).astype(np.float32)[pieces].sum(axis=1)
+        return -np.log2(np.maximum(share, 1e-12)).astype(np.float32)[pieces].sum(axis=1)
 
     counts = [np.bincount(pieces[0], minlength=len(all_counts))]
     found = [costs(counts[0])]
@@ -135,7 +218,7 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
     """Encodes ``ids`` (blocks, steps), indexes of the model's ids, to bytes by block; or decodes ``data`` to them. Blocks are in falling order of length."""
     n, steps = len(lengths), int(lengths.max())
     if data is None:
-        width = steps * 5 // 8 + 64
+        width = steps * 7 // 8 + 64
         words, ends = np.zeros(n * width, np.uint32), np.zeros(n, np.int64)
         low, turned, used = np.zeros(n, np.uint64), np.ascontiguousarray(ids.T), np.arange(n) * width
     else:
@@ -164,11 +247,14 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
             base, contexts = (np.ascontiguousarray(x[:, :m]) for x in (base, contexts))
         at = base + (contexts >> np.uint32(32 - CELL_BITS))
         cells = table.take(at)
-        held, seen = (cells >> np.uint32(4)).view(np.int32), cells.astype(np.uint16) & np.uint16(15)
+        ids_held, seen = cells >> np.uint32(4), cells.astype(np.uint16) & np.uint16(15)
+        held = ids_held.view(np.int32)
         state = (seen[0] << np.uint16(5)) + (seen[1] << np.uint16(1))
         state += held[0] == held[1]
         state = state.astype(np.int64)
-        candidate = np.where(PICK.take(state), held[1], held[0])
+        candidate = held[1] - held[0]
+        candidate *= PICK.take(state)
+        candidate += held[0]
         odds = ORDERS.take(state).view(np.int32).reshape(n, 4)
         odds[:, 2] = model.odds.take(candidate, mode="clip")
         places = each + GATE.take(state)
@@ -182,19 +268,20 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
         scale >>= np.uint64(16)
         if data is None:
             symbol = turned[step, :n]
-            hit = candidate == symbol
+            miss = (candidate != symbol).astype(np.uint64)
         else:
-            hit = value < scale * share
-        # what is not the candidate goes by order 0
-        start = share * ~hit
-        share = np.where(hit, share, WHOLE - share)
+            miss = (value >= scale * share).astype(np.uint64)
+        hit = miss.astype(np.int32) ^ np.int32(1)
+        # what is not the candidate goes by order 0: its share is what is left
+        start, whole = share * miss, miss << np.uint64(16)
+        share += whole
+        share -= start
+        share -= start
+        np.subtract(WHOLE, whole, out=whole)
         if data is None:
             low += scale * start
             scale *= share
             scale >>= np.uint64(16)
-            part = model.parts.take(symbol + shift)
-            np.putmask(part, hit, WHOLE)
-            low += scale * (part >> np.uint64(32))
         else:
             value -= scale * start
             scale *= share
@@ -202,47 +289,65 @@ def code_blocks(model: Order0, lengths: np.ndarray, ids: np.ndarray | None = Non
             slot = value // scale
             np.minimum(slot, np.uint64(65535), out=slot)
             symbol = model.symbol.take(slot.view(np.int64) + slots).astype(np.int32)
-            part = model.parts.take(symbol + shift)
-            np.putmask(part, hit, WHOLE)
+        part = model.parts.take(symbol + shift)
+        part *= miss
+        part += whole
+        if data is None:
+            low += scale * (part >> np.uint64(32))
+        else:
             value -= scale * (part >> np.uint64(32))
-            np.copyto(symbol, candidate, where=hit)
+            candidate -= symbol
+            candidate *= hit
+            symbol += candidate
             out[step, :n] = symbol
         part &= np.uint64(0xFFFFFFFF)
         scale *= part
         p >>= 4
-        p += hit * np.int32(4096)
+        hit <<= 12
+        p += hit
         odds *= ERRORS.take(p).view(np.int32).reshape(n, 4)
         odds >>= WEIGHT_SHIFT
         odds += own
         weights[places] = odds.view(np.complex128).ravel()
         fresh = symbol.astype(np.uint32)
+        # a cell holds an id and, in 4 bits below, how well it did (0: empty): one more for a hit, half for a miss, and below 2 another id comes
         match = held == symbol
-        cells += STEPS.take(seen + (match.view(np.uint8) << np.uint8(4)))
-        match |= seen > 1
-        np.copyto(cells, (fresh << np.uint32(4)) | np.uint32(1), where=~match)
-        table[at] = cells
+        gone = (seen < 2) > match
+        less = seen >> np.uint16(1)
+        seen += np.uint16(1)
+        np.minimum(seen, np.uint16(15), out=seen)
+        seen -= less
+        seen *= match
+        seen += less
+        seen += gone
+        ids_new = fresh - ids_held
+        ids_new *= gone
+        ids_new += ids_held
+        ids_new <<= np.uint32(4)
+        ids_new |= seen
+        table[at] = ids_new
         fresh += np.uint32(1)
         fresh *= np.uint32(0x9E3779B1)
         np.multiply(mark ^ (fresh >> np.uint32(7)), np.uint32(0x27D4EB2F), out=contexts[0])
         contexts[1] = mark = fresh
         short = scale < np.uint64(1 << 32)
         while short.any():
+            by = short.astype(np.uint64)
             if data is None:
-                go = np.flatnonzero(short)
-                x, at = low[go], used[go]
-                words[at] = x >> np.uint64(32)
-                low[go] = (x & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-                used[go] = at + 1
-                scale[go] <<= np.uint64(16)
+                word = low >> np.uint64(32)
+                words[used] = word  # what is not short writes there again
+                word *= by
+                low -= word << np.uint64(32)
+                by <<= np.uint64(4)
+                low <<= by
             else:
-                by = short.astype(np.uint64)
                 word = source.take(used, mode="clip")
                 word *= by
                 by <<= np.uint64(4)
                 value <<= by
                 value |= word
-                scale <<= by
-                used += short
+            scale <<= by
+            used += short
             short = scale < np.uint64(1 << 32)
         if data is None and not step & 15 and (used - np.arange(n) * width).max() + 64 > width:
             words = np.concatenate((words.reshape(-1, width), np.zeros((len(words) // width, width), np.uint32)), axis=1).ravel()
@@ -284,31 +389,34 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block_i
     """A file of documents whose ids stand one after another."""
     values = np.flatnonzero(np.bincount(ids))
     n_blocks = -(-len(ids) // block_ids)
-    parts, checks = [], []
-    freq = np.empty((0, 0), np.int64)
+    parts, checks, lengths = [b""] * n_blocks, [], np.zeros(0, np.int64)
+    freq, pairs = np.empty((0, 0), np.int64), np.zeros((0, 2), np.uint16)
     if n_blocks:
         place = np.zeros(values[-1] + 1, np.int32)
         place[values] = np.arange(len(values))
         index = place[ids]
-        freq = order0_tables(index)
-        padded = np.zeros(n_blocks * block_ids, np.int32)
-        padded[: len(ids)] = index
-        lengths = np.full(n_blocks, block_ids)
-        lengths[-1] = len(ids) - (n_blocks - 1) * block_ids  # only the last is shorter, so the order is by length
-        model, padded = Order0(freq), padded.reshape(n_blocks, block_ids)
-        parts = [p for s in slices(n_blocks) for p in code_blocks(model, lengths[s], ids=padded[s])]
+        joined = frequent_pairs(index, len(values), block_ids)
+        pairs = joined.pairs
+        index, lengths = joined.joined(index, block_ids)
+        freq = order0_tables(index, len(values) + len(pairs))
+        model, begin, order = Order0(freq), np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+        for s in slices(n_blocks):
+            of = order[s]
+            found = code_blocks(model, lengths[of], ids=index.take(begin[of][:, None] + np.arange(lengths[of[0]]), mode="clip"))
+            for i, p in zip(of.tolist(), found, strict=True):
+                parts[i] = p
         checks = [crc_of(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)]
-    head = HEADER.pack(b"TMTK", 2, len(freq), block_ids, len(doc_ids), len(ids), len(values), n_blocks)
+    head = HEADER.pack(b"TMTK", 3, len(freq), block_ids, len(doc_ids), len(ids), len(values), len(pairs), n_blocks)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    index_table = b"".join(struct.pack("<II", len(p), c) for p, c in zip(parts, checks, strict=True))
-    return b"".join((head, known.tobytes(), null.tobytes(), counts.astype("<u4").tobytes(), values.astype("<u4").tobytes(), (freq - 1).astype("<u2").tobytes(), index_table, *parts))
+    index_table = b"".join(struct.pack("<III", len(p), c, n) for p, c, n in zip(parts, checks, lengths.tolist(), strict=True))
+    return b"".join((head, known.tobytes(), null.tobytes(), counts.astype("<u4").tobytes(), values.astype("<u4").tobytes(), pairs.astype("<u2").tobytes(), (freq - 1).astype("<u2").tobytes(), index_table, *parts))
 
 
 def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Documents, their counts, and all ids; a ValueError if a block's checksum is not that of its ids."""
-    magic, version, n_tables, block_ids, n_docs, n_ids, n_values, n_blocks = HEADER.unpack_from(file)
-    if magic != b"TMTK" or version != 2:
+    magic, version, n_tables, block_ids, n_docs, n_ids, n_values, n_pairs, n_blocks = HEADER.unpack_from(file)
+    if magic != b"TMTK" or version != 3:
         raise ValueError("not a token-id file")
     at = HEADER.size
 
@@ -318,22 +426,30 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    known, null, counts, values, freq = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs), take("<u4", n_values), take("<u2", n_tables * n_values).astype(np.int64).reshape(n_tables, n_values) + 1
-    table = take("<u4", 2 * n_blocks).reshape(-1, 2)
-    data = []
-    for size, _ in table:
-        data.append(file[at : at + int(size)])
-        at += int(size)
+    known, null, counts, values, pairs = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs), take("<u4", n_values), take("<u2", 2 * n_pairs).reshape(-1, 2)
+    freq = take("<u2", n_tables * (n_values + n_pairs)).astype(np.int64).reshape(n_tables, n_values + n_pairs) + 1
+    table = take("<u4", 3 * n_blocks).reshape(-1, 3).astype(np.int64)
+    data, lengths = [], table[:, 2]
+    for size in table[:, 0].tolist():
+        data.append(file[at : at + size])
+        at += size
     ids = np.empty(0, np.uint32)
     if n_blocks:
-        lengths = np.full(n_blocks, block_ids)
-        lengths[-1] = n_ids - (n_blocks - 1) * block_ids
-        model = Order0(freq)
-        index = np.concatenate([code_blocks(model, lengths[s], data=data[s]).reshape(-1) for s in slices(n_blocks)])
-        ids = values[index[:n_ids]].astype(np.uint32)
-        for i, (_, check) in enumerate(table):
+        if lengths.min() < 1 or lengths.max() > block_ids:
+            raise ValueError("damaged lengths of blocks")
+        model, begin, order = Order0(freq), np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+        index = np.empty(int(lengths.sum()), np.int32)
+        for s in slices(n_blocks):
+            of = order[s]
+            steps = np.arange(lengths[of[0]])
+            there = steps < lengths[of][:, None]
+            index[(begin[of][:, None] + steps)[there]] = code_blocks(model, lengths[of], data=[data[i] for i in of.tolist()])[there]
+        ids = values[Pairs(n_values, pairs).parted(index, block_ids)].astype(np.uint32)
+        for i, check in enumerate(table[:, 1].tolist()):
             if crc_of(ids[i * block_ids : (i + 1) * block_ids]) != check:
                 raise ValueError(f"block {i} is damaged")
+        if len(ids) != n_ids:
+            raise ValueError("more ids than were written")
     return [None if z else int(d) for d, z in zip(known, null, strict=True)], counts.astype(np.int64), ids
 
 
@@ -350,8 +466,20 @@ KINDS[0x20], KINDS[0x27] = 1, 0
 LETTERS = np.array(list(map(ord, byte_letters())), np.uint32)
 LETTERS[0x20] = 0x20
 #: Bytes of characters of which Unicode's versions tell differently, and controls that are white space to some.
-RAW = np.zeros(256, bool)
-RAW[[*range(0x1C, 0x20), *range(0xC9, 0x100)]] = True
+RAW = (*range(0x1C, 0x20), *range(0xC9, 0x100))
+#: Kinds of bytes: 0 a gap, 1 an ASCII letter, 2 a sign, 3 an apostrophe, 4 a digit, 5 one of ``RAW``, 6 first and 7 next of a letter of two bytes (if so), 8 another.
+GAP, LETTER, SIGN, APOSTROPHE, DIGIT, UNSURE, LEAD, NEXT, OTHER = range(9)
+TEXT_KINDS = np.full(256, OTHER, np.uint8)
+TEXT_KINDS[0x21:0x7F], TEXT_KINDS[0x30:0x3A], TEXT_KINDS[0x27] = SIGN, DIGIT, APOSTROPHE
+TEXT_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+TEXT_KINDS[[*range(0x80, 0xC0)]], TEXT_KINDS[0xC3], TEXT_KINDS[[*RAW]], TEXT_KINDS[[0x20, *range(0x09, 0x0E)]] = NEXT, LEAD, UNSURE, GAP
+#: Whether a word begins between two bytes, by kind * 16 + kind: 1 behind a gap, 2 where one of the library's pieces ends for sure, 3 if the two bytes are a letter.
+BEGINS = np.zeros(256, np.uint8)
+BEGINS[GAP * 16 + 1 : GAP * 16 + OTHER + 1] = 1
+for _a, _bs in ((LETTER, (SIGN, APOSTROPHE, DIGIT)), (SIGN, (LETTER, DIGIT)), (APOSTROPHE, (DIGIT,)), (DIGIT, (LETTER, SIGN, APOSTROPHE, DIGIT))):
+    BEGINS[[_a * 16 + _b for _b in _bs]] = 2
+BEGINS[[SIGN * 16 + LEAD, DIGIT * 16 + LEAD, NEXT * 16 + SIGN, NEXT * 16 + APOSTROPHE, NEXT * 16 + DIGIT]] = 3
+LOWER = bytes(range(256)).lower()
 
 
 def pretokens(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,10 +573,10 @@ class WordIds:
         return ids
 
     def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and all ids. In lower case, words that differ in capitals only are one."""
+        """Counts, and all ids. In lower case, words that differ in capitals only are one, and so are those that differ in signs at their ends."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
-        words = pc.ascii_split_whitespace(pc.if_else(plain_texts(texts), pc.ascii_lower(texts), texts))
-        found = words.flatten().dictionary_encode()
+        words, n_words = parts_of(texts)
+        found = words.dictionary_encode()
         ids = self.of_words(found.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         pool, begin = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(size) - size
@@ -457,18 +585,38 @@ class WordIds:
         upto = np.concatenate(([0], np.cumsum(sizes)))
         place = np.repeat(begin[each] - upto[:-1], sizes)
         place += np.arange(len(place))
-        return np.diff(upto[np.cumsum(pc.list_value_length(words).to_numpy())], prepend=0), pool[place].astype(np.uint32)
+        return np.diff(upto[np.cumsum(n_words)], prepend=0), pool[place].astype(np.uint32)
 
 
-def plain_texts(texts: pa.Array) -> pa.Array:
-    """Whether a text may be put in lower case: it has no "<|" (specials are told by their letters) and nothing of ``RAW``."""
-    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts, parted where one of the library's pieces ends for sure (between letters, digits and signs, not behind an apostrophe), so that a word is the same with and
+    without a sign behind it, and in lower case; and how many each text has. Texts with "<|" (specials are told by their letters) or anything of ``RAW`` are parted at gaps only."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    raw = RAW[data]
-    raw[1:] |= (data[1:] == 0x7C) & (data[:-1] == 0x3C)
-    out = np.ones(len(texts), bool)
-    out[np.searchsorted(at, np.flatnonzero(raw) + at[0], side="right") - 1] = False
-    return pa.array(out)
+    at -= at[0]
+    raw = data.tobytes()
+    kinds = np.frombuffer(raw.translate(TEXT_KINDS.tobytes()), np.uint8)
+    begins = np.zeros(len(data), np.uint8)
+    begins[1:] = np.frombuffer(((kinds[:-1] << np.uint8(4)) | kinds[1:]).tobytes().translate(BEGINS.tobytes()), np.uint8)
+    first = at[:-1][np.diff(at) > 0]
+    begins[first] = kinds[first] != GAP
+    lower = np.frombuffer(raw.translate(LOWER), np.uint8)
+    pipes = np.flatnonzero(data[1:] == 0x7C) + 1
+    odd = np.unique(np.searchsorted(at, np.concatenate((np.flatnonzero(kinds == UNSURE), pipes[data[pipes - 1] == 0x3C])), side="right"))
+    if len(odd):
+        lower = lower.copy()
+        for a, b in zip(at[odd - 1].tolist(), at[odd].tolist()):
+            lower[a:b], begins[a:b] = data[a:b], begins[a:b] == 1
+    begin = np.flatnonzero(begins)
+    of = np.flatnonzero(begins.take(begin) == 3)
+    ahead = kinds.take(begin[of]) == LEAD
+    lead = begin[of] - 2 * ~ahead
+    letter = data.take(lead + 1)
+    begin = np.delete(begin, of[(data.take(lead) != 0xC3) | (letter == 0x97) | (letter == 0xB7)])
+    inside = kinds != GAP
+    starts = np.append(np.cumsum(inside, dtype=np.int32)[begin] - 1, np.int32(np.count_nonzero(inside)))
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(lower[inside]))
+    return words, np.diff(np.searchsorted(begin, at))
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
