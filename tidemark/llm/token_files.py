@@ -479,7 +479,7 @@ BEGINS[GAP * 16 + 1 : GAP * 16 + OTHER + 1] = 1
 for _a, _bs in ((LETTER, (SIGN, APOSTROPHE, DIGIT)), (SIGN, (LETTER, DIGIT)), (APOSTROPHE, (DIGIT,)), (DIGIT, (LETTER, SIGN, APOSTROPHE, DIGIT))):
     BEGINS[[_a * 16 + _b for _b in _bs]] = 2
 BEGINS[[SIGN * 16 + LEAD, DIGIT * 16 + LEAD, NEXT * 16 + SIGN, NEXT * 16 + APOSTROPHE, NEXT * 16 + DIGIT]] = 3
-LOWER = bytes(range(256)).lower()
+LOWER, GAPS = bytes(range(256)).lower(), bytes(np.flatnonzero(TEXT_KINDS == GAP).tolist())
 
 
 def pretokens(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -600,22 +600,24 @@ def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins[1:] = np.frombuffer(((kinds[:-1] << np.uint8(4)) | kinds[1:]).tobytes().translate(BEGINS.tobytes()), np.uint8)
     first = at[:-1][np.diff(at) > 0]
     begins[first] = kinds[first] != GAP
-    lower = np.frombuffer(raw.translate(LOWER), np.uint8)
+    inside = kinds != GAP
     pipes = np.flatnonzero(data[1:] == 0x7C) + 1
     odd = np.unique(np.searchsorted(at, np.concatenate((np.flatnonzero(kinds == UNSURE), pipes[data[pipes - 1] == 0x3C])), side="right"))
     if len(odd):
-        lower = lower.copy()
+        lower = np.frombuffer(raw.translate(LOWER), np.uint8).copy()
         for a, b in zip(at[odd - 1].tolist(), at[odd].tolist()):
             lower[a:b], begins[a:b] = data[a:b], begins[a:b] == 1
-    begin = np.flatnonzero(begins)
+        letters = lower[inside].tobytes()
+    else:
+        letters = raw.translate(LOWER, GAPS)
+    begin = np.flatnonzero(begins != 0)
     of = np.flatnonzero(begins.take(begin) == 3)
     ahead = kinds.take(begin[of]) == LEAD
     lead = begin[of] - 2 * ~ahead
     letter = data.take(lead + 1)
     begin = np.delete(begin, of[(data.take(lead) != 0xC3) | (letter == 0x97) | (letter == 0xB7)])
-    inside = kinds != GAP
-    starts = np.append(np.cumsum(inside, dtype=np.int32)[begin] - 1, np.int32(np.count_nonzero(inside)))
-    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(lower[inside]))
+    starts = np.append(np.cumsum(inside, dtype=np.int32)[begin] - 1, len(letters))  # without gaps
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(letters))
     return words, np.diff(np.searchsorted(begin, at))
 
 
