@@ -176,3 +176,30 @@ def test_equal_histories_are_answered_once(spark, monkeypatch):
     assert all(by_items.get(v + 100 * c) == by_items.get(v) for v in range(6) for c in range(1, 5)) and by_items
     once = matrix.where("visitorid < 100")  # five copies of all change no similarity
     assert lists(co.recommend_by_items(once, 4)) == {v: x for v, x in by_items.items() if v < 100}
+
+
+def test_blocks_grow_with_coordinates(spark, monkeypatch):
+    """Rows are sent to a few tasks however many there are, and a task multiplies them in parts; n-th ones that are equal over parts go by key."""
+    rows = [(k, o, 1.0) for k in range(200) for o in range(10) if (k + o) % 5 < 3]
+    unit = co.unit_rows(spark.createDataFrame(rows, "k long, o long, weight double"), "k", "o")
+    dealt, each = [], co.each_of
+    monkeypatch.setattr(co, "each_of", lambda n: dealt.append(n._jc.toString()) or each(n))
+    hoped = plain(rows, 7, set())
+    for cells, blocks in ((1 << 21, 8), (100, 12)):
+        found = co.block_nearest(unit, 7, unit.select("k").distinct(), 16, cells)
+        assert {(r.a, r.b): round(r.sim, 9) for r in found.collect()} == pytest.approx(hoped, abs=2e-9)
+        assert dealt.pop() == str(blocks) and not dealt
+
+
+def test_a_small_index_takes_no_shuffle_of_pairs(spark, monkeypatch):
+    """Pairs of rows that ask and rows of a small index are added up and ranked where they are made."""
+    monkeypatch.setattr(co, "ASKING", 50)
+    rng = np.random.default_rng(6)
+    index = spark.createDataFrame([(k, o, 0.3) for k in range(40) for o in range(8) if rng.random() < 0.5], "k long, o long, w double")
+    asking = spark.createDataFrame([(a, o, 0.2, 3) for a in range(100, 160) for o in range(8) if rng.random() < 0.5], "k long, o long, w double, n int")
+    lists = [sorted((r.a, r.b, round(r.sim, 9)) for r in co.nearest_rows(index, asking=asking).collect())]
+    dealt = [x for x in co.nearest_rows(index, asking=asking)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(a" in x]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+    monkeypatch.setattr(co, "SMALL", 0)
+    lists.append(sorted((r.a, r.b, round(r.sim, 9)) for r in co.nearest_rows(index, asking=asking).collect()))
+    assert lists[0] == lists[1] and lists[0]

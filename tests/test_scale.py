@@ -153,3 +153,27 @@ print("got", *[s.conf.get("spark.sql.adaptive." + k) for k in ("coalescePartitio
     for given, hoped in (([], "got 600 4194304"), (["spark.sql.adaptive.advisoryPartitionSizeInBytes=9000000"], "got 600 9000000")):
         done = subprocess.run([sys.executable, "-c", code, "/root/testdata/sf0.001", *given], capture_output=True, text=True, timeout=120)
         assert hoped in done.stdout, done.stderr[-2000:]
+
+
+def test_tables_of_small_files_are_not_broadcast(tmp_path):
+    """Of half a million rows that take little room in files: too many for the driver. Tables that are small are."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from tidemark.plans import bindings
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+bindings.table(s, sys.argv[1], "region")
+s.range(500_000).select(F.pmod(F.xxhash64("id"), F.lit(9000)).alias("v"), F.pmod(F.xxhash64("id"), F.lit(77)).alias("i"), (F.col("id") % 3).cast("double").alias("w")).coalesce(1).write.parquet(sys.argv[2])
+t = s.read.parquet(sys.argv[2])
+small = s.range(30).select("id", (F.col("id") * 2).alias("v"))
+small.coalesce(1).write.parquet(sys.argv[2] + "-small")
+small = s.read.parquet(sys.argv[2] + "-small")
+plans = [x._jdf.queryExecution().executedPlan().toString() for x in (t.join(t.select("v", F.col("i").alias("j")), "v"), t.join(small, "v"))]
+import pathlib
+print("got", sum(f.stat().st_size for f in pathlib.Path(sys.argv[2]).iterdir()) < 10 << 20, *["BroadcastHashJoin" in x for x in plans])
+"""
+    done = subprocess.run([sys.executable, "-c", code, "/root/testdata/sf0.001", f"{tmp_path}/rows"], capture_output=True, text=True, timeout=120)
+    assert "got True False True" in done.stdout, done.stdout + done.stderr[-2000:]

@@ -67,6 +67,8 @@ def unit_rows(matrix: DataFrame, key: str, over: str) -> DataFrame:
 
 #: Rows that share an ``over`` are compared with each other up to so many; beyond it only where they may matter, and in blocks of that size.
 LIGHT = 1000
+#: An index of so many rows at most is sent to all tasks; so many rows that ask are a task's then.
+SMALL, ASKING = 100_000, 1 << 14
 #: Of bounds on similarities: lists order them to nine digits.
 SLACK = 2e-9
 
@@ -113,18 +115,25 @@ def nearest_rows(index: DataFrame, n: int | None = None, light: int = LIGHT, ask
         left = left if skip is None else left.join(skip, "k", "left_anti")
         left = (left if only is None else left.join(only, "k", "left_semi")).withColumn("n", F.lit(n))
     else:
+        asking = materialized(asking, "asking")
         rows = materialized(rows.join(asking.groupBy("o").agg(F.count("*").alias("m")), "o"), "unit")
-        left = materialized(asking.join(rows.groupBy("o").agg(F.max("n_rows").alias("n_rows"), F.max("m").alias("m")), "o"), "asking")
+        left = asking.join(rows.groupBy("o").agg(F.max("n_rows").alias("n_rows"), F.max("m").alias("m")), "o")
     lengths = left.groupBy("k").agg(F.max("n").alias("n")).withColumnRenamed("k", "a")
 
     def listed(pairs: DataFrame) -> DataFrame:
-        return top_per(pairs if own else pairs.join(lengths, "a"), ["a"], by_score("sim", "b"), F.lit(n) if own else F.col("n"), "near")
+        return top_per(pairs if own or "n" in pairs.columns else pairs.join(lengths, "a"), ["a"], by_score("sim", "b"), F.lit(n) if own else F.col("n"), "near")
 
     parts = F.ceil(F.col("m") / F.lit(float(light))).cast("int")
     few, heavy = F.col("n_rows") <= light, F.col("n_rows") > light
-    lights = left.where(few).select("o", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), F.col("k").alias("a"), F.col("w").alias("wa"))
-    shared = lights.join(rows.where(few).select("o", each_of(parts).alias("part"), F.col("k").alias("b"), F.col("w").alias("wb")), ["o", "part"])
-    shared = (shared.where("a <> b") if own else shared).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    product = F.sum(F.col("wa") * F.col("wb")).alias("sim")
+    if not own and rows.count() <= SMALL:
+        # each task has all of a small index: pairs are added up and ranked where the row that asks is, and none goes through a shuffle
+        lights = left.where(few).select("o", F.col("k").alias("a"), F.col("w").alias("wa"), "n").repartition(-(-asking.count() // ASKING) or 1, "a")
+        shared = lights.join(F.broadcast(rows.where(few).select("o", F.col("k").alias("b"), F.col("w").alias("wb"))), "o").groupBy("a", "b").agg(product, F.max("n").alias("n"))
+    else:
+        lights = left.where(few).select("o", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), F.col("k").alias("a"), F.col("w").alias("wa"))
+        shared = lights.join(rows.where(few).select("o", each_of(parts).alias("part"), F.col("k").alias("b"), F.col("w").alias("wb")), ["o", "part"])
+        shared = (shared.where("a <> b") if own else shared).groupBy("a", "b").agg(product)
     if rows.where(heavy).isEmpty():
         return listed(shared).select("a", "b", "sim")
     shared = materialized(shared, "shared")
@@ -155,9 +164,10 @@ def similar_items(matrix: DataFrame, n: int = TOP_K) -> DataFrame:
 def alike(rows: DataFrame, key: str = "visitorid") -> tuple[DataFrame, DataFrame]:
     """``key``, head: the smallest key of the same rows in all other columns; and the rows of heads, with size: how many keys have the same."""
     others = [c for c in rows.columns if c != key]
-    packed = materialized(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("row")), "rows")
-    distinct = materialized(packed.groupBy("row").agg(F.min(key).alias("head"), F.count("*").alias("size")), "distinct")
-    heads = materialized(packed.join(distinct.select("row", "head"), "row").select(key, "head"), "heads")
+    packed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("row"))
+    packed = materialized(packed.withColumn("digest", F.xxhash64("row")), "rows")  # tells nearly all rows apart, so that sorts seldom compare rows themselves
+    distinct = materialized(packed.groupBy("digest", "row").agg(F.min(key).alias("head"), F.count("*").alias("size")), "distinct")
+    heads = materialized(packed.join(distinct.select("digest", "row", "head"), ["digest", "row"]).select(key, "head"), "heads")
     return heads, materialized(distinct.select(F.col("head").alias(key), "size", F.explode("row").alias("c")).select(key, "size", *[F.col(f"c.{c}").alias(c) for c in others]), "distinct_rows")
 
 
@@ -181,43 +191,63 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
     return heads.join(best.withColumnRenamed("visitorid", "head"), "head").select("visitorid", "itemid", "score", "rank")
 
 
-#: Rows of a block of ``block_nearest``, and columns of it that are multiplied at a time.
-DENSE_ROWS, DENSE_COLUMNS = 2048, 1024
+#: Rows and columns of a product of ``block_nearest``; coordinates of a block of rows; blocks that there are at least, where each has ``DENSE_ROWS`` rows even so.
+DENSE_ROWS, DENSE_COLUMNS, DENSE_CELLS, DENSE_BLOCKS = 2048, 1024, 1 << 21, 8
 
 
-def block_nearest(unit: DataFrame, n: int, asks: DataFrame, block: int = DENSE_ROWS) -> DataFrame:
+def block_nearest(unit: DataFrame, n: int, asks: DataFrame, block: int = DENSE_ROWS, cells: int = DENSE_CELLS) -> DataFrame:
     """a, b, sim > 0 as by ``nearest_rows``, for rows that share so many columns that nearly all pairs have something in common. Each pair of blocks of rows
-    is one product of matrices in a task, of which the ``n`` nearest of each row are kept, so no pair becomes a row but those."""
+    is a task's, which multiplies ``block`` rows by as many at a time and keeps the ``n`` nearest of each row, so no pair becomes a row but those.
+
+    Every row is sent to as many tasks as there are blocks. So a block has as many rows as make ``cells`` coordinates, not a number that is fixed: what is
+    shuffled is the square of all coordinates by ``cells``."""
     rows = unit.where("o IS NOT NULL").groupBy("k").agg(F.collect_list("o").alias("os"), F.collect_list("w").alias("ws")).join(asks.select("k", F.lit(True).alias("asks")), "k", "left")
     rows = materialized(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), "packed")
-    blocks = -(-rows.count() // block) or 1
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("os")), F.lit(0)).alias("cells")).first()
+    blocks = max(-(-size["cells"] // cells), min(-(-size["rows"] // block), DENSE_BLOCKS), 1)
     own, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), each_of(F.lit(blocks))
     left, right = rows.where("asks").select("k", "os", "ws", own.alias("i"), other.alias("j")), rows.select(*[F.col(c).alias(c) for c in ("k", "os", "ws")], other.alias("i"), own.alias("j"))
 
     def run(lefts: pa.Table, rights: pa.Table) -> pa.Table:
-        if not len(lefts) or not len(rights):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        rights = rights.sort_by("k")  # equal ones by key
-        (ka, ra, oa, wa), (kb, rb, ob, wb) = cells_of(lefts), cells_of(rights)
-        sims = np.zeros((len(ka), len(kb)))
-        columns = np.intersect1d(oa, ob)
-        for at in range(0, len(columns), DENSE_COLUMNS):
-            some = columns[at : at + DENSE_COLUMNS]
-            sims += dense(ra, oa, wa, len(ka), some) @ dense(rb, ob, wb, len(kb), some).T
         out = []
-        for at in range(0, len(ka), 256):
-            part = sims[at : at + 256]
-            place = np.where((part > 0) & (ka[at : at + 256, None] != kb), np.round(part, 9), -1.0)
-            last = np.partition(place, -n, axis=1)[:, -n, None] if n < len(kb) else np.full((len(place), 1), -0.5)
-            above, equal = place > last, place == last
-            row, col = np.nonzero((above | equal & (np.cumsum(equal, axis=1) <= n - above.sum(axis=1, keepdims=True))) & (place >= 0))
-            out.append((ka[at + row], kb[col], part[row, col]))
-        return pa.table({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("a", "b", "sim"))})
+        rights = rights.sort_by("k")  # equal ones by key
+        for at in range(0, len(lefts), block):
+            ka, *mine = cells_of(lefts.slice(at, block))
+            best, least = np.empty((0, 3)), np.full(len(ka), 0.0)  # row, place in rights, product of the nearest so far; and the n-th of them, to nine digits
+            for to in range(0, len(rights), block):
+                kb, *theirs = cells_of(rights.slice(to, block))
+                sims = products(mine, len(ka), theirs, len(kb))
+                if n < len(kb) and not least.all():  # a row's own product is one of n + 1
+                    least = np.maximum(least, np.partition(sims, -n - 1, axis=1)[:, -n - 1])
+                row, col = np.nonzero((sims > 0) & (sims >= least[:, None] - SLACK))
+                other_row = ka[row] != kb[col]
+                row, col = row[other_row], col[other_row]
+                best = np.concatenate([best, np.column_stack([row, col + to, sims[row, col]])])
+                order = np.lexsort((best[:, 1], -np.round(best[:, 2], 9), best[:, 0]))
+                best = best[order]
+                start = np.searchsorted(best[:, 0], np.arange(len(ka)))
+                best = best[np.arange(len(best)) - start[best[:, 0].astype(int)] < n]
+                counts = np.bincount(best[:, 0].astype(int), minlength=len(ka))
+                full = counts >= n
+                least[full] = np.round(best[np.cumsum(counts)[full] - 1, 2], 9)
+            out.append((ka[best[:, 0].astype(int)], rights.column("k").to_numpy()[best[:, 1].astype(int)], best[:, 2]))
+        none = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+        return pa.table({name: np.concatenate([x[i] for x in [none, *out]]) for i, name in enumerate(("a", "b", "sim"))})
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "a long, b long, sim double")
     return top_per(found, ["a"], by_score("sim", "b"), n, "near").select("a", "b", "sim")
 
 
+def products(a: list[np.ndarray], n_a: int, b: list[np.ndarray], n_b: int) -> np.ndarray:
+    """Of all rows of two sparse matrices, given by row, column and value of their cells."""
+    out = np.zeros((n_a, n_b))
+    columns = np.intersect1d(a[1], b[1])
+    for at in range(0, len(columns), DENSE_COLUMNS):
+        some = columns[at : at + DENSE_COLUMNS]
+        out += dense(*a, n_a, some) @ dense(*b, n_b, some).T
+    return out
+
+
 def cells_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, and of each cell its row, column and value."""
     os, ws = (rows.column(c).combine_chunks() for c in ("os", "ws"))
