@@ -203,3 +203,17 @@ def test_a_small_index_takes_no_shuffle_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(co, "SMALL", 0)
     lists.append(sorted((r.a, r.b, round(r.sim, 9)) for r in co.nearest_rows(index, asking=asking).collect()))
     assert lists[0] == lists[1] and lists[0]
+
+
+def test_items_lists_without_a_shuffle_of_scores(spark, monkeypatch):
+    """With few neighbours to send, scores are added up and ranked by visitor at once; the lists are those of the other way and hold nothing seen, met with no weight or in part."""
+    monkeypatch.setattr(co, "ASKING", 50)
+    rng = np.random.default_rng(9)
+    rows = [(v, int(i), float(rng.integers(0, 4))) for v in range(70) for i in rng.choice(25, 6, replace=False)] + [(3, 99, 0.0), (4, 99, 0.0)]
+    matrix = spark.createDataFrame(rows, "visitorid long, itemid long, weight double")
+    got = co.recommend_by_items(matrix, 4)
+    assert not any("itemid" in x or "(b#" in x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+    lists = sorted((r.visitorid, r["rank"], r.itemid, round(r.score, 8)) for r in got.collect())
+    monkeypatch.setattr(co, "SMALL", 0)
+    assert lists == sorted((r.visitorid, r["rank"], r.itemid, round(r.score, 8)) for r in co.recommend_by_items(matrix, 4).collect())
+    assert lists and not {(v, i) for v, _, i, _ in lists} & {(v, i) for v, i, _ in rows}

@@ -183,11 +183,14 @@ def recommend_by_items(matrix: DataFrame, n: int = TOP_K, users: DataFrame | Non
     # an item is its own nearest, before any equal one
     near = top_per(near, ["a"], by_score("sim", "b"), most - 1, "near").withColumn("near", F.col("near") + 1)
     near = near.select("a", "b", "sim", "near").union(cells.where("weight > 0").select("itemid").distinct().select(F.col("itemid").alias("a"), F.col("itemid").alias("b"), F.lit(1.0), F.lit(1)))
-    seeds = cells.where("n IS NOT NULL").withColumnRenamed("itemid", "a")
-    found = seeds.join(near.select("a", "b", "sim", "near"), "a").where(F.col("near") <= F.col("n") + CF_EXTRA)
-    scored = found.groupBy("visitorid", "n", F.col("b").alias("itemid")).agg(F.sum(F.col("weight") * F.col("sim")).alias("score"))
-    unseen = scored.join(cells.select("visitorid", "itemid"), ["visitorid", "itemid"], "left_anti")
-    best = top_per(unseen, ["visitorid"], by_score("score", "itemid"), F.col("n"))
+    near = materialized(near, "near")
+    seeds = cells.where("n IS NOT NULL").select("visitorid", "n", F.col("itemid").alias("a"), "weight")
+    if near.count() <= SMALL:  # then scores are added up where a visitor's items are
+        seeds, near = seeds.repartition(-(-cells.count() // ASKING) or 1, "visitorid"), F.broadcast(near)
+    found = seeds.join(near, "a").where(F.col("near") <= F.col("n") + CF_EXTRA)
+    # an item that a visitor has met brings itself, so what is seen needs no second look at the matrix
+    scored = found.groupBy("visitorid", "n", F.col("b").alias("itemid")).agg(F.sum(F.col("weight") * F.col("sim")).alias("score"), F.max(F.col("a") == F.col("b")).alias("seen"))
+    best = top_per(scored.where("NOT seen").drop("seen"), ["visitorid"], by_score("score", "itemid"), F.col("n"))
     return heads.join(best.withColumnRenamed("visitorid", "head"), "head").select("visitorid", "itemid", "score", "rank")
 
 
