@@ -217,3 +217,12 @@ def test_items_lists_without_a_shuffle_of_scores(spark, monkeypatch):
     monkeypatch.setattr(co, "SMALL", 0)
     assert lists == sorted((r.visitorid, r["rank"], r.itemid, round(r.score, 8)) for r in co.recommend_by_items(matrix, 4).collect())
     assert lists and not {(v, i) for v, _, i, _ in lists} & {(v, i) for v, i, _ in rows}
+
+
+def test_the_plan_of_the_hybrid_stays_small(spark, sf):
+    """Its legs are written: the last plan reads them, and neither the clickstream's features nor the catalog's are planned in it again."""
+    from tidemark.plans import catalogue
+
+    for query, most in (("hybrid_explain", 150), ("hybrid_explain_seeded", 500)):  # 461 and 1,015 lines when it held all legs
+        plan = catalogue.QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan.splitlines()) < most

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CF_METHODS, EXPLAIN_CONFIDENCE, HYBRID_OVERFETCH, HYBRID_WEIGHTS, TOP_K
 from ..functions.scoring import by_score, top_per
+from ..sources.files import materialized
 from . import cooccurrence, latent, vectors
 from .vectors import ContentVectors
 
@@ -34,9 +35,10 @@ def recommend(visitors: DataFrame, users: DataFrame, items: DataFrame, matrix: D
     near the visitor's item of the highest id; a seed outside the catalog brings none. Seen items are not excluded.
     """
     who = visitors.select("visitorid", (F.col("n") if "n" in visitors.columns else F.lit(n)).alias("n")).dropDuplicates(["visitorid"])
-    sure = confidence(who, users)
+    # the legs are written each: some are read twice, and the driver needn't hold and plan all of them at once
+    sure = materialized(confidence(who, users), "confidence")
     wide = who.withColumn("n", F.col("n") * HYBRID_OVERFETCH)
-    cf = collaborative(matrix, cf_method, wide.join(matrix.select("visitorid").distinct(), "visitorid", "left_semi"))
+    cf = materialized(collaborative(matrix, cf_method, wide.join(matrix.select("visitorid").distinct(), "visitorid", "left_semi")).select("visitorid", "itemid", "score"), "collaborative")
     top = cf.groupBy("visitorid").agg(F.max("score").alias("top"))
     part_cf = cf.join(top, "visitorid").join(sure, "visitorid").select("visitorid", "itemid", (weights["cf"] * F.col("cf_confidence") * F.col("score") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("s"))
     most = HYBRID_OVERFETCH * n if "n" not in visitors.columns else wide.agg(F.max("n")).first()[0] or 1
@@ -44,12 +46,12 @@ def recommend(visitors: DataFrame, users: DataFrame, items: DataFrame, matrix: D
         seeds = wide.withColumn("itemid", F.lit(seed_item).cast("long"))
     else:
         seeds = matrix.groupBy("visitorid").agg(F.max("itemid").alias("itemid")).join(wide, "visitorid")
-    near = content.similar_items(most, seeds)
+    near = materialized(content.similar_items(most, seeds), "near")
     part_content = seeds.join(near, "itemid").where(F.col("rank") <= F.col("n")).select("visitorid", F.col("similar_item").alias("itemid"), (weights["content"] * F.col("content_similarity")).alias("s"))
     popular = items.orderBy(*by_score("product_interaction_score", "itemid")).limit(int(most)).select("itemid", "product_interaction_score")
     popular = top_per(popular.withColumn("one", F.lit(1)), ["one"], by_score("product_interaction_score", "itemid"), int(most), "place")
     best = popular.agg(F.max("product_interaction_score").alias("best"))
-    part_popular = wide.join(F.broadcast(popular.crossJoin(best)), F.col("place") <= F.col("n")).select("visitorid", "itemid", (weights["popularity"] * F.col("product_interaction_score") / F.when(F.col("best") == 0, 1.0).otherwise(F.col("best"))).alias("s"))
+    part_popular = wide.join(F.broadcast(materialized(popular.crossJoin(best), "popular")), F.col("place") <= F.col("n")).select("visitorid", "itemid", (weights["popularity"] * F.col("product_interaction_score") / F.when(F.col("best") == 0, 1.0).otherwise(F.col("best"))).alias("s"))
     total = part_cf.unionByName(part_content).unionByName(part_popular).groupBy("visitorid", "itemid").agg(F.sum("s").alias("hybrid_score"))
     ranked = top_per(total.join(who, "visitorid"), ["visitorid"], by_score("hybrid_score", "itemid"), F.col("n"))
     return ranked.join(sure, "visitorid").select("visitorid", "itemid", "hybrid_score", F.col("cf_confidence").alias("cf_confidence_used"), "rank")
