@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import exact_quantile, exact_quantiles, running_totals
 from tidemark.operators import catalog, clickstream, cooccurrence, latent, profiles
+from tidemark.plans import bindings
 from tidemark.sources import synthetic
 from tidemark.sources.files import load_all, shared_folder
 
@@ -71,6 +72,40 @@ def test_huge_basket_in_blocks(spark):
     assert one == many
 
 
+def test_each_pair_is_counted_once(spark, tmp_path):
+    """Purchases are shuffled once for all that reads baskets, and of two items one order only; counts are those of both orders, whatever the blocks. Items or transactions may be missing, lines come twice."""
+    rng = np.random.default_rng(4)
+    rows = [(int(t), int(i)) for t, i in zip(rng.integers(0, 25, 400), rng.integers(0, 30, 400), strict=True)] + [(3, 5), (3, 5), (None, 5), (None, 6), (4, None), (99, 1), (98, -7), (98, 7)]
+    schema = "l_orderkey long, l_partkey long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "current_timestamp() AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    sets = {}
+    for t, i in rows:
+        if t is not None and i is not None:
+            sets.setdefault(t, set()).add(i)
+    want = {}
+    for items in sets.values():
+        for a in items:
+            for b in items - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    basket = cooccurrence.baskets(bindings.purchases(spark, str(tmp_path)))
+    n_item = {i: sum(i in x for x in sets.values()) for i in range(-7, 30)}
+    for block in (3, 1000):
+        got = {(r.item_a, r.item_b): (r.n_pair, r.n_item, r.confidence) for r in cooccurrence.pair_counts(basket, block).collect()}
+        assert got == {(a, b): (n, n_item[a], n / n_item[a]) for (a, b), n in want.items()}
+        assert {(r.item_a, r.item_b): r.n for r in cooccurrence.basket_pairs(basket, block).groupBy("item_a", "item_b").agg(F.count("*").alias("n")).collect()} == want
+        assert all(r.item_a < r.item_b for r in cooccurrence.basket_pairs(basket, block, ordered=False).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = cooccurrence.pair_counts(basket)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum("Exchange hashpartitioning(l_orderkey" in x and "Reused" not in x for x in plan) == 1
+
+
 def test_block_products(spark, monkeypatch):
     monkeypatch.setattr(latent, "BLOCK_ITEMS", 5)
     rng = np.random.default_rng(3)
